@@ -81,6 +81,16 @@ def _result(got: DataFrame, key: str) -> DataFrame:
     )
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with only the row that stays of each group of equal texts; all columns are kept."""
+    none = F.lit(2**63 - 1)
+    told = exact_dedup(docs, id_col, text_col).where("kept").select(F.coalesce("doc_id", none).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    text = rt.text_of(F.col(text_col))
+    rows = docs.select(*[F.col(c) for c in docs.columns], F.coalesce(F.col(id_col).cast("long"), none).alias("__id"), sha256(F.translate(text, BLANKS, "")).alias("__sha"), F.char_length(text).alias("__n"))
+    nth = F.row_number().over(Window.partitionBy("__id", "__sha").orderBy(F.col("__n").desc()))
+    return rows.join(told, ["__id", "__sha"]).withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(rt.read_table(spark, sf_dir, "documents"))
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secret_scan, sharding
+from . import bpe, exact_dedup, media, near_dup, packing, secret_scan, sharding, substring_dedup, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": (toxicity.op1_toxicity, None),
+    "op2_packing": (packing.op2_packing, None),
     "op3_exact_dedup": (exact_dedup.op3_exact_dedup, exact_dedup.ORACLE),
     "op4_secret_scan": (secret_scan.op4_secret_scan, None),
+    "op5_byte_bpe": (bpe.op5_byte_bpe, None),
+    "op6_media_columns": (media.op6_media_columns, None),
+    "op7_warc": (warc.op7_warc, None),
+    "op8_substring_dedup": (substring_dedup.op8_substring_dedup, None),
+    "op9_ngram_jaccard": (near_dup.op9_ngram_jaccard, None),
     "op10_sharding": (sharding.op10_sharding, None),
 }

@@ -62,6 +62,41 @@ def hot_keys(df: DataFrame, key: str, total: int) -> list:
     return [r[0] for r in found.select(key).collect()]
 
 
+def lookup(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """left joined to right, which has one row per key and its number of left rows in `size`. Keys that hold more than
+    total / HOT_SHARE rows, fewer than HOT_SHARE, are broadcast; no other key can fill a task. Every left key is in right."""
+    cols = [c for c in right.columns if c != key]
+    hot = right.where(F.col(size) * HOT_SHARE > F.lit(total)).select(F.col(key), F.struct(*cols).alias("__hot"))
+    cold = right.where(F.col(size) * HOT_SHARE <= F.lit(total)).select(F.col(key).cast("string").alias("__key"), F.struct(*cols).alias("__cold"))
+    spread = F.concat(F.lit("~"), F.xxhash64(*left.columns).cast("string"))
+    out = left.join(F.broadcast(hot), key, "left").withColumn("__key", F.when(F.col("__hot").isNull(), F.col(key).cast("string")).otherwise(spread))
+    out = out.join(cold, "__key", "left").withColumn("__got", F.coalesce("__hot", "__cold"))
+    return out.select(*left.columns, *[F.col("__got")[c].alias(c) for c in cols])
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, label) of connected components over (a, b) edges; the label is the least node. Alternating large and small
+    stars: each round rewrites edges towards the least neighbour; written to the shared folder, never collected."""
+    spark = edges.sparkSession
+    now = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    nodes = now.select(F.col("a").alias("node")).unionByName(now.select(F.col("b").alias("node"))).distinct()
+    mark = None
+    for _ in range(rounds):
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), F.col("b").alias("b")).where("a <> b").distinct()
+        small = large.groupBy("b").agg(F.min("a").alias("m"))
+        joined = large.join(small, "b")
+        now = materialise(joined.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a <> b").unionByName(joined.select(F.col("m").alias("a"), F.col("b").alias("b"))).distinct(), "edges")
+        got = now.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
+        if (got.n, got.h) == mark:
+            break
+        mark = (got.n, got.h)
+    else:
+        raise RuntimeError("components did not settle")
+    return nodes.join(now.select(F.col("b").alias("node"), F.col("a").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+
 def local_path(uri: str) -> str | None:
     if uri.startswith("file:"):
         return "/" + uri[5:].lstrip("/")
