@@ -2,4 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from .operators import detectors, relational, scalars
+from .plans import views  # noqa: F401  (registers the derived tables)
+from .plans.dialect import query
+
+TEXTS = detectors.TEXTS | scalars.TEXTS | relational.TEXTS
+QUERIES: dict = {name: query(text) for name, text in TEXTS.items()}
