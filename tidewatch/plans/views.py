@@ -63,7 +63,7 @@ def classes(d: Dialect) -> str:
     return """
     SELECT concat('c', CAST(c_custkey AS STRING)) AS address,
       CASE c_mktsegment WHEN 'MACHINERY' THEN 'dex_pool' WHEN 'BUILDING' THEN 'cex_hot_wallet' WHEN 'AUTOMOBILE' THEN 'burn_address' ELSE 'liquid' END AS kind,
-      CAST(0.5 + (c_custkey % 50) / 100.0 AS DOUBLE) AS confidence, c_custkey % 90 AS age_days FROM {customer}"""
+      CAST(0.5 AS DOUBLE) + (c_custkey % 50) / CAST(100 AS DOUBLE) AS confidence, c_custkey % 90 AS age_days FROM {customer}"""
 
 
 @view("balances")
@@ -139,3 +139,70 @@ def members(d: Dialect) -> str:
     b AS (SELECT chain, funder, wallet, {d.idiv("first_t - start", str(30 * DAY))} AS time_bucket, CAST(floor(ln(CAST(total AS DOUBLE)) / ln(1.2) + 1e-9) AS BIGINT) AS amount_bucket FROM e)
     SELECT b.chain, b.wallet, c.cluster_id, c.n AS size, c.funder, round(CAST(0.5 AS DOUBLE) + 0.25 * least(greatest((c.n - 3) / CAST(7 AS DOUBLE), 0), 1) + 0.1 * (1 - least(c.spread / {30 * DAY}, 1)), 6) AS confidence
     FROM b JOIN {{clusters}} c ON b.chain = c.chain AND b.funder = c.funder AND b.time_bucket = c.time_bucket AND b.amount_bucket = c.amount_bucket"""
+
+
+@view("trade_edges")
+def trade_edges(d: Dialect) -> str:
+    """Within a pool and five days, from who sells to who buys next: transfers of the token between wallets."""
+    return f"""
+    WITH x AS (SELECT pool, token, {d.idiv("t", str(5 * DAY))} AS bucket, sender, side, cents, t, lead(sender) OVER w AS next_sender, lead(side) OVER w AS next_side FROM {{swaps}} WINDOW w AS (PARTITION BY pool, {d.idiv("t", str(5 * DAY))} ORDER BY t, seq))
+    SELECT token, bucket, sender AS src, next_sender AS dst, CAST(sum(cents) AS BIGINT) AS cents, min(t) AS first_t, max(t) AS last_t FROM x WHERE side = 'sell' AND next_side = 'buy' AND sender <> next_sender GROUP BY token, bucket, sender, next_sender"""
+
+
+@view("scored")
+def scored(d: Dialect) -> str:
+    """Anomalies with canonical detector ids, severities and decay towards the report time."""
+    from ..functions.exprs import decay, severity, severity_rank
+
+    age = f"(({SWAPS_AS_OF + 6 * DAY} - t) / CAST(3600 AS DOUBLE))"
+    return f"""
+    SELECT id, chain, token, t, k, confidence AS raw, CASE WHEN detector_id = 'honeypot_sim_static' THEN 'honeypot_sim' WHEN detector_id LIKE 'rug_pull_lp_drain%' THEN 'rug_pull_lp_drain' WHEN detector_id LIKE 'mint_burn_anomaly%' THEN 'mint_burn_anomaly' ELSE detector_id END AS detector_id,
+      confidence * CASE WHEN detector_id IN ('honeypot_sim_static', 'rug_pull_lp_drain_latent', 'holder_concentration', 'mint_burn_anomaly_static') THEN CAST(1 AS DOUBLE) ELSE CAST({decay(age, 72)} AS DOUBLE) END AS eff,
+      {severity_rank("(" + severity("confidence") + ")")} AS sev FROM {{anomalies}}"""
+
+
+@view("detector_scores")
+def detector_scores(d: Dialect) -> str:
+    return """
+    SELECT chain, token, detector_id, max(eff) AS max_eff, max(raw) AS max_raw, avg(eff) AS mean_eff, max(sev) AS max_sev, CAST(sum(CASE WHEN eff >= 0.30 THEN 1 ELSE 0 END) AS BIGINT) AS fired,
+      CAST(sum(CASE WHEN eff < 0.30 THEN 1 ELSE 0 END) AS BIGINT) AS inconclusive, CAST(sum(CASE WHEN sev = 0 THEN 1 ELSE 0 END) AS BIGINT) AS infos FROM {scored} GROUP BY chain, token, detector_id"""
+
+
+@view("legs")
+def legs(d: Dialect) -> str:
+    return """
+    SELECT sender AS wallet, token, 'buy' AS leg, t, seq, tx_hash, cents, 1 + seq % 5 AS qty FROM {swaps} WHERE side = 'buy'
+    UNION ALL SELECT sender, token, 'sell', t, seq, tx_hash, cents, 1 + seq % 5 FROM {swaps} WHERE side = 'sell'"""
+
+
+@view("trips")
+def trips(d: Dialect) -> str:
+    """FIFO lots by overlap of cumulated quantities. Sold quantities count only up to the inventory bought before: the
+    running surplus of sales over purchases, at its highest so far, is dropped, so no sell meets a later buy."""
+    return """
+    WITH r AS (SELECT *, sum(CASE WHEN leg = 'buy' THEN qty ELSE 0 END) OVER w AS bought, sum(CASE WHEN leg = 'sell' THEN qty ELSE 0 END) OVER w AS sold FROM {legs} WINDOW w AS (PARTITION BY wallet, token ORDER BY t, tx_hash, leg ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    o AS (SELECT *, greatest(max(sold - bought) OVER (PARTITION BY wallet, token ORDER BY t, tx_hash, leg ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS lost FROM r),
+    p AS (SELECT *, coalesce(lag(lost) OVER (PARTITION BY wallet, token ORDER BY t, tx_hash, leg), 0) AS lost_before FROM o),
+    b AS (SELECT wallet, token, t, cents, qty, bought - qty AS lo, bought AS hi FROM p WHERE leg = 'buy'),
+    s AS (SELECT wallet, token, t, cents, qty, seq, sold - qty - lost_before AS lo, sold - lost AS hi FROM p WHERE leg = 'sell' AND sold - lost > sold - qty - lost_before)
+    SELECT s.wallet, s.token, b.t AS buy_t, s.t AS sell_t, s.seq AS sell_seq, CAST(least(b.hi, s.hi) - greatest(b.lo, s.lo) AS BIGINT) AS qty, (s.cents / CAST(s.qty AS DOUBLE) - b.cents / CAST(b.qty AS DOUBLE)) * (least(b.hi, s.hi) - greatest(b.lo, s.lo)) / 100 AS pnl, s.t - b.t AS held
+    FROM s JOIN b ON s.wallet = b.wallet AND s.token = b.token AND b.lo < s.hi AND s.lo < b.hi"""
+
+
+@view("wallet_stats")
+def wallet_stats(d: Dialect) -> str:
+    return f"""
+    WITH a AS (SELECT wallet, count(*) AS trips, sum(pnl) AS pnl, avg(CAST(CASE WHEN pnl > 0 THEN 1 ELSE 0 END AS DOUBLE)) AS win_rate, avg(CAST(held AS DOUBLE)) AS held FROM {{trips}} GROUP BY wallet),
+    peaks AS (SELECT token, t AS peak FROM (SELECT token, t, row_number() OVER (PARTITION BY token, {d.idiv("t", str(DAY))} ORDER BY cents DESC, seq) AS nth FROM {{swaps}}) AS x WHERE nth = 1),
+    e AS (SELECT l.wallet, count(DISTINCT concat(p.token, ':', CAST(p.peak AS STRING))) AS events, CAST(floor({d.median("p.peak - l.t")}) AS BIGINT) AS lead_s FROM {{legs}} l JOIN peaks p ON l.token = p.token AND l.t BETWEEN p.peak - 3600 AND p.peak WHERE l.leg = 'buy' GROUP BY l.wallet),
+    r AS (SELECT wallet, events, lead_s, percent_rank() OVER (ORDER BY lead_s) AS timing FROM e)
+    SELECT a.wallet, trips, pnl, win_rate, held, coalesce(events, 0) AS events, lead_s, coalesce(timing, 0) AS timing FROM a LEFT JOIN r ON a.wallet = r.wallet"""
+
+
+@view("smart_wallets")
+def smart_wallets(d: Dialect) -> str:
+    tier = "CASE WHEN trips < 10 THEN 0 WHEN pnl >= 500 AND win_rate >= 0.55 AND events >= 2 AND timing >= 0.6 THEN 1 WHEN pnl >= 300 OR events >= 4 THEN 2 WHEN pnl > 0 THEN 3 ELSE 0 END"
+    return f"""
+    SELECT wallet, tier, trips, pnl, win_rate, events, least(CASE tier WHEN 1 THEN CAST(0.65 AS DOUBLE) WHEN 2 THEN CAST(0.50 AS DOUBLE) ELSE CAST(0.35 AS DOUBLE) END + CASE WHEN events > 0 THEN 0.10 ELSE 0 END + least(0.03 * greatest(events - 1, 0), 0.10)
+      + CASE WHEN held BETWEEN 300 AND 86400 THEN 0.05 ELSE 0 END + CASE WHEN pnl > 1 THEN least(greatest(0.02 * log10(pnl) - 0.02, 0), 0.05) ELSE 0 END, 0.90) AS confidence
+    FROM (SELECT *, {tier} AS tier FROM {{wallet_stats}}) AS x WHERE tier > 0"""
