@@ -106,13 +106,13 @@ def as_address(w: Column) -> Column:
 
 
 def as_signed(w: Column, signed: Column) -> Column:
-    """DECIMAL(38,0) of a word, by limbs of 14 digits; a signed one is negative if its first bit is set. Null beyond 38
+    """DECIMAL(38,0) of a word, by limbs of 14 digits; a signed one is negative if its first bit is set. Null beyond 37
     digits (the raw word keeps the value)."""
     negative = signed & (F.substring(w, 1, 1) >= "8")
     digits = F.when(negative, F.translate(w, "0123456789abcdef", "fedcba9876543210")).otherwise(w)
     limb = lambda at, n: F.conv(F.substring(digits, at, n), 16, 10).cast("decimal(38,0)")
     big = F.lit(1 << 56).cast("decimal(38,0)")
-    size = F.when(F.substring(digits, 1, 34) == "0" * 34, (limb(35, 2) * big + limb(37, 14)) * big + limb(51, 14))
+    size = F.when(F.substring(digits, 1, 33) == "0" * 33, (limb(34, 3) * big + limb(37, 14)) * big + limb(51, 14))
     return F.when(negative, -size - 1).otherwise(size).cast("decimal(38,0)")
 
 
