@@ -102,6 +102,23 @@ def pump_dump(d: Dialect) -> str:
     )
 
 
+def insider_sales(d: Dialect) -> str:
+    """Signal C of pump and dump: what the largest net buyers of a token sold in the last day, against what they held."""
+    return f"""
+    WITH held AS (SELECT token, sender, CAST(sum(CASE WHEN side = 'buy' THEN cents ELSE -cents END) AS BIGINT) AS net FROM {{swaps}} WHERE t < {S - DAY} GROUP BY token, sender),
+    top AS (SELECT token, sender, net, row_number() OVER (PARTITION BY token ORDER BY net DESC, sender) AS nth FROM held WHERE net > 0),
+    sold AS (SELECT token, sender, CAST(sum(cents) AS BIGINT) AS cents FROM {{swaps}} WHERE side = 'sell' AND t >= {S - DAY} AND t < {S} GROUP BY token, sender)
+    SELECT top.token, count(*) AS insiders, round(CAST(sum(coalesce(sold.cents, 0)) AS DOUBLE) / CAST(sum(top.net) AS DOUBLE), 6) AS sold_share, CAST(CASE WHEN CAST(sum(coalesce(sold.cents, 0)) AS DOUBLE) >= 0.40 * CAST(sum(top.net) AS DOUBLE) THEN 0.15 ELSE 0 END AS DOUBLE) AS amplifier
+    FROM top LEFT JOIN sold ON top.token = sold.token AND top.sender = sold.sender WHERE top.nth <= 5 GROUP BY top.token"""
+
+
+def smart_amplifier(d: Dialect) -> str:
+    """Smart wallets that bought a token in the hours before: one of the first tier, or two of the second, raise a signal."""
+    return f"""
+    SELECT token, tier1, tier2, CAST(CASE WHEN tier1 >= 1 THEN 0.12 WHEN tier2 >= 2 THEN 0.07 ELSE 0 END AS DOUBLE) AS amplifier FROM
+      (SELECT s.token, count(DISTINCT CASE WHEN w.tier = 1 THEN s.sender END) AS tier1, count(DISTINCT CASE WHEN w.tier = 2 THEN s.sender END) AS tier2 FROM {{swaps}} s LEFT JOIN {{smart_wallets}} w ON s.sender = w.wallet WHERE s.side = 'buy' AND s.t >= {S - 6 * 3600} AND s.t < {S} GROUP BY s.token) AS x"""
+
+
 def round_trips(d: Dialect, blocks: int = 5000, tolerance: float = 0.05) -> str:
     """Buys and sells of one sender in one pool within some blocks and of about one value, either side first."""
     def leg(first: str, second: str) -> str:
@@ -259,6 +276,8 @@ TEXTS = {
     "d02_rug_pull": rug_pull,
     "d03_concentration": concentration,
     "d04_pump_dump": pump_dump,
+    "d04_insider_sales": insider_sales,
+    "d04_smart_amplifier": smart_amplifier,
     "d05_wash_trading": wash_trading,
     "d06_mint_burn": mint_burn,
     "d07_withheld": withheld,

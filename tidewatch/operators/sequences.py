@@ -17,35 +17,34 @@ HAZARD, MAX_RUN, SHORT = 1 / 300, 300, 2
 PRIOR = (0.3, 1.0, 2.0, 0.05)
 
 
+#: Of a run of k observations only mean and rate depend on the data; weight, shape and the predictive's constant do not.
+_RUNS = np.arange(MAX_RUN + 1)
+_WEIGHT, _SHAPE = PRIOR[1] + _RUNS, PRIOR[2] + 0.5 * _RUNS
+_CONSTANT = np.array([math.lgamma(a + 0.5) - math.lgamma(a) - 0.5 * math.log(2 * a * math.pi) for a in _SHAPE])
+
+
 class ChangePoints:
     """Run-length posterior of a sequence: Normal-Gamma conjugate updates, Student-t predictive, in log space."""
 
     def __init__(self):
-        m, k, a, b = PRIOR
         self.log_mass = np.zeros(1)
-        self.mean, self.weight, self.shape, self.rate = (np.array([float(v)]) for v in (m, k, a, b))
+        self.mean, self.rate = np.array([PRIOR[0]]), np.array([PRIOR[3]])
 
     def step(self, x: float) -> tuple[float, float, int]:
         """(P(run is 0), P(run is short), most likely run) after x."""
-        spread = self.rate * (self.weight + 1) / (self.shape * self.weight)
-        nu = 2 * self.shape
-        gap = (x - self.mean) ** 2 / (nu * spread)
-        gamma = np.array([math.lgamma((v + 1) / 2) - math.lgamma(v / 2) for v in nu])
-        fit = gamma - 0.5 * np.log(nu * np.pi * spread) - (nu + 1) / 2 * np.log1p(gap)
-        joint = self.log_mass + fit
+        n = len(self.mean)
+        weight, shape = _WEIGHT[:n], _SHAPE[:n]
+        spread = self.rate * (weight + 1) / (shape * weight)
+        gap = (x - self.mean) ** 2
+        joint = self.log_mass + _CONSTANT[:n] - 0.5 * np.log(spread) - (shape + 0.5) * np.log1p(gap / (2 * shape * spread))
         top = joint.max()
         fresh = math.log(HAZARD) + top + math.log(np.exp(joint - top).sum())
         mass = np.concatenate([[fresh], math.log(1 - HAZARD) + joint])[:MAX_RUN]
         peak = mass.max()
         self.log_mass = mass - peak - math.log(np.exp(mass - peak).sum())
-        m, k, a, b = PRIOR
         keep = len(mass) - 1
-        rate = self.rate + self.weight * (x - self.mean) ** 2 / (2 * (self.weight + 1))
-        mean = (self.weight * self.mean + x) / (self.weight + 1)
-        self.mean = np.concatenate([[m], mean[:keep]])
-        self.rate = np.concatenate([[b], rate[:keep]])
-        self.weight = np.concatenate([[k], self.weight[:keep] + 1])
-        self.shape = np.concatenate([[a], self.shape[:keep] + 0.5])
+        self.rate = np.concatenate([[PRIOR[3]], (self.rate + weight * gap / (2 * (weight + 1)))[:keep]])
+        self.mean = np.concatenate([[PRIOR[0]], ((weight * self.mean + x) / (weight + 1))[:keep]])
         p = np.exp(self.log_mass)
         return float(p[0]), float(p[: SHORT + 1].sum()), int(p.argmax())
 

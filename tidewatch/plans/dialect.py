@@ -21,6 +21,15 @@ class Dialect:
         cond = f" FILTER (WHERE {where})" if where else ""
         return f"array_join(array_sort(collect_set({x}){cond}), ',')" if self.spark else f"coalesce(string_agg(DISTINCT {x}, ',' ORDER BY {x}){cond}, '')"
 
+    def percent_ranked(self, rows: str, by: str, name: str) -> str:
+        """rows with their percent rank by a column. Here ranks come from the counts of its distinct values, so the one
+        ordered window runs over those few values and not over all rows; nulls come first."""
+        if not self.spark:
+            return f"SELECT *, percent_rank() OVER (ORDER BY {by} NULLS FIRST) AS {name} FROM ({rows}) AS pr"
+        counts = f"SELECT {by} AS pr_v, count(*) AS pr_n FROM ({rows}) GROUP BY {by}"
+        before = f"SELECT pr_v, coalesce(sum(pr_n) OVER (ORDER BY pr_v NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pr_before, sum(pr_n) OVER () AS pr_all FROM ({counts})"
+        return f"SELECT pr.*, CASE WHEN pr_all > 1 THEN pr_before / CAST(pr_all - 1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS {name} FROM ({rows}) AS pr JOIN ({before}) AS pb ON pr.{by} <=> pb.pr_v"
+
     def mode(self, x: str) -> str:
         return f"mode() WITHIN GROUP (ORDER BY {x})"
 

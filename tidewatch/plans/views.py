@@ -195,7 +195,7 @@ def wallet_stats(d: Dialect) -> str:
     WITH a AS (SELECT wallet, count(*) AS trips, sum(pnl) AS pnl, avg(CAST(CASE WHEN pnl > 0 THEN 1 ELSE 0 END AS DOUBLE)) AS win_rate, avg(CAST(held AS DOUBLE)) AS held FROM {{trips}} GROUP BY wallet),
     peaks AS (SELECT token, t AS peak FROM (SELECT token, t, row_number() OVER (PARTITION BY token, {d.idiv("t", str(DAY))} ORDER BY cents DESC, seq) AS nth FROM {{swaps}}) AS x WHERE nth = 1),
     e AS (SELECT l.wallet, count(DISTINCT concat(p.token, ':', CAST(p.peak AS STRING))) AS events, CAST(floor({d.median("p.peak - l.t")}) AS BIGINT) AS lead_s FROM {{legs}} l JOIN peaks p ON l.token = p.token AND l.t BETWEEN p.peak - 3600 AND p.peak WHERE l.leg = 'buy' GROUP BY l.wallet),
-    r AS (SELECT wallet, events, lead_s, percent_rank() OVER (ORDER BY lead_s) AS timing FROM e)
+    r AS ({d.percent_ranked("SELECT wallet, events, lead_s FROM e", "lead_s", "timing")})
     SELECT a.wallet, trips, pnl, win_rate, held, coalesce(events, 0) AS events, lead_s, coalesce(timing, 0) AS timing FROM a LEFT JOIN r ON a.wallet = r.wallet"""
 
 
