@@ -252,4 +252,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup(rt.read_table(spark, sf_dir, "documents"))
+    return near_dup(rt.read_table(spark, sf_dir, "documents")).drop("fp", "keep_fp")
+
+
+#: Exact similarities of all texts that share a shingle; components by reachability.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + least(len(ws), 5) - 1], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0) AS x),
+d AS (SELECT w.doc_id, coalesce(z.key, '') AS key, coalesce(z.n, 0) AS n FROM w LEFT JOIN (SELECT doc_id, sha256(array_to_string(list_sort(list(k)), chr(10))) AS key, count(*) AS n FROM t GROUP BY doc_id) AS z ON w.doc_id = z.doc_id),
+c AS (SELECT key, min(doc_id) AS rep_id, count(*) AS copies, max(n) AS n FROM d GROUP BY key),
+m AS (SELECT t.doc_id, t.k FROM t JOIN c ON t.doc_id = c.rep_id),
+e AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM m x JOIN m y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id) AS j JOIN c p ON p.rep_id = a JOIN c q ON q.rep_id = b WHERE shared >= 0.8 * (p.n + q.n - shared) - 1e-9),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+g AS (SELECT a, min(b) AS least_id FROM r GROUP BY a), l AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT d.doc_id, least(c.rep_id, coalesce(g.least_id, c.rep_id)) AS class_id, coalesce(l.n_links, 0) AS n_links, c.rep_id, c.copies FROM d JOIN c ON d.key = c.key LEFT JOIN g ON g.a = c.rep_id LEFT JOIN l ON l.a = c.rep_id
+"""

@@ -11,8 +11,8 @@ QUERIES = {
     "op4_secret_scan": (secret_scan.op4_secret_scan, None),
     "op5_byte_bpe": (bpe.op5_byte_bpe, None),
     "op6_media_columns": (media.op6_media_columns, None),
-    "op7_warc": (warc.op7_warc, None),
-    "op8_substring_dedup": (substring_dedup.op8_substring_dedup, None),
-    "op9_ngram_jaccard": (near_dup.op9_ngram_jaccard, None),
+    "op7_warc": (warc.op7_warc, warc.ORACLE),
+    "op8_substring_dedup": (substring_dedup.op8_substring_dedup, substring_dedup.ORACLE),
+    "op9_ngram_jaccard": (near_dup.op9_ngram_jaccard, near_dup.ORACLE),
     "op10_sharding": (sharding.op10_sharding, None),
 }

@@ -276,4 +276,15 @@ def _removed(block: Block, answers: list, window: int, base: int, buckets: list[
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(rt.read_table(spark, sf_dir, "documents"))
+    return substring_dedup(rt.read_table(spark, sf_dir, "documents")).drop("removed")
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, i, array_to_string(ws[i : i + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20) AS x),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS nth FROM s),
+g AS (SELECT DISTINCT doc_id, i + j AS p FROM f CROSS JOIN (SELECT unnest(range(0, 20)) AS j) AS r WHERE nth > 1),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+k AS (SELECT x.doc_id, count(g.p) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY x.p) FILTER (WHERE g.p IS NULL), '') AS kept FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.p = g.p GROUP BY x.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+"""

@@ -232,5 +232,14 @@ def warc_round_trip(pages: DataFrame, **cols) -> DataFrame:
     return read_warcs(listed.repartition(rt.partitions(spark)), folder)
 
 
+#: The digest's letters are cut from the hexadecimal digits, five bits at a time.
+ORACLE = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS lead_id FROM pages)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(((((strpos('0123456789abcdef', substr(h, CAST(i * 5 // 4 + 1 AS BIGINT), 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h, CAST(i * 5 // 4 + 2 AS BIGINT), 1)) - 1) >> CAST(3 - i * 5 % 4 AS INTEGER)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = lead_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> lead_id THEN lead_id END AS refers_to FROM p
+"""
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(rt.read_table(spark, sf_dir, "pages"))
