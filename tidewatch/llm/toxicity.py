@@ -15,7 +15,11 @@ are ignored.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +32,7 @@ EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.08, 1.0, 1.5, 0.5
 THRESHOLD = 0.3
 #: Words of texts that are hashed at a time.
-GROUP = 200_000
+GROUP = 100_000
 
 _SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -36,7 +40,7 @@ _SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 class _Words(dict):
     """word -> row of (hash, hash of 4 letters, hash of 5 letters), bounded."""
 
-    LIMIT = 200_000
+    LIMIT = 150_000
 
     def __init__(self):
         super().__init__()
@@ -73,7 +77,7 @@ class Features:
                 start, held, counts = k + 1, [], []
 
     def _places(self, held: list[bytes], counts: list[int]):
-        if len(self.words) + len(held) > 4 * self.words.LIMIT and len(self.words) > self.words.LIMIT:
+        if len(self.words) > self.words.LIMIT:
             self.words = _Words()
         ids = np.fromiter(map(self.words.__getitem__, held), np.int64, len(held))
         table = self.words.table[ids]
@@ -112,16 +116,14 @@ class Ftrl:
         self.n0 += g * g
 
 
-def train(rows: list[tuple[np.ndarray, float]], epochs: int = EPOCHS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float] | None:
-    """(places, weights, bias) from (distinct places, label) rows; None if a class is missing."""
-    if len({label for _, label in rows}) < 2:
-        return None
-    model = Ftrl(1 << bits)
-    for _ in range(epochs):
-        for places, label in rows:
-            model.learn(places, label)
+def train(rows: Iterator[tuple[np.ndarray, float]], bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """(places, weights, bias) from (distinct places, label) rows, read once and not kept; None if a class is missing."""
+    model, seen = Ftrl(1 << bits), set()
+    for places, label in rows:
+        model.learn(places, label)
+        seen.add(label)
     found = np.flatnonzero(np.abs(model.z) > L1)
-    return found, model.weights(found), model.bias()
+    return (found, model.weights(found), model.bias()) if len(seen) > 1 else None
 
 
 def held_out(id_col: Column) -> Column:
@@ -134,22 +136,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = [F.xxhash64("__id"), F.col("__id")]
     known = known.orderBy(*order).limit(max_sample).groupBy("__id").agg(F.max("__y").alias("__y"))
     sample = docs.select(F.col(id_col).cast("long").alias("__id"), rt.text_of(F.col(text_col)).alias("__text")).join(F.broadcast(known), "__id")
-    sample = sample.orderBy(*order, "__text").limit(max_sample).select("__text", "__y")
+    sample = rt.materialise(sample.orderBy(*order, "__text").limit(max_sample), "labelled").coalesce(1).sortWithinPartitions(*order, "__text").select("__text", "__y")
+    # an epoch is one more reading of the sample, so the task holds the model and one batch, however long the texts are
+    epochs = functools.reduce(DataFrame.union, [sample] * EPOCHS)
 
-    def learn(batches):
-        rows = []
+    def rows(batches):
         features = Features()
         for b in batches:
             ys, texts = b.column("__y").to_pylist(), b.column("__text").to_pylist()
             for start, count, of, places in features.groups(texts):
                 order = np.argsort(of, kind="stable")
                 parts = np.split(places[order], np.cumsum(np.bincount(of, minlength=count))[:-1])
-                rows += [(np.unique(p).astype(np.int32), ys[start + k]) for k, p in enumerate(parts)]
-        made = train(rows)
+                for k, p in enumerate(parts):
+                    yield np.unique(p), ys[start + k]
+
+    def learn(batches):
+        made = train(rows(batches))
         if made:
             yield pa.record_batch({"places": pa.array([made[0].astype("<i8").tobytes()]), "weights": pa.array([made[1].astype("<f8").tobytes()]), "bias": pa.array([made[2]])})
 
-    got = sample.coalesce(1).mapInArrow(learn, "places binary, weights binary, bias double").collect()
+    got = epochs.coalesce(1).mapInArrow(learn, "places binary, weights binary, bias double").collect()
     return (np.frombuffer(got[0][0], "<i8"), np.frombuffer(got[0][1], "<f8"), got[0][2]) if got else None
 
 
@@ -158,9 +164,7 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def scored(batches: __import__("typing").Iterator[__import__("pandas").Series]) -> __import__("typing").Iterator[__import__("pandas").Series]:
-        import pandas as pd
-
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         if held.value:
             dense = np.zeros(1 << BITS)
             dense[held.value[0]] = held.value[1]
