@@ -129,8 +129,10 @@ def train_dictionary(pages: DataFrame, id_col: str = "page_id", html_col: str =
     """At most DICT_PAGES pages reach the driver; too few give no dictionary."""
     import zstandard
 
-    sample = pages.select(F.col(id_col).alias("i"), F.substring(rt.text_of(F.col(html_col)), 1, DICT_CHARS).alias("h")).orderBy(F.xxhash64("i"), "i", "h").limit(DICT_PAGES).collect()
-    samples = [r["h"].encode() for r in sample if r["h"]]
+    # ids are picked first, so that no task sends payloads that are not used
+    ids = [r[0] for r in pages.select(F.col(id_col).cast("long").alias("i")).where("i is not null").orderBy(F.xxhash64("i"), "i").limit(DICT_PAGES).collect()]
+    picked = pages.where(F.col(id_col).cast("long").isin(ids)).select(F.col(id_col).alias("i"), F.substring(rt.text_of(F.col(html_col)), 1, DICT_CHARS).alias("h"))
+    samples = [r["h"].encode() for r in picked.dropDuplicates(["i"]).limit(DICT_PAGES).collect() if r["h"]]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes() if len(samples) >= 8 else b""
     except zstandard.ZstdError:
