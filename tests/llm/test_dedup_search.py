@@ -116,9 +116,10 @@ def test_pruning_keeps_likely_pairs():
     assert least[128] > 128 * 0.6
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 10, 10_000])
+def test_components(spark, local):
     edges = [(f"n{a:03d}", f"n{b:03d}") for a, b in [(1, 2), (2, 3), (9, 3), (20, 21), (22, 21), (5, 5)] + [(40 + i, 41 + i) for i in range(30)]]
-    got = {r.node: r.label for r in rt.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    got = {r.node: r.label for r in rt.components(spark.createDataFrame(edges, "a string, b string"), local).collect()}
     assert {got[f"n{k:03d}"] for k in (1, 2, 3, 9)} == {"n001"} and {got[f"n{k:03d}"] for k in (20, 21, 22)} == {"n020"}
     assert {got[f"n{40 + i:03d}"] for i in range(31)} == {"n040"} and "n005" not in got
 

@@ -74,27 +74,58 @@ def lookup(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -
     return out.select(*left.columns, *[F.col("__got")[c].alias(c) for c in cols])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Edges that one task joins on its own (some tens of MB); larger graphs are first shrunk by distributed rounds.
+LOCAL_EDGES = 300_000
+
+
+def _union(batches):
+    """(node, label) of all nodes of the edges of one task, by union-find; the label is the least node."""
+    import pyarrow as pa
+
+    parent: dict = {}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kind = None
+    for b in batches:
+        kind = b.column(0).type
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            parent.setdefault(x, x)
+            parent.setdefault(y, y)
+            x, y = root(x), root(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    if parent:
+        nodes = list(parent)
+        yield pa.record_batch({"node": pa.array(nodes, kind), "label": pa.array([root(x) for x in nodes], kind)})
+
+
+def components(edges: DataFrame, local: int = LOCAL_EDGES, rounds: int = 60) -> DataFrame:
     """(node, label) of connected components over (a, b) edges; the label is the least node. Alternating large and small
-    stars: each round rewrites edges towards the least neighbour; written to the shared folder, never collected."""
-    spark = edges.sparkSession
+    stars: each round rewrites edges towards the least neighbour, and is written to the shared folder, never collected. A graph
+    of at most `local` edges, a fixed bound, is finished in one task."""
+    kind = edges.schema["a"].dataType.simpleString()
     now = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    nodes = now.select(F.col("a").alias("node")).unionByName(now.select(F.col("b").alias("node"))).distinct()
     mark = None
     for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), F.col("b").alias("b")).where("a <> b").distinct()
-        small = large.groupBy("b").agg(F.min("a").alias("m"))
-        joined = large.join(small, "b")
-        now = materialise(joined.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a <> b").unionByName(joined.select(F.col("m").alias("a"), F.col("b").alias("b"))).distinct(), "edges")
         got = now.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
+        if got.n <= local:
+            return now.coalesce(1).mapInArrow(_union, f"node {kind}, label {kind}")
         if (got.n, got.h) == mark:
-            break
+            return now.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("label"))).distinct()
         mark = (got.n, got.h)
-    else:
-        raise RuntimeError("components did not settle")
-    return nodes.join(now.select(F.col("b").alias("node"), F.col("a").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # hubs hold many edges: their few rows are broadcast by lookup()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = materialise(lookup(both, least, "a", "n", 2 * got.n).where("b > a").select(F.col("m").alias("a"), F.col("b").alias("b")).where("a <> b").distinct(), "edges")
+        small = large.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n"))
+        joined = lookup(large, small, "b", "n", got.n)
+        now = materialise(joined.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a <> b").unionByName(joined.select(F.col("m").alias("a"), F.col("b").alias("b"))).distinct(), "edges")
+    raise RuntimeError("components did not settle")
 
 
 def local_path(uri: str) -> str | None:
