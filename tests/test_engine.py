@@ -88,6 +88,20 @@ def test_change_points_mass():
     assert np.exp(model.log_mass).sum() == pytest.approx(1)
 
 
+def test_change_points_of_a_long_steady_run(spark):
+    """The longest run keeps its mass, however long it becomes."""
+    model, before = sequences.ChangePoints(), 0
+    scores = np.random.default_rng(5).normal(0.3, 0.05, 900)
+    for k, x in enumerate(scores, 1):
+        cp, _, mode = model.step(float(x))
+        assert cp == pytest.approx(sequences.HAZARD, rel=1e-6)
+        assert mode == before + 1 or k < 20
+        before = mode
+    assert mode > 880
+    rows = spark.createDataFrame([("d", f"t{k}", k, float(x)) for k, x in enumerate(scores)], "deployer string, token string, nth long, score double")
+    assert all(r.run_drop == 0 for r in sequences.change_points(rows).where("nth >= 20").collect())
+
+
 def test_fifo_drops_sells_without_inventory(spark):
     rows = [("w", "t", "sell", 1, 0, "a", 100, 2), ("w", "t", "buy", 2, 1, "b", 300, 3), ("w", "t", "sell", 3, 2, "c", 500, 2), ("w", "t", "sell", 4, 3, "d", 500, 5), ("w", "t", "buy", 5, 4, "e", 100, 1), ("w", "t", "sell", 6, 5, "f", 400, 1)]
     legs = spark.createDataFrame(rows, "wallet string, token string, leg string, t long, seq long, tx_hash string, cents long, qty long")

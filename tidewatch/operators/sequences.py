@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -12,19 +13,22 @@ from pyspark.sql import functions as F
 from ..plans.dialect import Dialect, Tables, run
 from .detectors import deployer_features
 
-HAZARD, MAX_RUN, SHORT = 1 / 300, 300, 2
+HAZARD, SHORT = 1 / 300, 2
 #: Prior of mean and precision: mean, its weight, shape and rate.
 PRIOR = (0.3, 1.0, 2.0, 0.05)
 
 
-#: Of a run of k observations only mean and rate depend on the data; weight, shape and the predictive's constant do not.
-_RUNS = np.arange(MAX_RUN + 1)
-_WEIGHT, _SHAPE = PRIOR[1] + _RUNS, PRIOR[2] + 0.5 * _RUNS
-_CONSTANT = np.array([math.lgamma(a + 0.5) - math.lgamma(a) - 0.5 * math.log(2 * a * math.pi) for a in _SHAPE])
+@functools.lru_cache(maxsize=4)
+def _by_run(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a run of k < n observations only mean and rate depend on the data; weight, shape and the predictive's constant do not."""
+    runs = np.arange(n)
+    shape = PRIOR[2] + 0.5 * runs
+    return PRIOR[1] + runs, shape, np.array([math.lgamma(a + 0.5) - math.lgamma(a) - 0.5 * math.log(2 * a * math.pi) for a in shape])
 
 
 class ChangePoints:
-    """Run-length posterior of a sequence: Normal-Gamma conjugate updates, Student-t predictive, in log space."""
+    """Run-length posterior of a sequence: Normal-Gamma conjugate updates, Student-t predictive, in log space. All run lengths are
+    kept, so a step takes as long as the sequence so far."""
 
     def __init__(self):
         self.log_mass = np.zeros(1)
@@ -33,18 +37,17 @@ class ChangePoints:
     def step(self, x: float) -> tuple[float, float, int]:
         """(P(run is 0), P(run is short), most likely run) after x."""
         n = len(self.mean)
-        weight, shape = _WEIGHT[:n], _SHAPE[:n]
+        weight, shape, constant = (a[:n] for a in _by_run(max(512, 1 << (n - 1).bit_length())))
         spread = self.rate * (weight + 1) / (shape * weight)
         gap = (x - self.mean) ** 2
-        joint = self.log_mass + _CONSTANT[:n] - 0.5 * np.log(spread) - (shape + 0.5) * np.log1p(gap / (2 * shape * spread))
+        joint = self.log_mass + constant - 0.5 * np.log(spread) - (shape + 0.5) * np.log1p(gap / (2 * shape * spread))
         top = joint.max()
         fresh = math.log(HAZARD) + top + math.log(np.exp(joint - top).sum())
-        mass = np.concatenate([[fresh], math.log(1 - HAZARD) + joint])[:MAX_RUN]
+        mass = np.concatenate([[fresh], math.log(1 - HAZARD) + joint])
         peak = mass.max()
         self.log_mass = mass - peak - math.log(np.exp(mass - peak).sum())
-        keep = len(mass) - 1
-        self.rate = np.concatenate([[PRIOR[3]], (self.rate + weight * gap / (2 * (weight + 1)))[:keep]])
-        self.mean = np.concatenate([[PRIOR[0]], ((weight * self.mean + x) / (weight + 1))[:keep]])
+        self.rate = np.concatenate([[PRIOR[3]], self.rate + weight * gap / (2 * (weight + 1))])
+        self.mean = np.concatenate([[PRIOR[0]], (weight * self.mean + x) / (weight + 1)])
         p = np.exp(self.log_mass)
         return float(p[0]), float(p[: SHORT + 1].sum()), int(p.argmax())
 
