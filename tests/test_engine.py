@@ -75,6 +75,47 @@ def test_dbscan():
     assert sequences.dbscan([], 0.3, 3) == []
 
 
+def clusters_by_hand(near, least):
+    label, found = {}, 0
+    for i in range(len(near)):
+        if i in label or len(near[i]) < least:
+            continue
+        todo = [i]
+        while todo:
+            j = todo.pop()
+            if j not in label:
+                label[j] = found
+                todo += near[j] if len(near[j]) >= least else []
+        found += 1
+    return [label.get(i, -1) for i in range(len(near))]
+
+
+def test_dbscan_of_weighted_sets():
+    rng = random.Random(4)
+    for _ in range(40):
+        sets = [frozenset(rng.sample(range(5), rng.randrange(1, 5))) for _ in range(rng.randrange(1, 40))]
+        near = [[j for j, y in enumerate(sets) if 1 - len(x & y) / len(x | y) <= 0.3] for x in sets]
+        want = clusters_by_hand(near, 4)
+        assert sequences.dbscan(sets, 0.3, 4) == want
+        distinct = list(dict.fromkeys(sets))
+        label = dict(zip(distinct, sequences.dbscan(distinct, 0.3, 4, [sets.count(x) for x in distinct]), strict=True))
+        assert [label[x] for x in sets] == want
+
+
+def test_synchronised_clusters_all_buyers(spark):
+    """Three clusters, 1,300 wallets: the last of them buys after more than 500 others."""
+    rows = [("tok", f"w{k:04}", "buy", 21600 + 3600 * (k // 500) + k % 7, f"x{k:04}") for k in range(1300)]
+    rows += [("tok", "late", "buy", 21600 + 21000, "y"), ("tok", "sells", "sell", 21600, "z")]
+    legs = spark.createDataFrame(rows, "token string, wallet string, leg string, t long, tx_hash string")
+    got = sorted(sequences.synchronised(legs).collect(), key=lambda r: r.wallets)
+    assert [r["size"] for r in got] == [500, 500, 300]
+    assert [r.wallets for r in got] == [",".join(f"w{k:04}" for k in range(a, min(a + 500, 1300))) for a in (0, 500, 1000)]
+    for r in got:
+        chance = (1 - math.exp(-1301 / 21600 * 1800)) ** r["size"]
+        assert r.window_no == 1 and r.tightness == pytest.approx(1 - 6 / 1800) and r.chance == pytest.approx(chance)
+        assert r.confidence == pytest.approx(min(0.9, 0.4 / (1 + math.exp(-(r["size"] - 5) / 5)) + 0.3 * r.tightness + 0.3 * (1 - chance)))
+
+
 def test_change_points_mass():
     rng = np.random.default_rng(2)
     model = sequences.ChangePoints()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections import deque
 
 import numpy as np
 import pandas as pd
@@ -67,55 +68,73 @@ def change_points(features: DataFrame) -> DataFrame:
     return features.groupBy("deployer").applyInPandas(per_deployer, "deployer string, token string, nth long, score double, cp_prob double, p_short double, run_mode int, run_drop int")
 
 
-EPS, MIN_SAMPLES, BUCKET_S, MAX_WALLETS = 0.30, 3, 1800, 500
+EPS, MIN_SAMPLES, BUCKET_S = 0.30, 3, 1800
 
 
-def dbscan(presence: list[frozenset], eps: float = EPS, least: int = MIN_SAMPLES) -> list[int]:
-    """Cluster numbers (-1: noise) by 1 - Jaccard; border points go to the cluster that reaches them first in the given order."""
+def dbscan(presence: list[frozenset], eps: float = EPS, least: int = MIN_SAMPLES, counts: list[int] | None = None) -> list[int]:
+    """Cluster numbers (-1: noise) by 1 - Jaccard; border points go to the cluster that reaches them first in the given order.
+    Equal sets are neighbours with the same neighbours, so they can be given once, at their first place, with counts."""
     n = len(presence)
-    near = [[j for j in range(n) if 1 - len(presence[i] & presence[j]) / max(1, len(presence[i] | presence[j])) <= eps] for i in range(n)]
+    if not n:
+        return []
+    places = {b: k for k, b in enumerate(sorted(set().union(*presence)))}
+    has = np.zeros((n, len(places)), np.float32)
+    for i, own in enumerate(presence):
+        has[i, [places[b] for b in own]] = 1
+    size, weight = has.sum(axis=1), np.ones(n, np.int64) if counts is None else np.array(counts, np.int64)
+
+    def near(i: int) -> np.ndarray:
+        shared = (has @ has[i]).astype(np.float64)
+        return np.flatnonzero(1 - shared / np.maximum(1, size + size[i] - shared) <= eps)
+
     label, found = [None] * n, 0
     for i in range(n):
         if label[i] is not None:
             continue
-        if len(near[i]) < least:
+        around = near(i)
+        if weight[around].sum() < least:
             label[i] = -1
             continue
-        label[i], todo = found, list(near[i])
+        label[i], todo = found, deque(around.tolist())
         while todo:
-            j = todo.pop(0)
+            j = todo.popleft()
             if label[j] == -1:
                 label[j] = found
             if label[j] is None:
                 label[j] = found
-                if len(near[j]) >= least:
-                    todo += near[j]
+                around = near(j)
+                if weight[around].sum() >= least:
+                    todo += [k for k in around.tolist() if label[k] is None or label[k] == -1]
         found += 1
     return label
 
 
 def synchronised(legs: DataFrame, window_s: int = 6 * 3600) -> DataFrame:
-    """Groups of wallets that buy a token in the same time buckets, per token and window: size, tightness, chance, confidence."""
+    """Groups of wallets that buy a token in the same time buckets, per token and window: size, tightness, chance, confidence.
+
+    All wallets are clustered. Those that buy in the same buckets have the same neighbours and are one weighted point, so the
+    clustering of a window of k buckets has at most 2^k - 1 points, however many wallets buy."""
+    window = ["token", "window_no"]
+    buys = legs.where("leg = 'buy'").withColumn("window_no", F.floor(F.col("t") / window_s)).select(*window, "wallet", "t", "tx_hash")
+    begun = buys.groupBy(*window).agg(F.min("t").alias("start"), F.count(F.lit(1)).alias("n_buys"))
+    bucket = F.floor((F.col("t") - F.col("start")) / BUCKET_S).alias("bucket")
+    wallets = buys.join(begun, window).groupBy(*window, "wallet").agg(F.array_sort(F.collect_set(bucket)).alias("buckets"), F.min("t").alias("first_t"), F.min(F.struct("t", "tx_hash", "wallet")).alias("place"))
+    points = wallets.groupBy(*window, "buckets").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
+    points = points.select(*window, "buckets", "n", F.col("place.t").alias("t"), F.col("place.tx_hash").alias("tx_hash"), F.col("place.wallet").alias("wallet"))
 
     def per_window(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["t", "tx_hash"])
-        start = int(g.t.iloc[0])
-        first = g.groupby("wallet", sort=False).t.min()
-        buckets = g.assign(b=(g.t - start) // BUCKET_S).groupby("wallet", sort=False).b.agg(frozenset)
-        wallets = list(buckets.index)[:MAX_WALLETS]
-        label = np.array(dbscan([buckets[w] for w in wallets]))
-        rows, rate = [], len(g) / window_s
-        for k in range(label.max() + 1 if len(label) else 0):
-            own = [w for w, c in zip(wallets, label, strict=True) if c == k]
-            times = first[own].to_numpy()
-            tight = max(0.0, 1 - float(times.max() - times.min()) / BUCKET_S)
-            chance = (1 - math.exp(-rate * BUCKET_S)) ** len(own)
-            sure = min(0.90, 0.4 / (1 + math.exp(-(len(own) - 5) / 5)) + 0.3 * tight + 0.3 * (1 - min(1.0, chance)))
-            rows.append((g.token.iloc[0], int(g.window_no.iloc[0]), len(own), tight, chance, sure, ",".join(sorted(own))))
-        return pd.DataFrame(rows, columns=["token", "window_no", "size", "tightness", "chance", "confidence", "wallets"])
-
-    buys = legs.where("leg = 'buy'").withColumn("window_no", F.floor(F.col("t") / window_s))
-    return buys.groupBy("token", "window_no").applyInPandas(per_window, "token string, window_no long, size int, tightness double, chance double, confidence double, wallets string").where("tightness >= 0.5")
+        g = g.sort_values(["t", "tx_hash", "wallet"])
+        return g[[*window, "buckets"]].assign(cluster=dbscan([frozenset(b) for b in g.buckets], counts=g.n.tolist()))
+
+    labels = points.groupBy(*window).applyInPandas(per_window, "token string, window_no long, buckets array<long>, cluster int").where("cluster >= 0")
+    clusters = wallets.join(labels, [*window, "buckets"]).groupBy(*window, "cluster").agg(
+        F.count(F.lit(1)).cast("int").alias("size"),
+        F.greatest(F.lit(0.0), 1 - (F.max("first_t") - F.min("first_t")) / BUCKET_S).alias("tightness"),
+        F.concat_ws(",", F.array_sort(F.collect_list("wallet"))).alias("wallets"),
+    )
+    chance = F.pow(1 - F.exp(-F.col("n_buys") / window_s * BUCKET_S), F.col("size"))
+    sure = F.least(F.lit(0.90), 0.4 / (1 + F.exp((5 - F.col("size")) / 5)) + 0.3 * F.col("tightness") + 0.3 * (1 - F.least(F.lit(1.0), F.col("chance"))))
+    return clusters.where("tightness >= 0.5").join(begun, window).withColumn("chance", chance).select(*window, "size", "tightness", "chance", sure.alias("confidence"), "wallets")
 
 
 def deployer_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
