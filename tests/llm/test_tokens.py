@@ -60,6 +60,16 @@ def test_vocabulary_has_the_ids_of_the_library(plain):
         assert own.encode(t[:20000]).tolist() == library.encode(t[:20000], add_special_tokens=False).ids
 
 
+ADDED = ["abc <|endoftext|> def", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n", "<|endoftext|", "<|endoftext |>"]
+
+
+def test_vocabulary_finds_added_tokens():
+    own, library = bpe.vocabulary(JSON), Tokenizer.from_file(JSON)
+    for t in [*ADDED, "word " * 10_000 + ADDED[0]]:
+        assert own.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+    assert own.encode(ADDED[0]).tolist() == [39305, 220, 50256, 825]
+
+
 def check_packing(got, plain, window):
     library = Tokenizer.from_file(JSON)
     want = Counter()
@@ -80,6 +90,11 @@ def test_packing(docs, plain, window):
     check_packing(packing.pack(docs, JSON, window).collect(), plain, window)
 
 
+def test_packing_of_added_tokens(spark):
+    rows = list(enumerate(ADDED))
+    check_packing(packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), JSON).collect(), rows, 2048)
+
+
 def test_packing_empty(no_docs):
     assert packing.pack(no_docs, JSON).count() == 0
 

@@ -106,11 +106,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 class Vocabulary:
     """A tokenizers file. Where its ids are the order of its merges, they serve as ranks, which is several times faster than the
-    library and gives the same ids; any other file is left to the library. Special tokens' strings are ordinary text."""
+    library and gives the same ids; any other file is left to the library. So are texts that hold the string of an added
+    token, such as <|endoftext|>: the library takes it for that token."""
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            told = json.load(f)
+        model = told["model"]
+        self.added = [t["content"] for t in told.get("added_tokens") or []]
         vocab, byte_of = model["vocab"], _byte_of()
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.ranks = None
@@ -118,14 +122,15 @@ class Vocabulary:
             known = {t: i for t, i in vocab.items() if i < 256 + len(merges)}
             if all(c in byte_of for t in known for c in t):
                 self.ranks = Ranks({bytes(byte_of[c] for c in t): i for t, i in known.items()})
-        if self.ranks is None:
-            from tokenizers import Tokenizer
 
-            self.library = Tokenizer.from_file(path)
-            self.library.encode_special_tokens = True
+    @functools.cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def encode(self, text: str) -> np.ndarray:
-        if self.ranks is not None:
+        if self.ranks is not None and not any(a in text for a in self.added):
             return self.ranks.encode(text)
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
