@@ -40,6 +40,14 @@ def test_exact_dedup_compares_content(docs, plain):
     check_dedup(exact_dedup.exact_dedup(docs, digest=lambda c: F.substring(F.sha2(c, 256), 1, 1)).collect(), plain)
 
 
+def test_exact_dedup_of_shared_ids(spark):
+    """Repeated texts whose winners share an id, null or not, are groups of their own."""
+    rows = [(None, "a"), (None, "a"), (None, "bb"), (None, "bb"), (1, "ccc"), (1, "ccc"), (1, "d"), (1, "d"), (2, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_dedup(exact_dedup.exact_dedup(docs).collect(), rows)
+    assert sorted(r.text for r in exact_dedup.keep_first(docs).collect()) == ["a", "bb", "ccc", "d"]
+
+
 def test_exact_dedup_empty(no_docs):
     assert exact_dedup.exact_dedup(no_docs).count() == 0
     assert exact_dedup.keep_first(no_docs).count() == 0

@@ -71,7 +71,7 @@ def _by_content(rows: DataFrame, keeps: DataFrame, shared: DataFrame) -> DataFra
 
 
 def _result(got: DataFrame, key: str) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy(key, "__id").orderBy(F.col("__n").desc()))
+    nth = F.row_number().over(Window.partitionBy(key, "__sha", "__id").orderBy(F.col("__n").desc()))
     return got.withColumn("__nth", nth).select(
         F.col("__id").alias("doc_id"),
         F.col("__keep").alias("keep_id"),
