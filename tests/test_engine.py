@@ -35,6 +35,36 @@ def test_words(spark):
     assert int(got[str(2**256 - 1)].s) == -1
 
 
+def test_words_of_any_size(spark):
+    rng = random.Random(3)
+    values = [0, 1, 10**18 - 1, 10**18, 2**128, 2**255, 2**256 - 1] + [rng.randrange(1 << rng.randrange(1, 257)) for _ in range(40)]
+    got = spark.createDataFrame([(str(v), f"{v:064x}") for v in values], "v string, w string").select("v", evm.as_text(F.col("w")).alias("t")).collect()
+    assert all(r.v == r.t for r in got)
+
+
+def test_every_event_at_zero_and_negative_amounts(spark):
+    """Words of all 19 kinds, encoded here by Python's integers."""
+    rows, want = [], {}
+    for k, (kind, (signature, fields)) in enumerate(evm.EVENTS.items()):
+        for amount in (0, 7, 10**20):
+            words, places = [0] * 5, dict(fields.values())
+            for n in range(5):
+                words[n] = {"address": 0xABC0 + n, "int": -amount - n if amount else 0}.get(places.get(f"d{n}", ""), amount + n)
+            name = f"{kind}-{amount}"
+            rows.append((name, [evm.selector(signature)] + ["0x" + f"{0xDEF0 + t:064x}" for t in (1, 2, 3)], "0x" + "".join(f"{w % 2**256:064x}" for w in words)))
+            for field, (place, type_) in fields.items():
+                n = int(place[1:])
+                value = words[n] if place[0] == "d" else 0xDEF0 + n
+                want[name, field] = "0x" + f"{value:040x}" if type_ == "address" else value
+    got = {r.k: r for r in evm.decode_logs(spark.createDataFrame(rows, "k string, topics array<string>, data string")).collect()}
+    names = {"from": "from_address", "to": "to_address"}
+    for (name, field), value in want.items():
+        assert got[name][names.get(field, field)] == value, (name, field)
+        assert got[name].event == name.rsplit("-", 1)[0]
+    cut = evm.decode_logs(spark.createDataFrame([("k", rows[0][1], rows[0][2][:-1])], "k string, topics array<string>, data string")).first()
+    assert cut.event == "transfer" and cut.amount is None and cut.amount_text is None
+
+
 def test_unknown_and_short_logs(spark):
     rows = [(["0x" + "11" * 32], "0x"), (None, None), ([evm.selector(evm.EVENTS["transfer"][0])], "0x12")]
     got = evm.decode_logs(spark.createDataFrame(rows, "topics array<string>, data string")).collect()

@@ -116,6 +116,20 @@ def as_signed(w: Column, signed: Column) -> Column:
     return F.when(negative, -size - 1).otherwise(size).cast("decimal(38,0)")
 
 
+def as_text(w: Column) -> Column:
+    """The whole unsigned 256-bit word in decimal digits: limbs of 56 bits times powers of two kept in base 10 ** 18."""
+    base = 10**18
+    limbs = [F.conv(F.substring(w, a, n), 16, 10).cast("decimal(17,0)") for a, n in ((51, 14), (37, 14), (23, 14), (9, 14), (1, 8))]
+    sums = [sum((limb * F.lit((1 << 56 * k) // base**j % base).cast("decimal(18,0)") for k, limb in enumerate(limbs)), F.lit(0).cast("decimal(38,0)")) for j in range(5)]
+    out, carry = [], F.lit(0).cast("decimal(38,0)")
+    for s in sums:
+        total = (s + carry).cast("decimal(38,0)")
+        rest = (total % F.lit(base).cast("decimal(38,0)")).cast("decimal(38,0)")
+        carry = ((total - rest) / F.lit(base).cast("decimal(38,0)")).cast("decimal(38,0)")
+        out.append(F.lpad(rest.cast("string"), 18, "0"))
+    return F.regexp_replace(F.concat(*reversed(out)), "^0+(?=.)", "")
+
+
 _PLACES = ("t1", "t2", "t3", "d0", "d1", "d2", "d3", "d4")
 
 
@@ -128,9 +142,11 @@ def _lookup(key: Column, values: dict[str, object]) -> Column:
 def decode_logs(logs: DataFrame, topics: str = "topics", data: str = "data") -> DataFrame:
     """logs with event, from_address, to_address, pool, amount...: projections only, no shuffle; unknown selectors give a null event.
 
-    The words are cut out once; a literal map per field says which of them an event keeps it in."""
+    The words are cut out once; a literal map per field says which of them an event keeps it in. Data that are not whole words
+    give nulls. amount_text holds the first amount of any size (its magnitude as an unsigned word) in decimal digits."""
     event = _lookup(F.lower(F.get(F.col(topics), F.lit(0))), {selector(signature): name for name, (signature, _) in EVENTS.items()})
-    cut = logs.withColumn("__event", event).withColumn("__words", F.array(*[word(F.col(topics), F.col(data), p) for p in _PLACES]))
+    whole = F.pmod(F.length(data) - 2, F.lit(64)) == 0
+    cut = logs.withColumn("__event", event).withColumn("__words", F.array(*[word(F.col(topics), F.when(whole, F.col(data)), p) for p in _PLACES]))
     out = cut
     for f in FIELDS:
         places = {name: _PLACES.index(fields[f][0]) for name, (_, fields) in EVENTS.items() if f in fields}
@@ -138,7 +154,7 @@ def decode_logs(logs: DataFrame, topics: str = "topics", data: str = "data") ->
         out = out.withColumn(f"__{f}", F.get(F.col("__words"), _lookup(F.col("__event"), places))).withColumn(f"__{f}_signed", F.col("__event").isin(*signed) if signed else F.lit(False))
     names = {"from": "from_address", "to": "to_address"}
     made = [as_address(F.col(f"__{f}")) if f in ("from", "to", "pool") else as_signed(F.col(f"__{f}"), F.col(f"__{f}_signed")) for f in FIELDS]
-    return out.select(*[F.col(c) for c in logs.columns], F.col("__event").alias("event"), *[c.alias(names.get(f, f)) for f, c in zip(FIELDS, made, strict=True)])
+    return out.select(*[F.col(c) for c in logs.columns], F.col("__event").alias("event"), *[c.alias(names.get(f, f)) for f, c in zip(FIELDS, made, strict=True)], as_text(F.col("__amount")).alias("amount_text"))
 
 
 def initialize_events(decoded: DataFrame) -> DataFrame:

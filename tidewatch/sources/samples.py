@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..plans.dialect import Dialect, Tables
 from . import evm, solana
 
-PICKS = ["transfer", "v2_swap", "v3_swap", "permit", "pair_created"]
+#: One log in len(KINDS) of each kind.
+KINDS = list(evm.EVENTS)
 
 
 def _address(x: str) -> F.Column:
@@ -16,29 +17,49 @@ def _address(x: str) -> F.Column:
 
 
 def _word(c) -> F.Column:
-    return F.lpad(F.lower(F.hex(c)), 64, "0")
+    """64 hex digits of a long, in two's complement."""
+    return F.when(c < 0, F.concat(F.lit("f" * 48), F.lower(F.hex(c)))).otherwise(F.lpad(F.lower(F.hex(c)), 64, "0"))
+
+
+def _types(kind: str) -> dict[str, str]:
+    return dict(evm.EVENTS[kind][1].values())
 
 
 def evm_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log per swap: topics are sender, token and pool; data words are the pool, minus cents, or cents plus their number."""
     swaps = Tables(spark, sf_dir)("swaps")
-    topic = F.element_at(F.array(*[F.lit(evm.selector(evm.EVENTS[p][0])) for p in PICKS]), (F.col("seq") % len(PICKS) + 1).cast("int"))
+    kind = (F.col("seq") % len(KINDS)).cast("int")
+    topic = F.element_at(F.array(*[F.lit(evm.selector(evm.EVENTS[p][0])) for p in KINDS]), kind + 1)
     pad = lambda a: F.concat(F.lit("0x"), F.lit("0" * 24), a)
-    negative = F.lower(F.hex(-F.col("cents")))  # 16 digits
-    first = F.when(F.col("seq") % 5 == 2, F.concat(F.lit("f" * 48), negative)).when(F.col("seq") % 5 == 4, F.concat(F.lit("0" * 24), _address("pool"))).otherwise(_word(F.col("cents")))
-    return swaps.select("seq", F.array(topic, pad(_address("sender")), pad(_address("token")), pad(_address("pool"))).alias("topics"), F.concat(F.lit("0x"), first, *[_word(F.col("cents") + k) for k in range(1, 5)]).alias("data"))
+    words = []
+    for k in range(5):
+        of = [_types(p).get(f"d{k}", "uint") for p in KINDS]
+        addresses, signed = ([i for i, t in enumerate(of) if t == x] for x in ("address", "int"))
+        words.append(F.when(kind.isin(addresses), F.concat(F.lit("0" * 24), _address("pool"))).when(kind.isin(signed), _word(-F.col("cents"))).otherwise(_word(F.col("cents") + k)))
+    return swaps.select("seq", F.array(topic, pad(_address("sender")), pad(_address("token")), pad(_address("pool"))).alias("topics"), F.concat(F.lit("0x"), *words).alias("data"))
 
 
 def decoded_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = evm.decode_logs(evm_logs(spark, sf_dir))
-    return got.select("seq", "event", "from_address", "to_address", F.coalesce("pool", F.lit("")).alias("pool"), F.col("amount").cast("long").alias("amount"), F.coalesce(F.col("amount1").cast("long"), F.lit(-1)).alias("amount1"))
+    amounts = [F.coalesce(F.col(c).cast("long"), F.lit(-(2**62))).alias(c) for c in ("amount", "amount1", "amount2", "amount3")]
+    return got.select("seq", "event", *[F.coalesce(c, F.lit("")).alias(c) for c in ("from_address", "to_address", "pool")], *amounts)
 
 
 def decoded_oracle(d: Dialect) -> str:
-    a = lambda x: f"concat('0x', md5({x}), substring(md5(concat('a', {x})), 1, 8))"
-    return f"""
-    SELECT seq, CASE seq % 5 WHEN 0 THEN 'transfer' WHEN 1 THEN 'v2_swap' WHEN 2 THEN 'v3_swap' WHEN 3 THEN 'permit' ELSE 'pair_created' END AS event, {a("sender")} AS from_address,
-      CASE WHEN seq % 5 = 3 THEN {a("pool")} ELSE {a("token")} END AS to_address, CASE seq % 5 WHEN 3 THEN {a("token")} WHEN 4 THEN {a("pool")} ELSE '' END AS pool,
-      CASE seq % 5 WHEN 2 THEN -cents WHEN 4 THEN cents + 1 ELSE cents END AS amount, CASE seq % 5 WHEN 1 THEN cents + 1 WHEN 2 THEN cents + 1 WHEN 3 THEN cents + 1 ELSE -1 END AS amount1 FROM {{swaps}}"""
+    address = lambda x: f"concat('0x', md5({x}), substring(md5(concat('a', {x})), 1, 8))"
+    topics = {"t1": "sender", "t2": "token", "t3": "pool"}
+
+    def field(name: str, none: str) -> str:
+        whens = []
+        for k, kind in enumerate(KINDS):
+            place, type_ = evm.EVENTS[kind][1].get(name, ("", ""))
+            if place:
+                whens.append(f"WHEN {k} THEN " + (address(topics.get(place, "pool")) if type_ == "address" else "-cents" if type_ == "int" else f"cents + {place[1:]}"))
+        return f"CASE seq % {len(KINDS)} {' '.join(whens)} ELSE {none} END"
+
+    named = " ".join(f"WHEN {k} THEN '{kind}'" for k, kind in enumerate(KINDS))
+    columns = [field(f, "''") + f" AS {n}" for f, n in (("from", "from_address"), ("to", "to_address"), ("pool", "pool"))] + [f"CAST({field(f, str(-(2**62)))} AS BIGINT) AS {f}" for f in ("amount", "amount1", "amount2", "amount3")]
+    return f"SELECT seq, CASE seq % {len(KINDS)} {named} END AS event, {', '.join(columns)} FROM {{swaps}}"
 
 
 def initialized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +67,7 @@ def initialized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def initialized_oracle(d: Dialect) -> str:
-    return "SELECT 'initialize' AS event_kind, 'pair_created' AS event, count(*) AS n, count(DISTINCT pool) AS pools FROM {swaps} WHERE seq % 5 = 4"
+    return " UNION ALL ".join(f"SELECT 'initialize' AS event_kind, '{kind}' AS event, count(*) AS n, count(DISTINCT pool) AS pools FROM {{swaps}} WHERE seq % {len(KINDS)} = {KINDS.index(kind)} HAVING count(*) > 0" for kind in evm.INITIALIZES)
 
 
 def _little(c, size: int) -> F.Column:
