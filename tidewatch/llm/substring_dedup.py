@@ -3,18 +3,20 @@ r"""Substring deduplication by level-wise doubling.
 A window is WINDOW consecutive words of one document, words being runs of [^\x20\x09-\x0D]. Every word that some window
 covers whose word sequence also starts earlier (in a document with a smaller id, or earlier in the same) is removed.
 
-Levels: windows of BASE words are tested for being repeated anywhere in the corpus; those repeated alone are extended
-to twice that length and tested again, until WINDOW is reached. At the first level only the winnowing anchors of a
-document are tested: of every run of WINDOW - BASE + 1 neighbouring windows the one with the least hash, so any two
-equal WINDOW-word windows hold the same anchor, and none is missed. At the last level the earliest place of each
-sequence is found, and every other occurrence is removed.
-
-Documents travel as blocks (a few MB of text, compressed, written once to the shared folder). A level sends distinct
-64-bit hashes of each block to hash buckets, packed in arrays, and gets back one bit for each. A passage that is
-everywhere adds one hash per block, so no bucket grows with its copies. Buckets grow in number with the corpus.
-
-Null and empty texts have no words. Of rows that repeat an id, the one in the earlier block counts as earlier. An empty
-table gives an empty result; other columns are ignored.
+Levels: runs of BASE words are tested for being repeated anywhere in the corpus; those repeated alone are extended to twice
+that length and tested again, until WINDOW is reached or no candidate survives. A window stands for itself at a level by its
+anchor, the run of that length with the least hash inside it, so two equal windows have the same anchor and none is missed,
+while neighbouring windows share most of their anchors. At the last level the earliest place of each sequence is found,
+and every other occurrence is removed.
+
+Documents are split into words once and travel as blocks: each distinct word of some MB of text once, and the numbers of the
+words, compressed, in the shared folder. A level writes one row per block and distinct hash; rows are counted with combining in
+the map tasks, and hashes that are in very many blocks are looked up from a bounded broadcast, so a passage that is everywhere
+meets in no task. Short runs are told apart by 64 bits, which can only add candidates; whole windows by 128.
+
+Null and empty texts have no words. Null ids count as later than all others; of rows that tie in their id, the one in the earlier
+block, then the earlier row counts as earlier. A very long text is a block of its own and must fit a task. An empty table
+gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,15 +30,13 @@ from pyspark.sql import functions as F
 
 from . import runtime as rt
 
-WINDOW, BASE = 20, 10
+WINDOW, BASE = 20, 5
 #: Raw text of a block, and the most documents in it.
 BLOCK_BYTES, BLOCK_DOCS = 2_000_000, 4_000
-#: Hashes that a bucket should hold.
-BUCKET = 1_000_000
-NO_ID = np.iinfo(np.int64).max
+_SECOND = np.uint64(0xA0761D6478BD642F)
 
 
-def _levels(window: int, base: int) -> list[int]:
+def levels(window: int, base: int) -> list[int]:
     out = [base]
     while out[-1] < window:
         out.append(min(window, 2 * out[-1]))
@@ -44,237 +44,198 @@ def _levels(window: int, base: int) -> list[int]:
 
 
 def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(block, blob, words): documents packed in the order in which they are read."""
+    """(block, blob): documents packed in the order in which they are read, as the numbers of their words."""
 
     def made(batches):
-        import uuid
-
         import zstandard
         from pyspark import TaskContext
 
-        task, k, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
-        salt = uuid.uuid4().hex[:8]
+        k, ids, held, size = TaskContext.get().partitionId() << 32, [], [], 0
         squeeze = zstandard.ZstdCompressor(level=1)
 
         def block():
-            table = pa.table({"id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.large_binary())})
+            words, counts = [w for t in held for w in t], [len(t) for t in held]
+            number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+            of = np.fromiter(map(number.__getitem__, words), np.uint32, len(words))
+            table = pa.table({"ids": pa.array([ids], pa.list_(pa.int64())), "counts": pa.array([counts], pa.list_(pa.int64())), "words": pa.array([b" ".join(number)], pa.large_binary()), "of": pa.array([of.tobytes()], pa.large_binary())})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as out:
                 out.write_table(table)
-            blob = squeeze.compress(sink.getvalue())
-            n = sum(len(t.split()) for t in texts)
-            return pa.record_batch({"block": pa.array([f"{task:08d}-{k:08d}-{salt}"]), "blob": pa.array([blob], pa.binary()), "words": pa.array([n], pa.int64())})
+            return pa.record_batch({"block": pa.array([k], pa.int64()), "blob": pa.array([squeeze.compress(sink.getvalue())], pa.binary())})
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = t.encode()
                 if ids and (size + len(raw) > BLOCK_BYTES or len(ids) >= BLOCK_DOCS):
                     yield block()
-                    k, ids, texts, size = k + 1, [], [], 0
+                    k, ids, held, size = k + 1, [], [], 0
                 ids.append(i)
-                texts.append(raw)
+                held.append(raw.split())
                 size += len(raw)
         if ids:
             yield block()
 
-    return docs.select(F.col(id_col).cast("long"), rt.text_of(F.col(text_col))).mapInArrow(made, "block string, blob binary, words long")
+    return docs.select(rt.named(id_col).cast("long"), rt.text_of(rt.named(text_col))).mapInArrow(made, "block long, blob binary")
 
 
 class Block:
     """A block's documents as one run of word hashes; windows never cross documents."""
 
-    def __init__(self, blob: bytes, memo: rt.Memo):
+    def __init__(self, blob: bytes):
+        import xxhash
         import zstandard
 
         table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
-        self.ids = [NO_ID if i is None else i for i in table["id"].to_pylist()]
-        self.raw_ids = table["id"].to_pylist()
-        self.words, hashes = [], []
-        for t in table["text"].to_pylist():
-            w, h = rt.word_hashes(t, memo)
-            self.words.append(w)
-            hashes.append(h)
-        self.counts = np.array([len(w) for w in self.words], np.int64)
-        self.h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
-
-    def inside(self, k: int) -> np.ndarray:
-        """Which starts of k-word windows stay in their document."""
+        self.ids, counts = table["ids"][0].as_py(), table["counts"][0].as_py()
+        self.vocabulary = table["words"][0].as_py().split()
+        self.of = np.frombuffer(table["of"][0].as_py(), np.uint32)
+        self.counts = np.array(counts, np.int64)
+        both = np.array([(w & 0xFFFFFFFFFFFFFFFF, w >> 64) for w in map(xxhash.xxh3_128_intdigest, self.vocabulary)], np.uint64).reshape(-1, 2)
+        self.h, self.second = both[self.of, 0], both[:, 1]
+        self.doc = np.repeat(np.arange(len(counts)), self.counts)
+        #: places of documents in the order of their ids
+        self.rank = np.empty(len(counts), np.int64)
+        self.rank[sorted(range(len(counts)), key=lambda k: (self.ids[k] is None, self.ids[k] or 0, k))] = np.arange(len(counts))
+
+    def windows(self, k: int) -> np.ndarray:
+        """Starts of the k-word windows, none of which crosses documents."""
         n = len(self.h) - k + 1
-        return self.doc[:n] == self.doc[k - 1 :] if n > 0 else np.zeros(0, bool)
-
-    def anchors(self, base: int, window: int) -> np.ndarray:
-        """Starts of the base-word windows with the least hash of window - base + 1 neighbours (the first of equals)."""
-        run = window - base + 1
-        whole = np.flatnonzero(self.inside(window))
-        if not len(whole):
-            return whole
-        h = rt.window_hashes(self.h, base)
-        least = np.lib.stride_tricks.sliding_window_view(h, run)
-        picked = np.zeros(len(h), bool)
-        for part in np.array_split(whole, max(1, len(whole) // 100_000)):
-            picked[part + np.argmin(least[part], axis=1)] = True
-        return np.flatnonzero(picked)
-
-
-def _send(block: str, hashes: np.ndarray, buckets: int, extra: np.ndarray):
-    """One row per bucket with the sorted distinct hashes of a block that belong there."""
-    to = (rt.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    ends = np.cumsum(np.bincount(to, minlength=buckets))
-    there = np.flatnonzero(np.diff(np.concatenate([[0], ends])))
-    rows = [(int(b), order[(ends[b - 1] if b else 0) : ends[b]]) for b in there]
-    return pa.record_batch({
-        "bucket": pa.array([b for b, _ in rows], pa.int64()),
-        "block": pa.array([block] * len(rows), pa.string()),
-        "hashes": pa.array([hashes[i].astype("<u8").tobytes() for _, i in rows], pa.binary()),
-        "extra": pa.array([extra[i].tobytes() for _, i in rows], pa.binary()),
-    })
-
-
-SENT = "bucket long, block string, hashes binary, extra binary"
-
-
-def _answers(hashes: np.ndarray, parts: list, buckets: int) -> np.ndarray:
-    """Bits of the hashes, in their order, from the answers of the buckets."""
-    to = (rt.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    ends = np.cumsum(np.bincount(to, minlength=buckets))
-    out = np.zeros(len(hashes), bool)
-    for p in parts:
-        b = p["bucket"]
-        at = order[(ends[b - 1] if b else 0) : ends[b]]
-        out[at] = np.unpackbits(np.frombuffer(p["bits"], np.uint8), count=len(at)).astype(bool)
-    return out
+        return np.flatnonzero(self.doc[:n] == self.doc[k - 1 :]) if n > 0 else np.zeros(0, np.int64)
 
+    def anchors(self, starts: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each window the hash of its anchor, the least of its runs of `length` words, and where that run (the first of equals) is."""
+        h = rt.window_hashes(self.h, length)
+        run = np.lib.stride_tricks.sliding_window_view(h, window - length + 1)
+        at = np.concatenate([np.argmin(run[part], axis=1) + part for part in np.array_split(starts, max(1, len(starts) // 100_000))])
+        return h[at], at
 
-def _ask(sent: DataFrame, last: bool) -> DataFrame:
-    """(block, parts): for each hash of a block whether it is repeated (last: whether another place is earlier)."""
-
-    def tested(table: pa.Table) -> pa.Table:
-        sizes = np.array([len(x) // 8 for x in table["hashes"].to_pylist()])
-        hashes = np.concatenate([np.frombuffer(x, "<u8") for x in table["hashes"].to_pylist()])
-        extra = np.concatenate([np.frombuffer(x, "<i8" if last else "u1") for x in table["extra"].to_pylist()])
-        names = table["block"].to_pylist()
-        _, group = np.unique(hashes, return_inverse=True)
-        if last:  # the earliest: least id, then the first block
-            rank = np.empty(len(names), np.int64)
-            rank[np.argsort(np.array(names))] = np.arange(len(names))
-            order = np.lexsort((np.repeat(rank, sizes), extra, group))
-            first = np.ones(len(order), bool)
-            first[1:] = group[order][1:] != group[order][:-1]
-            bits = np.ones(len(hashes), bool)
-            bits[order[first]] = False
-        else:  # repeated in the block itself (extra), or in several blocks
-            bits = (np.bincount(group) > 1)[group] | (np.bincount(group, extra) > 0)[group]
-        parts = np.split(bits, np.cumsum(sizes)[:-1])
-        return pa.table({"block": pa.array(names), "bucket": table["bucket"], "bits": pa.array([np.packbits(p).tobytes() for p in parts], pa.binary())})
-
-    got = sent.groupBy("bucket").applyInArrow(tested, "block string, bucket long, bits binary")
-    return got.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("parts"))
-
-
-def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.unique(h, return_index=True, return_inverse=True)
-
-
-def _alive(block: Block, answers: list[list], window: int, base: int, buckets: list[int]) -> np.ndarray:
-    """Starts of the windows of the level after the last answered one that are still candidates."""
-    levels = _levels(window, base)
-    anchors = block.anchors(base, window)
-    for k, parts in enumerate(answers):
-        length = levels[k]
-        starts = anchors if k == 0 else starts  # noqa: F821
-        h = rt.window_hashes(block.h, length)[starts]
-        distinct, _, inverse = _distinct(h)
-        starts = starts[_answers(distinct, parts, buckets[k])[inverse]] if len(starts) else starts
-        nxt = levels[k + 1] if k + 1 < len(levels) else window
-        n = len(block.h) - nxt + 1
-        alive = np.zeros(max(0, n), bool)
-        if k == 0:  # every longer window around a repeated anchor
-            grown = np.zeros(max(0, n) + 1, np.int64)
-            np.add.at(grown, np.clip(starts - (window - base), 0, len(grown) - 1), 1)
-            np.add.at(grown, np.clip(starts + window - nxt + 1, 0, len(grown) - 1), -1)
-            alive = np.cumsum(grown)[:-1] > 0
-        else:  # both halves are repeated
-            here = np.zeros(len(block.h), bool)
-            here[starts] = True
-            alive = here[: len(alive)] & here[nxt - length :][: len(alive)]
-        starts = np.flatnonzero(alive & block.inside(nxt)) if n > 0 else np.zeros(0, np.int64)
-    return anchors if not answers else starts
+    def whole(self, starts: np.ndarray, window: int) -> np.ndarray:
+        """Two 64-bit hashes of each window, from different hashes of its words."""
+        second = rt.window_hashes(self.second[self.of] ^ _SECOND, window)
+        return np.stack([rt.window_hashes(self.h, window)[starts], second[starts]], axis=1)
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, base: int = BASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, removed (start-end of each removed run of words)."""
-    spark = docs.sparkSession
-    held = rt.materialise(blocks(docs, id_col, text_col), "blocks", "none")
-    words = held.agg(F.sum("words")).first()[0] or 0
-    levels = _levels(window, base)
-    buckets: list[int] = []
-    state = held.select("block", "blob", F.array().cast("array<array<struct<bucket:bigint,bits:binary>>>").alias("answers"))
-    for k, length in enumerate(levels):
-        last = length == window
-        count = max(8, int(words // (4 if k == 0 else 2) // BUCKET))
-        known = list(buckets)
-
-        def send(batches, k=k, length=length, last=last, count=count, known=known):
-            memo = rt.Memo()
-            for b in batches:
-                for name, blob, answers in zip(b.column("block").to_pylist(), b.column("blob").to_pylist(), b.column("answers").to_pylist(), strict=True):
-                    block = Block(blob, memo)
-                    starts = _alive(block, answers or [], window, base, known)
-                    h, first, inverse = _distinct(rt.window_hashes(block.h, length)[starts] if len(starts) else np.empty(0, np.uint64))
-                    if last:
-                        least = np.full(len(h), NO_ID)
-                        np.minimum.at(least, inverse, np.array(block.ids, np.int64)[block.doc[starts]])
-                        extra = least
-                    else:
-                        extra = (np.bincount(inverse, minlength=len(h)) > 1).astype(np.uint8)
-                    yield _send(name, h, count, extra)
-
-        asked = rt.materialise(_ask(state.mapInArrow(send, SENT), last), f"level{length}")
-        buckets.append(count)
-        state = state.join(asked, "block", "left").select("block", "blob", F.concat("answers", F.array(F.coalesce("parts", F.array().cast("array<struct<bucket:bigint,bits:binary>>")))).alias("answers"))
-        rt.free_shuffles(spark)
+def _known(hashes: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+    if not len(repeated):
+        return np.zeros(len(hashes), bool)
+    repeated = np.sort(repeated)
+    return repeated[np.minimum(np.searchsorted(repeated, hashes), len(repeated) - 1)] == hashes
+
+
+def survivors(block: Block, answers: list, window: int, base: int) -> np.ndarray:
+    """Starts of the windows whose anchors were repeated at all levels answered so far; answers[k]: the repeated hashes of level k."""
+    starts = block.windows(window)
+    for length, repeated in zip(levels(window, base), answers, strict=False):
+        if not len(starts):
+            break
+        starts = starts[_known(block.anchors(starts, length, window)[0], np.array(repeated, np.int64).view(np.uint64))]
+    return starts
 
-    def finish(batches):
-        memo = rt.Memo()
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.string())])
-        for b in batches:
-            for blob, answers in zip(b.column("blob").to_pylist(), b.column("answers").to_pylist(), strict=True):
-                block = Block(blob, memo)
-                gone = _removed(block, answers, window, base, buckets)
-                ends = np.cumsum(block.counts)
-                rows = []
-                for k, words in enumerate(block.words):
-                    cut = gone[ends[k] - len(words) : ends[k]]
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], cut.astype(np.int8), [0]])))
-                    kept = [w for w, c in zip(words, cut.tolist(), strict=True) if not c] if len(edges) else words
-                    rows.append((block.raw_ids[k], len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), ",".join(f"{a}-{z}" for a, z in edges.reshape(-1, 2).tolist())))
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return state.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, removed string")
+def _rows(**columns) -> pa.RecordBatch:
+    return pa.record_batch({k: pa.array(v if isinstance(v, list) else v.view(np.int64) if v.dtype == np.uint64 else v) for k, v in columns.items()})
 
 
-def _removed(block: Block, answers: list, window: int, base: int, buckets: list[int]) -> np.ndarray:
+def _level(state: DataFrame, length: int, window: int, base: int) -> DataFrame:
+    """(block, answer): the hashes of a block's anchors of this length that are repeated anywhere."""
+
+    def send(batches):
+        for b in batches:
+            for name, blob, answers in zip(*(b.column(c).to_pylist() for c in ("block", "blob", "answers")), strict=True):
+                block = Block(blob)
+                starts = survivors(block, answers, window, base)
+                if len(starts):
+                    h, at = block.anchors(starts, length, window)
+                    at, first = np.unique(at, return_index=True)  # windows that share an anchor are one place
+                    h, places = np.unique(h[first], return_counts=True)
+                    yield _rows(block=np.full(len(h), name), h=h, places=np.minimum(places, 2))
+
+    sent = rt.materialise(state.mapInArrow(send, "block long, h long, places long"), f"level{length}")
+    repeated = sent.groupBy("h").agg(F.sum("places").alias("places"), F.count(F.lit(1)).alias("n")).where("places > 1").select("h", "n")
+    met = rt.meet(sent.select("block", "h"), repeated, ["h"], "n", sent.count())
+    answer = rt.materialise(met.groupBy("block").agg(F.collect_list("h").alias("answer")), "answer")
+    rt.discard(sent)
+    return answer
+
+
+def _last(state: DataFrame, window: int, base: int) -> DataFrame:
+    """(block, later): the windows of a block, as pairs of hashes, whose first occurrence is in another block."""
+
+    def send(batches):
+        for b in batches:
+            for name, blob, answers in zip(*(b.column(c).to_pylist() for c in ("block", "blob", "answers")), strict=True):
+                block = Block(blob)
+                starts = survivors(block, answers, window, base)
+                if len(starts):
+                    order = np.argsort(block.rank[block.doc[starts]], kind="stable")
+                    h, first = np.unique(block.whole(starts, window)[order], axis=0, return_index=True)
+                    ids = [block.ids[k] for k in block.doc[starts[order[first]]].tolist()]
+                    yield _rows(block=np.full(len(h), name), h=h[:, 0].copy(), g=h[:, 1].copy(), id=pa.array(ids, pa.int64()).to_pylist())
+
+    sent = rt.materialise(state.mapInArrow(send, "block long, h long, g long, id long"), f"level{window}")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "block")
+    owner = sent.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = rt.meet(sent.select("block", "h", "g"), owner.select("h", "g", F.col("first.block").alias("owner"), "n"), ["h", "g"], "n", sent.count())
+    later = rt.materialise(met.where("block <> owner").groupBy("block").agg(F.collect_list(F.struct("h", "g")).alias("later")), "later")
+    rt.discard(sent)
+    return later
+
+
+def _removed(block: Block, answers: list, later: list, window: int, base: int) -> np.ndarray:
     """Which words go: those of windows that are not the first of their sequence."""
     gone = np.zeros(len(block.h) + 1, np.int64)
-    starts = _alive(block, answers[:-1], window, base, buckets)
+    starts = survivors(block, answers, window, base)
     if len(starts):
-        h, _, inverse = _distinct(rt.window_hashes(block.h, window)[starts])
-        later = _answers(h, answers[-1], buckets[-1])[inverse]
-        # within the block the earliest is the one with the least id, then the first in reading order
-        order = np.lexsort((starts, np.array(block.ids, np.int64)[block.doc[starts]], inverse))
-        first = np.ones(len(order), bool)
-        first[1:] = inverse[order][1:] != inverse[order][:-1]
+        order = np.argsort(block.rank[block.doc[starts]], kind="stable")
+        starts = starts[order]
+        keys, first, inverse = np.unique(block.whole(starts, window), axis=0, return_index=True, return_inverse=True)
+        elsewhere = {(x["h"] & 0xFFFFFFFFFFFFFFFF, x["g"] & 0xFFFFFFFFFFFFFFFF) for x in later or []}
+        bad = np.array([(int(h), int(g)) in elsewhere for h, g in keys], bool)[inverse.ravel()]
         own = np.ones(len(starts), bool)
-        own[order[first]] = False
-        bad = starts[later | own]
+        own[first] = False
+        bad = starts[bad | own]
         np.add.at(gone, bad, 1)
         np.add.at(gone, bad + window, -1)
     return np.cumsum(gone)[:-1] > 0
 
 
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.string())])
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOW, base: int = BASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, removed (start-end of each removed run of words)."""
+    held = rt.materialise(blocks(docs, id_col, text_col), "blocks", "none")
+    state = held.select("block", "blob", F.array().cast("array<array<bigint>>").alias("answers"))
+    none = True
+    for length in levels(window, base)[:-1]:
+        answer = _level(state, length, window, base)
+        none = answer.isEmpty()
+        if none:
+            break
+        state = state.join(answer, "block", "left").select("block", "blob", F.concat("answers", F.array(F.coalesce("answer", F.array().cast("array<bigint>")))).alias("answers"))
+    kind = "array<struct<h:bigint,g:bigint>>"
+    if none and base < window:  # no window can be repeated
+        state = state.select("block", "blob", F.array(F.array().cast("array<bigint>")).alias("answers"), F.array().cast(kind).alias("later"))
+    else:
+        state = state.join(_last(state, window, base), "block", "left")
+
+    def finish(batches):
+        for b in batches:
+            for blob, answers, later in zip(*(b.column(c).to_pylist() for c in ("blob", "answers", "later")), strict=True):
+                block = Block(blob)
+                gone = _removed(block, answers, later, window, base)
+                ends, words = np.cumsum(block.counts).tolist(), block.vocabulary
+                rows = []
+                for i, n, end in zip(block.ids, block.counts.tolist(), ends, strict=True):
+                    cut, of = gone[end - n : end], block.of[end - n : end]
+                    edges = np.flatnonzero(np.diff(np.concatenate([[0], cut.astype(np.int8), [0]])))
+                    kept = of[~cut].tolist()
+                    rows.append((i, n, n - len(kept), hashlib.sha256(b" ".join(map(words.__getitem__, kept))).hexdigest(), ",".join(f"{a}-{z}" for a, z in edges.reshape(-1, 2).tolist())))
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), RESULT, strict=True)], schema=RESULT)
+
+    return state.select("blob", "answers", "later").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, removed string")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(rt.read_table(spark, sf_dir, "documents")).drop("removed")
 
