@@ -8,7 +8,7 @@ QUERIES = {
     "op1_toxicity": (toxicity.op1_toxicity, None),
     "op2_packing": (packing.op2_packing, None),
     "op3_exact_dedup": (exact_dedup.op3_exact_dedup, exact_dedup.ORACLE),
-    "op4_secret_scan": (secret_scan.op4_secret_scan, None),
+    "op4_secret_scan": (secret_scan.op4_secret_scan, secret_scan.ORACLE),
     "op5_byte_bpe": (bpe.op5_byte_bpe, None),
     "op6_media_columns": (media.op6_media_columns, None),
     "op7_warc": (warc.op7_warc, warc.ORACLE),

@@ -7,17 +7,21 @@ Three base kinds are always reported, with spans in code points, end exclusive:
 * access: AKIA and capitals or digits, 20 or more characters in all;
 * hex: 24 or more characters of [0-9a-f].
 
-Besides, high-variety strings of 24 or more characters are candidates. Every candidate value is hashed and
-counted over the whole corpus by distinct repositories and distinct owners. A value that several owners hold is a widely
-copied example; one that few hold is a live-looking credential of its owner. Live candidates that no base span
-covers are added as spans of kind `owned`.
+Besides, strings of 16 or more characters that mix letters and digits are candidates. Every candidate value is hashed and
+counted over the whole corpus by distinct owners and distinct repositories. A value is a live-looking credential of
+its owner if at most MAX_OWNERS owners and at most MAX_REPOS repositories hold it; beyond either it is a widely copied example.
+Live candidates that no base span covers are added as spans of kind `owned`.
 
 Null and empty texts have no spans; a null owner or repository counts as one of its own; rows that repeat an id are
-each reported; an empty table gives an empty result; other columns are ignored.
+each reported (copies of a text by one owner count once for its owners); spans that tie in their start are listed in the order
+of the kinds; the work on a very long text grows in proportion to it and its spans; an empty table gives an empty result;
+other columns, whatever their names, are ignored, or kept by mask_live().
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,122 +32,161 @@ ASSIGN = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 BASE = ("assign", "access", "hex")
-#: A run of 24 or more value characters; greedy runs, so a shorter run holds none.
-WIDE = r"[A-Za-z0-9+/_=-]{24,}"
-#: The most owners of a value that still counts as owned by them.
-MAX_OWNERS = 2
+#: A run of 16 or more value characters; greedy runs, so a shorter run holds none.
+WIDE = r"[A-Za-z0-9+/_=-]{16,}"
+#: The fewest different characters of a candidate that has letters of one case only.
+VARIETY = 10
+#: The most owners and repositories of a value that still counts as owned by them.
+MAX_OWNERS, MAX_REPOS = 2, 3
+#: Code points that are masked at a time, and numbers that are summed at a time (a power of two).
+PIECE, RUN = 1 << 14, 1 << 6
+
+_SPAN = "struct<start:bigint,ord:int,end:bigint,kind:string,value:string>"
+
+
+def _with(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made(value) with value worked out once, however often it is used."""
+    return F.transform(F.array(value), made)[0]
+
+
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
+
+
+def _cumulated(numbers: Column) -> Column:
+    """Sums of the first 1, 2, ... numbers: by runs, so that the work stays near linear."""
+
+    def all_of(d: Column) -> Column:
+        runs = F.sequence(F.lit(0), F.shiftright(F.size(d) - 1, RUN.bit_length() - 1))
+        each = F.transform(runs, lambda j: _total(F.slice(d, j * RUN + 1, F.lit(RUN))))
+        before = _with(each, lambda s: F.transform(runs, lambda j: _total(F.slice(s, F.lit(1), j))))
+        number = F.sequence(F.lit(0), F.size(d) - 1)
+        run = lambda k: F.shiftright(k, RUN.bit_length() - 1)
+        return _with(before, lambda b: F.transform(number, lambda k: F.get(b, run(k)) + _total(F.slice(d, run(k) * RUN + 1, k.bitwiseAND(RUN - 1) + 1))))
+
+    return _with(numbers, all_of)
 
 
 def _spans(text: Column, kind: str, order: int, pattern: str, value_group: int, least: int) -> Column:
-    """array<struct<start,order,end,kind,value>> of the leftmost non-overlapping matches."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else whole
-    parts = F.arrays_zip(whole.alias("m"), value.alias("v"), F.split(text, pattern, -1).alias("p"))
-    empty = F.expr("struct(0L as pos, cast(array() as array<struct<start:bigint,ord:int,end:bigint,kind:string,value:string>>) as out)")
+    """array<struct<start,ord,end,kind,value>> of the leftmost non-overlapping matches."""
+
+    def made(matches: Column) -> Column:
+        between = F.split(text, pattern, -1)
+        gaps = F.zip_with(between, F.concat(F.array(F.lit("")), matches), lambda p, m: (F.char_length(p) + F.coalesce(F.char_length(m), F.lit(0))).cast("long"))
+
+        def span(x: Column) -> Column:
+            value = F.regexp_extract(x["m"], pattern, value_group) if value_group else x["m"]
+            return F.struct(x["start"].alias("start"), F.lit(order).alias("ord"), (x["start"] + F.char_length(x["m"])).alias("end"), F.lit(kind).alias("kind"), value.alias("value"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.char_length(x["p"])
-        end = start + F.coalesce(F.char_length(x["m"]), F.lit(0))
-        span = F.struct(start.cast("long").alias("start"), F.lit(order).alias("ord"), end.cast("long").alias("end"), F.lit(kind).alias("kind"), x["v"].alias("value"))
-        keep = x["m"].isNotNull() & (F.char_length(x["v"]) >= least)
-        return F.struct(end.cast("long").alias("pos"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        placed = F.filter(F.arrays_zip(matches.alias("m"), _cumulated(gaps).alias("start")), lambda x: x["m"].isNotNull())
+        return F.filter(F.transform(placed, span), lambda s: F.char_length(s["value"]) >= least)
 
-    found = F.aggregate(parts, empty, step)["out"]
-    return F.when(text.rlike(pattern), found).otherwise(F.expr("cast(array() as array<struct<start:bigint,ord:int,end:bigint,kind:string,value:string>>)"))
+    found = _with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), made)
+    return F.when(text.rlike(pattern), found).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
 
 
 def _varied(span: Column) -> Column:
-    """A value with small and capital letters and digits, or one of two of these and 12 or more different characters."""
+    """A value with digits and letters of both cases, or of one case and VARIETY different characters."""
     v = span["value"]
-    kinds = F.array(v.rlike("[a-z]"), v.rlike("[A-Z]"), v.rlike("[0-9]"))
-    n = F.size(F.filter(kinds, lambda k: k))
-    return (n == 3) | ((n == 2) & v.rlike("[0-9]") & (F.size(F.array_distinct(F.split(v, ""))) >= 12))
+    small, large = v.rlike("[a-z]"), v.rlike("[A-Z]")
+    return v.rlike("[0-9]") & (small | large) & ((small & large) | (F.size(F.array_distinct(F.split(v, ""))) >= VARIETY))
 
 
 def _joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def candidates(docs: DataFrame, text_col: str = "text", owner: Column | None = None, repo: Column | None = None, keep: list[str] | None = None) -> DataFrame:
-    """docs' columns in `keep` with __base and __wide spans and __owner, __repo."""
-    text = rt.text_of(F.col(text_col))
+def candidates(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep` of rows (text, owner, repo), with owner, repo and the spans base and wide."""
+    text = F.col("text")
     base = F.concat(_spans(text, "assign", 0, ASSIGN, 2, 6), _spans(text, "access", 1, ACCESS, 0, 20), _spans(text, "hex", 2, HEX, 0, 24))
-    wide = F.filter(_spans(text, "owned", 3, WIDE, 0, 24), _varied)
-    made = docs.select(*[F.col(c) for c in keep or []], F.coalesce((owner if owner is not None else F.lit("")).cast("string"), F.lit("")).alias("__owner"), F.coalesce((repo if repo is not None else F.lit("")).cast("string"), F.lit("")).alias("__repo"), base.alias("__base"), wide.alias("__wide"))
-    uncovered = F.filter("__wide", lambda w: ~F.exists("__base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return made.withColumn("__wide", uncovered)
-
-
-def ownership(found: DataFrame) -> DataFrame:
-    """__h, owners, repos of every candidate value; counted after combining in the map tasks and by owner."""
-    each = found.select("__owner", "__repo", F.explode("__c").alias("__s")).select("__owner", "__repo", F.sha2(F.col("__s.value"), 256).alias("__h"))
-    pairs = each.groupBy("__h", "__owner", "__repo").agg(F.count(F.lit(1)).alias("__n"))
-    owners = pairs.groupBy("__h", "__owner").agg(F.count(F.lit(1)).alias("__repos"), F.sum("__n").alias("__n"))
-    return owners.groupBy("__h").agg(F.count(F.lit(1)).alias("owners"), F.sum("__repos").alias("repos"), F.sum("__n").alias("copies"))
-
-
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None, max_owners: int = MAX_OWNERS, pass_cols: list[str] | None = None) -> DataFrame:
-    """Every row with its spans: __id, pass_cols, __base, __wide and __verdicts (array of struct<start,ord,end,live>)."""
-    spark = docs.sparkSession
-    kept = [F.col(c) for c in pass_cols or []]
-    source = docs.select(F.col(id_col).cast("long").alias("__id"), *kept, rt.text_of(F.col(text_col)).alias("__text"), (owner if owner is not None else F.lit("")).alias("__own"), (repo if repo is not None else F.lit("")).alias("__rep"))
-    found = candidates(source, "__text", F.col("__own"), F.col("__rep"), ["__id", *(pass_cols or [])])
-    found = found.withColumn("__c", F.concat("__base", "__wide")).withColumn("__row", F.monotonically_increasing_id())
-    found = rt.materialise(found, "candidates")
-    total = found.agg(F.sum(F.size("__c"))).first()[0] or 0
-    stats = ownership(found).where(F.col("owners") > max_owners).withColumn("__example", F.lit(True)).select("__h", "copies", "__example")
-    spans = found.where(F.size("__c") > 0).select("__row", F.explode("__c").alias("__s")).withColumn("__h", F.sha2(F.col("__s.value"), 256))
-    # the few values that hold many rows are looked up from a bounded broadcast, the others by a join
-    hot = F.broadcast(stats.where(F.col("copies") * rt.HOT_SHARE > total).select("__h", F.lit(True).alias("__hx")))
-    cold = stats.where(F.col("copies") * rt.HOT_SHARE <= total).select(F.col("__h").alias("__key"), "__example")
-    spans = spans.join(hot, "__h", "left").withColumn("__key", F.when(F.col("__hx"), F.concat(F.lit("~"), F.col("__row").cast("string"))).otherwise(F.col("__h")))
-    spans = spans.join(cold, "__key", "left")
-    live = ~F.coalesce(F.col("__hx"), F.col("__example"), F.lit(False))
-    verdict = F.struct(F.col("__s.start").alias("start"), F.col("__s.ord").alias("ord"), F.col("__s.end").alias("end"), live.alias("live"))
-    verdicts = spans.groupBy("__row").agg(F.collect_list(verdict).alias("__verdicts"))
-    none = F.expr("cast(array() as array<struct<start:bigint,ord:int,end:bigint,live:boolean>>)")
-    with_any = found.where(F.size("__c") > 0).join(verdicts, "__row")
-    without = found.where(F.size("__c") == 0).withColumn("__verdicts", none)
-    return with_any.select("__id", *kept, "__base", "__wide", "__verdicts").unionByName(without.select("__id", *kept, "__base", "__wide", "__verdicts"))
+    wide = F.filter(_spans(text, "owned", 3, WIDE, 0, 16), _varied)
+    made = rows.select(*keep, F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo"), base.alias("base"), wide.alias("wide"))
+    return made.withColumn("wide", F.filter("wide", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))))
+
+
+def ownership(spans: DataFrame) -> DataFrame:
+    """h, owners, repos, copies of every candidate value of (h, owner, repo) rows; counted after combining in the map tasks
+    and by owner, so a value that everyone holds is never gathered."""
+    pairs = spans.groupBy("h", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
+    owners = pairs.groupBy("h", "owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
+    return owners.groupBy("h").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("copies"))
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS, whole_rows: bool = False) -> DataFrame:
+    """Every row with its spans: id, base, wide and verdicts (array of struct<start,ord,end,live,owners,repos>); with whole_rows
+    also text and row, a struct of the columns of docs."""
+    told = lambda c: (c if c is not None else F.lit("")).cast("string")
+    keep = ["id", "text", "row"] if whole_rows else ["id"]
+    rows = docs.select(rt.named(id_col).cast("long").alias("id"), rt.text_of(rt.named(text_col)).alias("text"), F.struct(*[rt.named(c) for c in docs.columns]).alias("row"), told(owner).alias("owner"), told(repo).alias("repo"))
+    found = rt.materialise(candidates(rows, keep).withColumn("no", F.monotonically_increasing_id()), "candidates")
+    spans = found.select("no", "owner", "repo", F.explode(F.concat("base", "wide")).alias("s"))
+    spans = rt.materialise(spans.select("no", "owner", "repo", F.sha2(F.col("s.value"), 256).alias("h"), F.col("s.start").alias("start"), F.col("s.ord").alias("ord"), F.col("s.end").alias("end")), "spans")
+    live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
+    stats = ownership(spans).select("h", "owners", "repos", "copies", live.alias("live"))
+    known = rt.lookup(spans.drop("owner", "repo"), stats, "h", "copies", spans.count())
+    verdict = F.struct("start", "ord", "end", "live", "owners", "repos")
+    verdicts = known.groupBy("no").agg(F.collect_list(verdict).alias("verdicts"))
+    some = F.size("base") + F.size("wide") > 0
+    none = F.expr("cast(array() as array<struct<start:bigint,ord:int,end:bigint,live:boolean,owners:bigint,repos:bigint>>)")
+    cols = [*keep, "base", "wide", "verdicts"]
+    return found.where(some).join(verdicts, "no").select(*cols).unionByName(found.where(~some).withColumn("verdicts", none).select(*cols))
 
 
 def secret_scan(docs: DataFrame, **how) -> DataFrame:
-    """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples, n_owned."""
-    rows = judged(docs, **how)
-    count = lambda kind: F.size(F.filter("__base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    lives = F.filter("__verdicts", lambda v: v["live"])
-    owned = F.filter("__wide", lambda w: F.exists(lives, lambda v: (v["ord"] == 3) & (v["start"] == w["start"])))
-    return rows.select(
-        F.col("__id").alias("doc_id"),
+    """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples, n_owned, and the most
+    owners and repositories of one of its values."""
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    lives = F.filter("verdicts", lambda v: v["live"])
+    owned = F.filter("wide", lambda w: F.exists("verdicts", lambda v: v["live"] & (v["ord"] == 3) & (v["start"] == w["start"])))
+    most = lambda name: F.coalesce(F.array_max(F.transform("verdicts", lambda v: v[name])), F.lit(0)).cast("long").alias(name)
+    return judged(docs, **how).select(
+        F.col("id").alias("doc_id"),
         *[count(k) for k in BASE],
-        F.sha2(_joined(F.col("__base")), 256).alias("base_sha256"),
-        _joined(F.concat("__base", owned)).alias("spans"),
+        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
+        _joined(F.concat("base", owned)).alias("spans"),
         F.size(lives).cast("long").alias("n_live"),
-        (F.size("__verdicts") - F.size(lives)).cast("long").alias("n_examples"),
+        (F.size("verdicts") - F.size(lives)).cast("long").alias("n_examples"),
         F.size(owned).cast("long").alias("n_owned"),
+        most("owners"),
+        most("repos"),
     )
 
 
 MASK = "[SECRET]"
 
 
-def mask_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with every live span replaced by MASK; examples and clean texts stay as they are. All columns are kept."""
-    cols = docs.columns
-    rows = judged(docs, id_col=id_col, text_col=text_col, pass_cols=cols, **how)
-    lives = F.array_sort(F.filter("__verdicts", lambda v: v["live"]))
-    text = F.col(text_col)
+def _masked(text: Column, lives: Column) -> Column:
+    """text with MASK for each of the sorted spans; one that overlaps the last only extends it. Piece by piece, since a substring
+    is found by counting from the beginning."""
+
+    def piece(j: Column, spans: Column) -> Column:
+        begin = (j * PIECE).cast("long")
+        part = F.substring(text, (begin + 1).cast("int"), F.lit(PIECE))
+        mine = F.filter(spans, lambda v: (v["end"] > begin) & (v["start"] < begin + PIECE))
+
+        def masked(p: Column) -> Column:
+            def step(acc: Column, v: Column) -> Column:
+                start = F.greatest(v["start"], acc["pos"])
+                gap = F.substring(p, (acc["pos"] - begin + 1).cast("int"), (start - acc["pos"]).cast("int"))
+                out = F.when(v["start"] < acc["pos"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(MASK)))
+                return F.struct(F.greatest(v["end"], acc["pos"]).alias("pos"), out.alias("out"))
+
+            done = F.aggregate(mine, F.struct(begin.alias("pos"), F.lit("").alias("out")), step)
+            return _with(done, lambda a: F.concat(a["out"], F.substring(p, (F.least(a["pos"] - begin, F.lit(PIECE)) + 1).cast("int"), F.lit(PIECE))))
+
+        return _with(part, masked)
 
-    def step(acc: Column, v: Column) -> Column:
-        start = F.greatest(v["start"], acc["pos"])
-        piece = F.substring(text, (acc["pos"] + 1).cast("int"), (start - acc["pos"]).cast("int"))
-        # a span inside the last one adds nothing, one that overlaps it extends it
-        made = F.when(v["start"] < acc["pos"], acc["out"]).otherwise(F.concat(acc["out"], piece, F.lit(MASK)))
-        return F.struct(F.greatest(v["end"], acc["pos"]).alias("pos"), made.alias("out"))
+    pieces = F.sequence(F.lit(0), F.floor((F.char_length(text) - 1) / PIECE).cast("int"))
+    return _with(lives, lambda spans: F.array_join(F.transform(pieces, lambda j: piece(j, spans)), ""))
 
-    done = F.aggregate(lives, F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out")), step)
-    masked = F.concat(done["out"], F.substring(text, (done["pos"] + 1).cast("int"), F.lit(2**31 - 1)))
-    return rows.select(*[F.when(F.size(lives) > 0, masked).otherwise(text).alias(c) if c == text_col else F.col(c) for c in cols])
+
+def mask_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with every live span replaced by MASK; examples and clean texts stay as they are. All columns are kept."""
+    rows = judged(docs, id_col=id_col, text_col=text_col, whole_rows=True, **how)
+    lives = F.array_sort(F.filter("verdicts", lambda v: v["live"]))
+    fresh = F.when(F.size(lives) > 0, _masked(F.col("text"), lives)).otherwise(F.col("row")[text_col].cast("string"))
+    return rows.select(*[fresh.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,4 +194,27 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(docs, owner=F.col("source"), repo=F.concat_ws("/", "source", "lang"))
 
 
-__all__ = ["secret_scan", "mask_live", "ownership", "candidates", "judged", "op4_secret_scan"]
+def _oracle() -> str:
+    kinds = (("assign", 0, ASSIGN), ("access", 1, ACCESS), ("hex", 2, HEX), ("owned", 3, WIDE))
+    split = " UNION ALL ".join(f"SELECT doc_id, o, r, '{kind}' AS kind, {k} AS ord, string_split_regex(t, '{p}') AS p, regexp_extract_all(t, '{p}') AS m FROM d" for kind, k, p in ((a, b, c.replace("'", "''")) for a, b, c in kinds))
+    value = "CASE kind WHEN 'assign' THEN regexp_extract(m[k], '{}', 2) ELSE m[k] END".format(ASSIGN.replace("'", "''"))
+    joined = "coalesce(string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, ord){}, '')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS doc_no, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS o, concat_ws('/', source, lang) AS r FROM documents),
+q AS ({split}),
+e AS (SELECT doc_id, o, r, kind, ord, m, p, unnest(range(1, len(m) + 1)) AS k FROM q),
+s AS (SELECT doc_id, o, r, kind, ord, CAST(list_sum([length(x) for x in p[1:k]]) + coalesce(list_sum([length(x) for x in m[1:k - 1]]), 0) AS BIGINT) AS start, length(m[k]) AS size, {value} AS v FROM e),
+z AS (SELECT doc_id, o, r, kind, ord, start, start + size AS stop, v FROM s WHERE CASE kind WHEN 'assign' THEN length(v) >= 6
+  WHEN 'owned' THEN regexp_matches(v, '[0-9]') AND (regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') OR regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= {VARIETY}) ELSE TRUE END),
+c AS (SELECT * FROM z WHERE ord < 3 OR NOT EXISTS (SELECT 1 FROM z AS b WHERE b.doc_id = z.doc_id AND b.ord < 3 AND b.start < z.stop AND z.start < b.stop)),
+g AS (SELECT v, count(DISTINCT o) AS owners, count(DISTINCT concat(o, chr(10), r)) AS repos FROM c GROUP BY v),
+j AS (SELECT c.*, owners, repos, owners <= {MAX_OWNERS} AND repos <= {MAX_REPOS} AS live FROM c JOIN g ON c.v = g.v),
+a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256({joined.format(" FILTER (ord < 3)")}) AS base_sha256, {joined.format(" FILTER (ord < 3 OR live)")} AS spans,
+  count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_examples, count(*) FILTER (live AND ord = 3) AS n_owned, max(owners) AS owners, max(repos) AS repos FROM j GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples, coalesce(n_owned, 0) AS n_owned, coalesce(owners, 0) AS owners, coalesce(repos, 0) AS repos FROM d LEFT JOIN a ON d.doc_id = a.doc_id
+"""
+
+
+ORACLE = _oracle()
