@@ -1,18 +1,19 @@
 """Exact deduplication by skew-safe combining.
 
-Rows are combined in each map task, digests that hold more than one row in a thousand are merged in salted
-groups first, and the salt winners are then combined globally. Every stage groups by digest *and* full content, so
-two texts that share a digest are never taken for one.
+Every row is numbered and its digest taken once. Rows are combined in each map task; those of digests that hold more than
+rt.hot_rows() rows are merged in salted groups first, and the salt winners are then combined globally. Every stage groups by
+digest *and* full content, so two texts that share a digest are never taken for one.
 
-Null or empty text counts as the empty text; a null id loses every tie; of rows that repeat an id and a text
-one is kept. An empty table gives an empty result. Other columns of the input are ignored.
+Null or empty text counts as the empty text; a null id loses every tie, and of rows that repeat an id and a text length the
+first in reading order stays. A very long text is one row and must fit a task. An empty table gives an empty result. Other
+columns, whatever their names, are ignored, or kept by keep_first().
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runtime as rt
@@ -25,70 +26,73 @@ def sha256(col: Column) -> Column:
     return F.sha2(col, 256)
 
 
-def _winner() -> Column:
-    """The row with the most code points, then the smallest id; ids that are null come last."""
-    return F.max(F.struct(F.col("__n"), F.col("__id").isNotNull().alias("__has"), (-F.col("__id")).alias("__neg")))
+def _plain(text: Column) -> Column:
+    return F.translate(text, BLANKS, "")
 
 
-def _merge(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.max("__best").alias("__best"), F.sum("__size").alias("__size"))
+def _rank() -> Column:
+    """The row with the most code points, then the smallest id (null ones last), then the first row has the least of these."""
+    return F.struct((-F.col("n")).alias("less"), F.col("id").isNull().alias("none"), "id", "no").alias("best")
+
+
+def _combined(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.min("best").alias("best"), F.sum("size").alias("size"))
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column], keep: str) -> DataFrame:
+    """no, id, n, d (digest), x (a second hash of the content) and the column `keep`, written once."""
+    rows = rt.packed(docs, id_col, text_col)
+    plain = rows.select("id", "text", "row", _plain(F.col("text")).alias("plain"), F.monotonically_increasing_id().alias("no"))
+    told = plain.select("no", "id", F.char_length("text").cast("long").alias("n"), digest(F.col("plain")).alias("d"), F.xxhash64("plain").alias("x"), keep)
+    return rt.materialise(told, "numbered")
+
+
+def winners(rows: DataFrame, plain: Column) -> DataFrame:
+    """(d, x, best, size) of every content among rows (no, id, n, d, x); `plain` is its content."""
+    spark = rows.sparkSession
+    total = rows.count()
+    hot = rows.groupBy("d").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > max(1, rt.hot_rows(spark, total))).select("d", F.lit(True).alias("hot"))
+    marked = rows.select("no", "id", "n", "d", "x", plain.alias("plain")).join(F.broadcast(hot), "d", "left")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("no"), F.lit(rt.partitions(spark)))).otherwise(F.lit(0)).alias("salt")
+    each = marked.select("d", "x", "plain", "hot", salt, _rank(), F.lit(1).cast("long").alias("size"))
+    # winners of cold digests are final and go on without their content; those of hot ones meet once more
+    salted = _combined(each, "d", "x", "plain", "hot", "salt").select("d", "x", "hot", F.when(F.col("hot"), F.col("plain")).alias("plain"), "best", "size")
+    salted = rt.materialise(salted, "salted")
+    last = _combined(salted.where("hot"), "d", "x", "plain").select("d", "x", "best", "size")
+    return rt.materialise(salted.where("hot IS NULL").select("d", "x", "best", "size").unionByName(last), "winners")
+
+
+def _met(rows: DataFrame, plain: Column) -> DataFrame:
+    """no, id, d, and best and size of the content of each row."""
+    won = winners(rows, plain)
+    shared = rt.materialise(won.groupBy("d", "x").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("d", "x"), "shared")
+    slim = rows.select("no", "id", "d", F.concat_ws(":", "d", F.hex("x")).alias("key"), "x")
+    single = won.join(shared, ["d", "x"], "left_anti").select(F.concat_ws(":", "d", F.hex("x")).alias("key"), "best", "size")
+    out = rt.lookup(slim, single, "key", "size", rows.count()).select("no", "id", "d", "best", "size")
+    if shared.isEmpty():
+        return out
+    # contents that share both hashes: their rows, and only theirs, meet by the content itself
+    odd = rt.materialise(rows.select("no", "id", "n", "d", "x", plain.alias("plain")).join(shared, ["d", "x"], "left_semi"), "odd")
+    best = _combined(odd.select("d", "x", "plain", _rank(), F.lit(1).cast("long").alias("size")), "d", "x", "plain")
+    odd = rt.meet(odd, best, ["d", "x", "plain"], "size", odd.count())
+    return out.where("best IS NOT NULL").unionByName(odd.select("no", "id", "d", "best", "size"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    spark = docs.sparkSession
-    text = rt.text_of(F.col(text_col))
-    plain = F.translate(text, BLANKS, "")
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.char_length(text).cast("long").alias("__n"), plain.alias("__plain"))
-    rows = rows.withColumn("__d", digest(F.col("__plain")))
-    slim = rows.select("__id", "__n", "__d", sha256(F.col("__plain")).alias("__sha"))
-
-    hot = spark.createDataFrame([(k,) for k in rt.hot_keys(slim, "__d", docs.count())], "__d string")
-    salt = F.when(F.col("__hot"), F.spark_partition_id() % F.lit(rt.partitions(spark))).otherwise(F.lit(0))
-    marked = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), "__d", "left").withColumn("__hot", F.coalesce("__hot", F.lit(False)))
-    salted = marked.groupBy("__d", salt.alias("__salt"), "__hot", "__plain").agg(_winner().alias("__best"), F.count(F.lit(1)).alias("__size"))
-    # winners of cold digests are final; those of hot ones, a bounded number, meet once more
-    winners = rt.materialise(salted.where(~F.col("__hot")).select("__d", F.lit(False).alias("__hot"), F.xxhash64("__plain").alias("__x"), "__best", "__size").unionByName(_merge(salted.where("__hot"), "__d", "__plain").select("__d", F.lit(True).alias("__hot"), F.xxhash64("__plain").alias("__x"), "__best", "__size")), "winners")
-    keeps = winners.select("__d", "__hot", "__x", (-F.col("__best.__neg")).alias("__keep"), F.col("__best.__n").alias("__top"), "__size")
-    shared = keeps.groupBy("__d").agg(F.count(F.lit(1)).alias("__c")).where("__c > 1").select("__d")
-    if not shared.isEmpty():
-        return _by_content(rows, keeps, shared)
-    keeps = keeps.drop("__x")
-    mine = slim.join(F.broadcast(keeps.where("__hot").select("__d", F.col("__keep").alias("__hk"), F.col("__top").alias("__ht"), F.col("__size").alias("__hs"))), "__d", "left")
-    key = F.when(F.col("__hs").isNull(), F.col("__d")).otherwise(F.concat(F.lit("~"), F.coalesce(F.col("__id").cast("string"), F.lit(""))))
-    cold = keeps.where(~F.col("__hot")).select(F.col("__d").alias("__key"), "__keep", "__top", "__size")
-    got = mine.withColumn("__key", key).join(cold, "__key", "left")
-    got = got.select("__id", "__n", "__key", "__sha", F.coalesce("__hs", "__size").alias("__size"), F.coalesce("__ht", "__top").alias("__top"), F.when(F.col("__hs").isNull(), F.col("__keep")).otherwise(F.col("__hk")).alias("__keep"))
-    return _result(got, "__key")
-
-
-def _by_content(rows: DataFrame, keeps: DataFrame, shared: DataFrame) -> DataFrame:
-    """The same where different texts share a digest: rows meet their winners by the text itself."""
-    best = rows.groupBy("__d", "__plain").agg(_winner().alias("__best"), F.count(F.lit(1)).alias("__size"))
-    best = best.select("__d", "__plain", (-F.col("__best.__neg")).alias("__keep"), F.col("__best.__n").alias("__top"), "__size")
-    got = rows.join(best, ["__d", "__plain"]).withColumn("__sha", sha256(F.col("__plain"))).withColumn("__key", F.col("__sha"))
-    return _result(got, "__key")
-
-
-def _result(got: DataFrame, key: str) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy(key, "__sha", "__id").orderBy(F.col("__n").desc()))
-    return got.withColumn("__nth", nth).select(
-        F.col("__id").alias("doc_id"),
-        F.col("__keep").alias("keep_id"),
-        F.col("__size").cast("long").alias("group_size"),
-        (F.col("__id").eqNullSafe(F.col("__keep")) & (F.col("__n") == F.col("__top")) & (F.col("__nth") == 1)).alias("kept"),
-        F.col("__sha").alias("text_sha256"),
-    )
+    rows = _numbered(docs, id_col, text_col, digest, "plain")
+    met = _met(rows, F.col("plain"))
+    if digest is not sha256:
+        met = met.drop("d").join(rows.select("no", sha256(F.col("plain")).alias("d")), "no")
+    return met.select(F.col("id").alias("doc_id"), F.col("best.id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("no") == F.col("best.no")).alias("kept"), F.col("d").alias("text_sha256"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with only the row that stays of each group of equal texts; all columns are kept."""
-    none = F.lit(2**63 - 1)
-    told = exact_dedup(docs, id_col, text_col).where("kept").select(F.coalesce("doc_id", none).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    text = rt.text_of(F.col(text_col))
-    rows = docs.select(*[F.col(c) for c in docs.columns], F.coalesce(F.col(id_col).cast("long"), none).alias("__id"), sha256(F.translate(text, BLANKS, "")).alias("__sha"), F.char_length(text).alias("__n"))
-    nth = F.row_number().over(Window.partitionBy("__id", "__sha").orderBy(F.col("__n").desc()))
-    return rows.join(told, ["__id", "__sha"]).withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+    rows = _numbered(docs, id_col, text_col, sha256, "row")
+    won = winners(rows, _plain(rt.text_of(F.col("row")[text_col])))
+    # every content has one winner, whatever its digest
+    return rt.unpacked(rows.join(won.select(F.col("best.no").alias("no")), "no", "left_semi").select("row"), docs)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
