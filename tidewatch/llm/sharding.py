@@ -5,8 +5,11 @@ drawn from the key and the number of the jump, until it passes the last shard. E
 there are shards always suffice and no ring table is kept. One more shard takes only rows whose next jump lands on it.
 
 Slots are gapless ranks made in two levels: a rank in one of many even parts of a shard, plus the sizes of the
-parts before it. Null text has no bytes; null ids all go to one shard; repeated rows get slots of their own; an
-empty table gives an empty result; other columns are ignored.
+parts before it. Rows are dealt into parts by their number, so even rows that repeat one id are spread.
+
+Null text has no bytes; null ids all go to one shard; repeated rows and rows that tie in everything get slots of their own, in
+reading order; a very long text only counts by its size and checksum; an empty table gives an empty result; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -36,16 +39,17 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", te
     spark = docs.sparkSession
     parts = max(16, rt.partitions(spark))
     text = rt.text_of(F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = rows.withColumn("__to", jump(F.col("doc_id"), shards)).withColumn("shard", F.col("__to.b").cast("int"))
-    rows = rows.withColumn("grown_shard", F.when(F.col("__to.j") == shards, F.lit(shards)).otherwise(F.col("shard")).cast("int"))
-    rows = rows.withColumn("__part", F.pmod(F.xxhash64(F.lit("slot"), "doc_id"), F.lit(parts)).cast("int")).drop("__to")
-    sizes = rows.groupBy("shard", "__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("shard", "__part", before.cast("long").alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("shard", "__part").orderBy("doc_id", "text_crc32", "size"))
-    rows = rows.withColumn("__rank", rank - 1).join(sizes, ["shard", "__part"])
-    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("__before") + F.col("__rank")).cast("long").alias("slot"), "grown_shard")
+    rows = docs.select(rt.named(id_col).cast("long").alias("doc_id"), rt.text_of(rt.named(text_col)).alias("text"), F.monotonically_increasing_id().alias("no"))
+    rows = rows.select("no", "doc_id", (F.octet_length("text").cast("long") + ROW_BYTES).alias("size"), F.crc32("text").alias("text_crc32"), jump(F.col("doc_id"), shards).alias("to"))
+    grown = F.when(F.col("to.j") == shards, F.lit(shards)).otherwise(F.col("to.b")).cast("int")
+    part = F.pmod(F.xxhash64("no"), F.lit(parts)).cast("int")
+    rows = rt.materialise(rows.select("no", "doc_id", "size", "text_crc32", F.col("to.b").cast("int").alias("shard"), grown.alias("grown_shard"), part.alias("part")), "sharded")
+    sizes = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("shard", "part", before.cast("long").alias("before"))
+    rank = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "no"))
+    rows = rows.withColumn("rank", rank - 1).join(sizes, ["shard", "part"])
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("rank")).cast("long").alias("slot"), "grown_shard")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
