@@ -2,12 +2,14 @@
 
 Documents are tokenised once and cut at multiples of the window, so all pieces but the last of a document fill a
 window alone. Shallow combinations of two or three lengths that fill a window exactly are enumerated; their repeat
-counts are solved by non-negative least squares against the histogram of lengths, rounded down, and what is left is packed
-greedily, longest first, on the histogram too. Only that histogram (a window's worth of counts) reaches the
-driver. Pieces then find their place by their rank among the pieces of their length; ranks are made in salted groups.
-
-Null text is the empty text, whose only id is the end id. Rows that repeat an id are each packed. An empty table gives an
-empty result; other columns are ignored. Sequences whose length is a power of two need no padding.
+counts are solved by non-negative least squares against the histogram of lengths and rounded to the nearest whole, as far as the
+histogram reaches; what is left is packed greedily, longest first, on the histogram too. Only that histogram (a window's worth
+of counts) reaches the driver. Pieces then find their place by their rank among the pieces of their length; ranks
+are made in salted groups.
+
+Null text is the empty text, whose only id is the end id. Rows that repeat an id, or tie in everything, are each packed, in reading
+order. A very long text is one row and must fit a task; its pieces are cut there. An empty table gives an empty result; other
+columns, whatever their names, are ignored. Sequences whose length is a power of two need no padding.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ WINDOW = 2048
 END_ID = 1
 #: First members of triples are multiples of this: that bounds the combinations to some thousands.
 STRIDE = 16
-STEPS = 400
+STEPS = 200
+#: Times that the remaining histogram is solved again.
+ROUNDS = 8
 #: Ranks of one length stay below this.
 _RANKS = 1 << 44
 
@@ -104,27 +108,39 @@ def _greedy(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     return out
 
 
+def _round(made: np.ndarray, left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Solutions in whole sequences, largest counts first, taken from `left`: the least squares spread thinly over all
+    combinations, so they are solved again over those that weigh most, and over what is left, until nothing rounds to one."""
+    out: list[tuple[tuple[int, ...], int]] = []
+    for _ in range(ROUNDS):
+        made = made[((left[made] > 0) | (made == 0)).all(axis=1)]
+        some = made[np.argsort(-solve(made, left), kind="stable")[: np.count_nonzero(left)]]
+        times = np.rint(solve(some, left)).astype(np.int64)
+        before = len(out)
+        for k in np.argsort(-times, kind="stable"):
+            if times[k] <= 0:
+                break
+            members = tuple(int(v) for v in some[k] if v)
+            need: dict[int, int] = defaultdict(int)
+            for v in members:
+                need[v] += 1
+            n = min(int(times[k]), *(int(left[v]) // c for v, c in need.items()))
+            if n > 0:
+                for v, c in need.items():
+                    left[v] -= c * n
+                out.append((members, n))
+        if len(out) == before:
+            break
+    return out
+
+
 def plan(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in one sequence, how many such sequences); together they use each length as often as it occurs."""
     left = histogram.astype(np.int64).copy()
     window = len(left) - 1
     out = [((window,), int(left[window]))] if left[window] else []
     left[window] = 0
-    made = combinations(left)
-    times = np.floor(solve(made, left)).astype(np.int64)
-    for k in np.argsort(-times, kind="stable"):
-        if times[k] <= 0:
-            break
-        members = tuple(int(v) for v in made[k] if v)
-        need: dict[int, int] = defaultdict(int)
-        for v in members:
-            need[v] += 1
-        n = min(int(times[k]), *(int(left[v]) // c for v, c in need.items()))
-        if n > 0:
-            for v, c in need.items():
-                left[v] -= c * n
-            out.append((members, n))
-    return out + _greedy(left)
+    return out + _round(combinations(left), left) + _greedy(left)
 
 
 def places(combos: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,6 +160,15 @@ def places(combos: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.nd
     return tuple(np.array(x, np.int64)[order] for x in (keys, first, offset))
 
 
+def nnls_share(histogram: np.ndarray) -> float:
+    """Share of the pieces shorter than a window that the rounded solution places; the rest is packed greedily."""
+    left = histogram.astype(np.int64).copy()
+    left[-1] = 0
+    rest = left.copy()
+    _round(combinations(left), rest)
+    return 1 - rest.sum() / max(1, left.sum())
+
+
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -161,26 +186,27 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_
                 rows += [(i, s, min(window, n - s), zlib.crc32(raw[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, schema=schema)
 
-    return docs.select(F.col(id_col).cast("long"), rt.text_of(F.col(text_col))).mapInArrow(cut, PIECE)
+    return docs.select(rt.named(id_col).cast("long"), rt.text_of(rt.named(text_col))).mapInArrow(cut, PIECE)
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    cut = rt.materialise(pieces(docs, path, window, id_col, text_col), "pieces")
+    parts = max(16, rt.partitions(spark))
+    salt = F.pmod(F.xxhash64("no"), F.lit(parts)).cast("int").alias("salt")
+    cut = pieces(docs, path, window, id_col, text_col).withColumn("no", F.monotonically_increasing_id())
+    cut = rt.materialise(cut.select("*", salt), "pieces")
     histogram = np.zeros(window + 1, np.int64)
     for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # window rows at most
         histogram[r["length"]] = r["n"]
     held = spark.sparkContext.broadcast(places(plan(histogram)))
 
-    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(max(16, rt.partitions(spark)))).cast("int")
-    salted = cut.withColumn("__salt", salt)
-    sizes = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("length", "__salt", before.alias("__before"))
-    nth = F.row_number().over(Window.partitionBy("length", "__salt").orderBy("doc_id", "start", "ids_crc32"))
-    ranked = salted.withColumn("__nth", nth - 1).join(sizes, ["length", "__salt"])
-    ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("__before") + F.col("__nth")).cast("long").alias("rank"))
+    sizes = cut.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("length", "salt", before.alias("before"))
+    nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("no"))
+    ranked = cut.withColumn("nth", nth - 1).join(sizes, ["length", "salt"])
+    ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("nth")).cast("long").alias("rank"))
 
     def place(batches):
         keys, first, offset = held.value
