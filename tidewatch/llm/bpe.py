@@ -4,11 +4,15 @@ A text is cut into chunks that overlap. Chunks are split into pre-tokens on thei
 memoryless at a boundary, so two chains that share one boundary agree from there on: the chain of a chunk is taken over
 at the first boundary it shares with the true chain inside the overlap. If the overlap holds none (one run of
 letters longer than it), the true chain is carried on through the next chunk instead, so the result never depends on the
-chunk size. The pre-tokens are then encoded, each on its own. A text of one chunk is split and encoded in one go. Decoding
-concatenates the bytes of the ids.
+chunk size. The pre-tokens are then encoded, each on its own. A text that is one chunk has nothing to stitch and is split and
+encoded in one go. Decoding concatenates the bytes of the ids.
 
-Null counts as the empty text: no ids, and the digests of nothing. Rows that repeat an id are each encoded. An
-empty table gives an empty result; other columns are ignored.
+Code points that this Python does not know may be classed otherwise by the library. A run between white space that holds
+one stays one piece, which the library splits itself; its ends are boundaries whatever the classes are.
+
+Null counts as the empty text: no ids, and the digests of nothing. Rows that repeat an id, or a text, are each encoded. A very
+long text is split in parallel; its pre-tokens are encoded in one task, which must hold it. An empty table gives an
+empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -42,12 +46,14 @@ def _splitter():
     return regex.compile(public_tokenizers.PATTERN)
 
 
-_FAR = re.compile("[^\u0000-՗]")
+_FAR = re.compile("[^\u0000-\u0557]")
 
 
 @functools.cache
 def _unsure():
-    """Code points this Python does not know: the libraries may class them otherwise, so they split such texts themselves."""
+    """Runs between white space with code points this Python does not know, and the blank that belongs to them."""
+    import regex
+
     spans, start = [], None
     for c in range(0x558, sys.maxunicode + 2):
         gone = c <= sys.maxunicode and unicodedata.category(chr(c)) in ("Cn", "Cs")
@@ -56,15 +62,24 @@ def _unsure():
         if not gone and start is not None:
             spans.append(f"\\U{start:08x}-\\U{c - 1:08x}")
             start = None
-    return re.compile("[" + "".join(spans) + "]")
-
-
-def plain(text: str) -> bool:
-    return text.isascii() or not _FAR.search(text) or not _unsure().search(text)
+    some = "".join(spans)
+    return regex.compile(f" ?[^\\s{some}]*+[{some}]\\S*+")
 
 
 def pre_tokens(text: str) -> list[str]:
-    return _splitter().findall(text)
+    """The pre-tokens, but for runs with code points of unsure class, which are one piece each."""
+    pieces = _splitter().findall(text)
+    if text.isascii() or not _FAR.search(text):
+        return pieces
+    whole = [m.span() for m in _unsure().finditer(text)]
+    if not whole:
+        return pieces
+    cuts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))])
+    inner = np.zeros(len(text) + 1, bool)
+    for a, z in whole:
+        inner[a + 1 : z] = True
+    cuts = np.union1d(cuts[~inner[cuts]], np.array(whole).ravel()).tolist()
+    return [text[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _byte_of() -> dict[str, int]:
@@ -152,7 +167,8 @@ def chunked(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
 
 def boundaries(text: str) -> np.ndarray:
     """Where pre-tokens begin, and the end."""
-    lengths = np.fromiter(map(len, pre_tokens(text)), np.int64)
+    pieces = pre_tokens(text)
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
     return np.concatenate([[0], np.cumsum(lengths)])
 
 
@@ -200,7 +216,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), rt.text_of(F.col(text_col)).alias("text"))
+    rows = docs.select(rt.named(id_col).cast("long").alias("id"), rt.text_of(rt.named(text_col)).alias("text"), F.monotonically_increasing_id().alias("row"))
     long = F.char_length("text") > chunk
 
     def whole(batches):
@@ -210,31 +226,23 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def cut(batches):
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                key = hashlib.sha256(f"{i}:{t}".encode()).hexdigest()
+            for i, t, row in zip(*(b.column(c).to_pylist() for c in ("id", "text", "row")), strict=True):
                 for k, piece in enumerate(chunked(t, chunk, overlap)):
-                    yield pa.record_batch({"key": pa.array([key]), "id": pa.array([i], pa.int64()), "no": pa.array([k], pa.int64()), "piece": pa.array([piece])})
+                    yield pa.record_batch({"row": pa.array([row], pa.int64()), "id": pa.array([i], pa.int64()), "no": pa.array([k], pa.int64()), "piece": pa.array([piece])})
 
     def split(batches):
         for b in batches:
-            made = [boundaries(t).astype("<i8").tobytes() if plain(t) else b"" for t in b.column("piece").to_pylist()]
-            yield b.append_column("cuts", pa.array(made, pa.binary()))
+            yield b.append_column("cuts", pa.array([boundaries(t).astype("<i8").tobytes() for t in b.column("piece").to_pylist()], pa.binary()))
 
     def join(table: pa.Table) -> pa.Table:
         coder, names = ranks(path), _names(path)
         rows = sorted(zip(table["no"].to_pylist(), table["piece"].to_pylist(), table["cuts"].to_pylist(), strict=True), key=lambda r: r[0])
-        copies = sum(r[0] == 0 for r in rows)  # rows that repeat id and text come together
-        rows = rows[::copies]
-        chunks = [r[1] for r in rows]
-        if all(r[2] for r in rows):
-            ids = coder.encode_all(stitch(chunks, [np.frombuffer(r[2], "<i8") for r in rows], chunk))
-        else:
-            ids = coder.encode("".join(c[:chunk] for c in chunks))
-        return pa.Table.from_batches([_batch([_row(coder, table["id"][0].as_py(), ids, names)] * copies)])
+        ids = coder.encode_all(stitch([r[1] for r in rows], [np.frombuffer(r[2], "<i8") for r in rows], chunk))
+        return pa.Table.from_batches([_batch([_row(coder, table["id"][0].as_py(), ids, names)])])
 
-    pieces = rows.where(long).mapInArrow(cut, "key string, id long, no long, piece string")
-    spread = pieces.repartition(rt.partitions(docs.sparkSession), "key", "no").mapInArrow(split, "key string, id long, no long, piece string, cuts binary")
-    return rows.where(~long).mapInArrow(whole, RESULT_DDL).unionByName(spread.groupBy("key").applyInArrow(join, RESULT_DDL))
+    pieces = rows.where(long).mapInArrow(cut, "row long, id long, no long, piece string")
+    spread = pieces.repartition(rt.partitions(docs.sparkSession), "row", "no").mapInArrow(split, "row long, id long, no long, piece string, cuts binary")
+    return rows.where(~long).select("id", "text").mapInArrow(whole, RESULT_DDL).unionByName(spread.groupBy("row").applyInArrow(join, RESULT_DDL))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
