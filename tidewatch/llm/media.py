@@ -1,16 +1,17 @@
 """Media columns: payloads stored losslessly as 8-bit images in archives, read back by a custom Spark data source.
 
 Writing: each text, as UTF-8 padded with blanks to a positive multiple of WIDTH bytes, becomes an 8-bit grayscale PNG of
-WIDTH samples a row, and goes as a stored member into a ZIP archive of some ten MB in the shared folder. Only
-archives that a successful task reports are listed, so retried and speculative tasks do no harm.
+WIDTH samples a row, and goes as a stored member into a ZIP archive of some ten MB, in a directory of its task in the shared
+folder. Only directories that a successful task reports are listed, so retried and speculative tasks do no harm.
 
-Reading: the data source `tidewatch_media` lists the archives and plans partitions as byte ranges of them. A task reads the
-central directory of its archive and takes the members whose headers begin in its range, so no directory ever reaches the
-driver. Members are streamed in Arrow batches of bounded size. Each member is fetched by its own offset, checked
+Reading: the data source `tidewatch_media` plans partitions as byte ranges over archive directories: the archives of a directory
+count as one run of bytes, in the order of their names, and all directories as one more. The driver sees one name and size per
+directory, and plans at most MAX_RANGES partitions, however many archives and members there are. A task lists the archives
+of its directories, reads their central directories and takes the members whose headers begin in its range. Members are streamed in Arrow batches of bounded size. Each member is fetched by its own offset, checked
 against its CRC, and retried on its own; a member that stays bad is reported in `error` (or fails the query, by option).
 
-Null counts as the empty text, whose payload is blanks. Rows that repeat an id are each stored. An empty table gives an
-empty result; other columns are ignored.
+Null counts as the empty text, whose payload is blanks. Rows that repeat an id, or tie in everything, are each stored. A very long
+text is one member and must fit a task. An empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from . import runtime as rt
 WIDTH = 192
 #: An archive is closed beyond this, a planned range holds about as much, and an Arrow batch at most that.
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 16_000_000, 8_000_000, 4_000_000
+#: The most partitions of one reading; ranges grow beyond RANGE_BYTES to stay below it.
+MAX_RANGES = 50_000
 TRIES = 3
 
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -96,46 +99,62 @@ def feature(width: int, height: int, samples: bytes) -> str:
 
 
 def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes archives below `folder`; (archive, bytes, members) of each one that counts."""
+    """Writes archives below `folder`; (directory, bytes, archives, members) of each directory that counts."""
 
     def made(batches):
         fs, at = rt.open_store(folder)
-        fs.create_dir(at, recursive=True)
-        held, members, size, row = None, 0, 0, 0
-        key = rt.task_key()
+        directory, held, size, row, no, total, members = f"part-{rt.task_key()}", None, 0, 0, 0, 0, 0
 
-        def close(no):
+        def close() -> int:
             held[1].close()
             data = held[0].getvalue()
-            name = f"part-{key}-{no:05d}.zip"
-            with fs.open_output_stream(f"{at}/{name}") as out:
+            if no == 0:
+                fs.create_dir(f"{at}/{directory}", recursive=True)
+            with fs.open_output_stream(f"{at}/{directory}/{no:06d}.zip") as out:
                 out.write(data)
-            return pa.record_batch({"archive": pa.array([name]), "bytes": pa.array([len(data)], pa.int64()), "members": pa.array([members], pa.int64())})
+            return len(data)
 
-        no = 0
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = t.encode()
                 media = to_png(padded(raw))
                 if held is None:
                     buffer = io.BytesIO()
-                    held, members, size = (buffer, zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED)), 0, 0
+                    held, size = (buffer, zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED)), 0
                 held[1].writestr(zipfile.ZipInfo(f"{'' if i is None else i}_{len(raw)}_{row}.png"), media)
                 members, size, row = members + 1, size + len(media), row + 1
                 if size >= ARCHIVE_BYTES:
-                    yield close(no)
+                    total += close()
                     held, no = None, no + 1
         if held is not None:
-            yield close(no)
+            total += close()
+            no += 1
+        if no:
+            yield pa.record_batch({"directory": pa.array([directory]), "bytes": pa.array([total], pa.int64()), "archives": pa.array([no], pa.int64()), "members": pa.array([members], pa.int64())})
 
-    rows = docs.select(F.col(id_col).cast("long"), rt.text_of(F.col(text_col)))
-    return rows.mapInArrow(made, "archive string, bytes long, members long")
+    rows = docs.select(rt.named(id_col).cast("long"), rt.text_of(rt.named(text_col)))
+    return rows.mapInArrow(made, "directory string, bytes long, archives long, members long")
 
 
 class _Range(InputPartition):
-    def __init__(self, archive: str, start: int, end: int):
-        super().__init__((archive, start, end))
-        self.archive, self.start, self.end = archive, start, end
+    """Byte ranges of directories: (directory, start, end)."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        super().__init__(spans)
+        self.spans = spans
+
+
+def plan_ranges(sizes: list[tuple[str, int]], range_bytes: int, most: int = MAX_RANGES) -> list[list[tuple[str, int, int]]]:
+    """Even ranges of at most range_bytes, or of which there are at most `most`, over directories laid end to end."""
+    total = sum(n for _, n in sizes)
+    step = max(1, range_bytes, -(-total // most))
+    out: list[list[tuple[str, int, int]]] = [[] for _ in range(-(-total // step))]
+    begin = 0
+    for name, n in sizes:
+        for k in range(begin // step, -(-(begin + n) // step)):
+            out[k].append((name, max(0, k * step - begin), min(n, (k + 1) * step - begin)))
+        begin += n
+    return out
 
 
 SCHEMA = "archive string, member string, offset long, media binary, tries int, error string"
@@ -176,28 +195,38 @@ class _Reader(DataSourceReader):
         import pyarrow.dataset as ds
 
         fs, at = rt.open_store(self.path)
-        listed = ds.dataset(f"{at}/_manifest", filesystem=fs, format="parquet").to_table(["archive", "bytes"])
-        out = []
-        for name, size in zip(listed["archive"].to_pylist(), listed["bytes"].to_pylist(), strict=True):
-            parts = max(1, -(-size // self.range_bytes))
-            edges = [size * k // parts for k in range(parts + 1)]
-            out += [_Range(name, a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return out or [_Range("", 0, 0)]
+        listed = ds.dataset(f"{at}/_manifest", filesystem=fs, format="parquet").to_table(["directory", "bytes"])
+        sizes = sorted(zip(listed["directory"].to_pylist(), listed["bytes"].to_pylist(), strict=True))
+        return [_Range(spans) for spans in plan_ranges(sizes, self.range_bytes)] or [_Range([])]
+
+    def _archives(self, fs, at: str, spans) -> Iterator[tuple[str, int, int]]:
+        """(archive, start, end) of what the ranges hold of each archive."""
+        from pyarrow.fs import FileSelector
+
+        for directory, start, end in spans:
+            begin = 0
+            for info in sorted(fs.get_file_info(FileSelector(f"{at}/{directory}")), key=lambda f: f.base_name):
+                if info.base_name.endswith(".zip"):
+                    if begin < end and begin + info.size > start:
+                        yield f"{directory}/{info.base_name}", start - begin, end - begin
+                    begin += info.size
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
-        if not partition.archive:
-            return
         fs, at = rt.open_store(self.path)
-        reopen = lambda: fs.open_input_file(f"{at}/{partition.archive}")
+        for archive, start, end in self._archives(fs, at, partition.spans):
+            yield from self._members(fs, f"{at}/{archive}", archive, start, end)
+
+    def _members(self, fs, path: str, archive: str, start: int, end: int) -> Iterator[pa.RecordBatch]:
+        reopen = lambda: fs.open_input_file(path)
         source = reopen()
         with zipfile.ZipFile(reopen()) as directory:
-            mine = [m for m in directory.infolist() if partition.start <= m.header_offset < partition.end]
+            mine = [m for m in directory.infolist() if start <= m.header_offset < end]
         rows, size = [], 0
         for m in mine:
             data, tries, error = fetch(source, m, reopen)
             if error and self.fail:
-                raise OSError(f"{partition.archive} at {m.header_offset}: {error}")
-            rows.append((partition.archive, m.filename, m.header_offset, data, tries, error))
+                raise OSError(f"{archive} at {m.header_offset}: {error}")
+            rows.append((archive, m.filename, m.header_offset, data, tries, error))
             size += len(data or b"")
             if size >= BATCH_BYTES:
                 yield self._batch(rows)
