@@ -8,8 +8,8 @@ affects compression. Archives of some ten MB go to the shared folder; only those
 Reading: the dictionary is loaded from the skippable frame, then one frame is decoded per record. Version, mandatory headers,
 Content-Length, the HTTP-like payload length and the payload digest are checked; a record that fails raises WarcError.
 
-Null html is an empty payload. Null page ids come last; of rows that repeat an id and a payload one is the response. An
-empty table gives an empty result; other columns are ignored.
+Null html is an empty payload. Null page ids come last; of rows that repeat an id and a payload one is the response. A very long page
+is one record and must fit a task. An empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runtime as rt
@@ -142,25 +142,15 @@ def train_dictionary(pages: DataFrame, id_col: str = "page_id", html_col: str =
 def write_warcs(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes archives below `folder`; (archive, records) of each one that counts."""
     spark = pages.sparkSession
-    html = rt.text_of(F.col(html_col))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("key"))
-    # digests of more than one row, with the id of the response; the rows meet them without moving a payload twice
-    found = rows.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"))).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = rt.materialise(found.select("key", F.col("first.id").alias("first"), "n"), "equal-pages")
-    copies = found.agg(F.sum("n")).first()[0] or 0
+    html = rt.text_of(rt.named(html_col))
+    rows = pages.select(F.monotonically_increasing_id().alias("no"), rt.named(id_col).cast("long").alias("id"), rt.named(url_col).cast("string").alias("url"), html.alias("html"), F.concat_ws(":", F.sha2(html, 256), F.octet_length(html)).alias("key"))
+    rows = rt.materialise(rows, "pages")
+    # the response of each payload of more than one row; the rows meet it without moving a payload twice
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "no")).alias("first")
+    found = rt.materialise(rows.groupBy("key").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1"), "equal-pages")
     dictionary = spark.sparkContext.broadcast(train_dictionary(pages, id_col, html_col))
-    hot = F.broadcast(found.where(F.col("n") * rt.HOT_SHARE > copies).select("key", F.col("first").alias("hf"), F.lit(True).alias("hot")))
-    if found.isEmpty():
-        joined = rows.withColumn("several", F.lit(False)).withColumn("first", F.lit(None).cast("long"))
-    else:
-        cold = found.where(F.col("n") * rt.HOT_SHARE <= copies).select(F.col("key").alias("k"), F.col("first").alias("cf"), F.lit(True).alias("cold"))
-        joined = rows.join(hot, "key", "left").withColumn("k", F.when(F.col("hot"), F.concat(F.lit("~"), F.xxhash64("id", "url").cast("string"))).otherwise(F.col("key"))).join(cold, "k", "left")
-        joined = joined.withColumn("several", F.coalesce("hot", "cold", F.lit(False))).withColumn("first", F.when(F.col("hot"), F.col("hf")).otherwise(F.col("cf")))
-    # of rows that repeat id and payload the first is the response
-    alone = F.row_number().over(Window.partitionBy("key", "id").orderBy("url"))
-    leads = joined.where("several AND id <=> first").withColumn("nth", alone).withColumn("revisit", F.col("nth") > 1).drop("nth")
-    rest = joined.where("NOT (several AND id <=> first)").withColumn("revisit", F.col("several"))
-    ready = leads.unionByName(rest).select("id", "url", "html", "first", "revisit")
+    joined = rt.lookup(rows, found, "key", "n", rows.count())
+    ready = joined.select("id", "url", "html", F.col("first.id").alias("first"), F.coalesce(F.col("no") != F.col("first.no"), F.lit(False)).alias("revisit"))
 
     def made(batches):
         import zstandard
