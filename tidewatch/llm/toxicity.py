@@ -9,8 +9,9 @@ The model learns from at most MAX_SAMPLE labelled rows, those with the smallest
 they are read in one task, whose size therefore does not follow the corpus). Nothing but the text enters a score.
 
 Null and empty texts have the score of a text without features; without a labelled row of each class every score is 0. Of
-contradicting labels of one id, toxic wins; null labels are not used; rows that repeat an id are each scored; other columns
-are ignored.
+contradicting labels of one id, toxic wins; null labels are not used; rows that repeat an id, or tie in their score, are each scored
+and judged alike; texts are hashed some words at a time and scored one Arrow batch at a time, so a very long text must only fit a
+task; an empty table gives an empty result; other columns, whatever their names, are ignored, or kept by keep_clean().
 """
 
 from __future__ import annotations
@@ -132,10 +133,10 @@ def held_out(id_col: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_sample: int = MAX_SAMPLE):
     """The weights, learned in one executor task from a bounded sample; None if a class is missing."""
-    known = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("double").alias("__y")).dropna().where(~held_out(F.col("__id")))
+    known = labels.select(rt.named(id_col).cast("long").alias("__id"), rt.named(label_col).cast("double").alias("__y")).dropna().where(~held_out(F.col("__id")))
     order = [F.xxhash64("__id"), F.col("__id")]
     known = known.orderBy(*order).limit(max_sample).groupBy("__id").agg(F.max("__y").alias("__y"))
-    sample = docs.select(F.col(id_col).cast("long").alias("__id"), rt.text_of(F.col(text_col)).alias("__text")).join(F.broadcast(known), "__id")
+    sample = docs.select(rt.named(id_col).cast("long").alias("__id"), rt.text_of(rt.named(text_col)).alias("__text")).join(F.broadcast(known), "__id")
     sample = rt.materialise(sample.orderBy(*order, "__text").limit(max_sample), "labelled").coalesce(1).sortWithinPartitions(*order, "__text").select("__text", "__y")
     # an epoch is one more reading of the sample, so the task holds the model and one batch, however long the texts are
     epochs = functools.reduce(DataFrame.union, [sample] * EPOCHS)
@@ -159,9 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return (np.frombuffer(got[0][0], "<i8"), np.frombuffer(got[0][1], "<f8"), got[0][2]) if got else None
 
 
-def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """A Column: the score of text_col."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def score(spark: SparkSession, model, text: Column) -> Column:
+    """A Column: the score of a text that is never null."""
+    held = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -180,21 +181,22 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
                     out[start : start + count] = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
             yield pd.Series(out)
 
-    return scored(rt.text_of(F.col(text_col)))
+    return scored(text)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted."""
     model = fit(docs, labels, id_col, text_col, label_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), score(docs, model, id_col, text_col).alias("score"))
+    rows = docs.select(rt.named(id_col).cast("long").alias("doc_id"), rt.text_of(rt.named(text_col)).alias("text"))
+    rows = rows.select("doc_id", score(docs.sparkSession, model, F.col("text")).alias("score"))
     return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows whose score reaches the threshold; all columns are kept."""
     model = fit(docs, labels, id_col, text_col)
-    scored = docs.select(*[F.col(c) for c in docs.columns], score(docs, model, id_col, text_col).alias("__score"))
-    return scored.where(F.col("__score") < threshold).drop("__score")
+    scored = rt.packed(docs, id_col, text_col).select("row", score(docs.sparkSession, model, F.col("text")).alias("score"))
+    return rt.unpacked(scored.where(F.col("score") < threshold).select("row"), docs)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
