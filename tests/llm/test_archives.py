@@ -41,6 +41,15 @@ def test_ranges_share_members_without_loss(spark, docs):
     assert len(whole) == docs.count()
 
 
+def test_ranges_cover_each_byte_once():
+    sizes = [("a", 10), ("b", 1), ("c", 25), ("d", 7)]
+    for step, most in ((1, 99), (4, 99), (10, 99), (100, 99), (1, 3)):
+        spans = media.plan_ranges(sizes, step, most)
+        covered = Counter((name, k) for part in spans for name, a, z in part for k in range(a, z))
+        assert set(covered.values()) == {1} and len(covered) == 43 and len(spans) <= most and all(spans)
+    assert media.plan_ranges([], 5) == []
+
+
 def test_png_round_trip_and_damage():
     payload = bytes(range(192)) * 3
     data = media.to_png(payload)

@@ -2,11 +2,14 @@
 
 import hashlib
 import math
+import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -40,6 +43,21 @@ def test_exact_dedup_compares_content(docs, plain):
     check_dedup(exact_dedup.exact_dedup(docs, digest=lambda c: F.substring(F.sha2(c, 256), 1, 1)).collect(), plain)
 
 
+def test_exact_dedup_of_one_content_hash(docs, plain, monkeypatch):
+    """Even where both hashes are shared."""
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    check_dedup(exact_dedup.exact_dedup(docs, digest=lambda c: F.substring(F.sha2(c, 256), 1, 1)).collect(), plain)
+
+
+def test_exact_dedup_of_odd_ids(spark):
+    """Ids at both ends of the range, thousands of null ids, and columns with names that operators use."""
+    rows = [(None, "same", 1, 2, 3)] * 2500 + [(-(2**63), "a", 1, 2, 3), (2**63 - 1, "a", 1, 2, 3), (None, "a", 1, 2, 3), (5, "sam e", 1, 2, 3), (2**63 - 1, "b", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id long, no long, best long")
+    check_dedup(exact_dedup.exact_dedup(docs).collect(), [r[:2] for r in rows])
+    kept = exact_dedup.keep_first(docs)
+    assert kept.columns == docs.columns and sorted((r.text, r.doc_id) for r in kept.collect()) == [("a", -(2**63)), ("b", 2**63 - 1), ("sam e", 5)]
+
+
 def test_exact_dedup_of_shared_ids(spark):
     """Repeated texts whose winners share an id, null or not, are groups of their own."""
     rows = [(None, "a"), (None, "a"), (None, "bb"), (None, "bb"), (1, "ccc"), (1, "ccc"), (1, "d"), (1, "d"), (2, "d")]
@@ -88,6 +106,13 @@ def test_sharding_moves_only_to_new_shard(spark):
     assert max(Counter(r.shard for r in got).values()) < 180
 
 
+def test_sharding_of_one_id(spark):
+    docs = spark.createDataFrame([(None, "x")] * 3000 + [(7, "x")] * 3000, "doc_id long, text string")
+    got = sharding.shard_rows(docs).collect()
+    for shard in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+
+
 def test_sharding_empty(no_docs):
     assert sharding.shard_rows(no_docs).count() == 0
 
@@ -129,6 +154,81 @@ def test_ownership_separates_examples(spark):
     assert all(copied in masked[k] for k in range(6))
 
 
+def test_every_outcome_by_brute_force(spark):
+    """Planted values: copied by many owners, through many repositories of one owner, by two owners, by one, and not assigned."""
+    rng = random.Random(3)
+    value = lambda n: "".join(rng.choice("ghkmnpXYZ012345") for _ in range(n)) + "aB3"
+    rows, values = [], [(kind, value(30)) for kind in ("many", "repos", "two", "one") for _ in range(5)]
+    for k, (kind, v) in enumerate(values):
+        holders = {"many": [(f"o{j}", "en") for j in range(5)], "repos": [("hot", f"l{j}") for j in range(4)], "two": [("o1", "en"), ("o2", "en"), ("o2", "fr")], "one": [("o3", "en")] * 3}[kind]
+        for owner, lang in holders:
+            text = f"see {v} here é {v}" if k % 2 else f"🙂 token = '{v}'; "
+            rows.append((len(rows), text, owner, lang))
+    rows += [(len(rows), "nothing to see", None, None), (None, None, "o1", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    got = {r.doc_id: r for r in secret_scan.secret_scan(docs, owner=F.col("source"), repo=F.concat_ws("/", "source", "lang")).collect()}
+    found = defaultdict(list)  # value -> (row, owner, repository, span)
+    for i, t, owner, lang in rows:
+        for m in re.finditer(r"[A-Za-z0-9]{16,}", t or ""):
+            found[m[0]].append((i, owner, f"{owner}/{lang}", m.span()))
+    want = {i: [0, 0, 0, set()] for i, *_ in rows}
+    for places in found.values():
+        owners, repos = {p[1] for p in places}, {p[2] for p in places}
+        live = len(owners) <= 2 and len(repos) <= 3
+        for i, _, _, (a, z) in places:
+            text = rows[i][1]
+            owned = live and "token" not in text
+            want[i][0] += live
+            want[i][1] += not live
+            want[i][2] += owned
+            if owned or "token" in text:
+                want[i][3].add(f"owned:{a}:{z}" if owned else f"assign:{text.index('token')}:{z}")
+    for i, (live, example, owned, spans) in want.items():
+        assert (got[i].n_live, got[i].n_examples, got[i].n_owned, set(got[i].spans.split(",")) - {""}) == (live, example, owned, spans)
+    assert sum(r.n_owned for r in got.values()) >= 20 and sum(r.n_examples for r in got.values()) >= 30 and max(r.repos for r in got.values()) == 5
+
+
+def test_long_texts_are_scanned_and_masked_in_time(spark):
+    """Twelve thousand spans in a text of several pieces; the time would be minutes if it grew with their square."""
+    rng = random.Random(4)
+    parts = [f"é token={rng.getrandbits(80):020x}" for _ in range(12_000)]
+    text = " ; ".join(parts) + " password=" + "q9" * 20_000
+    docs = spark.createDataFrame([(1, text, "s"), (2, "x", "s"), (3, parts[7], "s2")], "doc_id long, text string, source string")
+    start = time.time()
+    got = {r.doc_id: r for r in secret_scan.secret_scan(docs, owner=F.col("source")).collect()}
+    masked = {r.doc_id: r.text for r in secret_scan.mask_live(docs, owner=F.col("source")).collect()}
+    assert time.time() - start < 60
+    assert got[1].base_sha256 == hashlib.sha256(",".join(base_spans(text)).encode()).hexdigest() and got[1].n_assign == 12_001
+    assert masked == {1: " ; ".join(["é [SECRET]"] * 12_000) + " [SECRET]", 2: "x", 3: "é [SECRET]"}
+
+
+@pytest.mark.parametrize("piece", [5, 16, 1 << 14])
+def test_masks_across_pieces(spark, monkeypatch, piece):
+    monkeypatch.setattr(secret_scan, "PIECE", piece)
+    rng = random.Random(piece)
+    rows = []
+    for _ in range(60):
+        text = "".join(rng.choice("abcdé🙂") for _ in range(rng.randrange(1, 60)))
+        spans = sorted((a, a + rng.randrange(1, 20)) for a in (rng.randrange(len(text)) for _ in range(rng.randrange(1, 5))))
+        spans = [(a, min(z, len(text))) for a, z in spans]
+        out, pos = "", 0
+        for a, z in spans:
+            if a >= pos:
+                out += text[pos:a] + secret_scan.MASK
+            pos = max(pos, z)
+        rows.append((text, spans, out + text[pos:]))
+    df = spark.createDataFrame(rows, "text string, spans array<struct<start:bigint,end:bigint>>, want string")
+    got = df.select("want", secret_scan._masked(F.col("text"), F.col("spans")).alias("got")).collect()
+    assert all(r.want == r.got for r in got)
+
+
+def test_clashing_names_stay(spark):
+    rows = [(1, "token = abcdef123456", "a", "x", 1.0, 2, 3, "b"), (2, "token = abcdef123456", "a", "x", 1.0, 2, 3, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row string, __score double, __n long, no long, `id.x y` string")
+    got = secret_scan.mask_live(docs, owner=F.col("source"))
+    assert got.columns == docs.columns and {tuple(r)[2:] for r in got.collect()} == {r[2:] for r in rows}
+
+
 def test_secret_scan_empty(no_docs, docs):
     assert secret_scan.secret_scan(no_docs).count() == 0
     assert secret_scan.mask_live(docs, owner=F.col("source")).columns == docs.columns

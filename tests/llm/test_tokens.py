@@ -40,6 +40,18 @@ def test_encode(docs, plain, library, chunk, overlap):
     assert Counter(tuple(r) for r in got) == expected(library, rows)
 
 
+def test_encode_unknown_code_points_in_chunks(spark, library):
+    """Code points without a class here, alone and inside words, at every place of a chunk; and rows that repeat."""
+    rng = random.Random(7)
+    unknown = ["\U0003fffe", "\u0378", "\U000e0080", "\U0001fbfb"]
+    rows = [(k, "".join(rng.choice([*unknown, "a", "é", " ", "  ", "\n", "'s", "12", "!", "東", "xyz"]) for _ in range(rng.randrange(1, 90)))) for k in range(60)]
+    rows += [rows[3]] * 3 + [(None, rows[4][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for chunk, overlap in ((7, 5), (25, 10)):
+        got = bpe.encode_documents(docs, PATH, chunk=chunk, overlap=overlap).collect()
+        assert Counter(tuple(r) for r in got) == expected(library, rows)
+
+
 def test_encode_empty(no_docs):
     assert bpe.encode_documents(no_docs, PATH).count() == 0
 
@@ -109,6 +121,7 @@ def test_plan_uses_every_length_and_pads_little():
         for v in members:
             used[v] += times
     assert (used == histogram).all()
+    assert packing.nnls_share(histogram) > 0.35
     total = sum(t for _, t in combos) * 2048
     assert 1 - (np.arange(2049) * histogram).sum() / total < 0.01
 
