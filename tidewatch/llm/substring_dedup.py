@@ -10,9 +10,11 @@ while neighbouring windows share most of their anchors. At the last level the ea
 and every other occurrence is removed.
 
 Documents are split into words once and travel as blocks: each distinct word of some MB of text once, and the numbers of the
-words, compressed, in the shared folder. A level writes one row per block and distinct hash; rows are counted with combining in
-the map tasks, and hashes that are in very many blocks are looked up from a bounded broadcast, so a passage that is everywhere
-meets in no task. Short runs are told apart by 64 bits, which can only add candidates; whole windows by 128.
+words, compressed, in the shared folder. A level sends the distinct hashes of a block to hash buckets, packed in arrays, and gets
+one bit back for each. Hashes that are in HOT_BLOCKS of SAMPLE_BLOCKS blocks are not sent to a bucket, which would get one from
+every block: short ones are known to be repeated, and of whole windows the first place is found by a sum with combining in
+the map tasks. The sample only picks the way; every hash has its exact answer. Short runs are told apart by 64 bits,
+which can only add candidates; whole windows by 128.
 
 Null and empty texts have no words. Null ids count as later than all others; of rows that tie in their id, the one in the earlier
 block, then the earlier row counts as earlier. A very long text is a block of its own and must fit a task. An empty table
@@ -33,6 +35,10 @@ from . import runtime as rt
 WINDOW, BASE = 20, 5
 #: Raw text of a block, and the most documents in it.
 BLOCK_BYTES, BLOCK_DOCS = 2_000_000, 4_000
+#: Hashes that a bucket should hold.
+BUCKET = 1_000_000
+#: Blocks in which frequent hashes are looked for (about), and in how many of them they are.
+SAMPLE_BLOCKS, HOT_BLOCKS = 64, 8
 _SECOND = np.uint64(0xA0761D6478BD642F)
 
 
@@ -44,7 +50,7 @@ def levels(window: int, base: int) -> list[int]:
 
 
 def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(block, blob): documents packed in the order in which they are read, as the numbers of their words."""
+    """(block, blob, words): documents packed in the order in which they are read, as the numbers of their words."""
 
     def made(batches):
         import zstandard
@@ -61,7 +67,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as out:
                 out.write_table(table)
-            return pa.record_batch({"block": pa.array([k], pa.int64()), "blob": pa.array([squeeze.compress(sink.getvalue())], pa.binary())})
+            return pa.record_batch({"block": pa.array([k], pa.int64()), "blob": pa.array([squeeze.compress(sink.getvalue())], pa.binary()), "words": pa.array([len(of)], pa.int64())})
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -75,7 +81,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         if ids:
             yield block()
 
-    return docs.select(rt.named(id_col).cast("long"), rt.text_of(rt.named(text_col))).mapInArrow(made, "block long, blob binary")
+    return docs.select(rt.named(id_col).cast("long"), rt.text_of(rt.named(text_col))).mapInArrow(made, "block long, blob binary, words long")
 
 
 class Block:
@@ -115,82 +121,167 @@ class Block:
         return np.stack([rt.window_hashes(self.h, window)[starts], second[starts]], axis=1)
 
 
-def _known(hashes: np.ndarray, repeated: np.ndarray) -> np.ndarray:
-    if not len(repeated):
-        return np.zeros(len(hashes), bool)
-    repeated = np.sort(repeated)
-    return repeated[np.minimum(np.searchsorted(repeated, hashes), len(repeated) - 1)] == hashes
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows of keys (n, 1 or 2) in order, the first place of each, and the number of each place's row."""
+    order = np.lexsort(keys.T[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return keys[order[new]], order[new], inverse
 
 
-def survivors(block: Block, answers: list, window: int, base: int) -> np.ndarray:
-    """Starts of the windows whose anchors were repeated at all levels answered so far; answers[k]: the repeated hashes of level k."""
+def _among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which rows of keys are rows of `some`, whose rows are distinct and in order."""
+    _, _, inverse = _distinct(np.concatenate([some, keys]))
+    there = np.zeros(len(some) + len(keys), bool)
+    there[inverse[: len(some)]] = True
+    return there[inverse[len(some) :]]
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys by bucket, and where each bucket ends."""
+    to = (rt.mix(keys[:, 0] ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(buckets)).astype(np.int64)
+    return np.argsort(to, kind="stable"), np.cumsum(np.bincount(to, minlength=buckets))
+
+
+class Level:
+    """What is known of a level: its buckets and frequent keys."""
+
+    def __init__(self, length: int, buckets: int, hot: np.ndarray):
+        self.length, self.buckets, self.hot = length, buckets, hot
+
+    def said(self, keys: np.ndarray, parts: list) -> np.ndarray:
+        """Answers for distinct keys in order: True for frequent ones, else the bit of their bucket."""
+        out = _among(keys, self.hot)
+        cold = np.flatnonzero(~out)
+        order, ends = _dealt(keys[cold], self.buckets)
+        for p in parts or []:
+            at = cold[order[(ends[p["bucket"] - 1] if p["bucket"] else 0) : ends[p["bucket"]]]]
+            out[at] = np.unpackbits(np.frombuffer(p["bits"], np.uint8), count=len(at)).astype(bool)
+        return out
+
+
+def survivors(block: Block, answers: list, known: list[Level], window: int) -> np.ndarray:
+    """Starts of the windows whose anchors were repeated at all levels answered so far."""
     starts = block.windows(window)
-    for length, repeated in zip(levels(window, base), answers, strict=False):
+    for level, parts in zip(known, answers, strict=False):
         if not len(starts):
             break
-        starts = starts[_known(block.anchors(starts, length, window)[0], np.array(repeated, np.int64).view(np.uint64))]
+        keys, _, inverse = _distinct(block.anchors(starts, level.length, window)[0][:, None])
+        starts = starts[level.said(keys, parts)[inverse]]
     return starts
 
 
-def _rows(**columns) -> pa.RecordBatch:
-    return pa.record_batch({k: pa.array(v if isinstance(v, list) else v.view(np.int64) if v.dtype == np.uint64 else v) for k, v in columns.items()})
+def _keys(block: Block, starts: np.ndarray, length: int, window: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct keys of a level in order, and what goes with each: whether it has two places in the block; at the last level
+    whether its first document has no id, and that id."""
+    if length < window:
+        h, at = block.anchors(starts, length, window)
+        at, first = np.unique(at, return_index=True)  # windows that share an anchor are one place
+        keys, _, inverse = _distinct(h[first][:, None])
+        return keys, [(np.bincount(inverse, minlength=len(keys)) > 1).astype(np.uint8)]
+    order = np.argsort(block.rank[block.doc[starts]], kind="stable")
+    keys, first, _ = _distinct(block.whole(starts, window)[order])
+    ids = [block.ids[k] for k in block.doc[starts[order[first]]].tolist()]
+    return keys, [np.array([i is None for i in ids], np.uint8), np.array([i or 0 for i in ids], np.int64)]
+
 
+def _blocks(batches, known, window):
+    """(name, block, surviving starts) of each block of a task that has any."""
+    for b in batches:
+        for name, blob, answers in zip(*(b.column(c).to_pylist() for c in ("block", "blob", "answers")), strict=True):
+            block = Block(blob)
+            starts = survivors(block, answers or [], known, window)
+            if len(starts):
+                yield name, block, starts
 
-def _level(state: DataFrame, length: int, window: int, base: int) -> DataFrame:
-    """(block, answer): the hashes of a block's anchors of this length that are repeated anywhere."""
+
+def _frequent(state: DataFrame, length: int, window: int, known: list[Level], count: int) -> np.ndarray:
+    """Keys that are in HOT_BLOCKS or more of the sampled blocks: a bounded number."""
 
     def send(batches):
-        for b in batches:
-            for name, blob, answers in zip(*(b.column(c).to_pylist() for c in ("block", "blob", "answers")), strict=True):
-                block = Block(blob)
-                starts = survivors(block, answers, window, base)
-                if len(starts):
-                    h, at = block.anchors(starts, length, window)
-                    at, first = np.unique(at, return_index=True)  # windows that share an anchor are one place
-                    h, places = np.unique(h[first], return_counts=True)
-                    yield _rows(block=np.full(len(h), name), h=h, places=np.minimum(places, 2))
+        for _, block, starts in _blocks(batches, known, window):
+            keys, _ = _keys(block, starts, length, window)
+            yield pa.record_batch({"h": pa.array(keys[:, 0].copy().view(np.int64)), "g": pa.array(keys[:, -1].copy().view(np.int64))})
 
-    sent = rt.materialise(state.mapInArrow(send, "block long, h long, places long"), f"level{length}")
-    repeated = sent.groupBy("h").agg(F.sum("places").alias("places"), F.count(F.lit(1)).alias("n")).where("places > 1").select("h", "n")
-    met = rt.meet(sent.select("block", "h"), repeated, ["h"], "n", sent.count())
-    answer = rt.materialise(met.groupBy("block").agg(F.collect_list("h").alias("answer")), "answer")
-    rt.discard(sent)
-    return answer
+    some = state.where(F.pmod(F.xxhash64("block"), F.lit(max(1, count // SAMPLE_BLOCKS))) == 0)
+    found = some.mapInArrow(send, "h long, g long").groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_BLOCKS)
+    keys = np.array([(r.h, r.g) for r in found.collect()], np.int64).reshape(-1, 2).view(np.uint64)
+    return _distinct(keys if length == window else keys[:, :1])[0]
 
 
-def _last(state: DataFrame, window: int, base: int) -> DataFrame:
-    """(block, later): the windows of a block, as pairs of hashes, whose first occurrence is in another block."""
+def _sent(state: DataFrame, level: Level, window: int, known: list[Level]) -> DataFrame:
+    """One row per bucket and block: the keys that belong there, with what goes with them."""
+    made = level
 
     def send(batches):
-        for b in batches:
-            for name, blob, answers in zip(*(b.column(c).to_pylist() for c in ("block", "blob", "answers")), strict=True):
-                block = Block(blob)
-                starts = survivors(block, answers, window, base)
-                if len(starts):
-                    order = np.argsort(block.rank[block.doc[starts]], kind="stable")
-                    h, first = np.unique(block.whole(starts, window)[order], axis=0, return_index=True)
-                    ids = [block.ids[k] for k in block.doc[starts[order[first]]].tolist()]
-                    yield _rows(block=np.full(len(h), name), h=h[:, 0].copy(), g=h[:, 1].copy(), id=pa.array(ids, pa.int64()).to_pylist())
-
-    sent = rt.materialise(state.mapInArrow(send, "block long, h long, g long, id long"), f"level{window}")
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "block")
-    owner = sent.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = rt.meet(sent.select("block", "h", "g"), owner.select("h", "g", F.col("first.block").alias("owner"), "n"), ["h", "g"], "n", sent.count())
-    later = rt.materialise(met.where("block <> owner").groupBy("block").agg(F.collect_list(F.struct("h", "g")).alias("later")), "later")
-    rt.discard(sent)
-    return later
-
-
-def _removed(block: Block, answers: list, later: list, window: int, base: int) -> np.ndarray:
+        for name, block, starts in _blocks(batches, known, window):
+            keys, extra = _keys(block, starts, made.length, window)
+            cold = np.flatnonzero(~_among(keys, made.hot))
+            order, ends = _dealt(keys[cold], made.buckets)
+            there = np.flatnonzero(np.diff(np.concatenate([[0], ends]))).tolist()
+            places = [cold[order[(ends[b - 1] if b else 0) : ends[b]]] for b in there]
+            packed = [[x[p].tobytes() for p in places] for x in (keys, *extra)]
+            columns = [pa.array(there, pa.int64()), pa.array([name] * len(there), pa.int64()), *[pa.array(x, pa.binary()) for x in packed]]
+            yield pa.record_batch(columns, names=["bucket", "block", "keys", "flag", "id"][: len(columns)])
+
+    return state.mapInArrow(send, "bucket long, block long, keys binary, flag binary" + (", id binary" if made.length == window else ""))
+
+
+def _ask(sent: DataFrame, last: bool) -> DataFrame:
+    """(block, parts, yes): for each key of a block whether it is repeated (last: whether another place is earlier)."""
+
+    def tested(table: pa.Table) -> pa.Table:
+        raw = table["keys"].to_pylist()
+        keys = np.frombuffer(b"".join(raw), np.uint64).reshape(-1, 2 if last else 1)
+        sizes = np.array([len(x) for x in raw]) // (16 if last else 8)
+        flag = np.frombuffer(b"".join(table["flag"].to_pylist()), np.uint8)
+        if last:  # the earliest: the least id, none after all others, then the first block
+            ids, block = np.frombuffer(b"".join(table["id"].to_pylist()), np.int64), np.repeat(table["block"].to_numpy(), sizes)
+            order = np.lexsort((block, ids, flag, keys[:, 1], keys[:, 0]))
+            later = np.zeros(len(order), bool)
+            later[1:] = (keys[order[1:]] == keys[order[:-1]]).all(axis=1)
+            bits = np.empty(len(order), bool)
+            bits[order] = later
+        else:  # repeated in the block itself (flag), or in several blocks
+            _, group = np.unique(keys[:, 0], return_inverse=True)
+            bits = (np.bincount(group, 1 + flag) > 1)[group]
+        parts = np.split(bits, np.cumsum(sizes)[:-1])
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "bits": pa.array([np.packbits(p).tobytes() for p in parts], pa.binary()), "yes": pa.array([int(p.sum()) for p in parts], pa.int64())})
+
+    got = sent.groupBy("bucket").applyInArrow(tested, "block long, bucket long, bits binary, yes long")
+    return got.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("parts"), F.sum("yes").alias("yes"))
+
+
+def _first_places(state: DataFrame, level: Level, window: int, known: list[Level]) -> dict[tuple[int, int], int]:
+    """The block of the first occurrence of each frequent window, of which there is a bounded number."""
+
+    def send(batches):
+        for name, block, starts in _blocks(batches, known, window):
+            keys, (none, ids) = _keys(block, starts, window, window)
+            at = np.flatnonzero(_among(keys, level.hot))
+            yield pa.record_batch({"h": pa.array(keys[at, 0].view(np.int64)), "g": pa.array(keys[at, 1].view(np.int64)), "none": pa.array(none[at].astype(np.int32)), "id": pa.array(ids[at]), "block": pa.array(np.full(len(at), name))})
+
+    rows = state.mapInArrow(send, "h long, g long, none int, id long, block long")
+    first = rows.groupBy("h", "g").agg(F.min(F.struct("none", "id", "block")).alias("first"))
+    return {(r.h & _WORD, r.g & _WORD): r.first.block for r in first.collect()}
+
+
+_WORD = (1 << 64) - 1
+
+
+def _removed(block: Block, name: int, answers: list, later: list, known: list[Level], owners: dict, window: int) -> np.ndarray:
     """Which words go: those of windows that are not the first of their sequence."""
     gone = np.zeros(len(block.h) + 1, np.int64)
-    starts = survivors(block, answers, window, base)
+    starts = survivors(block, answers, known[:-1], window)
     if len(starts):
-        order = np.argsort(block.rank[block.doc[starts]], kind="stable")
-        starts = starts[order]
-        keys, first, inverse = np.unique(block.whole(starts, window), axis=0, return_index=True, return_inverse=True)
-        elsewhere = {(x["h"] & 0xFFFFFFFFFFFFFFFF, x["g"] & 0xFFFFFFFFFFFFFFFF) for x in later or []}
-        bad = np.array([(int(h), int(g)) in elsewhere for h, g in keys], bool)[inverse.ravel()]
+        starts = starts[np.argsort(block.rank[block.doc[starts]], kind="stable")]
+        keys, first, inverse = _distinct(block.whole(starts, window))
+        elsewhere = known[-1].said(keys, later)
+        for k in np.flatnonzero(_among(keys, known[-1].hot)).tolist():
+            elsewhere[k] = owners[int(keys[k, 0]), int(keys[k, 1])] != name
+        bad = elsewhere[inverse]
         own = np.ones(len(starts), bool)
         own[first] = False
         bad = starts[bad | own]
@@ -204,26 +295,32 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, base: int = BASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, removed (start-end of each removed run of words)."""
+    spark = docs.sparkSession
     held = rt.materialise(blocks(docs, id_col, text_col), "blocks", "none")
-    state = held.select("block", "blob", F.array().cast("array<array<bigint>>").alias("answers"))
-    none = True
-    for length in levels(window, base)[:-1]:
-        answer = _level(state, length, window, base)
-        none = answer.isEmpty()
-        if none:
+    told = held.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
+    parts = "array<struct<bucket:bigint,bits:binary>>"
+    state = held.select("block", "blob", F.array().cast(f"array<{parts}>").alias("answers"))
+    known: list[Level] = []
+    owners: dict = {}
+    for length in levels(window, base):
+        before = list(known)
+        level = Level(length, max(8, int(told.words // (8 if length < window else 2) // BUCKET)), _frequent(state, length, window, before, told.n))
+        answer = rt.materialise(_ask(_sent(state, level, window, before), length == window), f"level{length}")
+        known.append(level)
+        if length == window and len(level.hot):
+            owners = _first_places(state, level, window, before)
+        state = state.join(answer.drop("yes"), "block", "left").select("block", "blob", F.concat("answers", F.array(F.coalesce("parts", F.array().cast(parts)))).alias("answers"))
+        if length < window and not len(level.hot) and not (answer.agg(F.sum("yes")).first()[0] or 0):
+            known.append(Level(window, 8, np.zeros((0, 2), np.uint64)))  # no window can be repeated
+            state = state.withColumn("answers", F.concat("answers", F.array(F.array().cast(parts))))
             break
-        state = state.join(answer, "block", "left").select("block", "blob", F.concat("answers", F.array(F.coalesce("answer", F.array().cast("array<bigint>")))).alias("answers"))
-    kind = "array<struct<h:bigint,g:bigint>>"
-    if none and base < window:  # no window can be repeated
-        state = state.select("block", "blob", F.array(F.array().cast("array<bigint>")).alias("answers"), F.array().cast(kind).alias("later"))
-    else:
-        state = state.join(_last(state, window, base), "block", "left")
+    shared = spark.sparkContext.broadcast(owners)
 
     def finish(batches):
         for b in batches:
-            for blob, answers, later in zip(*(b.column(c).to_pylist() for c in ("blob", "answers", "later")), strict=True):
+            for name, blob, answers in zip(*(b.column(c).to_pylist() for c in ("block", "blob", "answers")), strict=True):
                 block = Block(blob)
-                gone = _removed(block, answers, later, window, base)
+                gone = _removed(block, name, answers[:-1], answers[-1], known, shared.value, window)
                 ends, words = np.cumsum(block.counts).tolist(), block.vocabulary
                 rows = []
                 for i, n, end in zip(block.ids, block.counts.tolist(), ends, strict=True):
@@ -233,7 +330,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, base: int = BASE, id_
                     rows.append((i, n, n - len(kept), hashlib.sha256(b" ".join(map(words.__getitem__, kept))).hexdigest(), ",".join(f"{a}-{z}" for a, z in edges.reshape(-1, 2).tolist())))
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), RESULT, strict=True)], schema=RESULT)
 
-    return state.select("blob", "answers", "later").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, removed string")
+    return state.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, removed string")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
