@@ -133,6 +133,11 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
     """Which rows of keys are rows of `some`, whose rows are distinct and in order."""
+    if not len(some) or not len(keys):
+        return np.zeros(len(keys), bool)
+    if (some[1:, 0] != some[:-1, 0]).all():
+        at = np.minimum(np.searchsorted(some[:, 0], keys[:, 0]), len(some) - 1)
+        return (some[at] == keys).all(axis=1)
     _, _, inverse = _distinct(np.concatenate([some, keys]))
     there = np.zeros(len(some) + len(keys), bool)
     there[inverse[: len(some)]] = True
@@ -162,17 +167,6 @@ class Level:
         return out
 
 
-def survivors(block: Block, answers: list, known: list[Level], window: int) -> np.ndarray:
-    """Starts of the windows whose anchors were repeated at all levels answered so far."""
-    starts = block.windows(window)
-    for level, parts in zip(known, answers, strict=False):
-        if not len(starts):
-            break
-        keys, _, inverse = _distinct(block.anchors(starts, level.length, window)[0][:, None])
-        starts = starts[level.said(keys, parts)[inverse]]
-    return starts
-
-
 def _keys(block: Block, starts: np.ndarray, length: int, window: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Distinct keys of a level in order, and what goes with each: whether it has two places in the block; at the last level
     whether its first document has no id, and that id."""
@@ -187,23 +181,25 @@ def _keys(block: Block, starts: np.ndarray, length: int, window: int) -> tuple[n
     return keys, [np.array([i is None for i in ids], np.uint8), np.array([i or 0 for i in ids], np.int64)]
 
 
-def _blocks(batches, known, window):
-    """(name, block, surviving starts) of each block of a task that has any."""
+def _blocks(batches, window: int):
+    """(name, block, starts of candidate windows) of each block of a task; no bits: all windows are candidates."""
     for b in batches:
-        for name, blob, answers in zip(*(b.column(c).to_pylist() for c in ("block", "blob", "answers")), strict=True):
+        for name, blob, alive in zip(*(b.column(c).to_pylist() for c in ("block", "blob", "alive")), strict=True):
             block = Block(blob)
-            starts = survivors(block, answers or [], known, window)
-            if len(starts):
-                yield name, block, starts
+            starts = block.windows(window)
+            if alive is not None:
+                starts = np.flatnonzero(np.unpackbits(np.frombuffer(alive, np.uint8), count=min(len(block.h), 8 * len(alive))))
+            yield name, block, starts
 
 
-def _frequent(state: DataFrame, length: int, window: int, known: list[Level], count: int) -> np.ndarray:
+def _frequent(state: DataFrame, length: int, window: int, count: int) -> np.ndarray:
     """Keys that are in HOT_BLOCKS or more of the sampled blocks: a bounded number."""
 
     def send(batches):
-        for _, block, starts in _blocks(batches, known, window):
-            keys, _ = _keys(block, starts, length, window)
-            yield pa.record_batch({"h": pa.array(keys[:, 0].copy().view(np.int64)), "g": pa.array(keys[:, -1].copy().view(np.int64))})
+        for _, block, starts in _blocks(batches, window):
+            if len(starts):
+                keys, _ = _keys(block, starts, length, window)
+                yield pa.record_batch({"h": pa.array(keys[:, 0].copy().view(np.int64)), "g": pa.array(keys[:, -1].copy().view(np.int64))})
 
     some = state.where(F.pmod(F.xxhash64("block"), F.lit(max(1, count // SAMPLE_BLOCKS))) == 0)
     found = some.mapInArrow(send, "h long, g long").groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_BLOCKS)
@@ -211,22 +207,41 @@ def _frequent(state: DataFrame, length: int, window: int, known: list[Level], co
     return _distinct(keys if length == window else keys[:, :1])[0]
 
 
-def _sent(state: DataFrame, level: Level, window: int, known: list[Level]) -> DataFrame:
+def _sent(state: DataFrame, level: Level, window: int) -> DataFrame:
     """One row per bucket and block: the keys that belong there, with what goes with them."""
-    made = level
 
     def send(batches):
-        for name, block, starts in _blocks(batches, known, window):
-            keys, extra = _keys(block, starts, made.length, window)
-            cold = np.flatnonzero(~_among(keys, made.hot))
-            order, ends = _dealt(keys[cold], made.buckets)
+        for name, block, starts in _blocks(batches, window):
+            if not len(starts):
+                continue
+            keys, extra = _keys(block, starts, level.length, window)
+            cold = np.flatnonzero(~_among(keys, level.hot))
+            order, ends = _dealt(keys[cold], level.buckets)
             there = np.flatnonzero(np.diff(np.concatenate([[0], ends]))).tolist()
             places = [cold[order[(ends[b - 1] if b else 0) : ends[b]]] for b in there]
             packed = [[x[p].tobytes() for p in places] for x in (keys, *extra)]
             columns = [pa.array(there, pa.int64()), pa.array([name] * len(there), pa.int64()), *[pa.array(x, pa.binary()) for x in packed]]
             yield pa.record_batch(columns, names=["bucket", "block", "keys", "flag", "id"][: len(columns)])
 
-    return state.mapInArrow(send, "bucket long, block long, keys binary, flag binary" + (", id binary" if made.length == window else ""))
+    return state.mapInArrow(send, "bucket long, block long, keys binary, flag binary" + (", id binary" if level.length == window else ""))
+
+
+def _kept(state: DataFrame, answer: DataFrame, level: Level, window: int) -> DataFrame:
+    """The state with only those candidates whose anchor is repeated."""
+
+    def keep(batches):
+        for b in batches:
+            parts = b.column("parts").to_pylist()
+            bits = []
+            for (_, block, starts), said in zip(_blocks([b], window), parts, strict=True):
+                left = np.zeros(len(block.h), np.uint8)
+                if len(starts):
+                    keys, _, inverse = _distinct(block.anchors(starts, level.length, window)[0][:, None])
+                    left[starts[level.said(keys, said)[inverse]]] = 1
+                bits.append(np.packbits(left).tobytes())
+            yield b.select(["block", "blob"]).append_column("alive", pa.array(bits, pa.binary()))
+
+    return state.join(answer.select("block", "parts"), "block", "left").mapInArrow(keep, "block long, blob binary, alive binary")
 
 
 def _ask(sent: DataFrame, last: bool) -> DataFrame:
@@ -254,14 +269,15 @@ def _ask(sent: DataFrame, last: bool) -> DataFrame:
     return got.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("parts"), F.sum("yes").alias("yes"))
 
 
-def _first_places(state: DataFrame, level: Level, window: int, known: list[Level]) -> dict[tuple[int, int], int]:
+def _first_places(state: DataFrame, level: Level, window: int) -> dict[tuple[int, int], int]:
     """The block of the first occurrence of each frequent window, of which there is a bounded number."""
 
     def send(batches):
-        for name, block, starts in _blocks(batches, known, window):
-            keys, (none, ids) = _keys(block, starts, window, window)
-            at = np.flatnonzero(_among(keys, level.hot))
-            yield pa.record_batch({"h": pa.array(keys[at, 0].view(np.int64)), "g": pa.array(keys[at, 1].view(np.int64)), "none": pa.array(none[at].astype(np.int32)), "id": pa.array(ids[at]), "block": pa.array(np.full(len(at), name))})
+        for name, block, starts in _blocks(batches, window):
+            if len(starts):
+                keys, (none, ids) = _keys(block, starts, window, window)
+                at = np.flatnonzero(_among(keys, level.hot))
+                yield pa.record_batch({"h": pa.array(keys[at, 0].view(np.int64)), "g": pa.array(keys[at, 1].view(np.int64)), "none": pa.array(none[at].astype(np.int32)), "id": pa.array(ids[at]), "block": pa.array(np.full(len(at), name))})
 
     rows = state.mapInArrow(send, "h long, g long, none int, id long, block long")
     first = rows.groupBy("h", "g").agg(F.min(F.struct("none", "id", "block")).alias("first"))
@@ -271,15 +287,14 @@ def _first_places(state: DataFrame, level: Level, window: int, known: list[Level
 _WORD = (1 << 64) - 1
 
 
-def _removed(block: Block, name: int, answers: list, later: list, known: list[Level], owners: dict, window: int) -> np.ndarray:
+def _removed(block: Block, name: int, starts: np.ndarray, later: list, last: Level, owners: dict, window: int) -> np.ndarray:
     """Which words go: those of windows that are not the first of their sequence."""
     gone = np.zeros(len(block.h) + 1, np.int64)
-    starts = survivors(block, answers, known[:-1], window)
     if len(starts):
         starts = starts[np.argsort(block.rank[block.doc[starts]], kind="stable")]
         keys, first, inverse = _distinct(block.whole(starts, window))
-        elsewhere = known[-1].said(keys, later)
-        for k in np.flatnonzero(_among(keys, known[-1].hot)).tolist():
+        elsewhere = last.said(keys, later)
+        for k in np.flatnonzero(_among(keys, last.hot)).tolist():
             elsewhere[k] = owners[int(keys[k, 0]), int(keys[k, 1])] != name
         bad = elsewhere[inverse]
         own = np.ones(len(starts), bool)
@@ -298,29 +313,29 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, base: int = BASE, id_
     spark = docs.sparkSession
     held = rt.materialise(blocks(docs, id_col, text_col), "blocks", "none")
     told = held.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
-    parts = "array<struct<bucket:bigint,bits:binary>>"
-    state = held.select("block", "blob", F.array().cast(f"array<{parts}>").alias("answers"))
-    known: list[Level] = []
+    none = F.array().cast("array<struct<bucket:bigint,bits:binary>>").alias("parts")
+    state = held.select("block", "blob", F.lit(None).cast("binary").alias("alive"))
     owners: dict = {}
     for length in levels(window, base):
-        before = list(known)
-        level = Level(length, max(8, int(told.words // (8 if length < window else 2) // BUCKET)), _frequent(state, length, window, before, told.n))
-        answer = rt.materialise(_ask(_sent(state, level, window, before), length == window), f"level{length}")
-        known.append(level)
-        if length == window and len(level.hot):
-            owners = _first_places(state, level, window, before)
-        state = state.join(answer.drop("yes"), "block", "left").select("block", "blob", F.concat("answers", F.array(F.coalesce("parts", F.array().cast(parts)))).alias("answers"))
-        if length < window and not len(level.hot) and not (answer.agg(F.sum("yes")).first()[0] or 0):
-            known.append(Level(window, 8, np.zeros((0, 2), np.uint64)))  # no window can be repeated
-            state = state.withColumn("answers", F.concat("answers", F.array(F.array().cast(parts))))
+        level = Level(length, max(8, int(told.words // (8 if length < window else 2) // BUCKET)), _frequent(state, length, window, told.n))
+        answer = rt.materialise(_ask(_sent(state, level, window), length == window), f"level{length}")
+        if length == window:
+            owners = _first_places(state, level, window) if len(level.hot) else {}
+            state = state.join(answer.select("block", "parts"), "block", "left")
+        elif not len(level.hot) and not (answer.agg(F.sum("yes")).first()[0] or 0):
+            level = Level(window, 8, np.zeros((0, 2), np.uint64))
+            state = state.select("block", "blob", F.lit(b"").alias("alive"), none)  # no window can be repeated
             break
+        else:
+            old, state = held, rt.materialise(_kept(state, answer, level, window), "blocks", "none")
+            rt.discard(old, answer)
+            held = state
     shared = spark.sparkContext.broadcast(owners)
 
     def finish(batches):
         for b in batches:
-            for name, blob, answers in zip(*(b.column(c).to_pylist() for c in ("block", "blob", "answers")), strict=True):
-                block = Block(blob)
-                gone = _removed(block, name, answers[:-1], answers[-1], known, shared.value, window)
+            for (name, block, starts), later in zip(_blocks([b], window), b.column("parts").to_pylist(), strict=True):
+                gone = _removed(block, name, starts, later, level, shared.value, window)
                 ends, words = np.cumsum(block.counts).tolist(), block.vocabulary
                 rows = []
                 for i, n, end in zip(block.ids, block.counts.tolist(), ends, strict=True):
