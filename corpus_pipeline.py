@@ -1,7 +1,12 @@
 """Corpus pipeline: documents pass five stages, each made by one of the training-data operators.
 
 A stage takes (spark, docs, sf_dir); what it returns is written as Parquet and read again as the next one's docs. All but the
-last return the columns of docs.
+last return the columns of docs, whatever their names.
+
+Null and empty texts pass as empty ones: the classifier judges them like any text without features, one of them stays of the exact
+copies, and packing gives it its end id. Null ids lose ties and rows that repeat an id are rows of their own in every stage. A very
+long text is one row, which must fit a task. Ties go to the longer text (exact copies), then to the least id, then to the first
+row. Empty tables pass through. Stage results go to the shared folder, so a lost executor repeats only its own tasks.
 """
 
 from __future__ import annotations
