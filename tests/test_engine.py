@@ -65,6 +65,23 @@ def test_every_event_at_zero_and_negative_amounts(spark):
     assert cut.event == "transfer" and cut.amount is None and cut.amount_text is None
 
 
+def test_dynamic_abi_that_is_cut_off(spark):
+    word = lambda n: f"{n:064x}"
+    text = word(2) + b"hi".hex().ljust(64, "0")
+    rows = [("good", "0x" + word(64) + word(1) + text), ("empty", "0x" + word(64) + word(0) + word(0)), ("offset", "0x" + word(9999) + word(1) + text), ("length", "0x" + word(64) + word(1) + word(200)), ("huge", "0x" + word(2**200) + word(7)), ("none", "0x"), (None, None)]
+    df = spark.createDataFrame(rows, "k string, data string")
+    got = {r.k: (r.s, r.f) for r in df.select("k", *[c.alias(n) for n, c in zip("sf", evm.decode_abi(F.col("data"), ["string", "bool"]), strict=True)]).collect()}
+    assert got == {"good": ("hi", True), "empty": ("", False), "offset": (None, True), "length": (None, True), "huge": (None, None), "none": (None, None), None: (None, None)}
+
+
+def test_age_attenuation_is_linear(spark):
+    from tidewatch.operators import scoring
+
+    df = spark.createDataFrame([(a,) for a in (0, 7, 48, 90, 400)], "age_days int").selectExpr("*", "false AS jup_strict", "false AS jup_verified")
+    text = scoring.attenuation(1.2, 0.4).replace(scoring.established(), "false")
+    assert [round(r[0], 6) for r in df.selectExpr(text).collect()] == [1.2, 1.2, round(1.2 - 41 / 83 * 0.8, 6), 0.4, 0.4]
+
+
 def test_unknown_and_short_logs(spark):
     rows = [(["0x" + "11" * 32], "0x"), (None, None), ([evm.selector(evm.EVENTS["transfer"][0])], "0x12")]
     got = evm.decode_logs(spark.createDataFrame(rows, "topics array<string>, data string")).collect()

@@ -103,13 +103,14 @@ def pump_dump(d: Dialect) -> str:
 
 
 def insider_sales(d: Dialect) -> str:
-    """Signal C of pump and dump: what the largest net buyers of a token sold in the last day, against what they held."""
+    """Signal C of pump and dump: what the insiders of a token, who hold at least 1 % of what all hold, sold in the last day."""
     return f"""
     WITH held AS (SELECT token, sender, CAST(sum(CASE WHEN side = 'buy' THEN cents ELSE -cents END) AS BIGINT) AS net FROM {{swaps}} WHERE t < {S - DAY} GROUP BY token, sender),
-    top AS (SELECT token, sender, net, row_number() OVER (PARTITION BY token ORDER BY net DESC, sender) AS nth FROM held WHERE net > 0),
+    whole AS (SELECT token, CAST(sum(net) AS BIGINT) AS net FROM held WHERE net > 0 GROUP BY token),
+    top AS (SELECT held.token, sender, held.net FROM held JOIN whole ON held.token = whole.token WHERE held.net > 0 AND 100 * held.net >= whole.net),
     sold AS (SELECT token, sender, CAST(sum(cents) AS BIGINT) AS cents FROM {{swaps}} WHERE side = 'sell' AND t >= {S - DAY} AND t < {S} GROUP BY token, sender)
     SELECT top.token, count(*) AS insiders, round(CAST(sum(coalesce(sold.cents, 0)) AS DOUBLE) / CAST(sum(top.net) AS DOUBLE), 6) AS sold_share, CAST(CASE WHEN CAST(sum(coalesce(sold.cents, 0)) AS DOUBLE) >= 0.40 * CAST(sum(top.net) AS DOUBLE) THEN 0.15 ELSE 0 END AS DOUBLE) AS amplifier
-    FROM top LEFT JOIN sold ON top.token = sold.token AND top.sender = sold.sender WHERE top.nth <= 5 GROUP BY top.token"""
+    FROM top LEFT JOIN sold ON top.token = sold.token AND top.sender = sold.sender GROUP BY top.token"""
 
 
 def smart_amplifier(d: Dialect) -> str:

@@ -40,11 +40,11 @@ TEXTS = {
     "a10_breakdown": lambda d: "SELECT kind, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM {classes} GROUP BY kind",
     # windows
     "wn1_running_burns": lambda d: "SELECT pool, actor, t, tx_hash, log_index, lp_tokens, CAST(burned AS BIGINT) AS burned FROM (SELECT *, sum(lp_tokens) OVER (PARTITION BY pool, actor ORDER BY t, block_height, tx_hash, log_index, lp_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS burned FROM {lp_events} WHERE event_kind = 'burn') AS x WHERE burned >= 60",
-    "wn2_rankings": lambda d: "SELECT token, sender, t, nth FROM (SELECT token, sender, t, row_number() OVER (PARTITION BY token, sender ORDER BY t, seq) AS nth FROM {swaps} WHERE side = 'buy') AS x WHERE nth <= 3",
+    "wn2_rankings": lambda d: "SELECT token, sender, t, nth FROM (SELECT token, sender, t, row_number() OVER (PARTITION BY token, sender ORDER BY t, seq) AS nth FROM {swaps} WHERE side = 'buy') AS x WHERE nth <= 1000",
     "wn3_lag": lambda d: "SELECT deployer, token, t - before AS gap FROM (SELECT deployer, token, t, lag(t) OVER (PARTITION BY deployer ORDER BY t, token) AS before FROM {launches}) AS x WHERE before IS NOT NULL",
     "wn4_percent_rank": lambda d: f"SELECT sender, round(pct, 6) AS pct FROM ({d.percent_ranked('SELECT sender, count(*) AS trades FROM {swaps} GROUP BY sender', 'trades', 'pct')}) AS x",
     # ordering
-    "l01_top_holders": lambda d: "SELECT chain, token, holder, balance FROM (SELECT *, row_number() OVER (PARTITION BY chain, token ORDER BY balance DESC, holder) AS nth FROM {balances}) AS x WHERE nth <= 3",
+    "l01_top_holders": lambda d: "SELECT chain, token, holder, balance FROM (SELECT *, row_number() OVER (PARTITION BY chain, token ORDER BY balance DESC, holder) AS nth FROM {balances}) AS x WHERE nth <= 1000",
     "l02_capped_rows": lambda d: "SELECT token, least(count(*), 5000) AS used, CASE WHEN count(*) > 5000 THEN 1 ELSE 0 END AS warned FROM {swaps} GROUP BY token",
     "l03_event_page": lambda d: f"SELECT id, token, detector_id, t, confidence FROM {{anomalies}} WHERE confidence >= 0.4 AND t < {S} ORDER BY t DESC, id DESC LIMIT 101",
     "l04_all_transfers": lambda d: "SELECT chain, count(*) AS n, count(DISTINCT tx_hash) AS txs FROM {transfers} GROUP BY chain",

@@ -16,8 +16,9 @@ def weight(x: str, weights: dict, other: float) -> str:
     return "CAST(CASE " + x + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + f" ELSE {other} END AS DOUBLE)"
 
 
-def attenuation() -> str:
-    age = "CASE WHEN age_days < 7 THEN 1.0 WHEN age_days >= 90 THEN 1.0 ELSE 1.0 + (age_days - 7) / 83.0 * (1.0 - 1.0) END"
+def attenuation(young: float = 1.0, old: float = 1.0) -> str:
+    """Factor of listed and established tokens, and of age: `young` up to a week, `old` from 90 days, linear between."""
+    age = f"CASE WHEN age_days < 7 THEN {young} WHEN age_days >= 90 THEN {old} ELSE {young} + (age_days - 7) / 83.0 * ({old} - {young}) END"
     return f"CAST(CASE WHEN jup_strict THEN 0.30 WHEN jup_verified THEN 0.60 ELSE 1 END * CASE WHEN {established()} THEN 0.50 ELSE 1 END * {age} AS DOUBLE)"
 
 

@@ -37,7 +37,7 @@ def additive(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 def without_reorged(rows: DataFrame, reorgs: DataFrame, seen: str = "seen_at") -> DataFrame:
     """Rows that no later reorg at or below their height has undone: an anti-join instead of deletes."""
     r = reorgs.select(F.col("chain").alias("__chain"), "from_height", F.col("reorg_at"))
-    return rows.join(F.broadcast(r), (F.col("chain") == F.col("__chain")) & (F.col("block_height") >= F.col("from_height")) & (F.col(seen) < F.col("reorg_at")), "left_anti")
+    return rows.join(r, (F.col("chain") == F.col("__chain")) & (F.col("block_height") >= F.col("from_height")) & (F.col(seen) < F.col("reorg_at")), "left_anti")
 
 
 def append(df: DataFrame, path: str, partition: list[str]) -> None:
@@ -51,11 +51,11 @@ def overwrite_partitions(df: DataFrame, path: str, partition: list[str]) -> None
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    import tempfile
     import uuid
 
-    there = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewatch_")
-    return f"{there.rstrip('/')}/tidewatch/{name}-{uuid.uuid4().hex}"
+    from ..sources.files import shared_folder
+
+    return f"{shared_folder(spark)}/tidewatch/{name}-{uuid.uuid4().hex}"
 
 
 def inserted_twice(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,6 +130,33 @@ def as_text(w: Column) -> Column:
     return F.regexp_replace(F.concat(*reversed(out)), "^0+(?=.)", "")
 
 
+def decode_abi(data: Column, types: list[str]) -> list[Column]:
+    """A column for each ABI type of a parameter list in `data` (0x and hex digits): address, uintN and intN (DECIMAL(38,0), null
+    beyond 37 digits), bool, bytesN, and bytes and string by the offset in their head word. Null where a word or the bytes
+    that an offset or length promises are not there, or a bool is neither 0 nor 1."""
+    at = lambda k: F.substring(data, k, F.lit(64))
+    whole = lambda w: F.when(F.length(w) == 64, F.lower(w))
+    small = lambda w: F.when(F.substring(w, 1, 56) == "0" * 56, F.conv(F.substring(w, 57, 8), 16, 10).cast("int"))
+    out = []
+    for k, kind in enumerate(types):
+        head = whole(at(F.lit(3 + 64 * k)))
+        if kind in ("bytes", "string"):
+            start = 3 + 2 * small(head)
+            size = small(whole(at(start)))
+            body = F.substring(data, start + 64, 2 * size)
+            body = F.when(F.length(body) == 2 * size, F.lower(body))
+            out.append(F.decode(F.unhex(body), "UTF-8") if kind == "string" else F.concat(F.lit("0x"), body))
+        elif kind == "address":
+            out.append(as_address(head))
+        elif kind == "bool":
+            out.append(F.when(small(head).isin(0, 1), small(head) == 1))
+        elif kind.startswith("bytes"):
+            out.append(F.concat(F.lit("0x"), F.substring(head, 1, 2 * int(kind[5:]))))
+        else:
+            out.append(as_signed(head, F.lit(kind.startswith("int"))))
+    return out
+
+
 _PLACES = ("t1", "t2", "t3", "d0", "d1", "d2", "d3", "d4")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,9 @@ SCHEMAS = {
     "anomaly_events": [("chain", "string"), ("token", "string"), ("detector_id", "string"), ("observed_at", "timestamp"), ("confidence", "double"), ("severity", "string"), ("metrics", "map<string,double>"), ("emitted_by", "string")],
 }
 
+#: The longest list that is broadcast.
+REGISTRY_ROWS = 100_000
+
 
 def schema(name: str) -> T.StructType:
     return T.StructType.fromDDL(", ".join(f"{c} {t}" for c, t in SCHEMAS[name]))
@@ -36,8 +40,20 @@ def stream_events(spark: SparkSession, path: str, name: str, files: int = 100) -
 
 
 def registry(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
-    """A short list (known bridges, drainers, lockers, exchange wallets), to be broadcast."""
-    return F.broadcast(spark.createDataFrame(rows, columns))
+    """A list (known bridges, drainers, lockers, exchange wallets), to be broadcast unless it is long."""
+    known = spark.createDataFrame(rows, columns)
+    return F.broadcast(known) if len(rows) <= REGISTRY_ROWS else known
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only on a local master."""
+    sc = spark.sparkContext
+    there = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not there:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        there = tempfile.mkdtemp(prefix="tidewatch_")
+    return there.rstrip("/")
 
 
 #: Adapters by name: how a chain's events are read; new ones are added with `adapter`.

@@ -62,6 +62,31 @@ def decoded_oracle(d: Dialect) -> str:
     return f"SELECT seq, CASE seq % {len(KINDS)} {named} END AS event, {', '.join(columns)} FROM {{swaps}}"
 
 
+def _tail(x) -> F.Column:
+    """A length word and the bytes of a string, padded to whole words."""
+    raw = F.lower(F.hex(F.encode(x, "UTF-8")))
+    return F.concat(_word((F.length(raw) / 2).cast("long")), F.rpad(raw, (F.ceil(F.length(raw) / 64) * 64).cast("int"), F.lit("0")))
+
+
+ABI = ["address", "string", "uint256", "bytes", "bool", "bytes4", "int256"]
+
+
+def decoded_abi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    swaps = Tables(spark, sf_dir)("swaps")
+    one = _tail(F.concat(F.lit("é"), F.col("token")))
+    two = F.lit(32 * len(ABI)) + F.length(one) / 2
+    flag = (F.col("seq") % 2).cast("long")
+    heads = [F.concat(F.lit("0" * 24), _address("pool")), _word(F.lit(32 * len(ABI))), _word(F.col("cents")), _word(two.cast("long")), _word(flag), F.rpad(F.substring(F.md5("sender"), 1, 8), 64, "0"), _word(-F.col("cents"))]
+    data = swaps.select("seq", F.concat(F.lit("0x"), *heads, one, _tail(F.col("sender"))).alias("data"))
+    names = ["pool", "name", "amount", "payload", "flag", "tag", "change"]
+    got = data.select("seq", *[c.alias(n) for n, c in zip(names, evm.decode_abi(F.col("data"), ABI), strict=True)])
+    return got.withColumn("amount", F.col("amount").cast("long")).withColumn("change", F.col("change").cast("long"))
+
+
+def abi_oracle(d: Dialect) -> str:
+    return "SELECT seq, concat('0x', md5(pool), substring(md5(concat('a', pool)), 1, 8)) AS pool, concat('é', token) AS name, cents AS amount, concat('0x', lower(hex(sender))) AS payload, seq % 2 = 1 AS flag, concat('0x', substring(md5(sender), 1, 8)) AS tag, -cents AS change FROM {swaps}"
+
+
 def initialized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evm.initialize_events(evm.decode_logs(evm_logs(spark, sf_dir))).groupBy("event_kind", "event").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("pool").alias("pools"))
 
@@ -142,6 +167,7 @@ def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "s02_evm_logs": (decoded_logs, decoded_oracle),
     "s03_initialize": (initialized, initialized_oracle),
+    "s04_dynamic_abi": (decoded_abi, abi_oracle),
     "s06_solana_transfers": (decoded_transfers, transfers_oracle),
     "s07_token2022": (decoded_withdrawals, lambda d: "SELECT 'withdraw_from_mint' AS kind, 3 AS log_index, count(*) AS n FROM {swaps}"),
     "s08_pool_swaps": (decoded_pools, lambda d: "SELECT seq, program, 'swap_in' AS kind, cents AS amount0, cents + 1 AS amount1 FROM {swaps} CROSS JOIN " + d.rows("('raydium_v4'), ('raydium_cpmm')", "program")),
