@@ -35,14 +35,14 @@ def test_pipeline(spark):
     texts = {i: r.text for i, r in rows.items()}
     for r in spans:
         gone = set()
-        for v in r["__verdicts"]:
+        for v in r.verdicts:
             gone |= set(range(v.start, v.end)) if v.live else set()
-        text, out = texts[r["__id"]], ""
+        text, out = texts[r["id"]], ""
         for k, c in enumerate(text):
             out += "" if k in gone else c
-            starts = any(v.live and v.start == k for v in r["__verdicts"]) and k - 1 not in gone
+            starts = any(v.live and v.start == k for v in r.verdicts) and k - 1 not in gone
             out += secret_scan.MASK if starts else ""
-        texts[r["__id"]] = out
+        texts[r["id"]] = out
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = Counter()
@@ -66,3 +66,20 @@ def test_stages_keep_columns_and_clean_documents(spark, docs):
     empty = spark.createDataFrame([], docs.schema)
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, empty, DATA).count() == 0
+
+
+def test_stages_keep_columns_with_operators_names(spark):
+    """Extra columns whose names operators use themselves pass every stage with their values."""
+    names = ["__id", "__score", "__n", "row", "id", "no", "best", "set", "score", "size"]
+    rows = [(k, f"one two three four five {'six' * (k % 3)} token = abcdef{k % 2}99999", "s", "en", *range(k, k + len(names))) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, " + ", ".join(f"{n} long" for n in names))
+    labels = rt.read_table(spark, DATA, "labels")
+    kept = toxicity.keep_clean(docs, labels.where("doc_id < 0"))
+    assert kept.columns == docs.columns and kept.count() == 12
+    out = docs
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        out = rt.materialise(stage(spark, out, DATA), "stage")
+        assert out.columns == docs.columns
+    for r in out.collect():
+        assert tuple(r)[4:] == rows[r.doc_id][4:]
+    assert corpus_pipeline.STAGES[4][1](spark, out, DATA).count() == out.count() > 0
