@@ -15,6 +15,7 @@ from tidewatch.functions import exprs
 from tidewatch.operators import detectors, graph, sequences, sinks, smart_money
 from tidewatch.plans.dialect import Tables, run
 from tidewatch.sources import evm, files, solana
+from tidewatch.streaming import jobs
 
 DATA = "/root/testdata/sf0.001"
 
@@ -163,6 +164,28 @@ def test_synchronised_clusters_all_buyers(spark):
         assert r.confidence == pytest.approx(min(0.9, 0.4 / (1 + math.exp(-(r["size"] - 5) / 5)) + 0.3 * r.tightness + 0.3 * (1 - chance)))
 
 
+def test_synchronised_by_the_default_parameters(spark):
+    """Six wallets within 3 s, in the third of three busy windows; the same burst in a token without history is skipped."""
+    at = 600 * 3000
+    burst = [(token, f"w{k}", "buy", at + k // 2, f"x{k}") for token in ("old", "new") for k in range(6)]
+    before = [("old", f"b{k}", "buy", at - 600 * 100 * (1 + k % 2) + k, f"y{k}") for k in range(12)] + [("old", "b", "buy", at - 8 * 86_400, "z")]
+    legs = spark.createDataFrame(burst + before, "token string, wallet string, leg string, t long, tx_hash string")
+    (r,) = sequences.synchronised(legs, sequences.Synchrony()).where(f"window_no = {at // 600}").collect()
+    chance = (1 - math.exp(-12 / 604_800 * 30)) ** 6
+    assert (r.token, r["size"], r.wallets) == ("old", 6, "w0,w1,w2,w3,w4,w5")
+    assert r.tightness == pytest.approx(1 - 2 / 30) and r.chance == pytest.approx(chance) and chance < 1e-6
+    assert r.confidence == pytest.approx(0.4 / (1 + math.exp(-1 / 5)) + 0.3 * r.tightness + 0.3 * (1 - chance / 1e-6))
+    (a,) = sequences.synchrony_anomalies(sequences.synchronised(legs, sequences.Synchrony()).where(f"window_no = {at // 600}")).collect()
+    assert (a.subject, a.severity) == ("old", "critical" if r.confidence >= 0.8 else "high")
+
+
+def test_change_point_anomalies(spark):
+    rows = [("d", "a", 6, 0.1, 0.6, 0.7, 0, 9), ("d", "b", 7, 0.1, 0.0033, 0.75, 1, 6), ("d", "c", 8, 0.1, 0.0033, 0.75, 1, 2), ("d", "e", 5, 0.1, 0.9, 0.9, 1, 9), ("d", "f", 9, 0.1, 0.0033, 0.4, 1, 9)]
+    points = spark.createDataFrame(rows, "deployer string, token string, nth long, score double, cp_prob double, p_short double, run_mode int, run_drop int")
+    got = [(r.token, r.signal, r.confidence, r.severity) for r in sequences.change_point_anomalies(points).orderBy("nth").collect()]
+    assert got == [("a", "changepoint", 0.6, "high"), ("b", "run_reset", 0.75, "high")]
+
+
 def test_change_points_mass():
     rng = np.random.default_rng(2)
     model = sequences.ChangePoints()
@@ -252,6 +275,30 @@ def test_detectors_are_isolated_and_can_be_added(spark, monkeypatch):
     assert {"own"} <= {r.detector_id for r in got.collect()} and "own" in api.list_detectors()
 
 
+def test_sweep_goes_on_after_failures(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(api, "_EXTRA", {})
+    rows = "token AS subject", "'own' AS detector_id", "'x' AS signal", "CAST(0.5 AS DOUBLE) AS confidence"
+    api.register_detector("own", lambda t: t("tokens").selectExpr(*rows, "'medium' AS severity"))
+    api.register_detector("breaks", lambda t: t("tokens").selectExpr(*rows, "CAST(raise_error('no') AS STRING) AS severity"))
+    api.register_detector("stalls", lambda t: t("tokens").selectExpr(*rows, "CAST(reflect('java.lang.Thread', 'sleep', 40000L) AS STRING) AS severity"))
+    for names in (["breaks", "own", "stalls"], ["own"]):
+        got = {r.detector_id: r.status for r in api.sweep(spark, DATA, str(tmp_path / "out"), 20, only=names).collect()}
+        assert got == {k: {"own": "ok", "breaks": "failed", "stalls": "late"}[k] for k in names}
+    stored = spark.read.parquet(str(tmp_path / "out"))
+    assert stored.where("detector_id = 'own'").count() == Tables(spark, DATA)("tokens").count()
+
+
+def test_windows_are_written_once_and_closed_by_the_watermark(spark, tmp_path):
+    """Two files a week apart: the first run closes what the watermark has passed, the restarted one the rest, none twice."""
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    early = events.selectExpr("min(ts) AS t").first().t
+    for k in range(2):
+        events.limit(40).withColumn("ts", F.lit(early) + F.expr(f"make_dt_interval({7 * k})")).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    seen = jobs.closed(lambda e: e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n")), spark, str(tmp_path), str(tmp_path / "at"), "1 day")
+    assert seen.groupBy("window", "event_type").count().where("count > 1").count() == 0
+    assert seen.agg(F.sum("n")).first()[0] == 80 and seen.select("window").distinct().count() == 2
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = run(spark, lambda d: "SELECT token, count(*) AS n FROM {swaps} GROUP BY token", Tables(spark, DATA))._jdf.queryExecution().executedPlan().toString()
     assert "props" not in re.search(r"ReadSchema: (.*)", plan)[1]

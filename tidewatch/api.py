@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as Late
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import detectors, scoring
+from .operators import detectors, scoring, sequences
 from .plans.dialect import SPARK, Tables, run
 from .streaming.jobs import isolated
 
@@ -18,6 +22,11 @@ DETECTORS = {
     "wash_trading_h1": (detectors.wash_trading, "pool"), "mint_burn_anomaly": (detectors.mint_burn, "token"), "withdraw_withheld_drain": (detectors.withheld, "mint"), "sybil_detection": (detectors.sybil, "token"),
     "launch_audit": (detectors.launch_audit, "token"), "permit2_drainer_v1": (detectors.permit_drainer, "token"), "sandwich_mev_v1": (detectors.sandwich, "pool"), "bridge_drain_v1": (detectors.bridge_drain, "address"),
 }
+#: Detectors of sequences, which are no SQL text.
+SEQUENCES: dict[str, Callable[[Tables], DataFrame]] = {
+    "deployer_changepoint": lambda t: sequences.change_point_anomalies(sequences.change_points(run(t.spark, detectors.deployer_features, t))),
+    "synchronized_activity_v1": lambda t: sequences.synchrony_anomalies(sequences.synchronised(t("legs"))),
+}
 _EXTRA: dict[str, Callable[[Tables], DataFrame]] = {}
 
 
@@ -27,18 +36,51 @@ def register_detector(detector_id: str, made: Callable[[Tables], DataFrame]) ->
 
 
 def list_detectors() -> list[str]:
-    return sorted([*DETECTORS, *_EXTRA])
+    return sorted([*DETECTORS, *SEQUENCES, *_EXTRA])
 
 
-def analyze(spark: SparkSession, sf_dir: str, subjects: list[str] | None = None) -> DataFrame:
-    """Anomalies of all detectors over all subjects, or some of them (a pushed filter); one that cannot be planned is skipped."""
+def _made(spark: SparkSession, sf_dir: str, only: Iterable[str] | None = None) -> dict[str, Callable[[], DataFrame]]:
+    """The plans of the detectors by id, all on the same tables."""
     tables = Tables(spark, sf_dir)
     made = {k: (lambda text=text, key=key: run(spark, text, tables).withColumn("subject", F.col(key))) for k, (text, key) in DETECTORS.items()}
-    made |= {k: (lambda f=f: f(tables)) for k, f in _EXTRA.items()}
-    out = isolated(made, COMMON)
+    made |= {k: (lambda f=f: f(tables)) for k, f in (SEQUENCES | _EXTRA).items()}
+    return made if only is None else {k: made[k] for k in only}
+
+
+def analyze(spark: SparkSession, sf_dir: str, subjects: list[str] | None = None, only: Iterable[str] | None = None) -> DataFrame:
+    """Anomalies of all detectors (or `only` some) over all subjects, or some of them (a pushed filter); one that cannot be planned is
+    skipped. `sweep` also survives one that fails while it runs."""
+    out = isolated(_made(spark, sf_dir, only), COMMON)
     return out.where(F.col("subject").isin(subjects)) if subjects else out
 
 
+def sweep(spark: SparkSession, sf_dir: str, at: str, timeout_s: float = 3600, at_once: int = 4, only: Iterable[str] | None = None) -> DataFrame:
+    """Runs each detector as a job of its own and writes its anomalies below `at`, in a partition that a later run replaces. One that
+    fails or takes longer than `timeout_s` is cancelled; the others go on. Returns detector_id, status (ok, failed, late), error, seconds."""
+    number = f"sweep-{time.time_ns()}"
+
+    def one(name: str, made: Callable[[], DataFrame]) -> None:
+        spark.addTag(f"{number}-{name}")
+        made().select(*COMMON).drop("detector_id").write.mode("overwrite").parquet(f"{at}/detector_id={name}")
+
+    def watched(name: str, made: Callable[[], DataFrame]) -> tuple[str, str, str | None, float]:
+        begun, inner = time.monotonic(), ThreadPoolExecutor(1)
+        try:
+            inner.submit(inheritable_thread_target(spark)(one), name, made).result(timeout_s)
+            status, error = "ok", None
+        except Late:
+            spark.interruptTag(f"{number}-{name}")
+            status, error = "late", None
+        except Exception as e:  # noqa: BLE001  (a detector of any kind may be registered)
+            status, error = "failed", type(e).__name__
+        inner.shutdown(wait=False, cancel_futures=True)
+        return name, status, error, time.monotonic() - begun
+
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = list(pool.map(lambda x: watched(*x), _made(spark, sf_dir, only).items()))
+    return spark.createDataFrame(rows, "detector_id string, status string, error string, seconds double")
+
+
 def score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of every token."""
     return run(spark, scoring.TEXTS["r10_report"], Tables(spark, sf_dir))
@@ -65,7 +107,7 @@ def events_page(spark: SparkSession, sf_dir: str, size: int = 50, cursor: tuple[
 
 
 def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze(spark, sf_dir).groupBy("detector_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+    return analyze(spark, sf_dir, only=DETECTORS).groupBy("detector_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def analyzed_text(d=SPARK) -> str:

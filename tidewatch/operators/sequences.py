@@ -5,60 +5,63 @@ from __future__ import annotations
 import functools
 import math
 from collections import deque
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import severity_col
 from ..plans.dialect import Dialect, Tables, run
 from .detectors import deployer_features
 
 HAZARD, SHORT = 1 / 300, 2
-#: Prior of mean and precision: mean, its weight, shape and rate.
+#: Priors of mean and precision (mean, its weight, shape and rate): of the original scores, and of those of the derived tables.
+DEFAULT_PRIOR = (0.2, 1.0, 3.0, 1.0)
 PRIOR = (0.3, 1.0, 2.0, 0.05)
 
 
 @functools.lru_cache(maxsize=4)
-def _by_run(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _by_run(n: int, prior: tuple[float, float, float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a run of k < n observations only mean and rate depend on the data; weight, shape and the predictive's constant do not."""
     runs = np.arange(n)
-    shape = PRIOR[2] + 0.5 * runs
-    return PRIOR[1] + runs, shape, np.array([math.lgamma(a + 0.5) - math.lgamma(a) - 0.5 * math.log(2 * a * math.pi) for a in shape])
+    shape = prior[2] + 0.5 * runs
+    return prior[1] + runs, shape, np.array([math.lgamma(a + 0.5) - math.lgamma(a) - 0.5 * math.log(2 * a * math.pi) for a in shape])
 
 
 class ChangePoints:
     """Run-length posterior of a sequence: Normal-Gamma conjugate updates, Student-t predictive, in log space. All run lengths are
     kept, so a step takes as long as the sequence so far."""
 
-    def __init__(self):
-        self.log_mass = np.zeros(1)
-        self.mean, self.rate = np.array([PRIOR[0]]), np.array([PRIOR[3]])
+    def __init__(self, prior: tuple[float, float, float, float] = PRIOR, hazard: float = HAZARD):
+        self.prior, self.hazard, self.log_mass = prior, hazard, np.zeros(1)
+        self.mean, self.rate = np.array([prior[0]]), np.array([prior[3]])
 
     def step(self, x: float) -> tuple[float, float, int]:
         """(P(run is 0), P(run is short), most likely run) after x."""
         n = len(self.mean)
-        weight, shape, constant = (a[:n] for a in _by_run(max(512, 1 << (n - 1).bit_length())))
+        weight, shape, constant = (a[:n] for a in _by_run(max(512, 1 << (n - 1).bit_length()), self.prior))
         spread = self.rate * (weight + 1) / (shape * weight)
         gap = (x - self.mean) ** 2
         joint = self.log_mass + constant - 0.5 * np.log(spread) - (shape + 0.5) * np.log1p(gap / (2 * shape * spread))
         top = joint.max()
-        fresh = math.log(HAZARD) + top + math.log(np.exp(joint - top).sum())
-        mass = np.concatenate([[fresh], math.log(1 - HAZARD) + joint])
+        fresh = math.log(self.hazard) + top + math.log(np.exp(joint - top).sum())
+        mass = np.concatenate([[fresh], math.log(1 - self.hazard) + joint])
         peak = mass.max()
         self.log_mass = mass - peak - math.log(np.exp(mass - peak).sum())
-        self.rate = np.concatenate([[PRIOR[3]], self.rate + weight * gap / (2 * (weight + 1))])
-        self.mean = np.concatenate([[PRIOR[0]], (weight * self.mean + x) / (weight + 1)])
+        self.rate = np.concatenate([[self.prior[3]], self.rate + weight * gap / (2 * (weight + 1))])
+        self.mean = np.concatenate([[self.prior[0]], (weight * self.mean + x) / (weight + 1)])
         p = np.exp(self.log_mass)
         return float(p[0]), float(p[: SHORT + 1].sum()), int(p.argmax())
 
 
-def change_points(features: DataFrame) -> DataFrame:
+def change_points(features: DataFrame, prior: tuple[float, float, float, float] = PRIOR, hazard: float = HAZARD) -> DataFrame:
     """deployer, token, nth, score, cp_prob (P(run is 0), which equals the hazard by its algebra), p_short, run_mode, run_drop."""
 
     def per_deployer(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("nth")
-        model, rows, before = ChangePoints(), [], 0
+        model, rows, before = ChangePoints(prior, hazard), [], 0
         for r in g.itertuples():
             cp, short, mode = model.step(r.score)
             rows.append((r.deployer, r.token, r.nth, r.score, cp, short, mode, max(0, before + 1 - mode)))
@@ -68,9 +71,38 @@ def change_points(features: DataFrame) -> DataFrame:
     return features.groupBy("deployer").applyInPandas(per_deployer, "deployer string, token string, nth long, score double, cp_prob double, p_short double, run_mode int, run_drop int")
 
 
+def change_point_anomalies(points: DataFrame, least_prob: float = 0.5, least_history: int = 5) -> DataFrame:
+    """Signal `changepoint` at P(run is 0) >= least_prob. That probability equals the hazard, so `run_reset` also tells a launch at
+    which the most likely run becomes short, with the probability of a short run as its confidence."""
+    sure = F.when(F.col("cp_prob") >= least_prob, F.col("cp_prob")).when((F.col("run_drop") >= least_history) & (F.col("p_short") >= least_prob), F.col("p_short"))
+    fired = points.where(F.col("nth") > least_history).withColumn("confidence", F.round(sure, 6)).where("confidence IS NOT NULL")
+    signal = F.when(F.col("cp_prob") >= least_prob, "changepoint").otherwise("run_reset").alias("signal")
+    return fired.select(F.col("deployer").alias("subject"), F.lit("deployer_changepoint").alias("detector_id"), signal, "confidence", severity_col(F.col("confidence")).alias("severity"), "token", "nth")
+
+
 EPS, MIN_SAMPLES, BUCKET_S = 0.30, 3, 1800
 
 
+@dataclass(frozen=True)
+class Synchrony:
+    """Parameters of synchronised buying, by default those for seconds on a live chain. A window with fewer than `least_events` buys, or
+    whose token has fewer than `least_baseline` in the `baseline_s` before it, is skipped; `baseline_s` of 0 takes the window's own rate."""
+
+    window_s: int = 600
+    bucket_s: int = 30
+    eps: float = EPS
+    least_wallets: int = 5
+    least_events: int = 5
+    baseline_s: int = 7 * 86_400
+    least_baseline: int = 10
+    least_tightness: float = 0.5
+    most_chance: float = 1e-6
+
+
+#: For the derived tables, whose events are hours apart.
+SCALED = Synchrony(6 * 3600, BUCKET_S, EPS, MIN_SAMPLES, 1, 0, 0, 0.5, 1.0)
+
+
 def dbscan(presence: list[frozenset], eps: float = EPS, least: int = MIN_SAMPLES, counts: list[int] | None = None) -> list[int]:
     """Cluster numbers (-1: noise) by 1 - Jaccard; border points go to the cluster that reaches them first in the given order.
     Equal sets are neighbours with the same neighbours, so they can be given once, at their first place, with counts."""
@@ -109,32 +141,44 @@ def dbscan(presence: list[frozenset], eps: float = EPS, least: int = MIN_SAMPLES
     return label
 
 
-def synchronised(legs: DataFrame, window_s: int = 6 * 3600) -> DataFrame:
+def synchronised(legs: DataFrame, p: Synchrony = SCALED) -> DataFrame:
     """Groups of wallets that buy a token in the same time buckets, per token and window: size, tightness, chance, confidence.
 
     All wallets are clustered. Those that buy in the same buckets have the same neighbours and are one weighted point, so the
     clustering of a window of k buckets has at most 2^k - 1 points, however many wallets buy."""
     window = ["token", "window_no"]
-    buys = legs.where("leg = 'buy'").withColumn("window_no", F.floor(F.col("t") / window_s)).select(*window, "wallet", "t", "tx_hash")
+    buys = legs.where("leg = 'buy'").withColumn("window_no", F.floor(F.col("t") / p.window_s)).select(*window, "wallet", "t", "tx_hash")
     begun = buys.groupBy(*window).agg(F.min("t").alias("start"), F.count(F.lit(1)).alias("n_buys"))
-    bucket = F.floor((F.col("t") - F.col("start")) / BUCKET_S).alias("bucket")
+    if p.baseline_s:
+        past = Window.partitionBy("token").orderBy("window_no").rangeBetween(-(p.baseline_s // p.window_s), -1)
+        begun = begun.withColumn("n_before", F.coalesce(F.sum("n_buys").over(past), F.lit(0))).where(F.col("n_before") >= p.least_baseline).withColumn("rate", F.col("n_before") / p.baseline_s)
+    else:
+        begun = begun.withColumn("rate", F.col("n_buys") / p.window_s)
+    begun = begun.where(F.col("n_buys") >= p.least_events)
+    bucket = F.floor((F.col("t") - F.col("start")) / p.bucket_s).alias("bucket")
     wallets = buys.join(begun, window).groupBy(*window, "wallet").agg(F.array_sort(F.collect_set(bucket)).alias("buckets"), F.min("t").alias("first_t"), F.min(F.struct("t", "tx_hash", "wallet")).alias("place"))
     points = wallets.groupBy(*window, "buckets").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
     points = points.select(*window, "buckets", "n", F.col("place.t").alias("t"), F.col("place.tx_hash").alias("tx_hash"), F.col("place.wallet").alias("wallet"))
 
     def per_window(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["t", "tx_hash", "wallet"])
-        return g[[*window, "buckets"]].assign(cluster=dbscan([frozenset(b) for b in g.buckets], counts=g.n.tolist()))
+        return g[[*window, "buckets"]].assign(cluster=dbscan([frozenset(b) for b in g.buckets], p.eps, p.least_wallets, g.n.tolist()))
 
     labels = points.groupBy(*window).applyInPandas(per_window, "token string, window_no long, buckets array<long>, cluster int").where("cluster >= 0")
     clusters = wallets.join(labels, [*window, "buckets"]).groupBy(*window, "cluster").agg(
         F.count(F.lit(1)).cast("int").alias("size"),
-        F.greatest(F.lit(0.0), 1 - (F.max("first_t") - F.min("first_t")) / BUCKET_S).alias("tightness"),
+        F.greatest(F.lit(0.0), 1 - (F.max("first_t") - F.min("first_t")) / p.bucket_s).alias("tightness"),
         F.concat_ws(",", F.array_sort(F.collect_list("wallet"))).alias("wallets"),
     )
-    chance = F.pow(1 - F.exp(-F.col("n_buys") / window_s * BUCKET_S), F.col("size"))
-    sure = F.least(F.lit(0.90), 0.4 / (1 + F.exp((5 - F.col("size")) / 5)) + 0.3 * F.col("tightness") + 0.3 * (1 - F.least(F.lit(1.0), F.col("chance"))))
-    return clusters.where("tightness >= 0.5").join(begun, window).withColumn("chance", chance).select(*window, "size", "tightness", "chance", sure.alias("confidence"), "wallets")
+    chance = F.pow(1 - F.exp(-F.col("rate") * p.bucket_s), F.col("size"))
+    sure = F.least(F.lit(0.90), 0.4 / (1 + F.exp((5 - F.col("size")) / 5)) + 0.3 * F.col("tightness") + 0.3 * (1 - F.least(F.lit(1.0), F.col("chance") / p.most_chance)))
+    kept = clusters.where(F.col("tightness") >= p.least_tightness).join(begun, window).withColumn("chance", chance).where(F.col("chance") <= p.most_chance)
+    return kept.select(*window, "size", "tightness", "chance", sure.alias("confidence"), "wallets")
+
+
+def synchrony_anomalies(clusters: DataFrame) -> DataFrame:
+    sure = F.round("confidence", 6).alias("confidence")
+    return clusters.select(F.col("token").alias("subject"), F.lit("synchronized_activity_v1").alias("detector_id"), F.lit("synchronised_buys").alias("signal"), sure, severity_col(F.round("confidence", 6)).alias("severity"), "window_no", "size")
 
 
 def deployer_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:

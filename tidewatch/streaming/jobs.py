@@ -43,6 +43,24 @@ def parquet_batches(at: str, *partition: str) -> Callable[[DataFrame, int], None
     return write
 
 
+def closed(stream: Callable[[DataFrame], DataFrame], spark: SparkSession, sf_dir: str, at: str, late: str) -> DataFrame:
+    """Rows of a windowed stream in append mode: each is written once, when the watermark passes its end and its state goes.
+
+    At the end of the input one heartbeat far ahead closes what is still open. It comes as a file of a second folder, in a restart from
+    the checkpoint of the first run, as a new batch of a live stream would."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    beats = f"{at}/beats"
+    events.limit(0).write.parquet(beats)
+    both = source(spark, sf_dir).unionByName(spark.readStream.schema(events.schema).parquet(beats))
+    timed = both.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    write = parquet_batches(at)
+    drain(stream(timed), write, at)
+    beat = [F.lit("2200-01-01").cast("timestamp").cast(f.dataType).alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]
+    spark.range(1).select(*beat).write.mode("append").parquet(beats)
+    drain(stream(timed), write, at)
+    return spark.read.parquet(f"{at}/data")
+
+
 def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by kind, in micro-batches, to one table per kind."""
     at = folder(spark, "routed")
@@ -64,37 +82,40 @@ def deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def debounced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invalidations of a token within half an hour are one, with the latest time and the number of distinct blocks."""
-    at = folder(spark, "debounced")
-    e = source(spark, sf_dir).withColumn("token", F.concat(F.lit("tok"), (F.col("event_id") % 4).cast("string"))).withColumn("t", F.unix_timestamp("ts"))
-    slots = e.groupBy("token", F.floor(F.col("t") / 1800).alias("slot")).agg(F.max("t").alias("latest"), F.collect_set(F.floor(F.col("t") / 60)).alias("blocks"))
-    drain(slots, lambda df, n: df.write.mode("overwrite").parquet(f"{at}/data"), at, "complete")
-    return spark.read.parquet(f"{at}/data").select("token", "slot", "latest", F.size("blocks").cast("long").alias("blocks"))
+
+    def slots(e: DataFrame) -> DataFrame:
+        e = e.withColumn("token", F.concat(F.lit("tok"), (F.col("event_id") % 4).cast("string"))).withColumn("t", F.unix_timestamp("ts"))
+        return e.groupBy("token", F.window("ts", "30 minutes").alias("w")).agg(F.max("t").alias("latest"), F.collect_set(F.floor(F.col("t") / 60)).alias("blocks"))
+
+    slot = F.floor(F.unix_timestamp("w.start") / 1800).alias("slot")
+    return closed(slots, spark, sf_dir, folder(spark, "debounced"), "1 day").select("token", slot, "latest", F.size("blocks").cast("long").alias("blocks"))
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trailing windows of six hours every two, with a watermark."""
-    at = folder(spark, "windows")
-    e = source(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
-    agg = e.groupBy(F.window("ts", "6 hours", "2 hours"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
-    drain(agg, lambda df, n: df.write.mode("overwrite").parquet(f"{at}/data"), at, "complete")
-    return spark.read.parquet(f"{at}/data").select(F.unix_timestamp("window.end").alias("window_end"), "event_type", "n", "cents")
+
+    def sums(e: DataFrame) -> DataFrame:
+        return e.groupBy(F.window("ts", "6 hours", "2 hours"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+
+    return closed(sums, spark, sf_dir, folder(spark, "windows"), "1 day").select(F.unix_timestamp("window.end").alias("window_end"), "event_type", "n", "cents")
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of a user, closed by two hours of silence."""
-    at = folder(spark, "sessions")
-    e = source(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
-    agg = e.groupBy(F.session_window("ts", "2 hours").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
-    drain(agg, lambda df, n: df.write.mode("overwrite").parquet(f"{at}/data"), at, "complete")
-    return spark.read.parquet(f"{at}/data").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
+
+    def lengths(e: DataFrame) -> DataFrame:
+        return e.groupBy(F.session_window("ts", "2 hours").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+
+    return closed(lengths, spark, sf_dir, folder(spark, "sessions"), "1 day").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
 
 
 def first_launches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hook on pool initialisation, which keeps per-deployer counts."""
+    """A hook on pool initialisation. Each batch writes its own counts per deployer and they add up when read, so no state is kept."""
     at = folder(spark, "launches")
-    made = source(spark, sf_dir).where("event_type = 'signup'").groupBy("user_id").agg(F.count(F.lit(1)).alias("launches"), F.min(F.unix_timestamp("ts")).alias("first_t"))
-    drain(made, lambda df, n: df.write.mode("overwrite").parquet(f"{at}/data"), at, "complete")
-    return spark.read.parquet(f"{at}/data")
+    made = source(spark, sf_dir).where("event_type = 'signup'").select("user_id", F.unix_timestamp("ts").alias("t"))
+    write = parquet_batches(at)
+    drain(made, lambda df, n: write(df.groupBy("user_id").agg(F.count(F.lit(1)).alias("launches"), F.min("t").alias("first_t")), n), at)
+    return spark.read.parquet(f"{at}/data").groupBy("user_id").agg(F.sum("launches").alias("launches"), F.min("first_t").alias("first_t"))
 
 
 def changed(scores: DataFrame, key: list[str], order: Column, value: str, least: float = 0.05) -> DataFrame:
