@@ -183,7 +183,7 @@ STREAMS = {
 TEXTS = {
     "t04_reorg_rewind": lambda d: f"SELECT chain, count(*) AS kept, max(block_height) AS tip FROM {{swaps}} WHERE block_height < {(SWAPS_AS_OF - DAY) // 60} GROUP BY chain",
     "t05_forks": lambda d: "SELECT h.chain, h.height FROM {headers} AS h JOIN {headers} AS p ON p.chain = h.chain AND p.height = h.height - 1 WHERE h.parent_hash <> p.hash",
-    "t07_active_tokens": lambda d: f"SELECT token, last_t FROM (SELECT token, max(t) AS last_t FROM {{anomalies}} GROUP BY token ORDER BY max(t) DESC, token LIMIT 5000) AS x WHERE last_t > {SWAPS_AS_OF - 60 * 60}",
+    "t07_active_tokens": lambda d, most=5000: f"SELECT token, last_t FROM (SELECT token, max(t) AS last_t FROM {{anomalies}} GROUP BY token ORDER BY max(t) DESC, token LIMIT {most}) AS x WHERE last_t > {SWAPS_AS_OF - 60 * 60}",
     "t11_watchlist": lambda d: "SELECT id, token FROM {anomalies} WHERE chain IN ('solana', 'base') AND token IN ('tok1', 'tok7', 'tok42') AND confidence >= 0.3",
     "t16_rescore_scan": lambda d: f"SELECT token, count(*) AS due FROM {{anomalies}} WHERE t BETWEEN {SWAPS_AS_OF - 300} AND {SWAPS_AS_OF + 3600} GROUP BY token",
 }
