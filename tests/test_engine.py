@@ -231,6 +231,17 @@ def test_upserts(spark):
     assert {r.k: r.age for r in sinks.confident_wins(old, new, ["k"], "c", F.col("age") > 30).collect()} == {"a": 0, "b": 1, "c": 0}
 
 
+def test_verdict_cache(spark):
+    kind = "chain string, token string, detector_id string, confidence double, cached_at long, expires_at long"
+    cache = spark.createDataFrame([("s", "a", "d", 0.9, 1, 5), ("s", "b", "d", 0.5, 1, 9), ("e", "a", "d", 0.2, 1, None)], kind)
+    new = spark.createDataFrame([("s", "a", "d", 0.1, 2, 8), ("s", "a", "d", 0.3, 3, 7), ("s", "c", "d", 0.4, 2, 4)], kind)
+    after = sinks.with_verdicts(cache, new)
+    assert sorted((r.chain, r.token, r.confidence) for r in after.collect()) == [("e", "a", 0.2), ("s", "a", 0.3), ("s", "b", 0.5), ("s", "c", 0.4)]
+    assert [r.confidence for r in sinks.cached_verdicts(after, spark.createDataFrame([("s", "c", "d"), ("s", "x", "d")], "chain string, token string, detector_id string")).collect()] == [0.4]
+    assert sorted((r.chain, r.token) for r in sinks.without_expired(after, F.lit(7)).collect()) == [("e", "a"), ("s", "a"), ("s", "b")]
+    assert sinks.with_verdicts(after, new.limit(0)).count() == 4
+
+
 def test_repeated_batches_change_nothing(spark, tmp_path):
     df = spark.createDataFrame([(1, "x", 10), (2, "y", 20)], "id int, part string, v int")
     for _ in range(2):

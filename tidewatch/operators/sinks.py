@@ -34,6 +34,25 @@ def additive(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.unionByName(new).groupBy(*key).agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.min("first_t").alias("first_t"), F.max("last_t").alias("last_t"))
 
 
+VERDICT_KEY = ["chain", "token", "detector_id"]
+
+
+def cached_verdicts(cache: DataFrame, asked: DataFrame) -> DataFrame:
+    """Stored verdicts of the keys that are asked for, expired ones too: their `expires_at` tells the caller."""
+    return cache.join(asked.select(*VERDICT_KEY), VERDICT_KEY, "left_semi")
+
+
+def with_verdicts(cache: DataFrame, new: DataFrame) -> DataFrame:
+    """A new verdict replaces the stored one of its key, whatever its confidence; of several new ones the last cached stays."""
+    last = first_wins(new, VERDICT_KEY, [F.col("cached_at").desc(), F.col("expires_at").desc(), F.col("confidence").desc()])
+    return cache.join(last.select(*VERDICT_KEY), VERDICT_KEY, "left_anti").unionByName(last)
+
+
+def without_expired(cache: DataFrame, now: Column) -> DataFrame:
+    """The cache after a purge; a verdict goes once `now` is past its time, and one without a time stays."""
+    return cache.where(~F.coalesce(F.col("expires_at") < now, F.lit(False)))
+
+
 def without_reorged(rows: DataFrame, reorgs: DataFrame, seen: str = "seen_at") -> DataFrame:
     """Rows that no later reorg at or below their height has undone: an anti-join instead of deletes."""
     r = reorgs.select(F.col("chain").alias("__chain"), "from_height", F.col("reorg_at"))
