@@ -259,9 +259,10 @@ def test_one_token_equals_whole_table(spark):
 
 
 def test_order_and_partitions_do_not_matter(spark):
-    plain = run(spark, detectors.pump_dump, Tables(spark, DATA)).collect()
+    text = detectors.TEXTS["d04_pump_dump"]
+    plain = run(spark, text, Tables(spark, DATA)).collect()
     events = spark.read.parquet(f"{DATA}/events.parquet").orderBy(F.rand(3)).repartition(7)
-    assert sorted(map(tuple, run(spark, detectors.pump_dump, Tables(spark, DATA, {"events": events})).collect())) == sorted(map(tuple, plain))
+    assert sorted(map(tuple, run(spark, text, Tables(spark, DATA, {"events": events})).collect())) == sorted(map(tuple, plain))
 
 
 def test_events_page(spark):
@@ -327,3 +328,78 @@ def test_names_are_unique_and_oracles_parse():
     assert len(catalog.QUERIES) > 150
     assert all(made and (sql is None or "{" not in sql) for made, sql in catalog.QUERIES.values())
     assert pd.Series(list(catalog.QUERIES)).is_unique
+
+
+AS_OF = 1000 * 86_400
+
+
+def swap(token, sender, side, t, seq, cents, pool="p", height=0):
+    return ("solana", pool, token, side, t, height, seq, f"x{seq}", sender, cents)
+
+
+def swaps_of(spark, rows):
+    return spark.createDataFrame(rows, "chain string, pool string, token string, side string, t long, block_height long, seq long, tx_hash string, sender string, cents long")
+
+
+def test_pump_and_dump_by_hand(spark):
+    """Six days of 100 dollars and one of 10, then 300 and 390 dollars in the last hour: A by 7.918 times the average day and 30 %."""
+    past = [swap("k", "w1", "buy", AS_OF - n * 86_400 - 9, n, 10_000) for n in range(1, 7)]
+    hour = [swap("k", "u1", "buy", AS_OF - 900, 50, 30_000), swap("k", "w1", "sell", AS_OF - 300, 51, 39_000)]
+    early = [swap("k", "smart", "buy", AS_OF - 5400, 40, 1_000)]
+    quiet = [swap("q", "u2", "buy", AS_OF - n * 86_400 - 9, 100 + n, 10_000) for n in range(7)]
+
+    def found(wallets, graduated):
+        tables = {
+            "swaps": swaps_of(spark, past + hour + early + quiet),
+            "smart_wallets": spark.createDataFrame(wallets, "wallet string, tier int"),
+            "graduations": spark.createDataFrame(graduated, "token string, graduated_t long"),
+        }
+        made = run(spark, lambda d: detectors.pump_dump(d, as_of=AS_OF), Tables(spark, DATA, tables))
+        return {r.token: r for r in made.collect()}
+
+    plain = found([("other", 1)], [("k", AS_OF - 200 * 3600)])
+    assert plain["k"].signal == "A" and plain["k"].volume_ratio == pytest.approx(69_000 / (61_000 / 7), abs=1e-6) and plain["k"].price_change == pytest.approx(0.3)
+    # clamped to 0.60; the only insider sold 390 of 600 dollars: 0.15 more
+    assert plain["k"].confidence == pytest.approx(0.75) and plain["k"].severity == "high"
+    assert plain["q"].signal == "B" and plain["q"].confidence == pytest.approx(0.5 + 0.30 / 0.10 * 0.25, abs=0.01) or plain["q"].signal == "none"
+    assert found([("smart", 1)], [("x", 0)])["k"].confidence == pytest.approx(0.87)
+    assert found([("smart", 2)], [("x", 0)])["k"].confidence == pytest.approx(0.75)
+    assert found([("smart", 1)], [("k", AS_OF - 100 * 3600)])["k"].confidence == pytest.approx(0.87 * 1.05)
+    assert found([("smart", 1)], [("k", AS_OF - 60)])["k"].confidence == pytest.approx(0.95)
+    assert found([("smart", 1)], [("k", AS_OF + 60)])["k"].confidence == pytest.approx(0.87)
+
+
+def test_round_trips_by_hand(spark):
+    """Legs at most 25 blocks apart, over the borders of the spans, each pair once."""
+    rng = __import__("random").Random(5)
+    rows = [swap("k", f"w{rng.randrange(3)}", rng.choice(["buy", "sell"]), 0, i, rng.choice([1000, 1020, 5000]), f"p{rng.randrange(2)}", rng.randrange(200)) for i in range(300)]
+    want = sorted(
+        (a[7], b[7]) for a in rows for b in rows
+        if a[1] == b[1] and a[8] == b[8] and a[3] != b[3] and 0 < b[5] - a[5] <= 25 and abs(a[9] - b[9]) <= 0.05 * max(a[9], b[9])
+    )
+    got = run(spark, detectors.round_trips, Tables(spark, DATA, {"swaps": swaps_of(spark, rows)}))
+    assert want and sorted((r.first_tx, r.second_tx) for r in got.collect()) == want
+
+
+def test_wash_trading_by_hand(spark):
+    """Three round trips of 1000 dollars each side, by one wallet that makes all the volume of its pool; a ring of 2000 dollars."""
+    rows = [swap("k", "w", side, 0, 2 * n + (side == "sell"), 100_000, "p", 1000 * n + (5 if side == "sell" else 0)) for n in range(3) for side in ("buy", "sell")]
+    edges = [("k", 0, "a", "b", 200_000, 10, 20), ("k", 0, "b", "c", 300_000, 15, 25), ("k", 0, "c", "a", 250_000, 30, 40), ("k", 0, "c", "d", 250_000, 30, 40)]
+    tables = {"swaps": swaps_of(spark, rows), "trade_edges": spark.createDataFrame(edges, "token string, bucket long, src string, dst string, cents long, first_t long, last_t long")}
+    a, b = sorted(run(spark, detectors.wash_trading, Tables(spark, DATA, tables)).collect(), key=lambda r: r.signal)
+    assert (a.subject, a.sender, a.trips, a.wash_usd, a.usual_gap, a.share) == ("p", "w", 3, 6000.0, 5, 1.0)
+    assert a.confidence == pytest.approx(0.60 + 0.10 * math.log(12), abs=1e-6) and a.severity == "critical"
+    assert (b.subject, b.trips, b.wash_usd) == ("k", 1, 2000.0) and b.confidence == pytest.approx(0.48)
+
+
+def test_sybil_by_hand(spark):
+    """Three of the four members of a cluster hold the token; one of them is a smart wallet of the first tier."""
+    tables = {
+        "balances": spark.createDataFrame([("solana", "k", f"c{n}", 10 + n) for n in range(1, 4)], "chain string, token string, holder string, balance long"),
+        "members": spark.createDataFrame([("solana", f"c{n}", "x", 4, 0.8) for n in range(1, 5)], "chain string, wallet string, cluster_id string, size long, confidence double"),
+    }
+    base = (0.40 + 0.40 * 0.75) * (0.50 + 0.50 * 0.8)
+    for tiers, more in (([("u1", 1)], 0.10), ([("u1", 2)], 0.0), ([("u1", 2), ("u4", 2)], 0.05), ([("u9", 1)], 0.0)):
+        tables["smart_wallets"] = spark.createDataFrame(tiers, "wallet string, tier int")
+        (r,) = run(spark, detectors.sybil, Tables(spark, DATA, tables)).collect()
+        assert (r.held, r.size) == (3, 4) and r.confidence == pytest.approx(base + more, abs=1e-6)

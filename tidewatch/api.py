@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as Late
+from functools import partial
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +15,14 @@ from pyspark.sql import functions as F
 
 from .operators import detectors, scoring, sequences
 from .plans.dialect import SPARK, Tables, run
-from .streaming.jobs import isolated
+from .sources import files
 
+ANOMALY = "subject string, signal string, confidence double, severity string, detector_id string"
 COMMON = ["subject", "detector_id", "signal", "confidence", "severity"]
 #: detector id -> (text, the column that names what it is about).
 DETECTORS = {
     "honeypot_sim": (detectors.honeypot, "token"), "rug_pull_lp_drain": (detectors.rug_pull, "pool"), "holder_concentration": (detectors.concentration, "token"), "pump_dump": (detectors.pump_dump, "token"),
-    "wash_trading_h1": (detectors.wash_trading, "pool"), "mint_burn_anomaly": (detectors.mint_burn, "token"), "withdraw_withheld_drain": (detectors.withheld, "mint"), "sybil_detection": (detectors.sybil, "token"),
+    "wash_trading_h1": (detectors.wash_trading, "subject"), "mint_burn_anomaly": (detectors.mint_burn, "token"), "withdraw_withheld_drain": (detectors.withheld, "mint"), "sybil_detection": (detectors.sybil, "token"),
     "launch_audit": (detectors.launch_audit, "token"), "permit2_drainer_v1": (detectors.permit_drainer, "token"), "sandwich_mev_v1": (detectors.sandwich, "pool"), "bridge_drain_v1": (detectors.bridge_drain, "address"),
 }
 #: Detectors of sequences, which are no SQL text.
@@ -39,29 +42,40 @@ def list_detectors() -> list[str]:
     return sorted([*DETECTORS, *SEQUENCES, *_EXTRA])
 
 
-def _made(spark: SparkSession, sf_dir: str, only: Iterable[str] | None = None) -> dict[str, Callable[[], DataFrame]]:
-    """The plans of the detectors by id, all on the same tables."""
-    tables = Tables(spark, sf_dir)
-    made = {k: (lambda text=text, key=key: run(spark, text, tables).withColumn("subject", F.col(key))) for k, (text, key) in DETECTORS.items()}
+def _made(spark: SparkSession, sf_dir: str, only: Iterable[str] | None = None, params: dict[str, dict] | None = None) -> dict[str, Callable[[], DataFrame]]:
+    """The plans of the detectors by id, all on the same tables. What several of them derive at length is written once."""
+    tables, params = Tables(spark, sf_dir), detectors.SCALED if params is None else params
+    if only is None or {"pump_dump", "sybil_detection"} <= set(only):
+        tables.keep("smart_wallets")
+    made = {k: (lambda text=partial(text, **params.get(k, {})), key=key: run(spark, text, tables).withColumn("subject", F.col(key))) for k, (text, key) in DETECTORS.items()}
     made |= {k: (lambda f=f: f(tables)) for k, f in (SEQUENCES | _EXTRA).items()}
     return made if only is None else {k: made[k] for k in only}
 
 
-def analyze(spark: SparkSession, sf_dir: str, subjects: list[str] | None = None, only: Iterable[str] | None = None) -> DataFrame:
-    """Anomalies of all detectors (or `only` some) over all subjects, or some of them (a pushed filter); one that cannot be planned is
-    skipped. `sweep` also survives one that fails while it runs."""
-    out = isolated(_made(spark, sf_dir, only), COMMON)
-    return out.where(F.col("subject").isin(subjects)) if subjects else out
+def analyze(spark: SparkSession, sf_dir: str, subjects: list[str] | None = None, only: Iterable[str] | None = None, params: dict[str, dict] | None = None, timeout_s: float = 3600) -> DataFrame:
+    """Anomalies of all detectors (or `only` some) over all subjects, or some of them (a pushed filter). Each detector is a job of its own,
+    whose anomalies go to the shared folder: one that fails is skipped and named in the result's `skipped`. `params` gives
+    thresholds, windows and `as_of` by detector id, over defaults for live chains ({} for these alone); without it those of
+    the derived tables hold."""
+    at = f"{files.shared_folder(spark)}/tidewatch/analyze-{uuid.uuid4().hex}"
+    told = sweep(spark, sf_dir, at, timeout_s, only=only, subjects=subjects, params=params).collect()
+    if any(r.status == "ok" for r in told):
+        out = spark.read.schema(ANOMALY).option("basePath", at).parquet(*[f"{at}/detector_id={r.detector_id}" for r in told if r.status == "ok"]).select(*COMMON)
+    else:
+        out = spark.createDataFrame([], ANOMALY).select(*COMMON)
+    out.skipped = [r.detector_id for r in told if r.status != "ok"]
+    return out
 
 
-def sweep(spark: SparkSession, sf_dir: str, at: str, timeout_s: float = 3600, at_once: int = 4, only: Iterable[str] | None = None) -> DataFrame:
+def sweep(spark: SparkSession, sf_dir: str, at: str, timeout_s: float = 3600, at_once: int = 4, only: Iterable[str] | None = None, subjects: list[str] | None = None, params: dict[str, dict] | None = None) -> DataFrame:
     """Runs each detector as a job of its own and writes its anomalies below `at`, in a partition that a later run replaces. One that
     fails or takes longer than `timeout_s` is cancelled; the others go on. Returns detector_id, status (ok, failed, late), error, seconds."""
     number = f"sweep-{time.time_ns()}"
 
     def one(name: str, made: Callable[[], DataFrame]) -> None:
         spark.addTag(f"{number}-{name}")
-        made().select(*COMMON).drop("detector_id").write.mode("overwrite").parquet(f"{at}/detector_id={name}")
+        df = made().select("subject", "signal", F.col("confidence").cast("double").alias("confidence"), "severity")
+        (df.where(F.col("subject").isin(subjects)) if subjects else df).write.mode("overwrite").parquet(f"{at}/detector_id={name}")
 
     def watched(name: str, made: Callable[[], DataFrame]) -> tuple[str, str, str | None, float]:
         begun, inner = time.monotonic(), ThreadPoolExecutor(1)
@@ -77,7 +91,7 @@ def sweep(spark: SparkSession, sf_dir: str, at: str, timeout_s: float = 3600, at
         return name, status, error, time.monotonic() - begun
 
     with ThreadPoolExecutor(at_once) as pool:
-        rows = list(pool.map(lambda x: watched(*x), _made(spark, sf_dir, only).items()))
+        rows = list(pool.map(lambda x: watched(*x), _made(spark, sf_dir, only, params).items()))
     return spark.createDataFrame(rows, "detector_id string, status string, error string, seconds double")
 
 
@@ -111,5 +125,5 @@ def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def analyzed_text(d=SPARK) -> str:
-    parts = " UNION ALL ".join(f"SELECT detector_id, severity FROM ({text(d)}) AS {k}" for k, (text, _) in DETECTORS.items())
+    parts = " UNION ALL ".join(f"SELECT detector_id, severity FROM ({text(d, **detectors.SCALED.get(k, {}))}) AS {k}" for k, (text, _) in DETECTORS.items())
     return f"SELECT detector_id, severity, count(*) AS n FROM ({parts}) AS x GROUP BY detector_id, severity"

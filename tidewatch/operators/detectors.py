@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
-from ..functions.exprs import clamp, established, flag, severity, sigmoid
+from functools import partial
+
+from ..functions.exprs import clamp, established, flag, graduation, severity, sigmoid
 from ..plans.dialect import Dialect
 from ..plans.views import DAY, SWAPS_AS_OF, TRANSFERS_AS_OF
+from .graph import rings
 
 S, T = SWAPS_AS_OF, TRANSFERS_AS_OF
+#: The defaults of the detectors hold for live chains; these hold for the derived tables, which are slow and cheap.
+SCALED: dict[str, dict] = {
+    "rug_pull_lp_drain": {"share": 0.0065, "short": 30 * DAY, "long": 365 * DAY},
+    "pump_dump": {"window": 6 * 3600, "before": 6 * 3600, "ratio": 0.2, "burst": 0.20, "burst_cents": 500},
+    "wash_trading_h1": {"reps": 2, "blocks": 5000, "ring_cents": 5000, "ring_span": 5 * DAY},
+    "mint_burn_anomaly": {"event_share": 0.003, "sum_share": 0.01, "window": 365 * DAY},
+    "withdraw_withheld_drain": {"window": 730 * DAY, "rotated": 365 * DAY, "fresh": 180 * DAY, "tenure": 60 * DAY},
+    "bridge_drain_v1": {"window": 30 * DAY, "baseline": 365 * DAY},
+}
 
 
 def _anomaly(inner: str, detector: str, keys: str, metrics: str) -> str:
@@ -33,11 +45,11 @@ def honeypot(d: Dialect) -> str:
     )
 
 
-def rug_pull(d: Dialect) -> str:
+def rug_pull(d: Dialect, share: float = 0.65, short: int = 3600, long: int = DAY, least_txs: int = 100, floor_cents: int = 150_000, as_of: int = T) -> str:
     """A: liquidity burned cumulatively by one actor in a short and a long window. B (A silent): too little safe liquidity."""
-    short, long = 30, 365
-    part = lambda days, name: f"{name} AS (SELECT pool, max(removed) AS removed FROM (SELECT pool, actor, sum(lp_tokens) OVER (PARTITION BY pool, actor ORDER BY t, block_height, tx_hash, log_index, token, lp_tokens, cents ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS removed FROM {{lp_events}} WHERE event_kind = 'burn' AND t > {T - days * DAY} AND t <= {T}) AS w GROUP BY pool)"
-    a = f"CASE WHEN s_share IS NULL OR s_share < 0.0065 THEN 0.75 ELSE {clamp(sigmoid('4 * (s_share - 0.0065) / (1 - 0.0065) - 1.5'), 0.75, 1)} END"
+    part = lambda window, name: f"{name} AS (SELECT pool, max(removed) AS removed FROM (SELECT pool, actor, sum(lp_tokens) OVER (PARTITION BY pool, actor ORDER BY t, block_height, tx_hash, log_index, token, lp_tokens, cents ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS removed FROM {{lp_events}} WHERE event_kind = 'burn' AND t > {as_of - window} AND t <= {as_of}) AS w GROUP BY pool)"
+    a = f"CASE WHEN s_share IS NULL OR s_share < {share} THEN 0.75 ELSE {clamp(sigmoid(f'4 * (s_share - {share}) / (1 - {share}) - 1.5'), 0.75, 1)} END"
+    drained = f"n >= {least_txs} AND liquidity_cents >= {floor_cents} AND l_share >= {share}"
     b = clamp("0.50 + 0.25 * (70 - safe) / 70 + 0.15 * " + flag("providers = 1") + " + 0.20 * (1 - CAST(least(unlock_days, 90) AS DOUBLE) / 90)", 0.50, 0.75)
     return _anomaly(
         f"""
@@ -46,9 +58,8 @@ def rug_pull(d: Dialect) -> str:
         p AS (SELECT k.pool, k.providers, k.unlock_days, k.liquidity_cents, k.lp_burned_pct, least(k.lp_burned_pct + CASE WHEN k.unlock_days > 45 THEN k.lp_locked_pct ELSE 0 END, 100) AS safe,
             CAST(s.removed AS DOUBLE) / supply.total AS s_share, CAST(l.removed AS DOUBLE) / supply.total AS l_share, supply.n
           FROM {{pools}} k LEFT JOIN supply ON k.pool = supply.pool LEFT JOIN short_w s ON k.pool = s.pool LEFT JOIN long_w l ON k.pool = l.pool)
-        SELECT pool, CASE WHEN n >= 100 AND liquidity_cents >= 150000 AND l_share >= 0.0065 THEN 'A' ELSE 'B' END AS signal,
-          CASE WHEN n >= 100 AND liquidity_cents >= 150000 AND l_share >= 0.0065 THEN {a} ELSE {b} END AS confidence, round(coalesce(l_share, 0), 6) AS removed_share, safe
-        FROM p WHERE (n >= 100 AND liquidity_cents >= 150000 AND l_share >= 0.0065) OR (safe < 70 AND NOT (lp_burned_pct >= 100 AND liquidity_cents < 150000))""",
+        SELECT pool, CASE WHEN {drained} THEN 'A' ELSE 'B' END AS signal, CASE WHEN {drained} THEN {a} ELSE {b} END AS confidence, round(coalesce(l_share, 0), 6) AS removed_share, safe
+        FROM p WHERE ({drained}) OR (safe < 70 AND NOT (lp_burned_pct >= 100 AND liquidity_cents < {floor_cents}))""",
         "rug_pull_lp_drain",
         "pool",
         "removed_share, safe",
@@ -79,79 +90,97 @@ def concentration(d: Dialect) -> str:
     )
 
 
-def pump_dump(d: Dialect) -> str:
-    """A: volume of the last window against the average day, with a price rise. B: most of a day's volume in the last window."""
-    hour, day = 6 * 3600, DAY
+def pump_dump(d: Dialect, window: int = 3600, before: int = 3600, ratio: float = 5.0, change: float = 0.30, burst: float = 0.70, burst_cents: int = 500_000, as_of: int = S) -> str:
+    """A: volume of the last window against the average day, with a price rise. B: most of a day's volume in the last window.
+    A token with either is raised by sales of insiders (C), then by smart wallets that bought before, then by a recent graduation,
+    each up to the signal's cap."""
+    a, b = f"ratio >= {ratio} AND change >= {change}", f"v1 / v24 >= {burst} AND v1 >= {burst_cents}"
     return _anomaly(
         f"""
-        WITH w AS (SELECT chain, token, t, seq, cents FROM {{swaps}} WHERE cents > 0 AND t >= {S - 7 * day} AND t < {S}),
+        WITH w AS (SELECT chain, token, t, seq, cents FROM {{swaps}} WHERE cents > 0 AND t >= {as_of - 7 * DAY} AND t < {as_of}),
         last_h AS (SELECT chain, token, sum(cents) AS v1, max(CASE WHEN r_last = 1 THEN cents END) AS last_price, max(CASE WHEN r_first = 1 THEN cents END) AS first_price, count(*) AS n1 FROM
-          (SELECT *, row_number() OVER (PARTITION BY chain, token ORDER BY t, seq) AS r_first, row_number() OVER (PARTITION BY chain, token ORDER BY t DESC, seq DESC) AS r_last FROM w WHERE t >= {S - hour}) AS x GROUP BY chain, token),
-        last_d AS (SELECT chain, token, sum(cents) AS v24 FROM w WHERE t >= {S - day} GROUP BY chain, token),
-        daily AS (SELECT chain, token, {d.idiv("t", str(day))} AS day_no, CAST(sum(cents) AS DOUBLE) AS volume FROM w WHERE t < {S - hour} GROUP BY chain, token, {d.idiv("t", str(day))}),
+          (SELECT *, row_number() OVER (PARTITION BY chain, token ORDER BY t, seq) AS r_first, row_number() OVER (PARTITION BY chain, token ORDER BY t DESC, seq DESC) AS r_last FROM w WHERE t >= {as_of - window}) AS x GROUP BY chain, token),
+        last_d AS (SELECT chain, token, sum(cents) AS v24 FROM w WHERE t >= {as_of - DAY} GROUP BY chain, token),
+        daily AS (SELECT chain, token, {d.idiv("t", str(DAY))} AS day_no, CAST(sum(cents) AS DOUBLE) AS volume FROM w WHERE t < {as_of - window} GROUP BY chain, token, {d.idiv("t", str(DAY))}),
         base AS (SELECT chain, token, avg(volume) AS mean_volume, stddev_pop(volume) AS std_volume, count(*) AS days FROM daily GROUP BY chain, token),
         m AS (SELECT h.chain, h.token, CAST(v1 AS DOUBLE) AS v1, CAST(v24 AS DOUBLE) AS v24, mean_volume, v1 / mean_volume AS ratio, (last_price - first_price) / CAST(first_price AS DOUBLE) AS change,
-          CASE WHEN std_volume > 0 THEN (v1 - mean_volume) / std_volume ELSE 0 END AS z, days FROM last_h h JOIN last_d e ON h.chain = e.chain AND h.token = e.token JOIN base b ON h.chain = b.chain AND h.token = b.token)
-        SELECT chain, token, CASE WHEN ratio >= 0.2 AND change >= 0.30 THEN 'A' WHEN v1 / v24 >= 0.20 AND v1 >= 500 THEN 'B' ELSE 'none' END AS signal,
-          CASE WHEN ratio >= 0.2 AND change >= 0.30 THEN {clamp(sigmoid("0.5 * (ratio / 0.2 - 1) + 0.3 * (change / 0.3 - 1)"), 0.60, 0.95)}
-               WHEN v1 / v24 >= 0.20 AND v1 >= 500 THEN least(0.50 + (v1 / v24 - 0.20) / 0.10 * 0.25, 0.75) ELSE 0.05 END AS confidence,
-          round(ratio, 6) AS volume_ratio, round(change, 6) AS price_change, round(z, 4) AS z_score, round(v1 / v24, 6) AS burst FROM m""",
+          CASE WHEN std_volume > 0 THEN (v1 - mean_volume) / std_volume ELSE 0 END AS z, days FROM last_h h JOIN last_d e ON h.chain = e.chain AND h.token = e.token JOIN base b ON h.chain = b.chain AND h.token = b.token),
+        f AS (SELECT *, CASE WHEN {a} THEN 'A' WHEN {b} THEN 'B' ELSE 'none' END AS signal, CASE WHEN {a} THEN 0.95 WHEN {b} THEN 0.85 ELSE 0.05 END AS cap,
+          CAST(CASE WHEN {a} THEN {clamp(sigmoid(f"0.5 * (ratio / {ratio} - 1) + 0.3 * (change / {change} - 1)"), 0.60, 0.95)} WHEN {b} THEN least(0.50 + (v1 / v24 - {burst}) / 0.10 * 0.25, 0.75) ELSE 0.05 END AS DOUBLE) AS conf FROM m),
+        i AS (SELECT f.*, coalesce(i.amplifier, 0) AS insiders, coalesce(s.amplifier, 0) AS smart, CAST(CASE WHEN g.graduated_t <= {as_of} THEN {graduation(f"(({as_of} - g.graduated_t) / CAST(3600 AS DOUBLE))")} ELSE 1 END AS DOUBLE) AS graduated
+          FROM f LEFT JOIN ({insider_sales(d, as_of)}) AS i ON f.token = i.token LEFT JOIN ({smart_amplifier(d, window, before, as_of)}) AS s ON f.token = s.token LEFT JOIN {{graduations}} g ON f.token = g.token),
+        c AS (SELECT *, least(conf + insiders, cap) AS c1 FROM i),
+        e AS (SELECT *, CASE WHEN c1 >= 0.50 THEN least(c1 + smart, cap) ELSE c1 END AS c2 FROM c)
+        SELECT chain, token, signal, CAST(least(c2 * graduated, cap) AS DOUBLE) AS confidence, round(ratio, 6) AS volume_ratio, round(change, 6) AS price_change, round(z, 4) AS z_score, round(v1 / v24, 6) AS burst, insiders, smart, graduated FROM e""",
         "pump_dump",
         "chain, token",
-        "volume_ratio, price_change, z_score, burst",
+        "volume_ratio, price_change, z_score, burst, insiders, smart, graduated",
     )
 
 
-def insider_sales(d: Dialect) -> str:
+def insider_sales(d: Dialect, as_of: int = S) -> str:
     """Signal C of pump and dump: what the insiders of a token, who hold at least 1 % of what all hold, sold in the last day."""
     return f"""
-    WITH held AS (SELECT token, sender, CAST(sum(CASE WHEN side = 'buy' THEN cents ELSE -cents END) AS BIGINT) AS net FROM {{swaps}} WHERE t < {S - DAY} GROUP BY token, sender),
+    WITH held AS (SELECT token, sender, CAST(sum(CASE WHEN side = 'buy' THEN cents ELSE -cents END) AS BIGINT) AS net FROM {{swaps}} WHERE t < {as_of - DAY} GROUP BY token, sender),
     whole AS (SELECT token, CAST(sum(net) AS BIGINT) AS net FROM held WHERE net > 0 GROUP BY token),
     top AS (SELECT held.token, sender, held.net FROM held JOIN whole ON held.token = whole.token WHERE held.net > 0 AND 100 * held.net >= whole.net),
-    sold AS (SELECT token, sender, CAST(sum(cents) AS BIGINT) AS cents FROM {{swaps}} WHERE side = 'sell' AND t >= {S - DAY} AND t < {S} GROUP BY token, sender)
+    sold AS (SELECT token, sender, CAST(sum(cents) AS BIGINT) AS cents FROM {{swaps}} WHERE side = 'sell' AND t >= {as_of - DAY} AND t < {as_of} GROUP BY token, sender)
     SELECT top.token, count(*) AS insiders, round(CAST(sum(coalesce(sold.cents, 0)) AS DOUBLE) / CAST(sum(top.net) AS DOUBLE), 6) AS sold_share, CAST(CASE WHEN CAST(sum(coalesce(sold.cents, 0)) AS DOUBLE) >= 0.40 * CAST(sum(top.net) AS DOUBLE) THEN 0.15 ELSE 0 END AS DOUBLE) AS amplifier
     FROM top LEFT JOIN sold ON top.token = sold.token AND top.sender = sold.sender GROUP BY top.token"""
 
 
-def smart_amplifier(d: Dialect) -> str:
-    """Smart wallets that bought a token in the hours before: one of the first tier, or two of the second, raise a signal."""
+def smart_amplifier(d: Dialect, window: int = 3600, before: int = 3600, as_of: int = S) -> str:
+    """Smart wallets that bought a token just before the window: one of the first tier, or two of the second, raise a signal."""
     return f"""
     SELECT token, tier1, tier2, CAST(CASE WHEN tier1 >= 1 THEN 0.12 WHEN tier2 >= 2 THEN 0.07 ELSE 0 END AS DOUBLE) AS amplifier FROM
-      (SELECT s.token, count(DISTINCT CASE WHEN w.tier = 1 THEN s.sender END) AS tier1, count(DISTINCT CASE WHEN w.tier = 2 THEN s.sender END) AS tier2 FROM {{swaps}} s LEFT JOIN {{smart_wallets}} w ON s.sender = w.wallet WHERE s.side = 'buy' AND s.t >= {S - 6 * 3600} AND s.t < {S} GROUP BY s.token) AS x"""
+      (SELECT s.token, count(DISTINCT CASE WHEN w.tier = 1 THEN s.sender END) AS tier1, count(DISTINCT CASE WHEN w.tier = 2 THEN s.sender END) AS tier2 FROM {{swaps}} s LEFT JOIN {{smart_wallets}} w ON s.sender = w.wallet WHERE s.side = 'buy' AND s.t >= {as_of - window - before} AND s.t < {as_of - window} GROUP BY s.token) AS x"""
 
 
-def round_trips(d: Dialect, blocks: int = 5000, tolerance: float = 0.05) -> str:
-    """Buys and sells of one sender in one pool within some blocks and of about one value, either side first."""
+def round_trips(d: Dialect, blocks: int = 25, tolerance: float = 0.05) -> str:
+    """Buys and sells of one sender in one pool within some blocks and of about one value, either side first. Blocks are cut into
+    spans of that length, and the later leg looks into its own and the one before, so a busy sender meets only near legs."""
+    span = d.idiv("block_height", str(blocks))
+
     def leg(first: str, second: str) -> str:
         return f"""SELECT a.sender, a.pool, a.token, a.tx_hash AS first_tx, b.tx_hash AS second_tx, b.block_height - a.block_height AS gap, a.cents + b.cents AS cents
-          FROM {{swaps}} a JOIN {{swaps}} b ON a.sender = b.sender AND a.pool = b.pool WHERE a.side = '{first}' AND b.side = '{second}' AND a.cents > 0 AND b.cents > 0
-          AND b.block_height > a.block_height AND b.block_height - a.block_height <= {blocks} AND abs(a.cents - b.cents) <= {tolerance} * greatest(a.cents, b.cents)"""
+          FROM (SELECT *, {span} AS span FROM {{swaps}} WHERE side = '{first}' AND cents > 0) AS a
+          JOIN (SELECT x.*, {span} - o.back AS span FROM {{swaps}} x CROSS JOIN {d.rows("(0), (1)", "back")} AS o WHERE side = '{second}' AND cents > 0) AS b
+          ON a.sender = b.sender AND a.pool = b.pool AND a.span = b.span WHERE b.block_height > a.block_height AND b.block_height - a.block_height <= {blocks} AND abs(a.cents - b.cents) <= {tolerance} * greatest(a.cents, b.cents)"""
 
     return f"{leg('buy', 'sell')} UNION ALL {leg('sell', 'buy')}"
 
 
-def wash_trading(d: Dialect) -> str:
-    """A: repeated round trips of a sender in a pool. C: their share of the pool's volume raises the severity by one level."""
+def wash_trading(d: Dialect, reps: int = 3, blocks: int = 25, tolerance: float = 0.05, ring_cents: int = 100_000, ring_span: int = 7200) -> str:
+    """A: repeated round trips of a sender in a pool. B: rings of wallets that pass a token on. C: the share of A in the pool's volume
+    raises the severity by one level. The subject is the pool (A) or the token (B)."""
     return f"""
-    WITH trips AS ({round_trips(d)}),
-    s AS (SELECT pool, sender, count(*) AS trips, CAST(sum(cents) AS DOUBLE) / 100 AS wash_usd, {d.mode("gap")} AS usual_gap FROM trips GROUP BY pool, sender HAVING count(*) >= 2),
+    WITH trips AS ({round_trips(d, blocks, tolerance)}),
+    s AS (SELECT pool, sender, count(*) AS trips, CAST(sum(cents) AS DOUBLE) / 100 AS wash_usd, {d.mode("gap")} AS usual_gap FROM trips GROUP BY pool, sender HAVING count(*) >= {reps}),
     v AS (SELECT pool, CAST(sum(cents) AS DOUBLE) / 100 AS usd FROM {{swaps}} GROUP BY pool),
-    c AS (SELECT s.pool, s.sender, trips, wash_usd, usual_gap, wash_usd / usd AS share, round({clamp("0.60 + 0.05 * (trips - 2) + 0.10 * ln(wash_usd / 500)", 0.60, 0.95)}, 6) AS confidence FROM s JOIN v ON s.pool = v.pool)
-    SELECT pool, sender, 'wash_trading_h1' AS detector_id, 'A' AS signal, confidence, trips, round(wash_usd, 2) AS wash_usd, usual_gap, round(share, 6) AS share,
-      CASE WHEN share >= 0.30 THEN {severity('confidence + 0.20')} ELSE {severity('confidence')} END AS severity FROM c"""
+    c AS (SELECT s.pool, s.sender, trips, wash_usd, usual_gap, wash_usd / usd AS share, round({clamp(f"0.60 + 0.05 * (trips - {reps}) + 0.10 * ln(wash_usd / 500)", 0.60, 0.95)}, 6) AS confidence FROM s JOIN v ON s.pool = v.pool)
+    SELECT pool AS subject, sender, 'wash_trading_h1' AS detector_id, 'A' AS signal, CAST(confidence AS DOUBLE) AS confidence, trips, round(wash_usd, 2) AS wash_usd, usual_gap, round(share, 6) AS share,
+      CASE WHEN share >= 0.30 THEN {severity('confidence + 0.20')} ELSE {severity('confidence')} END AS severity FROM c
+    UNION ALL SELECT token, NULL, 'wash_trading_h1', 'B', CAST(confidence AS DOUBLE), rings, round(usd, 2), NULL, NULL, {severity('confidence')} FROM ({ring_signal(d, ring_cents, ring_span)}) AS r"""
 
 
-def mint_burn(d: Dialect) -> str:
+def ring_signal(d: Dialect, ring_cents: int = 100_000, ring_span: int = 7200) -> str:
+    """Wash trading by rings: enough value at the bottleneck, in a short time."""
+    return f"""
+    SELECT token, count(*) AS rings, CAST(sum(bottleneck) AS DOUBLE) / 100 AS usd, round(least(0.40 + 0.40 * least(CAST(sum(bottleneck) AS DOUBLE) / 100 / 10000, 1), 0.85), 6) AS confidence
+    FROM ({rings(d)}) AS c WHERE bottleneck >= {ring_cents} AND span <= {ring_span} GROUP BY token"""
+
+
+def mint_burn(d: Dialect, event_share: float = 0.05, sum_share: float = 0.20, window: int = 30 * DAY, as_of: int = T) -> str:
     """A: an old token can still be minted. B: one large mint or burn. C: large mints in sum; B and C spare established tokens."""
     return _anomaly(
         f"""
         WITH ev AS (SELECT f.token, k.supply, k.mint_authority, k.age_days, {established()} AS known, CAST(CASE WHEN is_burn THEN -amount ELSE amount END AS DOUBLE) / k.supply AS share, t, is_mint, tx_hash, log_index
             FROM {{transfers}} f JOIN {{tokens}} k ON f.token = k.token WHERE is_mint OR is_burn),
         b AS (SELECT token, max(abs(share)) AS x FROM ev WHERE NOT known GROUP BY token),
-        c AS (SELECT token, sum(share) AS x FROM ev WHERE NOT known AND is_mint AND t > {T - 365 * DAY} AND t <= {T} GROUP BY token),
-        u AS (SELECT k.token, 'A' AS signal, 0.20 * CASE WHEN {established()} THEN 0.5 ELSE 1 END AS confidence, 0.0 AS x FROM {{tokens}} k LEFT JOIN c ON k.token = c.token WHERE mint_authority AND age_days > 7 AND NOT coalesce(c.x >= 0.01 AND age_days >= 14, FALSE)
-          UNION ALL SELECT token, 'B', least(0.55 + 0.30 * (x - 0.003) / 0.003 + 0.30, 0.85), x FROM b WHERE x >= 0.003
-          UNION ALL SELECT c.token, 'C', least(0.75 + (c.x - 0.01), 0.95), c.x FROM c JOIN {{tokens}} k ON c.token = k.token WHERE mint_authority AND age_days >= 14 AND c.x >= 0.01)
+        c AS (SELECT token, sum(share) AS x FROM ev WHERE NOT known AND is_mint AND t > {as_of - window} AND t <= {as_of} GROUP BY token),
+        u AS (SELECT k.token, 'A' AS signal, 0.20 * CASE WHEN {established()} THEN 0.5 ELSE 1 END AS confidence, 0.0 AS x FROM {{tokens}} k LEFT JOIN c ON k.token = c.token WHERE mint_authority AND age_days > 7 AND NOT coalesce(c.x >= {sum_share} AND age_days >= 14, FALSE)
+          UNION ALL SELECT token, 'B', least(0.55 + 0.30 * (x - {event_share}) / {event_share} + 0.30, 0.85), x FROM b WHERE x >= {event_share}
+          UNION ALL SELECT c.token, 'C', least(0.75 + (c.x - {sum_share}), 0.95), c.x FROM c JOIN {{tokens}} k ON c.token = k.token WHERE mint_authority AND age_days >= 14 AND c.x >= {sum_share})
         SELECT token, signal, CAST(confidence AS DOUBLE) AS confidence, CAST(round(x, 6) AS DOUBLE) AS share FROM u""",
         "mint_burn_anomaly",
         "token",
@@ -159,13 +188,13 @@ def mint_burn(d: Dialect) -> str:
     )
 
 
-def withheld(d: Dialect) -> str:
+def withheld(d: Dialect, window: int = 7 * DAY, rotated: int = 7 * DAY, fresh: int = DAY, tenure: int = 7 * DAY, as_of: int = T) -> str:
     """A: withheld fees drawn again and again. B: the authority changed lately, to a fresh wallet, after a short tenure."""
     return _anomaly(
         f"""
-        WITH a AS (SELECT mint, count(*) AS n, CAST(sum(cents) AS DOUBLE) / 100 AS usd, count(DISTINCT authority) AS authorities FROM {{instructions}} WHERE kind = 'withdraw_withheld' AND t > {T - 730 * DAY} AND t <= {T} GROUP BY mint),
-        r AS (SELECT mint, t, new_authority, lag(t) OVER (PARTITION BY mint ORDER BY t, tx_hash, log_index, new_authority, cents, amount) AS before, row_number() OVER (PARTITION BY mint ORDER BY t DESC, tx_hash DESC, log_index DESC, new_authority DESC, cents DESC, amount DESC) AS nth FROM {{instructions}} WHERE kind = 'set_authority' AND t <= {T}),
-        b AS (SELECT r.mint, r.t, coalesce(r.t - f.first_t < {180 * DAY} AND r.t >= f.first_t, FALSE) AS fresh, coalesce(r.t - r.before < {60 * DAY}, FALSE) AS short_tenure FROM r LEFT JOIN {{funding}} f ON r.new_authority = f.wallet WHERE nth = 1 AND r.t > {T - 365 * DAY})
+        WITH a AS (SELECT mint, count(*) AS n, CAST(sum(cents) AS DOUBLE) / 100 AS usd, count(DISTINCT authority) AS authorities FROM {{instructions}} WHERE kind = 'withdraw_withheld' AND t > {as_of - window} AND t <= {as_of} GROUP BY mint),
+        r AS (SELECT mint, t, new_authority, lag(t) OVER (PARTITION BY mint ORDER BY t, tx_hash, log_index, new_authority, cents, amount) AS before, row_number() OVER (PARTITION BY mint ORDER BY t DESC, tx_hash DESC, log_index DESC, new_authority DESC, cents DESC, amount DESC) AS nth FROM {{instructions}} WHERE kind = 'set_authority' AND t <= {as_of}),
+        b AS (SELECT r.mint, r.t, coalesce(r.t - f.first_t < {fresh} AND r.t >= f.first_t, FALSE) AS fresh, coalesce(r.t - r.before < {tenure}, FALSE) AS short_tenure FROM r LEFT JOIN {{funding}} f ON r.new_authority = f.wallet WHERE nth = 1 AND r.t > {as_of - rotated})
         SELECT mint, 'A' AS signal, least(CASE WHEN n >= 3 AND usd >= 1000 THEN 0.60 + least(0.03 * (n - 3), 0.15) + least(0.10 * ln(usd / 1000), 0.15) WHEN n = 2 THEN 0.60 ELSE 0.65 END - CASE WHEN authorities > 1 THEN 0.10 ELSE 0 END, 0.90) AS confidence, n, round(usd, 2) AS usd
           FROM a WHERE (n >= 3 AND usd >= 1000) OR n = 2 OR (n = 1 AND usd >= 5000)
         UNION ALL SELECT mint, 'B', least(0.40 + 0.20 * {flag("fresh")} + 0.15 * {flag("short_tenure")}, 0.75), 1, 0.0 FROM b""",
@@ -175,17 +204,20 @@ def withheld(d: Dialect) -> str:
     )
 
 
-def sybil(d: Dialect) -> str:
-    """How many of a token's top holders are of one common-funder cluster."""
+def sybil(d: Dialect, overlap: float = 0.30) -> str:
+    """How many of a token's top holders are of one common-funder cluster; smart wallets among its members raise the confidence."""
     return _anomaly(
-        """
-        WITH top AS (SELECT chain, token, holder FROM (SELECT chain, token, holder, row_number() OVER (PARTITION BY chain, token ORDER BY balance DESC, holder) AS nth FROM {balances}) AS x WHERE nth <= 100),
-        o AS (SELECT top.chain, top.token, m.cluster_id, m.size, max(m.confidence) AS cluster_conf, count(DISTINCT top.holder) AS held FROM top JOIN {members} m ON top.holder = m.wallet AND top.chain = m.chain GROUP BY top.chain, top.token, m.cluster_id, m.size),
-        b AS (SELECT *, row_number() OVER (PARTITION BY chain, token ORDER BY held DESC, cluster_id DESC) AS nth FROM o WHERE size >= 3)
-        SELECT chain, token, 'overlap' AS signal, least(greatest((0.40 + 0.40 * held / CAST(size AS DOUBLE)) * (0.50 + 0.50 * cluster_conf), 0), 0.95) AS confidence, cluster_id, held, size FROM b WHERE nth = 1 AND held / CAST(size AS DOUBLE) >= 0.30""",
+        f"""
+        WITH top AS (SELECT chain, token, holder FROM (SELECT chain, token, holder, row_number() OVER (PARTITION BY chain, token ORDER BY balance DESC, holder) AS nth FROM {{balances}}) AS x WHERE nth <= 100),
+        o AS (SELECT top.chain, top.token, m.cluster_id, m.size, max(m.confidence) AS cluster_conf, count(DISTINCT top.holder) AS held FROM top JOIN {{members}} m ON top.holder = m.wallet AND top.chain = m.chain GROUP BY top.chain, top.token, m.cluster_id, m.size),
+        b AS (SELECT *, row_number() OVER (PARTITION BY chain, token ORDER BY held DESC, cluster_id DESC) AS nth FROM o WHERE size >= 3),
+        f AS (SELECT chain, token, cluster_id, held, size, least(greatest((0.40 + 0.40 * held / CAST(size AS DOUBLE)) * (0.50 + 0.50 * cluster_conf), 0), 0.95) AS conf FROM b WHERE nth = 1 AND held / CAST(size AS DOUBLE) >= {overlap}),
+        w AS (SELECT m.chain, m.cluster_id, count(DISTINCT CASE WHEN w.tier = 1 THEN m.wallet END) AS tier1, count(DISTINCT CASE WHEN w.tier = 2 THEN m.wallet END) AS tier2 FROM {{members}} m JOIN {{smart_wallets}} w ON m.wallet = concat('c', substring(w.wallet, 2)) GROUP BY m.chain, m.cluster_id),
+        a AS (SELECT f.*, CAST(CASE WHEN conf < 0.30 THEN 0 WHEN tier1 >= 1 THEN 0.10 WHEN tier2 >= 2 THEN 0.05 ELSE 0 END AS DOUBLE) AS smart FROM f LEFT JOIN w ON f.chain = w.chain AND f.cluster_id = w.cluster_id)
+        SELECT chain, token, 'overlap' AS signal, CAST(least(conf + smart, 0.95) AS DOUBLE) AS confidence, cluster_id, held, size, smart FROM a""",
         "sybil_detection",
         "chain, token",
-        "cluster_id, held, size",
+        "cluster_id, held, size, smart",
     )
 
 
@@ -256,39 +288,42 @@ def sandwich(d: Dialect) -> str:
     )
 
 
-def bridge_drain(d: Dialect, per_token: bool = False) -> str:
+def bridge_drain(d: Dialect, per_token: bool = False, share: float = 0.20, window: int = 3600, baseline: int = 7 * DAY, as_of: int = T) -> str:
     """Outflow of a custody address in the window against its inflow of the time before; per token, or over all."""
     keys = "address, token" if per_token else "address"
     return _anomaly(
         f"""
-        WITH legs AS (SELECT from_address AS address, token, amount AS out_amount, 0 AS in_amount FROM {{transfers}} WHERE t > {T - 30 * DAY} AND t <= {T}
-            UNION ALL SELECT concat('s', substring(to_address, 2)), token, 0, amount FROM {{transfers}} WHERE t > {T - 395 * DAY} AND t <= {T - 30 * DAY}),
+        WITH legs AS (SELECT from_address AS address, token, amount AS out_amount, 0 AS in_amount FROM {{transfers}} WHERE t > {as_of - window} AND t <= {as_of}
+            UNION ALL SELECT concat('s', substring(to_address, 2)), token, 0, amount FROM {{transfers}} WHERE t > {as_of - window - baseline} AND t <= {as_of - window}),
         g AS (SELECT {keys}, CAST(sum(out_amount) AS DOUBLE) AS out_amount, CAST(sum(in_amount) AS DOUBLE) AS in_amount FROM legs GROUP BY {keys}),
         k AS (SELECT g.*, out_amount / in_amount AS share, CASE WHEN p.dex_no = 0 THEN 0.85 ELSE 0.65 END AS base FROM g JOIN {{pools}} p ON g.address = p.pool WHERE in_amount > 0)
-        SELECT {keys}, 'outflow' AS signal, CAST(least(base + CASE WHEN share >= 0.50 THEN 0.10 ELSE 0 END, 0.95) AS DOUBLE) AS confidence, round(share, 6) AS share FROM k WHERE share > 0.20""",
+        SELECT {keys}, 'outflow' AS signal, CAST(least(base + CASE WHEN share >= 0.50 THEN 0.10 ELSE 0 END, 0.95) AS DOUBLE) AS confidence, round(share, 6) AS share FROM k WHERE share > {share}""",
         "bridge_drain_v1",
         keys,
         "share",
     )
 
 
+PUMP = SCALED["pump_dump"]
+WASH = SCALED["wash_trading_h1"]
 TEXTS = {
     "d01_honeypot": honeypot,
-    "d02_rug_pull": rug_pull,
+    "d02_rug_pull": partial(rug_pull, **SCALED["rug_pull_lp_drain"]),
     "d03_concentration": concentration,
-    "d04_pump_dump": pump_dump,
+    "d04_pump_dump": partial(pump_dump, **PUMP),
     "d04_insider_sales": insider_sales,
-    "d04_smart_amplifier": smart_amplifier,
-    "d05_wash_trading": wash_trading,
-    "d06_mint_burn": mint_burn,
-    "d07_withheld": withheld,
+    "d04_smart_amplifier": partial(smart_amplifier, window=PUMP["window"], before=PUMP["before"]),
+    "d05_wash_trading": partial(wash_trading, **WASH),
+    "d05_ring_signal": partial(ring_signal, ring_cents=WASH["ring_cents"], ring_span=WASH["ring_span"]),
+    "d06_mint_burn": partial(mint_burn, **SCALED["mint_burn_anomaly"]),
+    "d07_withheld": partial(withheld, **SCALED["withdraw_withheld_drain"]),
     "d08_sybil": sybil,
     "d09_deployer_features": deployer_features,
     "d10_launch_audit": launch_audit,
     "d12_permit_drainer": permit_drainer,
     "d13_sandwich": sandwich,
-    "d14_bridge_drain": bridge_drain,
-    "d14_bridge_drain_per_token": lambda d: bridge_drain(d, True),
-    "j01_round_trips": round_trips,
+    "d14_bridge_drain": partial(bridge_drain, **SCALED["bridge_drain_v1"]),
+    "d14_bridge_drain_per_token": partial(bridge_drain, per_token=True, **SCALED["bridge_drain_v1"]),
+    "j01_round_trips": partial(round_trips, blocks=WASH["blocks"]),
     "j09_sandwich_candidates": sandwich_candidates,
 }

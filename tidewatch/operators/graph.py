@@ -86,12 +86,6 @@ def rings_exact(edges: DataFrame, longest: int = 5, cap: int | None = None) -> D
     return edges.groupBy("token", "bucket").applyInPandas(find, "token string, bucket long, size int, ring string, bottleneck long, span long")
 
 
-def ring_signal(d: Dialect) -> str:
-    """Wash trading by rings: enough value at the bottleneck, in a short time."""
-    return f"""
-    SELECT token, count(*) AS rings, round(least(0.40 + 0.40 * least(CAST(sum(bottleneck) AS DOUBLE) / 100 / 10000, 1), 0.85), 6) AS confidence FROM ({rings(d)}) AS c WHERE bottleneck >= 5000 AND span <= {5 * DAY} GROUP BY token"""
-
-
 TEXTS = {
     "g01_funding_edges": lambda d: "SELECT chain, funder, wallet, total, n, first_t, last_t FROM {sol_edges}",
     "g02_edge_sums": lambda d: "SELECT from_address, to_address, CAST(sum(amount) AS BIGINT) AS total, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM {transfers} GROUP BY from_address, to_address",
@@ -100,7 +94,6 @@ TEXTS = {
     "g05_cluster_confidence": lambda d: "SELECT chain, wallet, cluster_id, confidence FROM {members}",
     "g06_common_funder_run": lambda d: "SELECT m.chain, m.cluster_id, m.funder, count(*) AS members, max(m.confidence) AS confidence FROM {members} m WHERE NOT EXISTS (SELECT 1 FROM {classes} c WHERE c.address = concat('c', substring(m.funder, 2)) AND c.kind = 'cex_hot_wallet') GROUP BY m.chain, m.cluster_id, m.funder",
     "g07_rings": rings,
-    "d05_ring_signal": ring_signal,
     "g08_typed_edges": lambda d: """
       SELECT kind, count(*) AS n, count(DISTINCT src) AS sources FROM (SELECT 'funding' AS kind, funder AS src, wallet AS dst FROM {sol_edges} UNION ALL SELECT 'token_transfer', from_address, to_address FROM {transfers}
       UNION ALL SELECT 'deployer_of', deployer, token FROM {launches} UNION ALL SELECT 'authority_of', authority, mint FROM {instructions} WHERE kind = 'set_authority') AS x GROUP BY kind""",

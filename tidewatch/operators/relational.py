@@ -13,9 +13,8 @@ TEXTS = {
     "j03_first_funding": lambda d: "SELECT r.mint, r.new_authority, r.t, f.first_t FROM (SELECT mint, new_authority, t FROM {instructions} WHERE kind = 'set_authority') AS r LEFT JOIN {funding} f ON r.new_authority = f.wallet",
     "j04_totals_join": lambda d: "SELECT a.token, a.n, round(a.n / CAST(b.n AS DOUBLE), 6) AS share FROM (SELECT token, count(*) AS n FROM {swaps} GROUP BY token) AS a CROSS JOIN (SELECT count(*) AS n FROM {swaps}) AS b",
     "j05_four_aggregates": lambda d: f"""
-      SELECT h.token, h.n AS n_hour, q.n AS n_day, w.n AS n_week, a.n AS n_all FROM (SELECT token, count(*) AS n FROM {{swaps}} WHERE t >= {S - 6 * 3600} AND t < {S} GROUP BY token) AS h
-      JOIN (SELECT token, count(*) AS n FROM {{swaps}} WHERE t >= {S - DAY} AND t < {S} GROUP BY token) AS q ON h.token = q.token
-      JOIN (SELECT token, count(*) AS n FROM {{swaps}} WHERE t >= {S - 7 * DAY} AND t < {S} GROUP BY token) AS w ON h.token = w.token JOIN (SELECT token, count(*) AS n FROM {{swaps}} GROUP BY token) AS a ON h.token = a.token""",
+      SELECT * FROM (SELECT token, count(CASE WHEN t >= {S - 6 * 3600} AND t < {S} THEN 1 END) AS n_hour, count(CASE WHEN t >= {S - DAY} AND t < {S} THEN 1 END) AS n_day, count(CASE WHEN t >= {S - 7 * DAY} AND t < {S} THEN 1 END) AS n_week, count(*) AS n_all
+      FROM {{swaps}} GROUP BY token) AS x WHERE n_hour > 0""",
     "j06_nearest_snapshot": lambda d: f"""
       SELECT token, t, n FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY abs(t - {T - 365 * DAY}), t) AS nth FROM (SELECT token, t, count(*) AS n FROM {{transfers}} WHERE t BETWEEN {T - 395 * DAY} AND {T - 335 * DAY} GROUP BY token, t) AS s) AS x WHERE nth = 1""",
     "j07_anomaly_history": lambda d: "SELECT l.deployer, count(*) AS launches, count(DISTINCT l.token) FILTER (WHERE b.n > 10) AS flagged FROM {launches} l LEFT JOIN (SELECT token, count(*) AS n FROM {transfers} WHERE is_burn GROUP BY token) AS b ON l.token = b.token GROUP BY l.deployer",
@@ -25,7 +24,8 @@ TEXTS = {
     "j12_cluster_lookup": lambda d: "SELECT chain, wallet, cluster_id, confidence FROM (SELECT chain, wallet, cluster_id, confidence, row_number() OVER (PARTITION BY chain, wallet ORDER BY confidence DESC, cluster_id) AS nth FROM {members}) AS x WHERE nth = 1",
     "j13_buys_before_peak": lambda d: f"""
       WITH peaks AS (SELECT token, t AS peak FROM (SELECT token, t, row_number() OVER (PARTITION BY token, {d.idiv("t", str(DAY))} ORDER BY cents DESC, seq) AS nth FROM {{swaps}}) AS x WHERE nth = 1)
-      SELECT s.sender, count(DISTINCT concat(p.token, ':', CAST(p.peak AS STRING))) AS events, CAST(floor({d.median("p.peak - s.t")}) AS BIGINT) AS median_lead FROM {{swaps}} s JOIN peaks p ON s.token = p.token AND s.t BETWEEN p.peak - 3600 AND p.peak WHERE s.side = 'buy' GROUP BY s.sender""",
+      SELECT s.sender, count(DISTINCT concat(p.token, ':', CAST(p.peak AS STRING))) AS events, CAST(floor({d.median("p.peak - s.t")}) AS BIGINT) AS median_lead FROM (SELECT *, {d.idiv("t", "3600")} AS hour_no FROM {{swaps}} WHERE side = 'buy') AS s
+      JOIN (SELECT token, peak, {d.idiv("peak", "3600")} - o.back AS hour_no FROM peaks CROSS JOIN {d.rows("(0), (1)", "back")} AS o) AS p ON s.token = p.token AND s.hour_no = p.hour_no AND s.t BETWEEN p.peak - 3600 AND p.peak GROUP BY s.sender""",
     "j14_neighbours": lambda d: "SELECT chain, funder, wallet, total FROM (SELECT chain, funder, wallet, total, row_number() OVER (PARTITION BY chain, funder ORDER BY last_t DESC, wallet) AS nth FROM {sol_edges}) AS x WHERE nth <= 5",
     # aggregates
     "a01_having": lambda d: "SELECT pool, actor, count(*) AS n, CAST(sum(lp_tokens) AS BIGINT) AS lp FROM {lp_events} GROUP BY pool, actor HAVING count(*) >= 3 AND sum(lp_tokens) > 60",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,11 @@ class Dialect:
     def median(self, x: str) -> str:
         return f"percentile_cont(0.5) WITHIN GROUP (ORDER BY {x})"
 
+    def last_known(self, x: str, over: str) -> str:
+        """The last value that is not null, in a running window."""
+        frame = f"({over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        return f"last_value({x}) IGNORE NULLS OVER {frame}" if self.spark else f"last_value({x} IGNORE NULLS) OVER {frame}"
+
     def json_int(self, x: str, key: str) -> str:
         return f"CAST(get_json_object({x}, '$.{key}') AS BIGINT)" if self.spark else f"CAST(json_extract_string({x}, '$.{key}') AS BIGINT)"
 
@@ -103,6 +109,15 @@ class Tables:
             self.made[name] = run(self.spark, VIEWS[name], self) if name in VIEWS else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self.made[name]
 
+    def keep(self, name: str) -> None:
+        """Writes a derived table once to the shared folder, for plans that would each work it out again."""
+        from ..sources.files import shared_folder
+
+        path = f"{shared_folder(self.spark)}/tidewatch/{name}-{uuid.uuid4().hex}"
+        df = self(name)
+        df.write.parquet(path)
+        self.made[name] = self.spark.read.schema(df.schema).parquet(path)
+
 
 def oracle(text: Text) -> str:
     """The text with its derived tables as common table expressions."""

@@ -33,6 +33,12 @@ def transfers(d: Dialect) -> str:
     FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey"""
 
 
+@view("graduations")
+def graduations(d: Dialect) -> str:
+    """When tokens left their launchpad."""
+    return f"SELECT token, {SWAPS_AS_OF} - (1 + CAST(substring(token, 4) AS BIGINT)) * 72000 AS graduated_t FROM (SELECT DISTINCT token FROM {{swaps}}) AS x"
+
+
 @view("lp_events")
 def lp_events(d: Dialect) -> str:
     return """
@@ -177,16 +183,19 @@ def legs(d: Dialect) -> str:
 
 @view("trips")
 def trips(d: Dialect) -> str:
-    """FIFO lots by overlap of cumulated quantities. Sold quantities count only up to the inventory bought before: the
-    running surplus of sales over purchases, at its highest so far, is dropped, so no sell meets a later buy."""
-    return """
-    WITH r AS (SELECT *, sum(CASE WHEN leg = 'buy' THEN qty ELSE 0 END) OVER w AS bought, sum(CASE WHEN leg = 'sell' THEN qty ELSE 0 END) OVER w AS sold FROM {legs} WINDOW w AS (PARTITION BY wallet, token ORDER BY t, tx_hash, leg ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    """FIFO lots by cumulated quantities. Sold quantities count only up to the inventory bought before: the running surplus of
+    sales over purchases, at its highest so far, is dropped, so no sell meets a later buy. The ends of all lots cut the
+    quantity axis into pieces, each of the buy and the sell that end next: one running window, linear in the legs."""
+    down = "PARTITION BY wallet, token ORDER BY hi DESC"
+    known = ", ".join(f"{d.last_known(x, down)} AS {x}" for x in ("buy_t", "buy_cents", "buy_qty", "sell_t", "sell_cents", "sell_qty", "sell_seq"))
+    return f"""
+    WITH r AS (SELECT *, sum(CASE WHEN leg = 'buy' THEN qty ELSE 0 END) OVER w AS bought, sum(CASE WHEN leg = 'sell' THEN qty ELSE 0 END) OVER w AS sold FROM {{legs}} WINDOW w AS (PARTITION BY wallet, token ORDER BY t, tx_hash, leg ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
     o AS (SELECT *, greatest(max(sold - bought) OVER (PARTITION BY wallet, token ORDER BY t, tx_hash, leg ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS lost FROM r),
     p AS (SELECT *, coalesce(lag(lost) OVER (PARTITION BY wallet, token ORDER BY t, tx_hash, leg), 0) AS lost_before FROM o),
-    b AS (SELECT wallet, token, t, cents, qty, bought - qty AS lo, bought AS hi FROM p WHERE leg = 'buy'),
-    s AS (SELECT wallet, token, t, cents, qty, seq, sold - qty - lost_before AS lo, sold - lost AS hi FROM p WHERE leg = 'sell' AND sold - lost > sold - qty - lost_before)
-    SELECT s.wallet, s.token, b.t AS buy_t, s.t AS sell_t, s.seq AS sell_seq, CAST(least(b.hi, s.hi) - greatest(b.lo, s.lo) AS BIGINT) AS qty, (s.cents / CAST(s.qty AS DOUBLE) - b.cents / CAST(b.qty AS DOUBLE)) * (least(b.hi, s.hi) - greatest(b.lo, s.lo)) / 100 AS pnl, s.t - b.t AS held
-    FROM s JOIN b ON s.wallet = b.wallet AND s.token = b.token AND b.lo < s.hi AND s.lo < b.hi"""
+    e AS (SELECT wallet, token, leg, t, cents, qty, seq, CASE WHEN leg = 'buy' THEN bought ELSE sold - lost END AS hi FROM p WHERE leg = 'buy' OR sold - lost > sold - qty - lost_before),
+    g AS (SELECT wallet, token, hi, {", ".join(f"max(CASE WHEN leg = '{leg}' THEN {x} END) AS {leg}_{x}" for leg, x in (("buy", "t"), ("buy", "cents"), ("buy", "qty"), ("sell", "t"), ("sell", "cents"), ("sell", "qty"), ("sell", "seq")))} FROM e GROUP BY wallet, token, hi),
+    k AS (SELECT wallet, token, hi, CAST(hi - coalesce(lead(hi) OVER ({down}), 0) AS BIGINT) AS n, {known} FROM g)
+    SELECT wallet, token, buy_t, sell_t, sell_seq, n AS qty, (sell_cents / CAST(sell_qty AS DOUBLE) - buy_cents / CAST(buy_qty AS DOUBLE)) * n / 100 AS pnl, sell_t - buy_t AS held FROM k WHERE buy_t IS NOT NULL AND sell_t IS NOT NULL"""
 
 
 @view("wallet_stats")
@@ -194,14 +203,20 @@ def wallet_stats(d: Dialect) -> str:
     return f"""
     WITH a AS (SELECT wallet, count(*) AS trips, sum(pnl) AS pnl, avg(CAST(CASE WHEN pnl > 0 THEN 1 ELSE 0 END AS DOUBLE)) AS win_rate, avg(CAST(held AS DOUBLE)) AS held FROM {{trips}} GROUP BY wallet),
     peaks AS (SELECT token, t AS peak FROM (SELECT token, t, row_number() OVER (PARTITION BY token, {d.idiv("t", str(DAY))} ORDER BY cents DESC, seq) AS nth FROM {{swaps}}) AS x WHERE nth = 1),
-    e AS (SELECT l.wallet, count(DISTINCT concat(p.token, ':', CAST(p.peak AS STRING))) AS events, CAST(floor({d.median("p.peak - l.t")}) AS BIGINT) AS lead_s FROM {{legs}} l JOIN peaks p ON l.token = p.token AND l.t BETWEEN p.peak - 3600 AND p.peak WHERE l.leg = 'buy' GROUP BY l.wallet),
+    e AS (SELECT l.wallet, count(DISTINCT concat(p.token, ':', CAST(p.peak AS STRING))) AS events, CAST(floor({d.median("p.peak - l.t")}) AS BIGINT) AS lead_s FROM (SELECT *, {d.idiv("t", "3600")} AS hour_no FROM {{legs}} WHERE leg = 'buy') AS l
+      JOIN (SELECT token, peak, {d.idiv("peak", "3600")} - o.back AS hour_no FROM peaks CROSS JOIN {d.rows("(0), (1)", "back")} AS o) AS p ON l.token = p.token AND l.hour_no = p.hour_no AND l.t BETWEEN p.peak - 3600 AND p.peak GROUP BY l.wallet),
     r AS ({d.percent_ranked("SELECT wallet, events, lead_s FROM e", "lead_s", "timing")})
     SELECT a.wallet, trips, pnl, win_rate, held, coalesce(events, 0) AS events, lead_s, coalesce(timing, 0) AS timing FROM a LEFT JOIN r ON a.wallet = r.wallet"""
 
 
 @view("smart_wallets")
-def smart_wallets(d: Dialect) -> str:
-    tier = "CASE WHEN trips < 10 THEN 0 WHEN pnl >= 500 AND win_rate >= 0.55 AND events >= 2 AND timing >= 0.6 THEN 1 WHEN pnl >= 300 OR events >= 4 THEN 2 WHEN pnl > 0 THEN 3 ELSE 0 END"
+def scaled_smart_wallets(d: Dialect) -> str:
+    return smart_wallets(d, pnl1=500, events1=2, timing=0.6, pnl2=300, events2=4)
+
+
+def smart_wallets(d: Dialect, pnl1: float = 10_000, win: float = 0.55, events1: int = 3, timing: float = 0.90, pnl2: float = 1_000, events2: int = 2) -> str:
+    """Tiers of wallets with ten round trips or more; the defaults hold for live chains."""
+    tier = f"CASE WHEN trips < 10 THEN 0 WHEN pnl >= {pnl1} AND win_rate >= {win} AND events >= {events1} AND timing >= {timing} THEN 1 WHEN pnl >= {pnl2} OR events >= {events2} THEN 2 WHEN pnl > 0 THEN 3 ELSE 0 END"
     return f"""
     SELECT wallet, tier, trips, pnl, win_rate, events, least(CASE tier WHEN 1 THEN CAST(0.65 AS DOUBLE) WHEN 2 THEN CAST(0.50 AS DOUBLE) ELSE CAST(0.35 AS DOUBLE) END + CASE WHEN events > 0 THEN 0.10 ELSE 0 END + least(0.03 * greatest(events - 1, 0), 0.10)
       + CASE WHEN held BETWEEN 300 AND 86400 THEN 0.05 ELSE 0 END + CASE WHEN pnl > 1 THEN least(greatest(0.02 * log10(pnl) - 0.02, 0), 0.05) ELSE 0 END, 0.90) AS confidence

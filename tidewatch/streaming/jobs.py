@@ -129,21 +129,6 @@ def moved_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed(a, ["token", "detector_id"], F.col("id"), "confidence").select("token", "detector_id", "id")
 
 
-def isolated(detectors: dict[str, Callable[[], DataFrame]], columns: list[str]) -> DataFrame:
-    """Each detector is planned on its own; one that fails is reported as skipped and the others go on."""
-    out, skipped = None, []
-    for name, made in detectors.items():
-        try:
-            df = made().select(*columns)
-        except Exception as e:  # noqa: BLE001  (a detector of any kind may be registered)
-            skipped.append((name, type(e).__name__))
-            continue
-        out = df if out is None else out.unionByName(df)
-    if out is not None:
-        out.skipped = skipped
-    return out
-
-
 def multi_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams of several chains merged into one."""
     at = folder(spark, "merged")
