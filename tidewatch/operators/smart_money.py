@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..plans.dialect import Dialect
+from ..plans.views import exact_sum
 
 
 def fifo(legs: DataFrame) -> DataFrame:
@@ -45,8 +46,8 @@ TEXTS = {
     "m04_recurrence": lambda d: "SELECT wallet, events, coalesce(lead_s, -1) AS lead_s, round(timing, 6) AS timing FROM {wallet_stats}",
     "m05_tiers": lambda d: "SELECT wallet, tier, trips FROM {smart_wallets}",
     "m06_label_confidence": lambda d: "SELECT wallet, tier, round(confidence, 5) AS confidence FROM {smart_wallets}",
-    "m07_corpus": lambda d: """
-      SELECT w.wallet, coalesce(s.tier, 0) AS tier, w.trips, round(w.pnl, 2) AS pnl, t.token AS best_token FROM {wallet_stats} w LEFT JOIN {smart_wallets} s ON w.wallet = s.wallet LEFT JOIN (SELECT wallet, token, row_number() OVER (PARTITION BY wallet ORDER BY round(pnl, 4) DESC, token) AS nth FROM
-      (SELECT wallet, token, sum(pnl) AS pnl FROM {trips} GROUP BY wallet, token) AS x) AS t ON w.wallet = t.wallet AND t.nth = 1 WHERE NOT EXISTS (SELECT 1 FROM {classes} c WHERE c.address = concat('c', substring(w.wallet, 2)) AND c.kind IN ('cex_hot_wallet', 'dex_pool'))""",
+    "m07_corpus": lambda d: f"""
+      SELECT w.wallet, coalesce(s.tier, 0) AS tier, w.trips, round(w.pnl, 4) AS pnl, t.token AS best_token FROM {{wallet_stats}} w LEFT JOIN {{smart_wallets}} s ON w.wallet = s.wallet LEFT JOIN (SELECT wallet, token, row_number() OVER (PARTITION BY wallet ORDER BY pnl DESC, token) AS nth FROM
+      (SELECT wallet, token, {exact_sum('pnl')} AS pnl FROM {{trips}} GROUP BY wallet, token) AS x) AS t ON w.wallet = t.wallet AND t.nth = 1 WHERE NOT EXISTS (SELECT 1 FROM {{classes}} c WHERE c.address = concat('c', substring(w.wallet, 2)) AND c.kind IN ('cex_hot_wallet', 'dex_pool'))""",
     "m08_smart_buyers": lambda d: "SELECT l.token, sum(CASE WHEN s.tier = 1 THEN 1 ELSE 0 END) > 0 AS any_tier1, count(DISTINCT CASE WHEN s.tier <= 2 THEN l.wallet END) AS smart FROM {legs} l JOIN {smart_wallets} s ON l.wallet = s.wallet WHERE l.leg = 'buy' GROUP BY l.token",
 }

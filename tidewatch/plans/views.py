@@ -198,10 +198,15 @@ def trips(d: Dialect) -> str:
     SELECT wallet, token, buy_t, sell_t, sell_seq, n AS qty, (sell_cents / CAST(sell_qty AS DOUBLE) - buy_cents / CAST(buy_qty AS DOUBLE)) * n / 100 AS pnl, sell_t - buy_t AS held FROM k WHERE buy_t IS NOT NULL AND sell_t IS NOT NULL"""
 
 
+def exact_sum(x: str) -> str:
+    """Sum of dollars in whole millionths: the order of rows does not matter."""
+    return f"CAST(sum(CAST(round({x} * 1000000) AS BIGINT)) AS DOUBLE) / 1000000"
+
+
 @view("wallet_stats")
 def wallet_stats(d: Dialect) -> str:
     return f"""
-    WITH a AS (SELECT wallet, count(*) AS trips, sum(pnl) AS pnl, avg(CAST(CASE WHEN pnl > 0 THEN 1 ELSE 0 END AS DOUBLE)) AS win_rate, avg(CAST(held AS DOUBLE)) AS held FROM {{trips}} GROUP BY wallet),
+    WITH a AS (SELECT wallet, count(*) AS trips, {exact_sum('pnl')} AS pnl, avg(CAST(CASE WHEN pnl > 0 THEN 1 ELSE 0 END AS DOUBLE)) AS win_rate, avg(CAST(held AS DOUBLE)) AS held FROM {{trips}} GROUP BY wallet),
     peaks AS (SELECT token, t AS peak FROM (SELECT token, t, row_number() OVER (PARTITION BY token, {d.idiv("t", str(DAY))} ORDER BY cents DESC, seq) AS nth FROM {{swaps}}) AS x WHERE nth = 1),
     e AS (SELECT l.wallet, count(DISTINCT concat(p.token, ':', CAST(p.peak AS STRING))) AS events, CAST(floor({d.median("p.peak - l.t")}) AS BIGINT) AS lead_s FROM (SELECT *, {d.idiv("t", "3600")} AS hour_no FROM {{legs}} WHERE leg = 'buy') AS l
       JOIN (SELECT token, peak, {d.idiv("peak", "3600")} - o.back AS hour_no FROM peaks CROSS JOIN {d.rows("(0), (1)", "back")} AS o) AS p ON l.token = p.token AND l.hour_no = p.hour_no AND l.t BETWEEN p.peak - 3600 AND p.peak GROUP BY l.wallet),
