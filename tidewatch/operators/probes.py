@@ -29,7 +29,7 @@ TEXTS = {
     "c06_swap_spike": lambda d: f"""
       SELECT token, recent, earlier, CAST(CASE WHEN ratio >= 5 THEN 0.70 WHEN ratio >= 2 THEN 0.50 WHEN ratio >= 0.3 THEN 0.10 ELSE 0 END AS DOUBLE) AS confidence FROM (SELECT *, (recent / CAST(60 AS DOUBLE)) / (earlier / CAST(1440 AS DOUBLE)) AS ratio FROM
       (SELECT token, count(*) FILTER (WHERE t >= {SWAPS_AS_OF - 3600}) AS recent, count(*) FILTER (WHERE t < {SWAPS_AS_OF - 3600}) AS earlier FROM {{swaps}} WHERE t >= {SWAPS_AS_OF - 25 * 3600} AND t < {SWAPS_AS_OF} GROUP BY token) AS x WHERE earlier >= 20) AS y""",
-    "c07_throwaway_holders": lambda d: "SELECT b.token, count(*) AS throwaway, CAST(CASE WHEN count(*) >= 7 THEN 0.65 WHEN count(*) >= 4 THEN 0.45 WHEN count(*) >= 2 THEN 0.20 ELSE 0 END AS DOUBLE) AS confidence FROM {balances} b JOIN (SELECT to_address, count(DISTINCT tx_hash) AS nonce FROM {transfers} GROUP BY to_address) AS n ON b.holder = n.to_address WHERE n.nonce <= 12 GROUP BY b.token",
+    "c07_throwaway_holders": lambda d, nonce=12: f"SELECT b.token, count(*) AS throwaway, CAST(CASE WHEN count(*) >= 7 THEN 0.65 WHEN count(*) >= 4 THEN 0.45 WHEN count(*) >= 2 THEN 0.20 ELSE 0 END AS DOUBLE) AS confidence FROM {{balances}} b JOIN (SELECT to_address, count(DISTINCT tx_hash) AS nonce FROM {{transfers}} GROUP BY to_address) AS n ON b.holder = n.to_address WHERE n.nonce <= {nonce} GROUP BY b.token",
     "c08_contract_age": lambda d: "SELECT token, round(CAST(CASE WHEN age_days < 7 THEN 1 - age_days / CAST(7 AS DOUBLE) WHEN age_days < 30 THEN 0.30 ELSE 0 END AS DOUBLE), 6) AS confidence FROM {tokens}",
     "c09_discovery": lambda d, newest=500: f"SELECT count(*) AS pools, count(*) FILTER (WHERE lp_deployer = 0) AS renounced, count(*) FILTER (WHERE lp_deployer * 2 >= lp_total) AS owned FROM (SELECT * FROM {{launches}} WHERE t <= {T} ORDER BY t DESC, token, deployer LIMIT {newest}) AS x",
     "c10_symbol_search": lambda d: f"SELECT chain, token, liquidity_cents, pools FROM (SELECT e.chain, lower(e.token) AS token, max(p.liquidity_cents) AS liquidity_cents, {d.join_set('p.pool')} AS pools FROM {{lp_events}} e JOIN {{pools}} p ON e.pool = p.pool WHERE p.liquidity_cents >= 800000 GROUP BY e.chain, lower(e.token)) AS x",

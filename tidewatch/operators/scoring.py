@@ -5,11 +5,33 @@ from __future__ import annotations
 from ..functions.exprs import established, graduation, severity_name
 from ..plans.dialect import Dialect
 from ..plans.views import SWAPS_AS_OF
+from . import detectors, probes
 
 #: Weights of the seven scored detectors.
 WEIGHTS = {"holder_concentration": 0.32, "pump_dump": 0.32, "rug_pull_lp_drain": 0.20, "wash_trading_h1": 0.07, "honeypot_sim": 0.015, "mint_burn_anomaly": 0.015, "withdraw_withheld_drain": 0.06}
-#: Weights of the quick composite.
-QUICK_WEIGHTS = {"honeypot_sim": 1.0, "mint_burn_anomaly": 0.9, "holder_concentration": 0.7, "pump_dump": 0.6, "wash_trading_h1": 0.85}
+#: Weights of the quick composite by probe; any other has 0.7.
+QUICK_WEIGHTS = {
+    "d01_honeypot_static": 1.0,
+    "d02_ownable_owner": 1.0,
+    "d02_recent_renounce": 1.0,
+    "d02_d06_mint_authority": 1.0,
+    "d06_mint_burn": 0.9,
+    "d03_holder_concentration": 0.7,
+    "d03_dormant_token": 0.9,
+    "d04_pump_dump": 0.6,
+    "d05_wash_trading": 0.85,
+    "d11_synchronized": 0.65,
+    "d09_deployer_pattern": 0.7,
+    "d08_sybil_throwaway": 0.7,
+    "d04_pump_dump_proxy": 0.6,
+    "d11_synchronized_proxy": 0.6,
+    "d10_launch_audit": 0.5,
+}
+#: The probe that a detector's score counts as.
+PROBE_OF = {
+    "honeypot_sim": "d01_honeypot_static", "mint_burn_anomaly": "d06_mint_burn", "holder_concentration": "d03_holder_concentration", "pump_dump": "d04_pump_dump", "wash_trading_h1": "d05_wash_trading",
+    "synchronized_activity_v1": "d11_synchronized", "deployer_changepoint": "d09_deployer_pattern", "sybil_detection": "d08_sybil_throwaway", "launch_audit": "d10_launch_audit",
+}
 
 
 def weight(x: str, weights: dict, other: float) -> str:
@@ -32,11 +54,31 @@ def evidence(d: Dialect, keep: int = 5) -> str:
       (SELECT chain, token, detector_id, concat(detector_id, '/k', CAST(k % 3 AS STRING)) AS metric, sev, raw, k, row_number() OVER (PARTITION BY chain, token, detector_id, k % 3 ORDER BY sev DESC, raw DESC, id) AS best FROM {{scored}}) AS x WHERE best = 1) AS y WHERE nth <= {keep}"""
 
 
-def quick_composite(d: Dialect) -> str:
-    """Weighted noisy-or: one minus the product of what each detector leaves."""
+def noisy_or(rows: str, key: str, confidence: str, weights: dict) -> str:
+    """token, score, label: one minus the product of what each weighted confidence leaves."""
     return f"""
-    SELECT token, round(score, 6) AS score, CASE WHEN score >= 0.80 THEN 'CRITICAL' WHEN score >= 0.60 THEN 'HIGH' WHEN score >= 0.40 THEN 'MEDIUM' WHEN score >= 0.20 THEN 'LOW' ELSE 'INFO' END AS label FROM
-      (SELECT token, 1 - exp(sum(ln(1 - least(greatest({weight("detector_id", QUICK_WEIGHTS, 0.7)} * mean_eff, 0), 0.95)))) AS score FROM {{detector_scores}} GROUP BY token) AS x"""
+    SELECT token, score, CASE WHEN score >= 0.80 THEN 'CRITICAL' WHEN score >= 0.60 THEN 'HIGH' WHEN score >= 0.40 THEN 'MEDIUM' WHEN score >= 0.20 THEN 'LOW' ELSE 'INFO' END AS label FROM
+      (SELECT token, round(1 - exp(sum(ln(1 - least(greatest({weight(key, weights, 0.7)} * {confidence}, 0), 0.95)))), 6) AS score FROM {rows} GROUP BY token) AS x"""
+
+
+def quick_composite(d: Dialect) -> str:
+    """Over the detectors' decayed scores."""
+    return noisy_or("{detector_scores}", "detector_id", "mean_eff", {k: QUICK_WEIGHTS[v] for k, v in PROBE_OF.items()})
+
+
+def probe_verdict(d: Dialect) -> str:
+    """Over the one-shot probes of a token, each at its highest confidence."""
+    parts = {
+        "d01_honeypot_static": detectors.honeypot(d),
+        "d03_holder_concentration": detectors.concentration(d),
+        "d03_dormant_token": probes.TEXTS["c03_dormant"](d),
+        "d06_mint_burn": detectors.TEXTS["d06_mint_burn"](d),
+        "d08_sybil_throwaway": probes.TEXTS["c07_throwaway_holders"](d),
+        "d10_launch_audit": probes.TEXTS["c08_contract_age"](d),
+        "d11_synchronized": probes.TEXTS["c05_block_burst"](d),
+    }
+    union = " UNION ALL ".join(f"SELECT token, '{k}' AS probe, CAST(max(confidence) AS DOUBLE) AS confidence FROM ({text}) AS {k} GROUP BY token" for k, text in parts.items())
+    return noisy_or(f"({union}) AS p", "probe", "confidence", QUICK_WEIGHTS)
 
 
 TEXTS = {
@@ -52,6 +94,7 @@ TEXTS = {
     "r10_report": lambda d: f"SELECT b.chain, b.token, round(b.base * coalesce({attenuation()}, 1), 6) AS score, round(b.base, 6) AS base, {severity_name('b.sev')} AS severity, b.fired, b.detectors, {SWAPS_AS_OF} AS as_of FROM ({base(d)}) AS b LEFT JOIN {{tokens}} k ON substring(b.token, 4) = substring(k.token, 2)",
     "r11_graduation": lambda d: f"SELECT token, CAST({graduation('age_days * 24 - 20')} AS DOUBLE) AS factor FROM {{tokens}}",
     "r12_quick_composite": quick_composite,
+    "r12_probe_verdict": probe_verdict,
     "r13_verdicts": lambda d: f"SELECT token, detector_id, round(raw, 6) AS confidence, {severity_name('sev')} AS severity, t + CASE detector_id WHEN 'pump_dump' THEN 300 WHEN 'wash_trading_h1' THEN 900 ELSE 3600 END AS expires FROM (SELECT *, row_number() OVER (PARTITION BY token, detector_id ORDER BY raw DESC, t DESC, id) AS nth FROM {{scored}}) AS x WHERE nth = 1",
     "r14_analyze_severity": lambda d: f"SELECT token, CASE WHEN base >= 0.85 THEN 'critical' WHEN base >= 0.65 THEN 'high' WHEN base >= 0.40 THEN 'medium' WHEN base > 0 THEN 'low' ELSE 'info' END AS severity FROM ({base(d)}) AS b",
 }
