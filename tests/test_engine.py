@@ -372,10 +372,10 @@ def test_pump_and_dump_by_hand(spark):
 def test_round_trips_by_hand(spark):
     """Legs at most 25 blocks apart, over the borders of the spans, each pair once."""
     rng = __import__("random").Random(5)
-    rows = [swap("k", f"w{rng.randrange(3)}", rng.choice(["buy", "sell"]), 0, i, rng.choice([1000, 1020, 5000]), f"p{rng.randrange(2)}", rng.randrange(200)) for i in range(300)]
+    rows = [swap("k", f"w{rng.randrange(3)}", rng.choice(["buy", "sell"]), 0, i, rng.choice([1000, 1009, 1020, 5000]), f"p{rng.randrange(2)}", rng.randrange(200)) for i in range(300)]
     want = sorted(
         (a[7], b[7]) for a in rows for b in rows
-        if a[1] == b[1] and a[8] == b[8] and a[3] != b[3] and 0 < b[5] - a[5] <= 25 and abs(a[9] - b[9]) <= 0.05 * max(a[9], b[9])
+        if a[1] == b[1] and a[8] == b[8] and a[3] != b[3] and 0 < b[5] - a[5] <= 25 and abs(a[9] - b[9]) <= 0.01 * max(a[9], b[9])
     )
     got = run(spark, detectors.round_trips, Tables(spark, DATA, {"swaps": swaps_of(spark, rows)}))
     assert want and sorted((r.first_tx, r.second_tx) for r in got.collect()) == want

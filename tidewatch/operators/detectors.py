@@ -14,7 +14,7 @@ S, T = SWAPS_AS_OF, TRANSFERS_AS_OF
 SCALED: dict[str, dict] = {
     "rug_pull_lp_drain": {"share": 0.0065, "short": 30 * DAY, "long": 365 * DAY},
     "pump_dump": {"window": 6 * 3600, "before": 6 * 3600, "ratio": 0.2, "burst": 0.20, "burst_cents": 500},
-    "wash_trading_h1": {"reps": 2, "blocks": 5000, "ring_cents": 5000, "ring_span": 5 * DAY},
+    "wash_trading_h1": {"reps": 2, "blocks": 5000, "tolerance": 0.05, "ring_cents": 5000, "ring_span": 5 * DAY},
     "mint_burn_anomaly": {"event_share": 0.003, "sum_share": 0.01, "window": 365 * DAY},
     "withdraw_withheld_drain": {"window": 730 * DAY, "rotated": 365 * DAY, "fresh": 180 * DAY, "tenure": 60 * DAY},
     "bridge_drain_v1": {"window": 30 * DAY, "baseline": 365 * DAY},
@@ -136,7 +136,7 @@ def smart_amplifier(d: Dialect, window: int = 3600, before: int = 3600, as_of: i
       (SELECT s.token, count(DISTINCT CASE WHEN w.tier = 1 THEN s.sender END) AS tier1, count(DISTINCT CASE WHEN w.tier = 2 THEN s.sender END) AS tier2 FROM {{swaps}} s LEFT JOIN {{smart_wallets}} w ON s.sender = w.wallet WHERE s.side = 'buy' AND s.t >= {as_of - window - before} AND s.t < {as_of - window} GROUP BY s.token) AS x"""
 
 
-def round_trips(d: Dialect, blocks: int = 25, tolerance: float = 0.05) -> str:
+def round_trips(d: Dialect, blocks: int = 25, tolerance: float = 0.01) -> str:
     """Buys and sells of one sender in one pool within some blocks and of about one value, either side first. Blocks are cut into
     spans of that length, and the later leg looks into its own and the one before, so a busy sender meets only near legs."""
     span = d.idiv("block_height", str(blocks))
@@ -150,7 +150,7 @@ def round_trips(d: Dialect, blocks: int = 25, tolerance: float = 0.05) -> str:
     return f"{leg('buy', 'sell')} UNION ALL {leg('sell', 'buy')}"
 
 
-def wash_trading(d: Dialect, reps: int = 3, blocks: int = 25, tolerance: float = 0.05, ring_cents: int = 100_000, ring_span: int = 7200) -> str:
+def wash_trading(d: Dialect, reps: int = 3, blocks: int = 25, tolerance: float = 0.01, ring_cents: int = 100_000, ring_span: int = 7200) -> str:
     """A: repeated round trips of a sender in a pool. B: rings of wallets that pass a token on. C: the share of A in the pool's volume
     raises the severity by one level. The subject is the pool (A) or the token (B)."""
     return f"""
@@ -188,7 +188,7 @@ def mint_burn(d: Dialect, event_share: float = 0.05, sum_share: float = 0.20, wi
     )
 
 
-def withheld(d: Dialect, window: int = 7 * DAY, rotated: int = 7 * DAY, fresh: int = DAY, tenure: int = 7 * DAY, as_of: int = T) -> str:
+def withheld(d: Dialect, window: int = 7 * DAY, rotated: int = 30 * DAY, fresh: int = DAY, tenure: int = 7 * DAY, as_of: int = T) -> str:
     """A: withheld fees drawn again and again. B: the authority changed lately, to a fresh wallet, after a short tenure."""
     return _anomaly(
         f"""
@@ -288,7 +288,7 @@ def sandwich(d: Dialect) -> str:
     )
 
 
-def bridge_drain(d: Dialect, per_token: bool = False, share: float = 0.20, window: int = 3600, baseline: int = 7 * DAY, as_of: int = T) -> str:
+def bridge_drain(d: Dialect, per_token: bool = False, share: float = 0.20, window: int = 3600, baseline: int = 30 * DAY, as_of: int = T) -> str:
     """Outflow of a custody address in the window against its inflow of the time before; per token, or over all."""
     keys = "address, token" if per_token else "address"
     return _anomaly(
@@ -324,6 +324,6 @@ TEXTS = {
     "d13_sandwich": sandwich,
     "d14_bridge_drain": partial(bridge_drain, **SCALED["bridge_drain_v1"]),
     "d14_bridge_drain_per_token": partial(bridge_drain, per_token=True, **SCALED["bridge_drain_v1"]),
-    "j01_round_trips": partial(round_trips, blocks=WASH["blocks"]),
+    "j01_round_trips": partial(round_trips, blocks=WASH["blocks"], tolerance=WASH["tolerance"]),
     "j09_sandwich_candidates": sandwich_candidates,
 }
