@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, media, near_dup, packing, secret_scan, sharding, substring_dedup, toxicity, warc
+from . import bpe, exact_dedup, html_text, importance, media, near_dup, packing, secret_scan, sharding, spelling, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": (toxicity.op1_toxicity, None),
@@ -15,4 +15,7 @@ QUERIES = {
     "op8_substring_dedup": (substring_dedup.op8_substring_dedup, substring_dedup.ORACLE),
     "op9_ngram_jaccard": (near_dup.op9_ngram_jaccard, near_dup.ORACLE),
     "op10_sharding": (sharding.op10_sharding, None),
+    "op11_spelling_variants": (spelling.op11_spelling_variants, spelling.ORACLE),
+    "op12_html_extraction": (html_text.op12_html_extraction, None),
+    "op13_importance_resampling": (importance.op13_importance_resampling, importance.ORACLE),
 }
