@@ -13,16 +13,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import severity_col
-from ..plans.dialect import Dialect, Tables, run
+from ..plans.dialect import Dialect, Tables, query, run
 from .detectors import deployer_features
 
 HAZARD, SHORT = 1 / 300, 2
 #: Priors of mean and precision (mean, its weight, shape and rate): of the original scores, and of those of the derived tables.
 DEFAULT_PRIOR = (0.2, 1.0, 3.0, 1.0)
 PRIOR = (0.3, 1.0, 2.0, 0.05)
+#: Run lengths that are kept of a sequence.
+MOST_RUNS = 1000
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=8)
 def _by_run(n: int, prior: tuple[float, float, float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a run of k < n observations only mean and rate depend on the data; weight, shape and the predictive's constant do not."""
     runs = np.arange(n)
@@ -56,19 +58,105 @@ class ChangePoints:
         return float(p[0]), float(p[: SHORT + 1].sum()), int(p.argmax())
 
 
-def change_points(features: DataFrame, prior: tuple[float, float, float, float] = PRIOR, hazard: float = HAZARD) -> DataFrame:
-    """deployer, token, nth, score, cp_prob (P(run is 0), which equals the hazard by its algebra), p_short, run_mode, run_drop."""
-
-    def per_deployer(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("nth")
-        model, rows, before = ChangePoints(prior, hazard), [], 0
-        for r in g.itertuples():
-            cp, short, mode = model.step(r.score)
-            rows.append((r.deployer, r.token, r.nth, r.score, cp, short, mode, max(0, before + 1 - mode)))
-            before = mode
-        return pd.DataFrame(rows, columns=["deployer", "token", "nth", "score", "cp_prob", "p_short", "run_mode", "run_drop"])
-
-    return features.groupBy("deployer").applyInPandas(per_deployer, "deployer string, token string, nth long, score double, cp_prob double, p_short double, run_mode int, run_drop int")
+class RunLengths:
+    """Run-length posteriors of many sequences at once, at most `most` run lengths of each. A step takes no longer for a later
+    observation, as the run length with the least probability makes way for the new one.
+
+    What is dropped is accounted for: the kept posterior is the full model's, given that no run went through a dropped run length.
+    `lost` sums the probabilities at which run lengths were dropped. Under the model the probability of the opposite, which bounds
+    the difference of any reported probability, is `lost` on average, and exceeds a bound at any time with a chance of at most
+    `lost` divided by that bound. With no more than `most` observations nothing is dropped and the result is the full model's."""
+
+    def __init__(self, prior: tuple[float, float, float, float] = PRIOR, hazard: float = HAZARD, most: int = MOST_RUNS):
+        self.prior, self.hazard, self.most = prior, hazard, most
+        self.run, self.lost = np.zeros((0, 1), np.int64), np.zeros(0)
+        self.p, self.mean, self.rate = (np.zeros((0, 1)) for _ in range(3))
+
+    def grow(self, sequences: int) -> None:
+        """Room for that many more sequences without observations."""
+        for name, fresh in (("run", 0), ("p", 0.0), ("mean", self.prior[0]), ("rate", self.prior[3])):
+            old = getattr(self, name)
+            setattr(self, name, np.concatenate([old, np.full((sequences, old.shape[1]), fresh, old.dtype)]))
+        self.p[len(self.lost) :, 0] = 1
+        self.lost = np.concatenate([self.lost, np.zeros(sequences)])
+
+    def step(self, rows: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One observation of each of those sequences: (P(run is 0), P(run is short), most likely run) after it."""
+        run, p, mean, rate, x = self.run[rows], self.p[rows], self.mean[rows], self.rate[rows], x[:, None]
+        weight, shape, constant = (a[run] for a in _by_run(max(512, 1 << int(run.max()).bit_length()), self.prior))
+        spread, gap = rate * (weight + 1) / (shape * weight), (x - mean) ** 2
+        with np.errstate(divide="ignore"):
+            joint = np.log(p) + constant - 0.5 * np.log(spread) - (shape + 0.5) * np.log1p(gap / (2 * shape * spread))
+        share = np.exp(joint - joint.max(axis=1, keepdims=True))
+        p = (1 - self.hazard) * share / share.sum(axis=1, keepdims=True)
+        rate, mean, run = rate + weight * gap / (2 * (weight + 1)), (weight * mean + x) / (weight + 1), run + 1
+        least, each = p.argmin(axis=1), np.arange(len(rows))
+        if p[each, least].any() and p.shape[1] < self.most:  # no sequence here has room left
+            self._widen()
+            wide = self.run.shape[1] - p.shape[1]
+            run, p, mean, rate = (np.pad(a, ((0, 0), (0, wide)), constant_values=v) for a, v in ((run, 0), (p, 0), (mean, 0), (rate, 1)))
+            least = p.argmin(axis=1)
+        dropped = p[each, least]
+        self.lost[rows] += dropped
+        p /= (1 - dropped)[:, None]
+        run[each, least], p[each, least], mean[each, least], rate[each, least] = 0, self.hazard / (1 - dropped), self.prior[0], self.prior[3]
+        self.run[rows], self.p[rows], self.mean[rows], self.rate[rows] = run, p, mean, rate
+        likely = np.where(p == p.max(axis=1, keepdims=True), run, np.iinfo(np.int64).max).min(axis=1)
+        return p[each, least], np.where(run <= SHORT, p, 0).sum(axis=1), likely
+
+    def _widen(self) -> None:
+        wide = min(self.most, 2 * self.run.shape[1]) - self.run.shape[1]
+        for name, empty in (("run", 0), ("p", 0), ("mean", 0), ("rate", 1)):
+            setattr(self, name, np.pad(getattr(self, name), ((0, 0), (0, wide)), constant_values=empty))
+
+    def dumps(self, row: int) -> bytes:
+        used = self.p[row] > 0
+        return np.concatenate([[self.lost[row]], self.run[row, used], self.p[row, used], self.mean[row, used], self.rate[row, used]]).astype("<f8").tobytes()
+
+    def loads(self, state: bytes) -> None:
+        """Take on one more sequence from dumps()."""
+        flat = np.frombuffer(state, "<f8")
+        run, p, mean, rate = flat[1:].reshape(4, -1)
+        self.grow(1)
+        while self.run.shape[1] < len(run):
+            self._widen()
+        self.lost[-1] = flat[0]
+        self.p[-1] = 0
+        for name, values in (("run", run), ("p", p), ("mean", mean), ("rate", rate)):
+            getattr(self, name)[-1, : len(values)] = values
+
+
+POINTS = "deployer string, token string, nth long, score double, cp_prob double, p_short double, run_mode int, run_drop int, lost double"
+
+
+def change_points(features: DataFrame, prior: tuple[float, float, float, float] = PRIOR, hazard: float = HAZARD, most: int = MOST_RUNS) -> DataFrame:
+    """deployer, token, nth, score, cp_prob (P(run is 0), which equals the hazard by its algebra), p_short, run_mode, run_drop, lost.
+
+    A partition holds the launches of its deployers in the order of `nth`, so each step is one of all of them; rows are streamed
+    and only the posteriors are kept, of about a thousand deployers a partition."""
+
+    def steps(batches):
+        model, place, likely = RunLengths(prior, hazard, most), {}, np.zeros(0, np.int64)
+        for g in batches:
+            fresh = [d for d in pd.unique(g["deployer"]) if d not in place]
+            model.grow(len(fresh))
+            place.update({d: len(place) + k for k, d in enumerate(fresh)})
+            likely = np.concatenate([likely, np.zeros(len(fresh), np.int64)])
+            rows, score = g["deployer"].map(place).to_numpy(), g["score"].to_numpy()
+            cuts = np.flatnonzero(np.diff(g["nth"].to_numpy())) + 1
+            out = []
+            for some, x in zip(np.split(rows, cuts), np.split(score, cuts), strict=True):
+                cp, short, mode = model.step(some, x)
+                out.append((cp, short, mode, np.maximum(0, likely[some] + 1 - mode), model.lost[some]))
+                likely[some] = mode
+            made = [np.concatenate(c) for c in zip(*out, strict=True)] if len(g) else [[]] * 5
+            yield g.assign(**dict(zip(("cp_prob", "p_short", "run_mode", "run_drop", "lost"), made, strict=True)))
+
+    spark = features.sparkSession
+    deployers = features.agg(F.approx_count_distinct("deployer")).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), deployers // 1000)
+    rows = features.select("deployer", "token", F.col("nth").cast("long").alias("nth"), F.col("score").cast("double").alias("score"))
+    return rows.repartition(parts, "deployer").sortWithinPartitions("nth").mapInPandas(steps, POINTS)
 
 
 def change_point_anomalies(points: DataFrame, least_prob: float = 0.5, least_history: int = 5) -> DataFrame:
@@ -182,7 +270,30 @@ def synchrony_anomalies(clusters: DataFrame) -> DataFrame:
 
 
 def deployer_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return change_points(run(spark, deployer_features, Tables(spark, sf_dir)))
+    points = change_points(run(spark, deployer_features, Tables(spark, sf_dir)))
+    return points.select("deployer", "token", "nth", "score", *[F.round(c, 6).alias(c) for c in ("cp_prob", "p_short")], "run_mode", "run_drop", F.round("lost", 6).alias("lost"))
+
+
+def change_points_text(d: Dialect) -> str:
+    """The full model, one observation of every deployer per step of a recursion; its state is a list by run length."""
+    mean, weight, shape, rate = PRIOR
+    w, a = f"({weight} + i - 1)", f"({shape} + 0.5 * (i - 1))"
+    spread, gap = f"(r.b * ({w} + 1) / ({a} * {w}))", "((x - r.u) ** 2)"
+    density = f"r.m + lgamma({a} + 0.5) - lgamma({a}) - 0.5 * ln(2 * {a} * pi()) - 0.5 * ln({spread}) - ({a} + 0.5) * ln(1 + {gap} / (2 * {a} * {spread}))"
+    one = lambda m, u, b: f"{{'m': CAST({m} AS DOUBLE), 'u': CAST({u} AS DOUBLE), 'b': CAST({b} AS DOUBLE)}}"
+    moved = f"list_transform(runs, lambda r, i: {one(density, f'({w} * r.u + x) / ({w} + 1)', f'r.b + {w} * {gap} / (2 * ({w} + 1))')})"
+    return f"""
+    WITH RECURSIVE f AS ({deployer_features(d)}),
+    s AS (
+      SELECT DISTINCT deployer, CAST('' AS VARCHAR) AS token, CAST(0 AS BIGINT) AS nth, CAST(0 AS DOUBLE) AS score, [{one(0, mean, rate)}] AS runs, CAST(0 AS BIGINT) AS likely, CAST(0 AS BIGINT) AS before FROM f
+      UNION ALL
+      SELECT deployer, token, nth, x, runs, list_position(list_transform(runs, lambda r: r.m), list_max(list_transform(runs, lambda r: r.m))) - 1, likely FROM (
+        SELECT deployer, token, nth, x, likely, list_prepend({one(f"ln({HAZARD})", mean, rate)}, list_transform(moved, lambda r: {one("r.m + shift", "r.u", "r.b")})) AS runs FROM (
+          SELECT *, ln(1 - {HAZARD}) - top - ln(list_sum(list_transform(moved, lambda r: exp(r.m - top)))) AS shift FROM (
+            SELECT *, list_max(list_transform(moved, lambda r: r.m)) AS top FROM (
+              SELECT s.deployer, f.token, f.nth, f.score AS x, likely, {moved} AS moved FROM s JOIN f ON s.deployer = f.deployer AND f.nth = s.nth + 1) AS j) AS k) AS l) AS m)
+    SELECT deployer, token, nth, score, round(exp(runs[1].m), 6) AS cp_prob, round(list_sum(list_transform(runs[1:{SHORT + 1}], lambda r: exp(r.m))), 6) AS p_short,
+      likely AS run_mode, greatest(0, before + 1 - likely) AS run_drop, CAST(0 AS DOUBLE) AS lost FROM s WHERE nth > 0"""
 
 
 def synchronised_buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,4 +311,4 @@ def bucket_pairs(d: Dialect) -> str:
 
 
 TEXTS = {"d11_neighbour_pairs": bucket_pairs}
-QUERIES = {"d09_change_points": (deployer_change_points, None), "d11_synchronised": (synchronised_buyers, None)}
+QUERIES = {"d09_change_points": (deployer_change_points, query(change_points_text)[1]), "d11_synchronised": (synchronised_buyers, None)}
