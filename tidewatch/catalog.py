@@ -7,7 +7,7 @@ from .operators import detectors, graph, probes, relational, scalars, scoring, s
 from .plans import views  # noqa: F401  (registers the derived tables)
 from .plans.dialect import Tables, query
 from .sources import samples
-from .streaming import jobs, stateful
+from .streaming import jobs, reorg, stateful
 
 TEXTS = detectors.TEXTS | scalars.TEXTS | relational.TEXTS | graph.TEXTS | scoring.TEXTS | smart_money.TEXTS | probes.TEXTS | sinks.TEXTS | sequences.TEXTS | jobs.TEXTS
 QUERIES: dict = {name: query(text) for name, text in TEXTS.items()}
@@ -16,6 +16,6 @@ QUERIES: dict = {name: query(text) for name, text in TEXTS.items()}
 QUERIES["m02_fifo_exact"] = (lambda spark, sf_dir: smart_money.fifo(Tables(spark, sf_dir)("legs")).selectExpr("wallet", "token", "buy_t", "sell_t", "sell_seq", "qty", "round(pnl, 4) AS pnl", "held"), query(smart_money.fifo_summary)[1])
 QUERIES["g07_rings_exact"] = (lambda spark, sf_dir: graph.rings_exact(Tables(spark, sf_dir)("trade_edges")).where("size > 2"), query(graph.rings)[1])
 
-for _name, (_made, _text) in (samples.QUERIES | sinks.W_QUERIES | jobs.STREAMS | stateful.STREAMS | {"analyze": (api.analyzed, api.analyzed_text)}).items():
+for _name, (_made, _text) in (samples.QUERIES | sinks.W_QUERIES | jobs.STREAMS | stateful.STREAMS | reorg.STREAMS | {"analyze": (api.analyzed, api.analyzed_text)}).items():
     QUERIES[_name] = (_made, query(_text)[1])
 QUERIES |= sequences.QUERIES

@@ -53,10 +53,32 @@ def without_expired(cache: DataFrame, now: Column) -> DataFrame:
     return cache.where(~F.coalesce(F.col("expires_at") < now, F.lit(False)))
 
 
+#: Heights of a bucket in which rows meet the reorgs that could undo them.
+HEIGHTS = 4096
+
+
+def reorg_steps(reorgs: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(chain, bucket, carried, steps): when the last reorg from below the bucket was seen, and the reorgs that begin within it, at most one per
+    height. `buckets` are those (chain, bucket) that are asked for; the running maximum goes over one row per bucket."""
+    latest = reorgs.where("reorg_at IS NOT NULL").groupBy("chain", "from_height").agg(F.max("reorg_at").alias("reorg_at"))
+    within = latest.groupBy("chain", F.floor(F.col("from_height") / HEIGHTS).alias("bucket")).agg(F.max("reorg_at").alias("top"), F.collect_list(F.struct("from_height", "reorg_at")).alias("steps"))
+    every = buckets.join(within, ["chain", "bucket"], "full")
+    before = Window.partitionBy("chain").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return every.select("chain", "bucket", F.max("top").over(before).alias("carried"), "steps").where("carried IS NOT NULL OR steps IS NOT NULL")
+
+
 def without_reorged(rows: DataFrame, reorgs: DataFrame, seen: str = "seen_at") -> DataFrame:
-    """Rows that no later reorg at or below their height has undone: an anti-join instead of deletes."""
-    r = reorgs.select(F.col("chain").alias("__chain"), "from_height", F.col("reorg_at"))
-    return rows.join(r, (F.col("chain") == F.col("__chain")) & (F.col("block_height") >= F.col("from_height")) & (F.col(seen) < F.col("reorg_at")), "left_anti")
+    """Rows that no later reorg at or below their height has undone; rows without a chain, height or time stay.
+
+    Reorgs of a chain are a step function: the later a height, the more of them void it, so only the last that was seen counts. Rows
+    meet it by chain and bucket of heights, never by the chain alone."""
+    named = rows.withColumn("__bucket", F.floor(F.col("block_height") / HEIGHTS))
+    asked = named.select("chain", F.col("__bucket").alias("bucket")).where("bucket IS NOT NULL").distinct()
+    steps = reorg_steps(reorgs, asked).select(F.col("chain").alias("__chain"), F.col("bucket").alias("__at"), F.col("carried").alias("__carried"), F.col("steps").alias("__steps"))
+    met = named.join(steps, (F.col("chain") == F.col("__chain")) & (F.col("__bucket") == F.col("__at")), "left")
+    inside = F.array_max(F.transform(F.filter("__steps", lambda s: s["from_height"] <= F.col("block_height")), lambda s: s["reorg_at"]))
+    undone = F.coalesce(F.greatest("__carried", inside) > F.col(seen), F.lit(False))
+    return met.where(~undone).select(*rows.columns)
 
 
 def append(df: DataFrame, path: str, partition: list[str]) -> None:
