@@ -102,5 +102,5 @@ TEXTS = {
     "g10_labels": lambda d: f"""
       SELECT address, label, confidence FROM (SELECT address, kind AS label, confidence, age_days, row_number() OVER (PARTITION BY address ORDER BY confidence DESC, kind) AS nth FROM {{classes}} WHERE age_days <= 30
       UNION ALL SELECT DISTINCT deployer, 'deployer_eoa', CAST(0.8 AS DOUBLE), 0, 1 FROM {{launches}} WHERE t > {TRANSFERS_AS_OF - 900 * DAY}) AS x WHERE nth = 1""",
-    "g11_co_clustered": lambda d: "SELECT a.chain, a.cluster_id, count(*) AS pairs FROM {members} a JOIN {members} b ON a.chain = b.chain AND a.cluster_id = b.cluster_id AND a.wallet < b.wallet GROUP BY a.chain, a.cluster_id",
+    "g11_co_clustered": lambda d: "SELECT chain, cluster_id, CAST(sum(n * (total - n)) / 2 AS BIGINT) AS pairs FROM (SELECT chain, cluster_id, count(*) AS n, sum(count(*)) OVER (PARTITION BY chain, cluster_id) AS total FROM {members} GROUP BY chain, cluster_id, wallet) AS x GROUP BY chain, cluster_id HAVING count(*) > 1",
 }

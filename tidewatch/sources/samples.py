@@ -122,6 +122,35 @@ def transfers_oracle(d: Dialect) -> str:
     return "SELECT seq, 0 AS log_index, 'transfer' AS kind, cents AS amount, 6 AS decimals, FALSE AS native FROM {swaps} UNION ALL SELECT seq, 0, 'transfer', cents, -1, TRUE FROM {swaps}"
 
 
+def both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transfers of one transaction per order: returned lines go back from the customer to the supplier."""
+    back = F.col("flag") == "R"
+    t = Tables(spark, sf_dir)("transfers")
+    return t.select("chain", "tx_hash", "log_index", "token", F.when(back, F.col("to_address")).otherwise(F.col("from_address")).alias("from_address"), F.when(back, F.col("from_address")).otherwise(F.col("to_address")).alias("to_address"), "amount")
+
+
+def inferred_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth transaction counts as decoded by its pool instruction; suppliers of one kind are accounts of an exchange."""
+    transfers = both_ways(spark, sf_dir)
+    pools = Tables(spark, sf_dir)("pools").where("dex_no = 0").select(F.col("pool").alias("address"), F.lit("orca").alias("dex"))
+    return solana.infer_swaps(transfers, pools, transfers.where("CAST(substring(tx_hash, 2) AS BIGINT) % 5 = 0"))
+
+
+def inferred_oracle(d: Dialect) -> str:
+    dex = "SELECT pool FROM {pools} WHERE dex_no = 0"
+    number = "CAST(substring(tx_hash, 2) AS BIGINT)"
+    return f"""
+    WITH m AS (SELECT chain, tx_hash, log_index, token, CASE WHEN flag = 'R' THEN to_address ELSE from_address END AS account, -amount AS amount FROM {{transfers}} WHERE {number} % 5 <> 0
+      UNION ALL SELECT chain, tx_hash, log_index, token, CASE WHEN flag = 'R' THEN from_address ELSE to_address END, amount FROM {{transfers}} WHERE {number} % 5 <> 0),
+    n AS (SELECT chain, tx_hash, account, token, CAST(sum(amount) AS BIGINT) AS net, min(log_index) AS nth FROM m GROUP BY chain, tx_hash, account, token),
+    gave AS (SELECT *, row_number() OVER (PARTITION BY chain, tx_hash, account ORDER BY net, nth, token) AS r FROM n WHERE net < 0), got AS (SELECT *, row_number() OVER (PARTITION BY chain, tx_hash, account ORDER BY net DESC, nth, token) AS r FROM n WHERE net > 0),
+    a AS (SELECT chain, tx_hash, account, min(nth) AS nth FROM n GROUP BY chain, tx_hash, account),
+    t AS (SELECT a.chain, a.tx_hash, a.account, gave.token AS token_in, got.token AS token_out, -gave.net AS amount_in, got.net AS amount_out, row_number() OVER (PARTITION BY a.chain, a.tx_hash ORDER BY a.nth, a.account) AS r
+      FROM a JOIN gave ON a.chain = gave.chain AND a.tx_hash = gave.tx_hash AND a.account = gave.account AND gave.r = 1 JOIN got ON a.chain = got.chain AND a.tx_hash = got.tx_hash AND a.account = got.account AND got.r = 1 WHERE a.account NOT IN ({dex})),
+    p AS (SELECT chain, tx_hash, account, row_number() OVER (PARTITION BY chain, tx_hash ORDER BY nth, account) AS r FROM a WHERE account IN ({dex}))
+    SELECT t.chain, t.tx_hash, p.account AS pool, 'orca' AS dex, t.account AS sender, token_in, token_out, amount_in, amount_out FROM t JOIN p ON t.chain = p.chain AND t.tx_hash = p.tx_hash AND p.r = 1 WHERE t.r = 1"""
+
+
 def decoded_withdrawals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return solana.decode_token_2022(solana.flatten_instructions(instructions(spark, sf_dir))).groupBy("kind", "log_index").agg(F.count(F.lit(1)).alias("n"))
 
@@ -169,6 +198,7 @@ QUERIES = {
     "s03_initialize": (initialized, initialized_oracle),
     "s04_dynamic_abi": (decoded_abi, abi_oracle),
     "s06_solana_transfers": (decoded_transfers, transfers_oracle),
+    "s06_inferred_swaps": (inferred_swaps, inferred_oracle),
     "s07_token2022": (decoded_withdrawals, lambda d: "SELECT 'withdraw_from_mint' AS kind, 3 AS log_index, count(*) AS n FROM {swaps}"),
     "s08_pool_swaps": (decoded_pools, lambda d: "SELECT seq, program, 'swap_in' AS kind, cents AS amount0, cents + 1 AS amount1 FROM {swaps} CROSS JOIN " + d.rows("('raydium_v4'), ('raydium_cpmm')", "program")),
     "s09_pool_state": (pool_states, lambda d: "SELECT pool, CAST(6 AS BIGINT) AS status, dex_no AS nonce, CAST(9 AS BIGINT) AS coin_decimals, providers AS pc_decimals FROM {pools}"),

@@ -81,6 +81,27 @@ def decode_pool(ix: DataFrame) -> DataFrame:
     return ix.where(F.col("program").isin("raydium_v4", "raydium_cpmm")).withColumn("kind", kind).withColumn("amount0", little(d, at, 8)).withColumn("amount1", little(d, at + 8, 8)).where("kind IS NOT NULL")
 
 
+def infer_swaps(transfers: DataFrame, dex: DataFrame, swapped: DataFrame | None = None) -> DataFrame:
+    """Swaps of transactions that touch an account of `dex` (address, dex) and have no decoded swap in `swapped` (chain, tx_hash):
+    chain, tx_hash, pool, dex, sender, token_in, token_out, amount_in, amount_out.
+
+    Read from what the transfers (chain, tx_hash, log_index, token, from_address, to_address, amount) leave: an account that gave of one
+    token and got of another has swapped the token that it gave most of for the one that it got most of. Of several such accounts
+    the one that moved first counts, and accounts of the exchange itself do not. All grouping is within transactions."""
+    tx = ["chain", "tx_hash"]
+    if swapped is not None:
+        transfers = transfers.join(swapped.select(*tx).distinct(), tx, "left_anti")
+    move = lambda account, sign: F.struct(F.col(account).alias("account"), (F.lit(sign) * F.col("amount")).alias("amount"))
+    moves = transfers.select(*tx, "log_index", "token", F.inline(F.array(move("from_address", -1), move("to_address", 1))))
+    net = moves.groupBy(*tx, "account", "token").agg(F.sum("amount").alias("net"), F.min("log_index").alias("first")).join(dex.select(F.col("address").alias("account"), "dex"), "account", "left")
+    side = lambda sign: F.min(F.when(F.col("net") * sign > 0, F.struct((-sign * F.col("net")).alias("size"), "first", "token")))
+    accounts = net.groupBy(*tx, "account", "dex").agg(F.min("first").alias("first"), side(-1).alias("gave"), side(1).alias("got"))
+    trader = F.min(F.when(F.col("dex").isNull() & F.col("gave").isNotNull() & F.col("got").isNotNull(), F.struct("first", "account", "gave", "got"))).alias("t")
+    pool = F.min(F.when(F.col("dex").isNotNull(), F.struct("first", "account", "dex"))).alias("p")
+    both = accounts.groupBy(*tx).agg(trader, pool).where("t IS NOT NULL AND p IS NOT NULL")
+    return both.select(*tx, F.col("p.account").alias("pool"), "p.dex", F.col("t.account").alias("sender"), F.col("t.gave.token").alias("token_in"), F.col("t.got.token").alias("token_out"), (-F.col("t.gave.size")).alias("amount_in"), (-F.col("t.got.size")).alias("amount_out"))
+
+
 #: Byte offsets of the v4 pool account.
 V4_STATE = {"status": 0, "nonce": 8, "coin_decimals": 32, "pc_decimals": 40}
 
