@@ -202,6 +202,39 @@ def test_long_texts_are_scanned_and_masked_in_time(spark):
     assert masked == {1: " ; ".join(["é [SECRET]"] * 12_000) + " [SECRET]", 2: "x", 3: "é [SECRET]"}
 
 
+def test_time_grows_with_the_spans(spark):
+    """Texts of hashes, each a base span and a candidate: four times the spans take less than six times the time."""
+    rng, took = random.Random(5), []
+    for n in (1000, 16_000, 64_000):
+        text = " ".join(f"{rng.getrandbits(128):032x}" for _ in range(n))
+        docs = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+        start = time.time()
+        got = secret_scan.secret_scan(docs, owner=F.col("source")).first()
+        assert got.n_hex == n and got.n_owned == 0
+        assert secret_scan.mask_live(docs, owner=F.col("source")).first().text == " ".join(["[SECRET]"] * n)
+        took.append(time.time() - start)
+    assert took[2] < 6 * took[1] and took[2] < 60
+
+
+def test_candidates_apart_from_base_spans(spark):
+    """By hand: spans that touch are apart, one common code point is an overlap."""
+    rng = random.Random(7)
+    spans = lambda n, kind: sorted((a, a + rng.randrange(1, 6)) for a in rng.sample(range(200), n)) if kind else []
+    rows = []
+    for k in range(40):
+        wide, end = [], 0
+        for _ in range(rng.randrange(12)):
+            start = end + rng.randrange(9)
+            end = start + rng.randrange(1, 9)
+            wide.append((start, end))
+        rows.append((k, wide, spans(rng.randrange(40), k % 5)))
+    kind = "array<struct<start:bigint,end:bigint>>"
+    full = lambda name, order: F.transform(name, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("ord"), s["end"].alias("end"), F.lit("k").alias("kind"), F.lit("v").alias("value")))
+    got = spark.createDataFrame(rows, f"k int, wide {kind}, base {kind}").select("k", secret_scan._apart(full("wide", 3), full("base", 1)).alias("left"))
+    want = {k: [w for w in wide if not any(b[0] < w[1] and w[0] < b[1] for b in base)] for k, wide, base in rows}
+    assert {r.k: [(s["start"], s["end"]) for s in r.left] for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("piece", [5, 16, 1 << 14])
 def test_masks_across_pieces(spark, monkeypatch, piece):
     monkeypatch.setattr(secret_scan, "PIECE", piece)

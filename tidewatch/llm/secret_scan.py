@@ -49,22 +49,36 @@ def _with(value: Column, made: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), made)[0]
 
 
-def _total(x: Column) -> Column:
+def _sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
 
 
-def _cumulated(numbers: Column) -> Column:
-    """Sums of the first 1, 2, ... numbers: by runs, so that the work stays near linear."""
+def _greatest(x: Column) -> Column:
+    return F.coalesce(F.array_max(x), F.lit(-1).cast("long"))
+
+
+def _cumulated(numbers: Column, total: Callable[[Column], Column] = _sum, join: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """The total (sum, or greatest of numbers from 0 on) of the first 1, 2, ... numbers: by runs, so that the work stays near linear."""
 
     def all_of(d: Column) -> Column:
         runs = F.sequence(F.lit(0), F.shiftright(F.size(d) - 1, RUN.bit_length() - 1))
-        each = F.transform(runs, lambda j: _total(F.slice(d, j * RUN + 1, F.lit(RUN))))
-        before = _with(each, lambda s: F.transform(runs, lambda j: _total(F.slice(s, F.lit(1), j))))
+        each = F.transform(runs, lambda j: total(F.slice(d, j * RUN + 1, F.lit(RUN))))
+        before = _with(each, lambda s: F.transform(runs, lambda j: total(F.slice(s, F.lit(1), j))))
         number = F.sequence(F.lit(0), F.size(d) - 1)
         run = lambda k: F.shiftright(k, RUN.bit_length() - 1)
-        return _with(before, lambda b: F.transform(number, lambda k: F.get(b, run(k)) + _total(F.slice(d, run(k) * RUN + 1, k.bitwiseAND(RUN - 1) + 1))))
+        return _with(before, lambda b: F.transform(number, lambda k: join(F.get(b, run(k)), total(F.slice(d, run(k) * RUN + 1, k.bitwiseAND(RUN - 1) + 1)))))
+
+    return F.when(F.size(numbers) > 0, _with(numbers, all_of)).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+
+def _greatest_so_far(numbers: Column) -> Column:
+    return _cumulated(numbers, _greatest, F.greatest)
 
-    return _with(numbers, all_of)
+
+def _below(rising: Column, x: Column) -> Column:
+    """How many of rising numbers are less than x, by halving."""
+    step = lambda at, bit: F.when(F.get(rising, at + bit - 1) < x, at + bit).otherwise(at)
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), F.lit(0), step)
 
 
 def _spans(text: Column, kind: str, order: int, pattern: str, value_group: int, least: int) -> Column:
@@ -102,7 +116,20 @@ def candidates(rows: DataFrame, keep: list[str]) -> DataFrame:
     base = F.concat(_spans(text, "assign", 0, ASSIGN, 2, 6), _spans(text, "access", 1, ACCESS, 0, 20), _spans(text, "hex", 2, HEX, 0, 24))
     wide = F.filter(_spans(text, "owned", 3, WIDE, 0, 16), _varied)
     made = rows.select(*keep, F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo"), base.alias("base"), wide.alias("wide"))
-    return made.withColumn("wide", F.filter("wide", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))))
+    return made.withColumn("wide", F.when((F.size("wide") == 0) | (F.size("base") == 0), F.col("wide")).otherwise(_apart(F.col("wide"), F.col("base"))))
+
+
+def _apart(wide: Column, base: Column) -> Column:
+    """The spans of wide that no span of base overlaps, by one pass over both: at a span's end, what begins before it must have ended by its start."""
+    event = lambda s, at, order: F.struct(at.alias("at"), order.alias("order"), s.alias("span"))
+    both = F.array_sort(F.concat(F.transform(wide, lambda w: event(w, w["end"], F.lit(0))), F.transform(base, lambda b: event(b, b["start"], F.lit(1)))))
+
+    def kept(events: Column) -> Column:
+        reach = _greatest_so_far(F.transform(events, lambda e: F.when(e["order"] == 1, e["span"]["end"]).otherwise(F.lit(-1).cast("long"))))
+        free = F.filter(F.arrays_zip(events.alias("e"), reach.alias("reach")), lambda z: (z["e"]["order"] == 0) & (z["reach"] <= z["e"]["span"]["start"]))
+        return F.transform(free, lambda z: z["e"]["span"])
+
+    return _with(both, kept)
 
 
 def ownership(spans: DataFrame) -> DataFrame:
@@ -157,28 +184,29 @@ MASK = "[SECRET]"
 
 
 def _masked(text: Column, lives: Column) -> Column:
-    """text with MASK for each of the sorted spans; one that overlaps the last only extends it. Piece by piece, since a substring
-    is found by counting from the beginning."""
+    """text with MASK for each of the sorted spans; one that overlaps the last only extends it. The text is cut into pieces once, as a
+    substring is found by counting from the beginning, and the spans of a piece are found by halving."""
 
-    def piece(j: Column, spans: Column) -> Column:
+    def piece(part: Column, j: Column, spans: Column, starts: Column, reach: Column) -> Column:
         begin = (j * PIECE).cast("long")
-        part = F.substring(text, (begin + 1).cast("int"), F.lit(PIECE))
-        mine = F.filter(spans, lambda v: (v["end"] > begin) & (v["start"] < begin + PIECE))
+        first, last = _below(reach, begin + 1), _below(starts, begin + PIECE)
+        mine = F.slice(spans, first + 1, F.greatest(last - first, F.lit(0)))
 
-        def masked(p: Column) -> Column:
-            def step(acc: Column, v: Column) -> Column:
-                start = F.greatest(v["start"], acc["pos"])
-                gap = F.substring(p, (acc["pos"] - begin + 1).cast("int"), (start - acc["pos"]).cast("int"))
-                out = F.when(v["start"] < acc["pos"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(MASK)))
-                return F.struct(F.greatest(v["end"], acc["pos"]).alias("pos"), out.alias("out"))
+        def step(acc: Column, v: Column) -> Column:
+            start = F.greatest(v["start"], acc["pos"])
+            gap = F.substring(part, (acc["pos"] - begin + 1).cast("int"), (start - acc["pos"]).cast("int"))
+            out = F.when(v["start"] < acc["pos"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(MASK)))
+            return F.struct(F.greatest(v["end"], acc["pos"]).alias("pos"), out.alias("out"))
 
-            done = F.aggregate(mine, F.struct(begin.alias("pos"), F.lit("").alias("out")), step)
-            return _with(done, lambda a: F.concat(a["out"], F.substring(p, (F.least(a["pos"] - begin, F.lit(PIECE)) + 1).cast("int"), F.lit(PIECE))))
+        done = F.aggregate(mine, F.struct(begin.alias("pos"), F.lit("").alias("out")), step)
+        return _with(done, lambda a: F.concat(a["out"], F.substring(part, (F.least(a["pos"] - begin, F.lit(PIECE)) + 1).cast("int"), F.lit(PIECE))))
 
-        return _with(part, masked)
+    def all_of(spans: Column) -> Column:
+        pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+        ends = _greatest_so_far(F.transform(spans, lambda v: v["end"]))
+        return _with(F.transform(spans, lambda v: v["start"]), lambda starts: _with(ends, lambda reach: F.array_join(F.transform(pieces, lambda p, j: piece(p, j, spans, starts, reach)), "")))
 
-    pieces = F.sequence(F.lit(0), F.floor((F.char_length(text) - 1) / PIECE).cast("int"))
-    return _with(lives, lambda spans: F.array_join(F.transform(pieces, lambda j: piece(j, spans)), ""))
+    return _with(lives, all_of)
 
 
 def mask_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
