@@ -15,6 +15,8 @@ QUERIES: dict = {name: query(text) for name, text in TEXTS.items()}
 # the same results by ordered passes in pandas, held against the same oracles
 QUERIES["m02_fifo_exact"] = (lambda spark, sf_dir: smart_money.fifo(Tables(spark, sf_dir)("legs")).selectExpr("wallet", "token", "buy_t", "sell_t", "sell_seq", "qty", "round(pnl, 4) AS pnl", "held"), query(smart_money.fifo_summary)[1])
 QUERIES["g07_rings_exact"] = (lambda spark, sf_dir: graph.rings_exact(Tables(spark, sf_dir)("trade_edges")).where("size > 2"), query(graph.rings)[1])
+QUERIES["m08_labelled_buys"] = (smart_money.labelled_buys, query(smart_money.labelled_text)[1])
+
 # and without a bound on a wallet's edges: cycles from their busiest wallet
 QUERIES["g07_rings_by_degree"] = (cycles.busiest_first, query(graph.rings)[1])
 
