@@ -280,7 +280,7 @@ def change_points_text(d: Dialect) -> str:
     w, a = f"({weight} + i - 1)", f"({shape} + 0.5 * (i - 1))"
     spread, gap = f"(r.b * ({w} + 1) / ({a} * {w}))", "((x - r.u) ** 2)"
     density = f"r.m + lgamma({a} + 0.5) - lgamma({a}) - 0.5 * ln(2 * {a} * pi()) - 0.5 * ln({spread}) - ({a} + 0.5) * ln(1 + {gap} / (2 * {a} * {spread}))"
-    one = lambda m, u, b: f"{{'m': CAST({m} AS DOUBLE), 'u': CAST({u} AS DOUBLE), 'b': CAST({b} AS DOUBLE)}}"
+    one = lambda m, u, b: f"struct_pack(m := CAST({m} AS DOUBLE), u := CAST({u} AS DOUBLE), b := CAST({b} AS DOUBLE))"
     moved = f"list_transform(runs, lambda r, i: {one(density, f'({w} * r.u + x) / ({w} + 1)', f'r.b + {w} * {gap} / (2 * ({w} + 1))')})"
     return f"""
     WITH RECURSIVE f AS ({deployer_features(d)}),
