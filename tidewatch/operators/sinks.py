@@ -81,14 +81,20 @@ def without_reorged(rows: DataFrame, reorgs: DataFrame, seen: str = "seen_at") -
     return met.where(~undone).select(*rows.columns)
 
 
-def append(df: DataFrame, path: str, partition: list[str]) -> None:
-    """Appends to a table partitioned by chain and day; one file per partition value and task at most."""
-    df.repartition(*partition).write.mode("append").partitionBy(*partition).parquet(path)
+def clustered(df: DataFrame, partition: list[str], files: int = 8) -> DataFrame:
+    """df so that a partition value is written by at most `files` tasks: a hot chain-day is not one task's, and a small one is few files."""
+    told = [f.name for f in df.schema if f.name not in partition and f.dataType.typeName() != "map"]
+    return df.repartition(*partition, F.pmod(F.xxhash64(*told), F.lit(files)) if told else F.lit(0))
 
 
-def overwrite_partitions(df: DataFrame, path: str, partition: list[str]) -> None:
+def append(df: DataFrame, path: str, partition: list[str], files: int = 8) -> None:
+    """Appends to a table partitioned by chain and day."""
+    clustered(df, partition, files).write.mode("append").partitionBy(*partition).parquet(path)
+
+
+def overwrite_partitions(df: DataFrame, path: str, partition: list[str], files: int = 8) -> None:
     """Replaces only the partitions that df holds, so a repeated batch changes nothing."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
+    clustered(df, partition, files).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
