@@ -8,7 +8,7 @@ from .operators import cycles, detectors, graph, probes, relational, scalars, sc
 from .plans import views  # noqa: F401  (registers the derived tables)
 from .plans.dialect import Tables, query
 from .sources import accounts, samples
-from .streaming import jobs, reorg, stateful
+from .streaming import batcher, jobs, reorg, stateful
 
 TEXTS = detectors.TEXTS | scalars.TEXTS | relational.TEXTS | graph.TEXTS | scoring.TEXTS | smart_money.TEXTS | probes.TEXTS | sinks.TEXTS | sequences.TEXTS | jobs.TEXTS
 QUERIES: dict = {name: query(text) for name, text in TEXTS.items()}
@@ -21,6 +21,6 @@ QUERIES["m08_labelled_buys"] = (smart_money.labelled_buys, query(smart_money.lab
 # and without a bound on a wallet's edges: cycles from their busiest wallet
 QUERIES["g07_rings_by_degree"] = (cycles.busiest_first, query(graph.rings)[1])
 
-for _name, (_made, _text) in (samples.QUERIES | accounts.QUERIES | keccak.QUERIES | sinks.W_QUERIES | jobs.STREAMS | stateful.STREAMS | reorg.STREAMS | {"analyze": (api.analyzed, api.analyzed_text)}).items():
+for _name, (_made, _text) in (samples.QUERIES | accounts.QUERIES | keccak.QUERIES | sinks.W_QUERIES | jobs.STREAMS | stateful.STREAMS | batcher.STREAMS | reorg.STREAMS | {"analyze": (api.analyzed, api.analyzed_text)}).items():
     QUERIES[_name] = (_made, query(_text)[1])
 QUERIES |= sequences.QUERIES
