@@ -403,3 +403,33 @@ def test_sybil_by_hand(spark):
         tables["smart_wallets"] = spark.createDataFrame(tiers, "wallet string, tier int")
         (r,) = run(spark, detectors.sybil, Tables(spark, DATA, tables)).collect()
         assert (r.held, r.size) == (3, 4) and r.confidence == pytest.approx(base + more, abs=1e-6)
+
+
+def test_withheld_composite_by_hand(spark):
+    """Fees drawn with and without a change of authority; an established token that drew little of its volume is spared, if asked."""
+    hour = 3600
+
+    def draw(mint, n, cents, authority="a"):
+        return [("solana", mint, f"{mint}{k}", k, AS_OF - (k + 1) * hour, "withdraw_withheld", authority, "x", cents, cents, "x") for k in range(n)]
+
+    def turn(mint, ago, to):
+        return ("solana", mint, f"{mint}r{ago}", 9, AS_OF - ago, "set_authority", "a", to, 1, 1, to)
+
+    rows = draw("plain", 3, 100_000) + draw("both", 3, 100_000) + draw("most", 9, 10_000_000) + draw("known", 2, 50_000) + draw("dry", 2, 50_000) + draw("new", 2, 50_000)
+    rows += [turn("both", hour, "old"), turn("most", hour, "fresh"), turn("most", 5 * hour, "old"), turn("known", hour, "old"), turn("late", -hour, "old")]
+    tables = {
+        "instructions": spark.createDataFrame(rows, "chain string, mint string, tx_hash string, log_index int, t long, kind string, authority string, destination string, amount long, cents long, new_authority string"),
+        "funding": spark.createDataFrame([("fresh", AS_OF - 2 * hour), ("old", AS_OF - 900 * hour)], "wallet string, first_t long"),
+        "tokens": spark.createDataFrame([("known", True, False, 50.0), ("dry", True, False, 50.0), ("new", False, False, 50.0)], "token string, jup_strict boolean, jup_verified boolean, rugcheck double"),
+        "pool_volumes": spark.createDataFrame([("known", 10_000.0), ("new", 10_000.0)], "mint string, usd double"),
+    }
+
+    def found(**how):
+        return {(r.mint, r.signal): r.confidence for r in run(spark, lambda d: detectors.withheld(d, as_of=AS_OF, **how), Tables(spark, DATA, tables)).collect()}
+
+    a = 0.60 + 0.10 * math.log(3)
+    want = {("plain", "A"): a, ("both", "A"): a + 0.10, ("both", "B"): 0.40, ("most", "A"): 0.95, ("most", "B"): 0.75, ("known", "A"): 0.70, ("known", "B"): 0.40, ("dry", "A"): 0.60, ("new", "A"): 0.60}
+    assert found() == pytest.approx(want, abs=1e-6)
+    # 1,000 of 10,000 dollars: spared at a tenth, not at less; a token without volume, or that is not established, is not
+    assert found(allowed=0.1) == pytest.approx({k: v for k, v in want.items() if k != ("known", "A")}, abs=1e-6)
+    assert found(allowed=0.09) == pytest.approx(want, abs=1e-6)

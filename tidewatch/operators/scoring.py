@@ -54,6 +54,14 @@ def evidence(d: Dialect, keep: int = 5) -> str:
       (SELECT chain, token, detector_id, concat(detector_id, '/k', CAST(k % 3 AS STRING)) AS metric, sev, raw, k, row_number() OVER (PARTITION BY chain, token, detector_id, k % 3 ORDER BY sev DESC, raw DESC, id) AS best FROM {{scored}}) AS x WHERE best = 1) AS y WHERE nth <= {keep}"""
 
 
+def report_events(d: Dialect) -> str:
+    """The events of each report in its order, by detector and time, with what each adds at its detector's weight. One row per event: a token with very
+    many of them is not one value."""
+    return f"""
+    SELECT chain, token, row_number() OVER (PARTITION BY chain, token ORDER BY detector_id, t, id) AS nth, detector_id, id, t AS observed_at, round(raw, 6) AS confidence, {severity_name('sev')} AS severity,
+      round({weight('detector_id', WEIGHTS, 0)} * eff, 6) AS weighted FROM {{scored}}"""
+
+
 def noisy_or(rows: str, key: str, confidence: str, weights: dict) -> str:
     """token, score, label: one minus the product of what each weighted confidence leaves."""
     return f"""
@@ -92,6 +100,7 @@ TEXTS = {
     "r08_detector_evidence": lambda d: "SELECT token, detector_id, id, nth FROM (SELECT token, detector_id, id, row_number() OVER (PARTITION BY token, detector_id ORDER BY raw DESC, id) AS nth FROM {scored}) AS x WHERE nth <= 3",
     "r09_coverage": lambda d: f"SELECT token, round(count(DISTINCT CASE WHEN detector_id IN ({', '.join(repr(k) for k in WEIGHTS)}) THEN detector_id END) / CAST(7 AS DOUBLE), 6) AS coverage, {d.join_set('detector_id')} AS ran FROM {{scored}} GROUP BY token",
     "r10_report": lambda d: f"SELECT b.chain, b.token, round(b.base * coalesce({attenuation()}, 1), 6) AS score, round(b.base, 6) AS base, {severity_name('b.sev')} AS severity, b.fired, b.detectors, {SWAPS_AS_OF} AS as_of FROM ({base(d)}) AS b LEFT JOIN {{tokens}} k ON substring(b.token, 4) = substring(k.token, 2)",
+    "r10_report_events": report_events,
     "r11_graduation": lambda d: f"SELECT token, CAST({graduation('age_days * 24 - 20')} AS DOUBLE) AS factor FROM {{tokens}}",
     "r12_quick_composite": quick_composite,
     "r12_probe_verdict": probe_verdict,

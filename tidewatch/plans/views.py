@@ -102,6 +102,12 @@ def instructions(d: Dialect) -> str:
       from_address AS authority, to_address AS destination, amount, cents, to_address AS new_authority FROM {transfers}"""
 
 
+@view("pool_volumes")
+def pool_volumes(d: Dialect) -> str:
+    """Dollars swapped of a mint in all its pools; swaps name tokens with another prefix."""
+    return "SELECT concat('t', substring(token, 4)) AS mint, CAST(sum(cents) AS DOUBLE) / 100 AS usd FROM {swaps} GROUP BY token"
+
+
 @view("funding")
 def funding(d: Dialect) -> str:
     return f"""SELECT concat('c', CAST(o_custkey AS STRING)) AS wallet, min({d.epoch("o_orderdate")}) AS first_t FROM {{orders}} GROUP BY o_custkey"""
