@@ -323,7 +323,8 @@ TEXTS = {
     "d05_ring_signal": partial(ring_signal, ring_cents=WASH["ring_cents"], ring_span=WASH["ring_span"]),
     "d06_mint_burn": partial(mint_burn, **SCALED["mint_burn_anomaly"]),
     "d07_withheld": partial(withheld, **SCALED["withdraw_withheld_drain"]),
-    "d07_withheld_allowed": partial(withheld, **SCALED["withdraw_withheld_drain"], allowed=0.01),
+    # the derived tables draw more than they swap
+    "d07_withheld_allowed": partial(withheld, **SCALED["withdraw_withheld_drain"], allowed=3.0),
     "d08_sybil": sybil,
     "d09_deployer_features": deployer_features,
     "d10_launch_audit": launch_audit,
