@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,54 @@ def test_change_points_of_many_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert len(whole) == 150 and sequences.change_points(rows.limit(0)).count() == 0
+
+
+class Held(list):
+    """A list state in memory."""
+
+    def appendList(self, rows):
+        self.extend(rows)
+
+    def put(self, rows):
+        self[:] = rows
+
+    def get(self):
+        return iter(list(self))
+
+
+def test_pending_rows_are_held_by_the_chunk():
+    """Calls of the state follow the chunks, not the rows, and buckets follow the rows, so a worker's memory does not grow with the input."""
+
+    class Handle:
+        timers: list = []
+
+        def getListState(self, *_):
+            return Held()
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    class Same(stateful.InOrder):
+        def handled(self, rows):
+            return pd.DataFrame(rows, columns=["t", "seq", "body"])
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 1_500_000
+
+    one = Same()
+    one.init(Handle())
+    times = random.Random(2).sample(range(3000), 3000)
+    batches = [pd.DataFrame({"t": times[k : k + 1500], "seq": 0, "body": [f'{{"x": "é,[{t}"}}' for t in times[k : k + 1500]]}) for k in (0, 1500)]
+    list(one.handleInputRows(None, iter(batches), None))
+    assert len(one.pending) <= 4
+    out = pd.concat(one.handleExpiredTimer(None, Now(), None))
+    assert out["t"].tolist() == list(range(1500)) and out["body"].tolist() == [{"x": f"é,[{t}"} for t in range(1500)]
+    assert len(one.pending) == 2 and one.handle.timers == [1_501_000]
+    assert stateful.buckets_of(0) == stateful.BUCKETS and 6_000_000 / stateful.buckets_of(6_000_000) <= stateful.BUCKET_ROWS
