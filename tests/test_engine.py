@@ -97,6 +97,15 @@ def test_extensions_of_damaged_streams(spark):
     assert not any(got[k].non_transferable for k in ("empty", "short", "cut"))
 
 
+def test_neighbour_pairs_by_sets_equal_sql(spark):
+    """Wallets meet by their sets of buckets: pairs are never grouped, so they are not shuffled."""
+    want = run(spark, sequences.bucket_pairs, Tables(spark, DATA.replace("0.001", "0.01")))
+    got = sequences.neighbour_pairs(spark, DATA.replace("0.001", "0.01"))
+    assert want.count() == got.count() > 0 and not want.exceptAll(got).count()
+    last = got._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0]
+    assert "Aggregate" not in last
+
+
 def test_scalar_columns_equal_sql(spark):
     df = spark.range(50).select((F.col("id") / 40).alias("x"))
     got = df.select("x", exprs.severity_col(F.col("x")).alias("a"), F.expr(exprs.severity("x")).alias("b"), exprs.sigmoid_col(F.col("x")).alias("c"), F.expr(exprs.sigmoid("x")).alias("d"), exprs.clamp_col(F.col("x"), 0.2, 0.9).alias("e"), exprs.decay_col(F.col("x") - 0.1, 72).alias("f")).collect()
