@@ -97,6 +97,16 @@ def test_extensions_of_damaged_streams(spark):
     assert not any(got[k].non_transferable for k in ("empty", "short", "cut"))
 
 
+def test_extensions_are_walked_once(spark):
+    """Null data have no extensions, and the flags share one walk over data that are worked out once."""
+    made = spark.createDataFrame([("two", "09000000" + "0e000100" + "aa" + "00" * 8), ("null", None)], "k string, tail string")
+    df = solana.decode_extensions(made.select("k", F.concat(F.lit("00" * solana.TLV_OFFSET), "tail").alias("data")))
+    got = {r.k: [r[name] for name in solana.EXTENSIONS.values()] for r in df.collect()}
+    assert got == {"two": [False, False, True, False, True], "null": [False] * 5}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and plan.count("00" * solana.TLV_OFFSET) <= 1
+
+
 def test_neighbour_pairs_by_sets_equal_sql(spark):
     """Wallets meet by their sets of buckets: pairs are never grouped, so they are not shuffled."""
     want = run(spark, sequences.bucket_pairs, Tables(spark, DATA.replace("0.001", "0.01")))
