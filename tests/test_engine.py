@@ -116,6 +116,15 @@ def test_neighbour_pairs_by_sets_equal_sql(spark):
     assert "Aggregate" not in last
 
 
+def test_components_of_a_long_chain():
+    """Linear in the edges: a chain of 100,000 nodes has as many components, and one ring at its end."""
+    n = 100_000
+    out = {k: {k + 1} for k in range(n)}
+    out[n] = {n - 2}
+    parts = graph.components(set(range(n + 1)), out)
+    assert len(parts) == n - 1 and [sorted(p) for p in parts if len(p) > 1] == [[n - 2, n - 1, n]]
+
+
 def test_scalar_columns_equal_sql(spark):
     df = spark.range(50).select((F.col("id") / 40).alias("x"))
     got = df.select("x", exprs.severity_col(F.col("x")).alias("a"), F.expr(exprs.severity("x")).alias("b"), exprs.sigmoid_col(F.col("x")).alias("c"), F.expr(exprs.sigmoid("x")).alias("d"), exprs.clamp_col(F.col("x"), 0.2, 0.9).alias("e"), exprs.decay_col(F.col("x") - 0.1, 72).alias("f")).collect()
