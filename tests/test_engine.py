@@ -461,3 +461,10 @@ def test_withheld_composite_by_hand(spark):
     # 1,000 of 10,000 dollars: spared at a tenth, not at less; a token without volume, or that is not established, is not
     assert found(allowed=0.1) == pytest.approx({k: v for k, v in want.items() if k != ("known", "A")}, abs=1e-6)
     assert found(allowed=0.09) == pytest.approx(want, abs=1e-6)
+
+
+def test_first_sandwich_is_an_aggregate(spark):
+    """Candidates of a block are combined as they are joined; the one window gives places to swaps."""
+    df = run(spark, detectors.sandwich, Tables(spark, DATA))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("row_number()") <= 3
+    assert "nth" not in df._jdf.queryExecution().optimizedPlan().toString()
