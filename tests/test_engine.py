@@ -468,3 +468,14 @@ def test_first_sandwich_is_an_aggregate(spark):
     df = run(spark, detectors.sandwich, Tables(spark, DATA))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("row_number()") <= 3
     assert "nth" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_least_wins_equals_first_wins(spark):
+    """Nulls come first in both, and copies of a key within a task are one row before the shuffle."""
+    rng = random.Random(8)
+    pick = lambda n: rng.choice([None, *range(n)])
+    df = spark.createDataFrame([(pick(20), pick(3), pick(4), k) for k in range(300)], "k int, t int, token int, body int").repartition(5)
+    want = sinks.first_wins(df, ["k"], [F.col(c) for c in ("t", "token", "body")])
+    got = sinks.least_wins(df, ["k"], ["t", "token", "body"])
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got._jdf.queryExecution().sparkPlan().toString().count("partial_min") >= 1
