@@ -479,3 +479,17 @@ def test_least_wins_equals_first_wins(spark):
     got = sinks.least_wins(df, ["k"], ["t", "token", "body"])
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert got._jdf.queryExecution().sparkPlan().toString().count("partial_min") >= 1
+
+
+def test_clusters_and_members_take_edges_once(spark):
+    """Buckets are windows over the edges: no distinct count per bucket, and members are not joined to what was worked out a second time."""
+    plan = lambda name: Tables(spark, DATA)(name)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("members").count("Join ") == 1 and "distinct" not in plan("clusters")
+    edges = [("solana", "s1", f"c{k}", 10 + k % 2, 1, 1000 * k, 1000 * k) for k in range(4)] + [("solana", "s1", "c9", 500, 1, 0, 0), ("ethereum", "s1", "c1", 10, 1, 0, 0), ("solana", "s2", "c1", 10, 1, None, 0), ("solana", "s2", "c2", 10, 1, None, 0), ("solana", "s2", "c3", 10, 1, None, 0)]
+    t = Tables(spark, DATA, {"sol_edges": spark.createDataFrame(edges, "chain string, funder string, wallet string, total long, n long, first_t long, last_t long")})
+    assert sorted((r.funder, r.time_bucket, r.n, r.first_wallet) for r in t("clusters").where("funder = 's1'").collect()) == []
+    edges = [(*e[:3], 10, *e[4:]) if e[3] == 11 else e for e in edges]
+    t = Tables(spark, DATA, {"sol_edges": spark.createDataFrame(edges, "chain string, funder string, wallet string, total long, n long, first_t long, last_t long")})
+    (c,) = t("clusters").where("funder = 's1'").collect()
+    assert (c.time_bucket, c.n, c.first_wallet, c.spread) == (0, 4, "c0", round(np.std([0, 1000, 2000, 3000]), 4))
+    assert sorted((r.wallet, r.cluster_id, r.size) for r in t("members").collect()) == [(f"c{k}", c.cluster_id, 4) for k in range(4)]
