@@ -87,6 +87,21 @@ def test_substrings_when_hashes_collide(spark, monkeypatch):
     assert len(first) and len({tuple(x) for x in block.whole(starts, 20).tolist()}) == len(starts)
 
 
+def test_distinct_rows_are_ordered_by_one_hash(monkeypatch):
+    """The second hash takes part in the order only of rows that differ and begin alike; places are the first ones."""
+    rng = np.random.default_rng(8)
+    for n, most, other in ((0, 9, 9), (300, 40, 9), (300, 1 << 62, 9)):
+        head = rng.integers(0, most, n).astype(np.uint64)
+        for second in (head * np.uint64(7), rng.integers(0, other, n).astype(np.uint64)):
+            rows = np.stack([head, second], axis=1)
+            keys, first, inverse = substring_dedup._distinct(rows)
+            want = sorted(set(map(tuple, rows.tolist())))
+            assert list(map(tuple, keys.tolist())) == want and first.tolist() == [rows.tolist().index(list(k)) for k in want]
+            assert (keys[inverse] == rows).all()
+    monkeypatch.setattr(np, "lexsort", None)
+    assert substring_dedup._distinct(np.array([[5, 1], [3, 2], [5, 1]], np.uint64))[1].tolist() == [1, 0]
+
+
 def test_substrings_stop_without_candidates(spark, monkeypatch):
     rng = random.Random(13)
     rows = [(i, " ".join(f"w{i}x{k}" for k in range(rng.randrange(90)))) for i in range(20)]

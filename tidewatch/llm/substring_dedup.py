@@ -96,9 +96,11 @@ class Block:
         self.vocabulary = table["words"][0].as_py().split()
         self.of = np.frombuffer(table["of"][0].as_py(), np.uint32)
         self.counts = np.array(counts, np.int64)
-        both = np.array([(w & 0xFFFFFFFFFFFFFFFF, w >> 64) for w in map(xxhash.xxh3_128_intdigest, self.vocabulary)], np.uint64).reshape(-1, 2)
-        self.h, self.second = both[self.of, 0], both[:, 1]
+        both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.vocabulary)), ">u8").astype(np.uint64).reshape(-1, 2)
+        self.h, self.second = both[:, 1][self.of], both[:, 0]
         self.doc = np.repeat(np.arange(len(counts)), self.counts)
+        #: of each document whether it has no id, and the id
+        self.none, self.id = np.array([i is None for i in self.ids], np.uint8), np.array([i or 0 for i in self.ids], np.int64)
         #: places of documents in the order of their ids
         self.rank = np.empty(len(counts), np.int64)
         self.rank[sorted(range(len(counts)), key=lambda k: (self.ids[k] is None, self.ids[k] or 0, k))] = np.arange(len(counts))
@@ -123,12 +125,17 @@ class Block:
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct rows of keys (n, 1 or 2) in order, the first place of each, and the number of each place's row."""
-    order = np.lexsort(keys.T[::-1])
+    head = np.ascontiguousarray(keys[:, 0])
+    order = np.argsort(head)
     new = np.ones(len(order), bool)
-    new[1:] = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
+    new[1:] = head[order[1:]] != head[order[:-1]]
+    if keys.shape[1] > 1 and (~new[1:] & (keys[order[1:], 1] != keys[order[:-1], 1])).any():  # different rows that begin alike
+        order = np.lexsort(keys.T[::-1])
+        new[1:] = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
     inverse = np.empty(len(order), np.int64)
     inverse[order] = np.cumsum(new) - 1
-    return keys[order[new]], order[new], inverse
+    first = np.minimum.reduceat(order, np.flatnonzero(new)) if len(order) else order
+    return keys[first], first, inverse
 
 
 def _among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
@@ -177,8 +184,8 @@ def _keys(block: Block, starts: np.ndarray, length: int, window: int) -> tuple[n
         return keys, [(np.bincount(inverse, minlength=len(keys)) > 1).astype(np.uint8)]
     order = np.argsort(block.rank[block.doc[starts]], kind="stable")
     keys, first, _ = _distinct(block.whole(starts, window)[order])
-    ids = [block.ids[k] for k in block.doc[starts[order[first]]].tolist()]
-    return keys, [np.array([i is None for i in ids], np.uint8), np.array([i or 0 for i in ids], np.int64)]
+    doc = block.doc[starts[order[first]]]
+    return keys, [block.none[doc], block.id[doc]]
 
 
 def _blocks(batches, window: int):
@@ -274,10 +281,10 @@ def _first_places(state: DataFrame, level: Level, window: int) -> dict[tuple[int
 
     def send(batches):
         for name, block, starts in _blocks(batches, window):
+            starts = starts[_among(block.whole(starts, window), level.hot)] if len(starts) else starts
             if len(starts):
                 keys, (none, ids) = _keys(block, starts, window, window)
-                at = np.flatnonzero(_among(keys, level.hot))
-                yield pa.record_batch({"h": pa.array(keys[at, 0].view(np.int64)), "g": pa.array(keys[at, 1].view(np.int64)), "none": pa.array(none[at].astype(np.int32)), "id": pa.array(ids[at]), "block": pa.array(np.full(len(at), name))})
+                yield pa.record_batch({"h": pa.array(keys[:, 0].copy().view(np.int64)), "g": pa.array(keys[:, 1].copy().view(np.int64)), "none": pa.array(none.astype(np.int32)), "id": pa.array(ids), "block": pa.array(np.full(len(keys), name))})
 
     rows = state.mapInArrow(send, "h long, g long, none int, id long, block long")
     first = rows.groupBy("h", "g").agg(F.min(F.struct("none", "id", "block")).alias("first"))
