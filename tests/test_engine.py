@@ -493,3 +493,27 @@ def test_clusters_and_members_take_edges_once(spark):
     (c,) = t("clusters").where("funder = 's1'").collect()
     assert (c.time_bucket, c.n, c.first_wallet, c.spread) == (0, 4, "c0", round(np.std([0, 1000, 2000, 3000]), 4))
     assert sorted((r.wallet, r.cluster_id, r.size) for r in t("members").collect()) == [(f"c{k}", c.cluster_id, 4) for k in range(4)]
+
+
+def test_fifo_streams_keys_across_batches(spark):
+    """Lots are matched in one ordered stream, whose batches cut keys anywhere; no group is a pandas frame of its own."""
+    rng = random.Random(5)
+    legs = [(f"u{rng.randrange(3)}", rng.choice(["a", None]), rng.choice(["buy", "sell"]), rng.randrange(50), k, f"tx{k}", rng.randrange(1, 900), rng.randrange(1, 6)) for k in range(400)]
+    df = spark.createDataFrame(legs, "wallet string, token string, leg string, t long, seq long, tx_hash string, cents long, qty long").repartition(3)
+    want, lots = [], {}
+    for w, k, leg, t, seq, _, cents, qty in sorted(legs, key=lambda r: (r[3], r[5], r[2])):
+        units = lots.setdefault((w, k), [])
+        if leg == "buy":
+            units += [(t, cents / qty)] * qty
+        else:
+            sold, lots[w, k] = units[:qty], units[qty:]
+            want += [(w, str(k), t, seq, bought, round((cents / qty - price) / 100, 6)) for bought, price in sold]
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = smart_money.fifo(df)
+        assert "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
+        units = [(r.wallet, str(r.token), r.sell_t, r.sell_seq, r.buy_t, round(r.pnl / r.qty, 6)) for r in got.collect() for _ in range(r.qty)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert sorted(units) == sorted(want)
