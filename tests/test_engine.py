@@ -517,3 +517,8 @@ def test_fifo_streams_keys_across_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
     assert sorted(units) == sorted(want)
+
+
+def test_sybil_counts_holders_without_distinct(spark):
+    plan = run(spark, detectors.sybil, Tables(spark, DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(distinct holder" not in plan and "count(holder" in plan
