@@ -151,6 +151,45 @@ def test_change_points_of_many_batches(spark):
     assert len(whole) == 150 and sequences.change_points(rows.limit(0)).count() == 0
 
 
+def test_run_lengths_of_whole_sequences():
+    """The closed form of a block gives what the full model gives step by step, for sequences of any lengths together."""
+    rng = np.random.default_rng(3)
+    many = [np.round(np.concatenate([rng.normal(0.3, 0.05, n), rng.normal(0.6, 0.02, n // 3), np.full(n // 4, 0.5)]), 6) for n in (1, 2, 3, 60, 150, 90, 4)] * 10
+    for x, (short, mode) in zip(many, sequences.run_lengths(many), strict=True):
+        model = sequences.ChangePoints()
+        want = [model.step(float(v)) for v in x]
+        assert mode.tolist() == [w[2] for w in want] and np.allclose(short, [w[1] for w in want], rtol=0, atol=1e-12)
+    assert sequences.run_lengths([]) == []
+
+
+def test_change_points_stream_one_deployer_after_another(spark, monkeypatch):
+    """Deployers below, at and beyond the most run lengths, cut anywhere; planning runs no job, as a count of the deployers did."""
+    monkeypatch.setattr(sequences, "AT_ONCE", 10)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    long = {"a": 40, "b": 5, "c": 16, "d": 17, "e": 1, "f": 33, None: 3}
+    rows = [(d, f"t{k}", k + 1, (k * 37 % 100) / 100 if k % 3 else 0.2) for d, n in long.items() for k in range(n)]
+    features = spark.createDataFrame(rows, "deployer string, token string, nth long, score double").repartition(3)
+    spark.sparkContext.setJobGroup("planning", "planning")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        points = sequences.change_points(features, most=16)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+        got = {(r.deployer, r.nth): r for r in points.collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(got) == len(rows)
+    for d, n in long.items():
+        model, likely = sequences.RunLengths(most=16), 0
+        model.grow(1)
+        for _, _, nth, x in (r for r in rows if r[0] == d):
+            cp, short, mode = model.step(np.zeros(1, np.int64), np.array([x]))
+            r = got[d, nth]
+            assert (r.cp_prob, r.p_short, r.lost) == pytest.approx((cp[0], short[0], model.lost[0])) and (r.run_mode, r.run_drop) == (mode[0], max(0, likely + 1 - mode[0]))
+            likely = mode[0]
+        assert bool(model.lost[0]) == (n >= 16)
+
+
 class Held(list):
     """A list state in memory."""
 
