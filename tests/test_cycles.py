@@ -4,6 +4,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.operators import cycles, graph
 from tidewatch.sources import solana
@@ -77,3 +78,15 @@ def test_inferred_swaps(spark):
     got = solana.infer_swaps(spark.createDataFrame(rows, TRANSFERS), dex, spark.createDataFrame([("s", "4")], "chain string, tx_hash string"))
     assert sorted((r.tx_hash, r.pool, r.dex, r.sender, r.token_in, r.token_out, r.amount_in, r.amount_out) for r in got.collect()) == [("1", "pool", "orca", "me", "SOL", "TOK", 70, 900), ("5", "pool", "orca", "me", "SOL", "TOK", 70, 3)]
     assert solana.infer_swaps(spark.createDataFrame([], TRANSFERS), dex).count() == 0
+
+
+def test_inferred_swaps_sort_once(spark):
+    """No table of groups is held, and the rows of the last stage are sorted by one order only; nulls mark nothing."""
+    rows = [("s", "1", 0, "SOL", "me", "pool", 70), ("s", "1", 1, "TOK", "pool", "me", 900), ("s", "1", 2, "TOK", "pool", "me", 1), ("s", "2", 0, "SOL", None, "pool", 7), ("s", "2", 1, "TOK", "pool", None, 9), (None, "3", 0, "SOL", "me", "pool", 5), (None, "3", 1, "TOK", "pool", "me", 6), ("s", "4", 0, "SOL", "me", "pool", 70), ("s", "4", 1, "TOK", "pool", "me", 900)]
+    dex = spark.createDataFrame([("pool", "orca")], "address string, dex string")
+    decoded = spark.createDataFrame([("s", "4"), ("s", "4"), (None, "3"), ("s", None)], "chain string, tx_hash string")
+    got = solana.infer_swaps(spark.createDataFrame(rows, TRANSFERS), F.broadcast(dex), decoded)
+    want = [("1", "me", "SOL", "TOK", 70, 901), ("2", None, "SOL", "TOK", 7, 9), ("3", "me", "SOL", "TOK", 5, 6)]
+    assert sorted(((r.tx_hash, r.sender, r.token_in, r.token_out, r.amount_in, r.amount_out) for r in got.collect()), key=lambda r: r[0]) == want
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "HashAggregate" not in plan and "SortMergeJoin" not in plan and plan.count("Sort [") == 1
