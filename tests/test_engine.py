@@ -522,3 +522,35 @@ def test_fifo_streams_keys_across_batches(spark):
 def test_sybil_counts_holders_without_distinct(spark):
     plan = run(spark, detectors.sybil, Tables(spark, DATA))._jdf.queryExecution().optimizedPlan().toString()
     assert "count(distinct holder" not in plan and "count(holder" in plan
+
+
+def test_probe_verdict_takes_balances_and_counts_once(spark):
+    """Concentration ranks both balances of a holder in one pass, and dormant tokens and bursts share one count; each is what its SQL says."""
+    import duckdb
+
+    from tidewatch.operators import probes
+    from tidewatch.plans import dialect
+
+    rng = random.Random(4)
+    names = ["t1", "t2", "t3", "t4", "t6", None]
+    some = {
+        "balances": ("chain string, token string, holder string, balance long, prior_balance long, block_height long", [("solana", t, f"c{k}", rng.choice([0, 0, -3, 5, 5, 40, rng.randrange(1, 900)]) if t != "t4" else 0, rng.choice([0, 0, -1, 7, rng.randrange(1, 90)]) if t != "t3" else 0, 1) for t in names for k in range(40)]),
+        "classes": ("address string, kind string, confidence double, age_days long", [(f"c{k}", "liquid" if k % 5 else "dex_pool", 0.5, 1) for k in range(30)]),
+        "tokens": ("token string, age_days long", [("t1", 3), ("t2", 10), ("t3", 50), ("t5", 50), (None, 8)]),
+        "transfers": ("token string, block_height long", [(t, h) for t in ("t1", "t3", "t6", None) for h in [1] * 60 + list(range(2, 40))] + [("t2", 4)]),
+    }
+    frames = {k: spark.createDataFrame(rows, schema) for k, (schema, rows) in some.items()}
+    con = duckdb.connect()
+    for k, df in frames.items():
+        con.register(k, df.toPandas())
+    exact = lambda rows: sorted(((*r,) for r in rows), key=repr)
+    sql = lambda text: con.sql(re.sub(r"\{(\w+)\}", r"\1", text)).fetchall()
+    here = dialect.run(spark, detectors.concentration, frames.__getitem__)
+    assert exact(here.collect()) == exact(sql(detectors.concentration(dialect.DUCK))) and here.count() > 3
+    got = dialect.run(spark, probes.counted, frames.__getitem__).where("confidence IS NOT NULL").collect()
+    want = [(t, p, c) for p, text in (("d03_dormant_token", "c03_dormant"), ("d11_synchronized", "c05_block_burst")) for t, c in sql(f"SELECT token, confidence FROM ({probes.TEXTS[text](dialect.DUCK)})")]
+    assert exact(got) == exact(want) and len({c for *_, c in want}) > 3
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["r12_probe_verdict"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[l_orderkey", plan)) == 8  # one less for each of the two
