@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from tidewatch import api
 from tidewatch.operators import sinks
 from tidewatch.plans.dialect import Tables
 from tidewatch.sources import files
@@ -48,3 +49,22 @@ def test_clustered_batch_is_inserted_as_it_lies(spark, tmp_path):
     assert rows.select("id", "part").exceptAll(got).count() == 0
     parts = [f for _, _, names in os.walk(path) for f in names if f.endswith(".parquet")]
     assert len(parts) <= 5 * 3 + 1
+
+
+def test_analyze_leaves_the_anomalies_only(spark, monkeypatch):
+    """What detectors share is written once and deleted, and their shuffles go with them, those of one that fails too."""
+    monkeypatch.setattr(api, "_EXTRA", {})
+    api.register_detector("breaks", lambda t: t("transfers").groupBy("token").count().selectExpr("token AS subject", "'x' AS signal", "0.5 AS confidence", "CAST(raise_error('no') AS STRING) AS severity"))
+    made = []
+    keep = Tables.keep
+    monkeypatch.setattr(Tables, "keep", lambda self, name: made.append(name) or keep(self, name))
+    folders, before = kept(spark), shuffled(spark)
+    got = api.analyze(spark, DATA, only=["pump_dump", "sybil_detection", "honeypot_sim", "permit2_drainer_v1", "breaks"])
+    assert shuffled(spark) <= before
+    assert got.skipped == ["breaks"] and got.count() > 0
+    assert made == ["transfers", "smart_wallets"]
+    assert [name.split("-")[0] for name in kept(spark) - folders] == ["analyze"]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    made.clear()
+    api.analyze(spark, DATA, only=["honeypot_sim"])
+    assert made == []
