@@ -1,13 +1,18 @@
 """What queries leave on disk: in the shared folder, and of their shuffles."""
 
+import base64
+import json
 import os
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidewatch import api
 from tidewatch.operators import sinks
+from tidewatch.operators.sequences import RunLengths
 from tidewatch.plans.dialect import Tables
 from tidewatch.sources import files
+from tidewatch.streaming import stateful
 
 DATA = "/root/testdata/sf0.001"
 
@@ -68,3 +73,29 @@ def test_analyze_leaves_the_anomalies_only(spark, monkeypatch):
     made.clear()
     api.analyze(spark, DATA, only=["honeypot_sim"])
     assert made == []
+
+
+def test_state_is_packed():
+    """Numbers and waiting rows come back as they were, in less space than they took as JSON and base 64; states of before are read."""
+    model = RunLengths()
+    model.grow(1)
+    for k in range(300):
+        model.step(np.array([0]), np.array([0.3 + 0.2 * (k % 7) / 7]))
+    plain = model.dumps(0)
+    text = stateful.packed(plain)
+    assert stateful.unpacked(text) == stateful.unpacked(base64.b64encode(plain).decode()) == plain
+    assert len(text) < 0.85 * len(base64.b64encode(plain))
+    rows = [(1000 + k, k, json.dumps({"deployer": f"s{k % 9}", "token": f"é{k}", "lp_total": 7 * k, "n": None}, ensure_ascii=False)) for k in range(2500)]
+    chunks = [c for (c,) in stateful.InOrder()._chunks(rows)]
+    want = [[t, seq, json.loads(body)] for t, seq, body in rows]
+    old = f"[{','.join(f'[{t},{seq},{body}]' for t, seq, body in rows)}]"
+    assert [r for c in chunks for r in stateful.InOrder._rows(c)] == stateful.InOrder._rows(old) == want
+    assert sum(map(len, chunks)) < len(old) / 2
+
+
+def test_replayed_stream_leaves_its_changes_only(spark):
+    folders = kept(spark)
+    got = stateful.watched_deployers(spark, DATA)
+    (name,) = kept(spark) - folders
+    assert os.listdir(f"{files.shared_folder(spark)}/tidewatch/{name}".removeprefix("file://")) == ["data"]
+    assert got.count() == Tables(spark, DATA)("launches").count()
